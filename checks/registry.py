@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from checks import report_queries
+from checks import lake_queries, report_queries, resolution_queries, run_queries
 
-_PARTS = [report_queries]
-try:
-    from checks import lake_queries, resolution_queries, run_queries
-
-    _PARTS += [lake_queries, resolution_queries, run_queries]
-except ImportError:
-    pass
+_PARTS = [report_queries, lake_queries, resolution_queries, run_queries]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -35,10 +35,10 @@ NUMERIC_TYPES = [
     "NUMBER",
 ]
 
-# Text looked for in a type name, tried in this order, and the short name it gives.
+# Texts looked for in a type name, tried in this order, and the short name they give.
 TYPE_TEXTS = [
     (["varchar", "char", "text", "string"], "string"),
-    (["int"], "long"),
+    (["int", "integer", "smallint", "bigint"], "long"),
     (["decimal", "numeric"], "decimal"),
     (["float", "double", "real"], "double"),
     (["bool"], "boolean"),
@@ -46,6 +46,9 @@ TYPE_TEXTS = [
     (["timestamp"], "timestamp"),
 ]
 
+# The Redshift list has "character" where the one above has "string".
+REDSHIFT_STRING_TEXTS = ["varchar", "char", "text", "character"]
+
 # Base type names and the short name each stands for.
 BASE_TYPES = {
     "string": "string varchar char character text bpchar nvarchar nchar uuid",
@@ -73,22 +76,25 @@ def is_unsupported(type_name: Column) -> Column:
     return F.coalesce(F.split_part(base_type(type_name), F.lit(" "), F.lit(1)).isin(UNSUPPORTED_TYPES), F.lit(False))
 
 
-def normalise_type(type_name: Column, mode: str = "reference", upper: bool = False, string_word: bool = True) -> Column:
-    """Short type name of a warehouse type.
+def _by_text(lower: Column, texts: list[tuple[list[str], str]]) -> list[Column]:
+    return [
+        F.when(reduce(lambda a, b: a | b, [lower.contains(t) for t in words]), F.lit(short))
+        for words, short in texts
+    ]
+
+
+def normalise_type(type_name: Column, mode: str = "reference", upper: bool = False) -> Column:
+    """Short type name of a warehouse type; unknown types are ``string``.
 
-    ``mode="reference"`` looks for texts inside the name, in a fixed order: ``interval`` and ``point`` become
-    ``long`` because they contain "int", ``datetime`` becomes ``date``, ``NUMBER(38,0)`` becomes ``string``.
-    ``mode="strict"`` goes by the base type. Unknown types are ``string`` in both. ``string_word`` only names
-    whether "string" is among the texts; the result is the same either way, as unknown types are strings and no
-    later text is part of the word.
+    ``reference`` and ``redshift`` look for texts inside the name, in a fixed order: ``interval`` and ``point``
+    become ``long`` because they contain "int", ``datetime`` becomes ``date``, ``NUMBER(38,0)`` becomes ``string``.
+    ``strict`` goes by the base type.
     """
     lower = F.lower(type_name)
     if mode == "reference":
-        branches = []
-        for texts, short in TYPE_TEXTS:
-            words = [t for t in texts if string_word or t != "string"]
-            found = reduce(lambda a, b: a | b, [lower.contains(t) for t in words])
-            branches.append(F.when(found, F.lit(short)))
+        branches = _by_text(lower, TYPE_TEXTS)
+    elif mode == "redshift":
+        branches = _by_text(lower, [(REDSHIFT_STRING_TEXTS, "string"), *TYPE_TEXTS[1:]])
     elif mode == "strict":
         base = F.lower(base_type(type_name))
         branches = [F.when(base.isin(names.split()), F.lit(short)) for short, names in BASE_TYPES.items()]

@@ -62,11 +62,13 @@ def page_after(df: DataFrame, key: str, last: object = None, n: int = 50) -> Dat
     return rest.orderBy(key).limit(n)
 
 
-def fuzzy_name_match(names: DataFrame, targets: Sequence[str], min_score: float = 0.4, column: str = "name") -> DataFrame:
+def fuzzy_name_match(
+    names: DataFrame, targets: Sequence[str], min_score: float | None = 0.4, column: str = "name"
+) -> DataFrame:
     """``target, name, match, score``: the best name for each wanted name.
 
     An equal name (ignoring case and outer blanks) beats a name containing the target, which beats the most
-    similar name of at least ``min_score``; ties go to the first in sort order. (A first-come search over a list
+    similar name of at least ``min_score`` (none if that is None); ties go to the first in sort order. (A first-come search over a list
     lets an earlier substring hit beat a later equal name; here the order of the names has no influence.)
     ``targets`` are typed by a person, ``names`` may be large: each name is scored once per target where it lies,
     and only one candidate per target and task is shuffled.
@@ -77,27 +79,23 @@ def fuzzy_name_match(names: DataFrame, targets: Sequence[str], min_score: float
     sure = rows.withColumn(
         "rank", F.when(F.col("t") == F.col("c"), F.lit(2)).when(F.col("c").contains(F.col("t")), F.lit(1))
     )
-    certain = sure.filter("rank IS NOT NULL").withColumn("score", F.lit(1.0))
-    guessed = (
-        sure.filter("rank IS NULL")
-        .withColumn("rank", F.lit(0))
-        .withColumn("score", likeness("t", "c"))
-        .filter(F.col("score") >= F.lit(float(min_score)))
-    )
+    found = sure.filter("rank IS NOT NULL").withColumn("score", F.lit(1.0))
+    if min_score is not None:
+        guessed = (
+            sure.filter("rank IS NULL")
+            .withColumn("rank", F.lit(0))
+            .withColumn("score", likeness("t", "c"))
+            .filter(F.col("score") >= F.lit(float(min_score)))
+        )
+        found = found.unionByName(guessed)
     best = (
-        certain.unionByName(guessed)
-        .groupBy("target")
+        found.groupBy("target")
         .agg(F.min(F.struct((-F.col("rank")).alias("rank"), (-F.col("score")).alias("score"), "name")).alias("best"))
     )
     labels = F.element_at(F.array(F.lit("similar"), F.lit("contains"), F.lit("equal")), (1 - F.col("best.rank")))
     return best.select("target", F.col("best.name").alias("name"), labels.alias("match"), (-F.col("best.score")).alias("score"))
 
 
-def exact_or_containing(names: DataFrame, targets: Sequence[str], column: str = "name") -> DataFrame:
-    """``fuzzy_name_match`` without the similar names, all of it inside the JVM."""
-    return fuzzy_name_match(names, targets, min_score=float("inf"), column=column)
-
-
 def parse_targets(df: DataFrame, column: str = "target") -> DataFrame:
     """``target`` split into ``catalog`` and ``schema``, with ``error`` where it is not ``catalog.schema``."""
     parts = F.split(F.col(column), r"\.")
