@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than 1/HOT_SHARE of all rows, so at most HOT_SHARE keys can be hot,
-# whatever the size of the data. That is the bound on what is broadcast here.
+# A key is hot when it holds more than 1/HOT_SHARE of all rows, so fewer than HOT_SHARE keys can be hot, whatever the
+# size of the data. That is the bound on what is broadcast here.
 HOT_SHARE = 10_000
 HOT_ROWS = 100_000
 
@@ -22,16 +22,21 @@ def join_to_groups(
 ) -> DataFrame:
     """Inner join of ``rows`` with ``groups``, which holds one line per key.
 
-    ``size`` is the column of ``groups`` with the number of rows of each key; it is dropped. The few hot
-    keys (more than ``hot_rows`` rows and more than 1/10000 of all) are joined by broadcast, so their rows
-    stay where they are, spread over all tasks. Every other row is joined by an ordinary shuffle in which no
-    key can be large. The two parts are complementary, so the result is the plain inner join.
+    ``size`` is the column of ``groups`` with the number of rows of each key; it is dropped. ``groups`` is read more
+    than once, so pass a written table (``shared.materialise``): an aggregate joined to its own input would also keep
+    Spark from splitting skewed partitions, as its side has no shuffle right below the join.
+
+    One small job looks for hot keys (more than ``hot_rows`` rows and more than 1/10000 of all). Without any this is
+    the plain join. With some, their rows are joined by broadcast and stay where they are, spread over all tasks,
+    while all other rows are joined by a shuffle in which no key is large. The two parts are complementary.
     """
     keys = list(keys)
-    total = groups.agg(F.sum(size)).scalar()
-    is_hot = (F.col(size) > F.lit(hot_rows)) & (F.col(size) * F.lit(HOT_SHARE) > total)
-    hot = groups.filter(is_hot).drop(size)
-    cold = groups.filter(~is_hot).drop(size)
+    total, largest = groups.agg(F.sum(size), F.max(size)).first()
+    bound = max(hot_rows, (total or 0) // HOT_SHARE)
+    if (largest or 0) <= bound:
+        return rows.join(groups.drop(size), keys, "inner")
+    hot = groups.filter(F.col(size) > bound).drop(size)
+    cold = groups.filter(F.col(size) <= bound).drop(size)
     from_hot = rows.join(F.broadcast(hot), keys, "inner")
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return from_hot.unionByName(rest.join(cold, keys, "inner"))

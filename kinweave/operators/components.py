@@ -15,31 +15,42 @@ from kinweave.sources.shared import SharedTable, materialise
 # Edges are kept as (u, v) with u > v.
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree"))
+def _smallest(edges: DataFrame) -> SharedTable:
+    """``u, low, degree``: smallest neighbour of each node, and how many lines it has."""
+    lows = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree"))
+    return materialise(lows, "lows")
 
 
-def _large_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot_rows: int) -> SharedTable:
     """Every neighbour larger than a node is linked to the node's smallest neighbour (or the node, if smaller)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lows = _smallest(both).withColumn("low", F.least("u", "low"))
-    return join_to_groups(both.filter("v > u"), lows, ["u"], "degree", hot_rows).select(
-        F.col("v").alias("u"), F.col("low").alias("v")
-    )
+    lows = _smallest(both)
+    nearest = lows.df.withColumn("low", F.least("u", "low"))
+    moved = join_to_groups(both.filter("v > u"), nearest, ["u"], "degree", hot_rows)
+    out = materialise(moved.select(F.col("v").alias("u"), F.col("low").alias("v")), "edges")
+    lows.drop()
+    return out
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot_rows: int) -> SharedTable:
     """A node and its smaller neighbours are all linked to the smallest of them."""
     lows = _smallest(edges)
-    moved = join_to_groups(edges, lows, ["u"], "degree", hot_rows).filter("v <> low")
-    return moved.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(
-        lows.select("u", F.col("low").alias("v"))
+    moved = join_to_groups(edges, lows.df, ["u"], "degree", hot_rows).filter("v <> low")
+    linked = moved.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(
+        lows.df.select("u", F.col("low").alias("v"))
     )
+    out = materialise(linked.distinct(), "edges")
+    lows.drop()
+    return out
 
 
-def _fingerprint(edges: DataFrame) -> tuple[int, int | None]:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    return row[0], row[1]
+def _is_star_forest(edges: DataFrame) -> bool:
+    """True if no node has two edges downwards, or one downwards and one upwards."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.filter((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).isEmpty()
 
 
 def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int = 100) -> DataFrame:
@@ -50,17 +61,18 @@ def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS, max_rounds:
     number needed grows with the logarithm of the size).
     """
     ordered = edges.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"))
-    loops = ordered.filter("u = v").select(F.col("u").alias("node")).distinct()
-    current: SharedTable = materialise(ordered.filter("u > v").distinct(), "edges")
-    mark = _fingerprint(current.df)
+    given = materialise(ordered.distinct(), "edges")
+    loops = given.df.filter("u = v").select(F.col("u").alias("node"))
+    current = SharedTable(given.df.filter("u > v"), given.path)
     for _ in range(max_rounds):
-        step = _small_star(_large_star(current.df, hot_rows).distinct(), hot_rows).distinct()
-        following = materialise(step, "edges")
-        seen, mark = mark, _fingerprint(following.df)
-        current.drop()
-        current = following
-        if mark == seen:
+        if _is_star_forest(current.df):
             break
+        large = _large_star(current.df, hot_rows)
+        following = _small_star(large.df, hot_rows)
+        large.drop()
+        if current.path != given.path:
+            current.drop()
+        current = following
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = current.df.select(F.col("u").alias("node"), F.col("v").alias("component"))

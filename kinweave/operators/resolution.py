@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.skew import HOT_ROWS, join_to_groups
+from kinweave.sources.shared import materialise
 
 FIELDS = ["given_name", "surname", "email", "phone", "address", "birthdate"]
 
@@ -126,7 +127,8 @@ def pairs(
 ) -> DataFrame:
     """``id_a, id_b, a, b, rules``: each record with the smallest id of every group it belongs to.
 
-    ``a`` and ``b`` are the fields of the two records, ``rules`` the names of the rules the pair was found by.
+    ``a`` and ``b`` are the fields of the two records, ``rules`` the names of the rules the pair was found by. The
+    smallest records of groups with more than one are written to the shared folder first.
     """
     fields = F.struct(*FIELDS)
     keyed = records.select("record_id", fields.alias("fields"), F.inline(_keys(rules or match_rules())))
@@ -135,6 +137,7 @@ def pairs(
         .agg(F.min(F.struct("record_id", "fields")).alias("hub"), F.count("*").alias("size"))
         .filter("size > 1")
     )
+    hubs = materialise(hubs, "hubs").df
     return (
         join_to_groups(keyed, hubs, ["rule", "block_key"], "size", hot_rows)
         .filter("record_id <> hub.record_id")

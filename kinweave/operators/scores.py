@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.scoring import LEVELS, WEIGHTS, bits_score, classify, completeness, presence_bits
 from kinweave.functions.skew import HOT_ROWS, join_to_groups
+from kinweave.sources.shared import materialise
 
 SCORES = ["record_pii_score", "source_pii_score", "entity_pii_score", "max_record_pii_score"]
 
@@ -128,8 +129,9 @@ def scored(
             F.sum("records").alias("group_records"),
         )
     )
+    table = materialise(groups, "scores").df
     return join_to_groups(
-        record_scores(view, weights), groups, ["entity_id", "source"], "group_records", hot_rows
+        record_scores(view, weights), table, ["entity_id", "source"], "group_records", hot_rows
     )
 
 
