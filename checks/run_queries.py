@@ -91,7 +91,7 @@ ORDER BY last_known DESC, job_id LIMIT 1""",
     "runs_status": f"""{_RUNS} SELECT obs_id, coalesce(state, 'UNKNOWN') AS status, CASE coalesce(state, 'UNKNOWN')
   WHEN 'SUCCEEDED' THEN '✓ Success' WHEN 'FAILED' THEN '✗ Failed' WHEN 'RUNNING' THEN '◷ Running'
   WHEN 'PENDING' THEN '◷ Pending' ELSE '◷ Unknown' END AS status_text,
-  coalesce(state, 'UNKNOWN') IN ('SUCCEEDED', 'FAILED', 'UNKNOWN') AS is_terminal,
+  coalesce(state IN ('SUCCEEDED', 'FAILED'), FALSE) AS is_terminal,
   coalesce(state, 'UNKNOWN') IN ('SUCCEEDED', 'FAILED', 'UNKNOWN') AS stops_monitor FROM runs""",
     "runs_duration": f"""{_RUNS}, s AS (SELECT obs_id,
   CAST(floor(epoch(end_at) - epoch(try_cast(created_at AS TIMESTAMP))) AS BIGINT) AS seconds FROM runs)

@@ -61,9 +61,13 @@ def last_job(latest: DataFrame) -> DataFrame:
 
 
 def run_status(df: DataFrame) -> DataFrame:
-    """``df`` with ``status`` (upper case, UNKNOWN if none), ``status_text``, ``is_terminal``, ``stops_monitor``."""
+    """``df`` with ``status`` (upper case, UNKNOWN if none), ``status_text``, ``is_terminal``, ``stops_monitor``.
+
+    A job without a state is not terminal (it may be asked again), but there is nothing to monitor.
+    """
     status = F.upper(F.coalesce(F.nullif("state", F.lit("")), F.lit("UNKNOWN")))
-    plain = F.replace(F.lower(F.coalesce("state", F.lit("unknown"))), F.lit(":"), F.lit(""))
+    given = F.coalesce("state", F.lit(""))
+    plain = F.replace(F.lower(given), F.lit(":"), F.lit(""))
     text = (
         F.when(status == "SUCCEEDED", F.lit(f"{DONE} Success"))
         .when(status == "FAILED", F.lit(f"{BROKEN} Failed"))
@@ -75,7 +79,7 @@ def run_status(df: DataFrame) -> DataFrame:
             "status": status,
             "status_text": text,
             "is_terminal": plain.isin(TERMINAL_STATES),
-            "stops_monitor": plain.isin(MONITOR_STOPS) | (plain == ""),
+            "stops_monitor": plain.isin(MONITOR_STOPS) | (given == ""),
         }
     )
 
