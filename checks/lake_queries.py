@@ -9,6 +9,7 @@ from checks.views import TABLES, table, view, with_views
 from kinweave.functions.patterns import NAME_RULES, UUID_PATTERN, VALUE_PATTERNS, any_pattern
 from kinweave.functions.types import NUMERIC_TYPES, UNSUPPORTED_TYPES, normalise_type
 from kinweave.operators import content, edits, inventory, manifest, pii, tags
+from kinweave.plans import tagging
 from kinweave.sources import catalog, manifests, readers
 from kinweave.sources.shared import scratch_path
 
@@ -86,8 +87,8 @@ def _run_sql(s: SparkSession, d: str) -> DataFrame:
 
 def _manifest_roundtrip(s: SparkSession, d: str) -> DataFrame:
     path = scratch_path(s, "manifest")
-    nested = manifest.nest_fields(manifest.resolution_config(_scan(s, d)))
-    manifests.write_manifest(nested, {"output_schema_name": "resolution_outputs"}, path)
+    scan = tagging.scan_columns(_columns(s, d), SKIP)
+    tagging.store_manifest(scan, {"output_schema_name": "resolution_outputs"}, path)
     return _semantics_text(manifests.manifest_fields(manifests.read_manifest(s, path)))
 
 
@@ -216,6 +217,12 @@ own AS (SELECT * FROM columns WHERE NOT starts_with(table_name, '{SKIP}')),
 scan AS (SELECT *, CASE WHEN {_NUMERIC} THEN NULL {_RULE_CASE} END AS semantic FROM own)
 """
 
+_KEYED_SCAN = f"""{_SCAN.replace('scan AS', 'tagged AS')},
+scan AS (SELECT * EXCLUDE (place) REPLACE (CASE WHEN semantic = 'pk' AND place > 1 THEN NULL ELSE semantic END AS semantic)
+  FROM (SELECT *, row_number() OVER (PARTITION BY {_K}, semantic ORDER BY
+    NOT (regexp_matches({_SNAKE}, '{UUID_PATTERN}') OR lower(data_type) = 'uuid'), position) AS place FROM tagged))
+"""
+
 _ANSWERED = f"""{with_views(["columns", "answers", "listing"])},
 own AS (SELECT * FROM columns WHERE NOT starts_with(table_name, '{SKIP}')),
 texts AS (SELECT {_K}, CASE WHEN starts_with(t, '```json') THEN trim(t[8:-4], e' \\n')
@@ -325,17 +332,17 @@ def _evidence_sql() -> str:
     parts = []
     for name, columns in TEXT_COLUMNS.items():
         for column in columns:
-            for kind, pattern in VALUE_PATTERNS.items():
+            for kind, shape in VALUE_PATTERNS.items():
                 parts.append(
                     f"SELECT '{name}' AS table_name, '{column}' AS column_name, '{kind}' AS pattern, "
                     f"count({column}) AS non_null, "
-                    f"CAST(coalesce(sum(CASE WHEN regexp_matches({column}, '{pattern}') THEN 1 ELSE 0 END), 0) AS BIGINT) "
+                    f"CAST(coalesce(sum(CASE WHEN regexp_matches({column}, '{shape.pattern}') THEN 1 ELSE 0 END), 0) AS BIGINT) "
                     f"AS matches FROM {name}"
                 )
     return f"SELECT *, round(CAST(matches AS DOUBLE) / non_null, 6) AS share FROM ({' UNION ALL '.join(parts)})"
 
 
-_KIND_CASE = " ".join(f"WHEN regexp_full_match(value, '{p}') THEN '{k}'" for k, p in VALUE_PATTERNS.items())
+_KIND_CASE = " ".join(f"WHEN regexp_full_match(value, '{p.pattern}') THEN '{k}'" for k, p in VALUE_PATTERNS.items())
 _ROW_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)
 
 ORACLES = {
@@ -370,9 +377,7 @@ FROM p""",
     "pii_answer_ingest": f"{_ANSWERED} SELECT * FROM scan",
     "pii_numeric_guard": f"{_COLUMNS} SELECT *, CASE WHEN position % 2 = 0 AND NOT {_NUMERIC} THEN 'email' END AS semantic "
     "FROM columns",
-    "pii_single_pk": f"""{_SCAN} SELECT * EXCLUDE (place) REPLACE
-  (CASE WHEN semantic = 'pk' AND place > 1 THEN NULL ELSE semantic END AS semantic) FROM (SELECT *, row_number() OVER (PARTITION BY {_K}, semantic ORDER BY
-    NOT (regexp_matches({_SNAKE}, '{UUID_PATTERN}') OR lower(data_type) = 'uuid'), position) AS place FROM scan)""",
+    "pii_single_pk": f"{_KEYED_SCAN} SELECT * FROM scan",
     "pii_table_summary": f"{_ANSWERED} SELECT * FROM summary",
     "pii_schema_rollup": f"""{_ANSWERED} SELECT catalog_name, schema_name, count(*) AS tables_scanned_attempted,
   count(*) FILTER (error IS NULL) AS tables_successfully_processed, count(*) FILTER (has_pii) AS tables_with_pii,
@@ -433,7 +438,7 @@ SELECT *, format('{{}} column(s) failed due to: {{}}', columns, error) AS messag
   WHEN 'TIMESTAMP' THEN 'timestamp' ELSE 'string' END AS type FROM columns""",
     "manifest_unsupported": f"""{_SCAN}, {_PII_TABLES} SELECT concat_ws('.', {_K}) AS path, column_name, data_type AS type,
   semantic FROM with_pii WHERE {_UNSUPPORTED}""",
-    "manifest_roundtrip": f"""{_SCAN}, {_PII_TABLES} SELECT concat_ws('.', {_K}) AS path,
+    "manifest_roundtrip": f"""{_KEYED_SCAN}, {_PII_TABLES} SELECT concat_ws('.', {_K}) AS path,
   CAST(row_number() OVER (PARTITION BY {_K} ORDER BY position) - 1 AS INTEGER) AS position, column_name AS field_name,
   data_type AS type, CASE WHEN {_NUMERIC} THEN '' ELSE coalesce(semantic, '') END AS semantics
   FROM with_pii WHERE NOT {_UNSUPPORTED}""",

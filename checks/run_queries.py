@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.views import view, with_views
+from checks.views import SCHEMAS, view, with_views
 from kinweave.operators import runs
 from kinweave.sources.shared import scratch_path
 from kinweave.streaming import latest as stream
 
-EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
 
 def _latest(s: SparkSession, d: str) -> DataFrame:
     return runs.latest_runs(view(s, d, "runs"))
@@ -36,7 +34,7 @@ def _nested_tasks(s: SparkSession, d: str) -> DataFrame:
 
 def _stream(s: SparkSession, d: str) -> DataFrame:
     """The latest runs kept by a stream over the events file."""
-    events = s.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(d)
+    events = s.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
     observed = events.select(
         F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"),
         F.col("event_id").alias("obs_id"),

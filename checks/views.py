@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
-    "conversations"
-).split()
+# Schemas of the given tables, stated so that no job has to read file footers to find them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+TABLES = list(SCHEMAS)
 
 # Records of six sources with the entity each belongs to.
 UNIFIED = """
@@ -174,27 +193,26 @@ USES = {"answers": ["columns"], "tags": ["columns"], "tag_batch": ["columns"], "
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A given table."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A view over the given tables below ``folder``."""
-    return spark.sql(with_views([name], folder) + f"\nSELECT * FROM {name}")
+def _needed(names: list[str]) -> list[str]:
+    """The named views and those they read, in the order they have to be stated."""
+    found: list[str] = []
+    for name in names:
+        found += [part for part in [*USES.get(name, []), name] if part not in found]
+    return found
 
 
-def with_views(names: list[str], folder: str | None = None) -> str:
-    """A WITH clause holding the named views and those they read.
+def with_views(names: list[str]) -> str:
+    """A WITH clause holding the named views; the given tables must be registered under their own names."""
+    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _needed(names))
 
-    With ``folder`` the given tables are read from parquet files there; without, they are expected to be
-    registered under their own names.
-    """
-    needed: list[str] = []
-    for name in names:
-        for part in [*USES.get(name, []), name]:
-            if part not in needed:
-                needed.append(part)
-    given = []
-    if folder:
-        text = " ".join(VIEWS[n] for n in needed)
-        given = [f"{t} AS (SELECT * FROM parquet.`{folder}/{t}.parquet`)" for t in TABLES if f" {t}" in text]
-    return "WITH " + ",\n".join([*given, *[f"{n} AS ({VIEWS[n]})" for n in needed]])
+
+def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A view over the given tables below ``folder``."""
+    text = " ".join(VIEWS[n] for n in _needed([name]))
+    for given in TABLES:
+        if re.search(rf"\b{given}\b", text):
+            table(spark, folder, given).createOrReplaceTempView(given)
+    return spark.sql(f"{with_views([name])}\nSELECT * FROM {name}")

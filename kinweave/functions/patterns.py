@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinweave.functions.types import is_numeric
+from kinweave.functions.binding import bind
 
 # The semantics a column may carry.
 SEMANTICS = (
@@ -58,31 +59,54 @@ def snake_case(name: Column) -> Column:
     return F.lower(F.regexp_replace(name, "([a-z])([A-Z])", "$1_$2"))
 
 
-def name_semantic(name: Column, type_name: Column, rules: list[NameRule] = NAME_RULES) -> Column:
-    """Semantic of a column by its name, null for numeric types and for names no rule knows.
+def name_semantic(name: Column, rules: list[NameRule] = NAME_RULES) -> Column:
+    """Semantic of a column by its name, null for names no rule knows.
 
-    The rules become one conditional expression, so a catalogue of any size is classified in the scan.
+    The rules become one conditional expression, so a catalogue of any size is classified in the scan. A name no
+    rule fits is settled by the first, joint pattern.
     """
-    snake = snake_case(name)
-    found = F.coalesce(*[F.when(snake.rlike(r.pattern), F.lit(r.semantic)) for r in rules])
-    return F.when(~is_numeric(type_name), found)
+    joint = f"(^|_)({'|'.join(r.words for r in rules)})(_|$)"
 
+    def chain(snake: Column) -> Column:
+        found = F.coalesce(*[F.when(snake.rlike(r.pattern), F.lit(r.semantic)) for r in rules])
+        return F.when(snake.rlike(joint), found)
 
-# Value patterns in order: where two could start at the same place, the earlier one is taken.
+    return bind(snake_case(name), chain)
+
+
+@dataclass(frozen=True)
+class ValuePattern:
+    """What a value looks like, and a short pattern found in every such value that is quick to look for."""
+
+    pattern: str
+    hint: str
+
+
+# Where two could start at the same place, the earlier one is taken.
 VALUE_PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
-    "ipv4": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}",
-    "card": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}",
-    "phone": r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}",
-    "date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    "email": ValuePattern(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"),
+    "ipv4": ValuePattern(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"[0-9]\.[0-9]"),
+    "card": ValuePattern(r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "[0-9]{4}"),
+    "phone": ValuePattern(r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}", "-[0-9]{4}"),
+    "date": ValuePattern(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{4}-"),
 }
 
 
-def any_pattern(patterns: dict[str, str] = VALUE_PATTERNS) -> str:
+def any_pattern(patterns: Mapping[str, ValuePattern] = VALUE_PATTERNS) -> str:
     """One pattern that fits whatever any of the patterns fits."""
-    return "|".join(f"(?:{p})" for p in patterns.values())
+    return "|".join(f"(?:{p.pattern})" for p in patterns.values())
+
+
+def may_hold(text: Column, patterns: Mapping[str, ValuePattern] = VALUE_PATTERNS) -> Column:
+    """False for texts in which none of the patterns can be found."""
+    return text.rlike("|".join(f"(?:{p.hint})" for p in patterns.values()))
+
+
+def holds(text: Column, pattern: ValuePattern) -> Column:
+    """True if the pattern is found in the text."""
+    return text.rlike(pattern.hint) & text.rlike(pattern.pattern)
 
 
-def value_kind(value: Column, patterns: dict[str, str] = VALUE_PATTERNS) -> Column:
+def value_kind(value: Column, patterns: Mapping[str, ValuePattern] = VALUE_PATTERNS) -> Column:
     """Name of the first pattern that fits the whole value."""
-    return F.coalesce(*[F.when(value.rlike(f"^(?:{p})$"), F.lit(name)) for name, p in patterns.items()])
+    return F.coalesce(*[F.when(value.rlike(f"^(?:{p.pattern})$"), F.lit(name)) for name, p in patterns.items()])

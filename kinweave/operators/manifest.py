@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions.binding import bind
 from kinweave.functions.types import is_numeric, is_unsupported, normalise_type
 from kinweave.operators.pii import check_width
 from kinweave.sources.catalog import COLUMN_KEYS
@@ -193,7 +194,6 @@ def validate_manifest(df: DataFrame, rules: ManifestRules = CONFIG_RULES, body:
     All errors are listed, in the order keys, tables, fields, settings. Each document is checked where it lies,
     without a shuffle.
     """
-    doc = F.try_parse_json(F.col(body))
 
     def field_errors(field: Column, i: Column, j: Column) -> Column:
         where = F.concat(F.lit("Table "), i.cast("string"), F.lit(" field "), j.cast("string"))
@@ -221,23 +221,25 @@ def validate_manifest(df: DataFrame, rules: ManifestRules = CONFIG_RULES, body:
         inner = F.transform(_items(table, "$.fields"), lambda field, j: field_errors(field, i, j))
         return F.concat(F.array(*here), F.flatten(inner))
 
-    top = [_error(_kind(doc, f"$.{key}").isNull(), f"Missing '{key}'") for key in rules.top]
-    has_tables = _kind(doc, "$.tables").isNotNull()
-    listed = [_error(has_tables & ~_is_list(doc, "$.tables"), "'tables' must be a list")]
-    if rules.filled:
-        empty = _is_list(doc, "$.tables") & (F.size(_items(doc, "$.tables")) == 0)
-        listed.append(_error(empty, "No tables in manifest"))
-    tables = F.flatten(F.transform(_items(doc, "$.tables"), table_errors))
-    has_settings = _kind(doc, "$.settings").isNotNull()
-    settings = [
-        _error(has_settings & _absent(doc, f"$.settings.{key}", rules.filled), f"Missing '{key}' in settings")
-        for key in rules.settings
-    ]
-    unreadable = _error(doc.isNull(), "Not a JSON document")
-    found = F.when(doc.isNull(), F.array(unreadable)).otherwise(
-        F.concat(F.array(*top, *listed), tables, F.array(*settings) if settings else F.array().cast("array<string>"))
-    )
-    errors = F.array_compact(found)
+    def document_errors(doc: Column) -> Column:
+        top = [_error(_kind(doc, f"$.{key}").isNull(), f"Missing '{key}'") for key in rules.top]
+        has_tables = _kind(doc, "$.tables").isNotNull()
+        listed = [_error(has_tables & ~_is_list(doc, "$.tables"), "'tables' must be a list")]
+        if rules.filled:
+            empty = _is_list(doc, "$.tables") & (F.size(_items(doc, "$.tables")) == 0)
+            listed.append(_error(empty, "No tables in manifest"))
+        tables = F.flatten(F.transform(_items(doc, "$.tables"), table_errors))
+        has_settings = _kind(doc, "$.settings").isNotNull()
+        settings = [
+            _error(has_settings & _absent(doc, f"$.settings.{key}", rules.filled), f"Missing '{key}' in settings")
+            for key in rules.settings
+        ]
+        unreadable = _error(doc.isNull(), "Not a JSON document")
+        return F.when(doc.isNull(), F.array(unreadable)).otherwise(
+            F.concat(F.array(*top, *listed), tables, F.array(*settings) if settings else F.array().cast("array<string>"))
+        )
+
+    errors = F.array_compact(bind(F.try_parse_json(F.col(body)), document_errors))
     return df.withColumn("errors", errors).select(
         *df.columns,
         (F.size("errors") == 0).alias("valid"),

@@ -30,7 +30,8 @@ def skip_tables(df: DataFrame, prefix: str) -> DataFrame:
 
 def classify_columns(columns: DataFrame, rules: list[NameRule] = NAME_RULES) -> DataFrame:
     """The catalogue with ``semantic`` by name rules; null where no rule fits or the type is numeric."""
-    return columns.withColumn("semantic", name_semantic(F.col("column_name"), F.col("data_type"), rules))
+    semantic = F.when(~is_numeric(F.col("data_type")), name_semantic(F.col("column_name"), rules))
+    return columns.withColumn("semantic", semantic)
 
 
 def numeric_guard(scan: DataFrame) -> DataFrame:
@@ -89,10 +90,11 @@ def ingest_answers(columns: DataFrame, answers: DataFrame) -> DataFrame:
     entries = (
         checked.filter("error IS NULL")
         .select(*COLUMN_KEYS, F.posexplode("items").alias("at", "item"))
+        .withColumn("item", F.from_json("item", "name string, semantic string"))
         .select(
             *COLUMN_KEYS,
-            F.get_json_object("item", "$.name").alias("column_name"),
-            F.struct("at", F.nullif(F.get_json_object("item", "$.semantic"), F.lit("")).alias("semantic")).alias("entry"),
+            F.col("item.name").alias("column_name"),
+            F.struct("at", F.nullif("item.semantic", F.lit("")).alias("semantic")).alias("entry"),
         )
         .filter("column_name IS NOT NULL")
         .groupBy(*COLUMN_KEYS, "column_name")
