@@ -11,7 +11,7 @@ from kinweave.functions.types import NUMERIC_TYPES, UNSUPPORTED_TYPES, normalise
 from kinweave.operators import content, edits, inventory, manifest, pii, tags
 from kinweave.plans import tagging
 from kinweave.sources import catalog, manifests, readers
-from kinweave.sources.shared import scratch_path
+from kinweave.sources.shared import materialise, scratch_path
 
 SKIP = "_resolved"
 AT = "2024-06-01 00:00:00"
@@ -40,6 +40,11 @@ def _answered(s: SparkSession, d: str) -> DataFrame:
     return pii.ingest_answers(pii.skip_tables(_columns(s, d), SKIP), view(s, d, "answers"))
 
 
+def _kept_answers(s: SparkSession, d: str) -> DataFrame:
+    """The answered scan as a written table, for operators that read it more than once."""
+    return materialise(_answered(s, d), "scan").df
+
+
 def _summary(s: SparkSession, d: str) -> DataFrame:
     return pii.table_summary(_answered(s, d), pii.skip_tables(view(s, d, "listing"), SKIP))
 
@@ -186,14 +191,14 @@ QUERIES = {
         "position", normalise_type(F.col("data_type"), "strict").alias("type")
     ),
     "manifest_unsupported": lambda s, d: manifest.unsupported_fields(_scan(s, d)),
-    "manifest_from_scan": lambda s, d: _semantics_text(manifest.manifest_from_scan(_answered(s, d))),
+    "manifest_from_scan": lambda s, d: _semantics_text(manifest.manifest_from_scan(_kept_answers(s, d))),
     "manifest_from_tags": lambda s, d: _semantics_text(
         manifest.manifest_from_tags(_columns(s, d), view(s, d, "tags"), "lake", "s3")
     ),
     "manifest_multi_schema": lambda s, d: _semantics_text(
         manifest.manifest_multi_schema(_columns(s, d), view(s, d, "tags"))
     ),
-    "resolution_config": lambda s, d: _semantics_text(manifest.resolution_config(_answered(s, d))),
+    "resolution_config": lambda s, d: _semantics_text(manifest.resolution_config(_kept_answers(s, d))),
     "manifest_validate": lambda s, d: manifest.validate_manifest(view(s, d, "manifests"), RULES)
     .withColumn("errors", F.array_join("errors", "; "))
     .drop("body"),

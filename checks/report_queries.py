@@ -22,6 +22,10 @@ def _profile(spark: SparkSession, folder: str) -> DataFrame:
     return scores.profile(_unified(spark, folder))
 
 
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return scores.sizes(_unified(spark, folder))
+
+
 def _graded(spark: SparkSession, folder: str) -> DataFrame:
     return scores.profile_levels(_profile(spark, folder))
 
@@ -34,23 +38,23 @@ QUERIES = {
     "rpt_cluster_score": lambda s, d: scores.entity_scores(_profile(s, d)),
     "rpt_score_join": lambda s, d: scores.scored(_unified(s, d)),
     "rpt_levels": lambda s, d: scores.levels(_unified(s, d)),
-    "rpt_records_vs_entities": lambda s, d: report_global.records_vs_entities(_profile(s, d)),
-    "rpt_dedupe_rate": lambda s, d: report_global.dedupe_rate(_profile(s, d)),
+    "rpt_records_vs_entities": lambda s, d: report_global.records_vs_entities(_sizes(s, d)),
+    "rpt_dedupe_rate": lambda s, d: report_global.dedupe_rate(_sizes(s, d)),
     "rpt_improvement": lambda s, d: report_global.improvement(_graded(s, d)),
     "rpt_shift": lambda s, d: report_global.shift(_graded(s, d)),
     "rpt_shift_matrix": lambda s, d: report_global.shift_matrix(_graded(s, d), list(LEVELS)),
-    "rpt_by_source": lambda s, d: report_source.by_source(_profile(s, d)),
-    "rpt_dedupe_by_source": lambda s, d: report_source.dedupe_by_source(_profile(s, d)),
-    "rpt_consolidation": lambda s, d: report_source.consolidation(_profile(s, d)),
+    "rpt_by_source": lambda s, d: report_source.by_source(_sizes(s, d)),
+    "rpt_dedupe_by_source": lambda s, d: report_source.dedupe_by_source(_sizes(s, d)),
+    "rpt_consolidation": lambda s, d: report_source.consolidation(_sizes(s, d)),
     "rpt_improvement_by_source": lambda s, d: report_source.improvement_by_source(_graded(s, d)),
     "rpt_source_level_entities": lambda s, d: report_source.source_level_entities(_graded(s, d)),
-    "rpt_overall_consolidation": lambda s, d: report_overlap.overall_consolidation(_profile(s, d)),
-    "rpt_source_count": lambda s, d: report_overlap.source_count(_profile(s, d)),
-    "rpt_top_sources": lambda s, d: report_overlap.top_sources(_profile(s, d)),
-    "rpt_overlap_groups": lambda s, d: report_overlap.overlap_groups(_profile(s, d)),
-    "rpt_venn_regions": lambda s, d: report_overlap.venn_regions(_profile(s, d)),
-    "rpt_pairwise_overlap": lambda s, d: report_overlap.pairwise_overlap(_profile(s, d)),
-    "rpt_overlap_matrix": lambda s, d: report_overlap.overlap_matrix(_profile(s, d), PAIRED),
+    "rpt_overall_consolidation": lambda s, d: report_overlap.overall_consolidation(_sizes(s, d)),
+    "rpt_source_count": lambda s, d: report_overlap.source_count(_sizes(s, d)),
+    "rpt_top_sources": lambda s, d: report_overlap.top_sources(_sizes(s, d)),
+    "rpt_overlap_groups": lambda s, d: report_overlap.overlap_groups(_sizes(s, d)),
+    "rpt_venn_regions": lambda s, d: report_overlap.venn_regions(_sizes(s, d)),
+    "rpt_pairwise_overlap": lambda s, d: report_overlap.pairwise_overlap(_sizes(s, d)),
+    "rpt_overlap_matrix": lambda s, d: report_overlap.overlap_matrix(_sizes(s, d), PAIRED),
     "distinct_sources": lambda s, d: distinct_sources(view(s, d, "unified")),
 }
 

@@ -1,7 +1,7 @@
 """Report 1: what resolution did to the records as a whole.
 
-``prof`` is ``scores.profile``; ``graded`` is ``scores.profile_levels``. Every aggregate below is combined on the
-map side, and no window runs over records.
+``prof`` is ``scores.profile`` or ``scores.sizes``; ``graded`` is ``scores.profile_levels``. Every aggregate below is
+combined on the map side, and no window runs over records.
 """
 
 from __future__ import annotations
@@ -38,25 +38,25 @@ def dedupe_rate(prof: DataFrame) -> DataFrame:
 
 
 def _before_after(graded: DataFrame, keys: list[str]) -> DataFrame:
-    """Full join of record counts by row level with record counts by entity level, on ``keys`` and the level.
+    """``keys, level, before_cnt, after_cnt``: records by row level and by entity level side by side.
 
-    Both sides hold one line per key and level. The join key is plain equality, so a null level never meets
-    the null level of the other side.
+    The same lines as a full join of the two counts on keys and level, from one pass: every line of the profile gives
+    its records to two levels. A side without records is null, and as null equals nothing in a join, records without a
+    level stay in one line per side.
     """
-    before = graded.groupBy(*keys, F.col("row_known_unknown").alias("level")).agg(
-        F.sum("records").alias("before_cnt")
+    sides = F.array(
+        F.struct(F.lit(True).alias("is_before"), F.col("row_known_unknown").alias("level")),
+        F.struct(F.lit(False).alias("is_before"), F.col("entity_known_unknown").alias("level")),
     )
-    after = graded.groupBy(*keys, F.col("entity_known_unknown").alias("level")).agg(
-        F.sum("records").alias("after_cnt")
-    )
-    b, a = before.alias("b"), after.alias("a")
-    on = [F.col(f"b.{k}") == F.col(f"a.{k}") for k in [*keys, "level"]]
-    return b.join(a, on, "full").select(
-        *[F.coalesce(f"b.{k}", f"a.{k}").alias(k) for k in keys],
-        *[F.col(f"{side}.{k}").alias(f"{side}_{k}") for side in "ba" for k in keys],
-        F.coalesce("b.level", "a.level").alias("level"),
-        "before_cnt",
-        "after_cnt",
+    own_line = F.when(F.col("level").isNull(), F.col("is_before"))
+    return (
+        graded.select(*keys, "records", F.inline(sides))
+        .groupBy(*keys, "level", own_line.alias("_own"))
+        .agg(
+            F.sum(F.when(F.col("is_before"), F.col("records"))).alias("before_cnt"),
+            F.sum(F.when(~F.col("is_before"), F.col("records"))).alias("after_cnt"),
+        )
+        .drop("_own")
     )
 
 

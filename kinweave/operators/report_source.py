@@ -62,11 +62,12 @@ def consolidation(prof: DataFrame) -> DataFrame:
 def improvement_by_source(graded: DataFrame) -> DataFrame:
     """``report_global.improvement`` within each source; shares are of the side's total in that source.
 
-    The windows hold one line per level of a source.
+    The window holds one line per level of a source.
     """
     joined = _before_after(graded, ["source"])
-    before_total = F.sum("before_cnt").over(Window.partitionBy("b_source"))
-    after_total = F.sum("after_cnt").over(Window.partitionBy("a_source"))
+    of_source = Window.partitionBy("source")
+    before_total = F.sum("before_cnt").over(of_source)
+    after_total = F.sum("after_cnt").over(of_source)
     return (
         joined.select(
             "source",

@@ -122,30 +122,43 @@ def blocks(records: DataFrame, rules: Sequence[Sequence[str]] | None = None) ->
     return records.select("record_id", F.inline(_keys(rules or match_rules())))
 
 
+def _agreeing(rules: Sequence[Sequence[str]]) -> Column:
+    """Names of the rules on all of whose fields the records ``a`` and ``b`` agree."""
+
+    def name(fields: Sequence[str]) -> Column:
+        same = reduce(lambda x, y: x & y, [F.col(f"a.{f}") == F.col(f"b.{f}") for f in fields])
+        return F.when(same, F.lit("+".join(fields)))
+
+    return F.array_compact(F.array(*[name(fields) for fields in rules]))
+
+
 def pairs(
     records: DataFrame, rules: Sequence[Sequence[str]] | None = None, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """``id_a, id_b, a, b, rules``: each record with the smallest id of every group it belongs to.
+    """``id_a, id_b, a, b, rules``: records with the smallest id of a group they belong to, each pair once.
+
+    ``a`` and ``b`` are the fields of the two records, ``rules`` the names of all rules they agree on. The smallest
+    records of groups with more than one are written to the shared folder first.
 
-    ``a`` and ``b`` are the fields of the two records, ``rules`` the names of the rules the pair was found by. The
-    smallest records of groups with more than one are written to the shared folder first.
+    A pair found by a rule is kept if it agrees on no earlier rule. Otherwise both records are in one group of that
+    earlier rule and connected there, so the components are the same, and no shuffle is needed to find repeats.
     """
-    fields = F.struct(*FIELDS)
-    keyed = records.select("record_id", fields.alias("fields"), F.inline(_keys(rules or match_rules())))
+    rules = rules or match_rules()
+    keyed = records.select("record_id", F.struct(*FIELDS).alias("a"), F.inline(_keys(rules)))
     hubs = (
         keyed.groupBy("rule", "block_key")
-        .agg(F.min(F.struct("record_id", "fields")).alias("hub"), F.count("*").alias("size"))
+        .agg(F.min(F.struct("record_id", "a")).alias("hub"), F.count("*").alias("size"))
         .filter("size > 1")
+        .select("rule", "block_key", F.col("hub.record_id").alias("id_b"), F.col("hub.a").alias("b"), "size")
     )
     hubs = materialise(hubs, "hubs").df
     return (
         join_to_groups(keyed, hubs, ["rule", "block_key"], "size", hot_rows)
-        .filter("record_id <> hub.record_id")
-        .groupBy(F.col("record_id").alias("id_a"), F.col("hub.record_id").alias("id_b"))
-        .agg(
-            F.any_value("fields").alias("a"),
-            F.any_value("hub.fields").alias("b"),
-            F.array_join(F.sort_array(F.collect_set("rule")), ", ").alias("rules"),
+        .filter("record_id <> id_b")
+        .withColumn("agreeing", _agreeing(rules))
+        .filter(F.get("agreeing", F.lit(0)) == F.col("rule"))
+        .select(
+            F.col("record_id").alias("id_a"), "id_b", "a", "b", F.array_join("agreeing", ", ").alias("rules")
         )
     )
 

@@ -63,6 +63,11 @@ def profile(view: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFram
     )
 
 
+def sizes(view: DataFrame) -> DataFrame:
+    """``entity_id, source, records``: the profile without the columns. Enough for reports that only count."""
+    return view.groupBy("entity_id", "source").agg(F.count("*").alias("records"))
+
+
 def source_scores(prof: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """``entity_id, source, source_pii_score``: score of all records of an entity in a source taken together."""
     return (
