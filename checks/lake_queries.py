@@ -10,7 +10,7 @@ from kinweave.functions.patterns import NAME_RULES, UUID_PATTERN, VALUE_PATTERNS
 from kinweave.functions.types import NUMERIC_TYPES, UNSUPPORTED_TYPES, normalise_type
 from kinweave.operators import content, edits, inventory, manifest, pii, tags
 from kinweave.plans import tagging
-from kinweave.sources import catalog, manifests, readers
+from kinweave.sources import catalog, manifests, paging, readers
 from kinweave.sources.shared import materialise, scratch_path
 
 SKIP = "_resolved"
@@ -142,7 +142,8 @@ QUERIES = {
     "table_column_counts": lambda s, d: inventory.table_column_counts(_columns(s, d)),
     "table_row_counts": lambda s, d: inventory.table_row_counts({n: table(s, d, n) for n in TABLES}),
     "table_inventory": _inventory,
-    "result_page": lambda s, d: inventory.result_page(table(s, d, "lineitem"), _PAGE_KEY, 25000),
+    "result_page": lambda s, d: paging.store_pages(table(s, d, "lineitem"), _PAGE_KEY).page(25000),
+    "result_page_front": lambda s, d: inventory.result_page(table(s, d, "orders"), ["o_orderkey"], 100),
     "result_page_after": lambda s, d: inventory.page_after(table(s, d, "orders"), "o_orderkey", 7500),
     "fuzzy_name_match": lambda s, d: inventory.fuzzy_name_match(_names(s, d), TARGETS, None),
     "fuzzy_name_score": lambda s, d: inventory.fuzzy_name_match(_names(s, d), ["costumer 12", "gren widgit"]),
@@ -365,6 +366,7 @@ ORACLES = {
     f"CAST(row_count AS VARCHAR) AS row_count_text FROM ({_ROW_COUNTS}) r JOIN (SELECT table_name, count(*) AS n "
     "FROM duckdb_columns() WHERE NOT internal GROUP BY 1) c ON r.table_name = c.table_name",
     "result_page": f"SELECT * FROM lineitem ORDER BY {', '.join(_PAGE_KEY)} LIMIT 50 OFFSET 25000",
+    "result_page_front": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100",
     "result_page_after": "SELECT * FROM orders WHERE o_orderkey > 7500 ORDER BY o_orderkey LIMIT 50",
     "fuzzy_name_match": f"""WITH {_NAMES}, wanted AS (SELECT unnest({TARGETS!r}) AS target),
 ranked AS (SELECT target, name, CASE WHEN lower(trim(name)) = lower(trim(target)) THEN 'equal'

@@ -91,15 +91,16 @@ def _agrees(fields: tuple[str, ...]) -> str:
     return f"CASE WHEN {' AND '.join(f'a.{f} = b.{f}' for f in fields)} THEN '{'+'.join(fields)}' END"
 
 
+_AGREE = ", ".join(_agrees(rule) for rule in resolution.match_rules())
 _BASE = f"""WITH RECURSIVE {with_views(['unified']).removeprefix('WITH ')},
 records AS (SELECT pk AS record_id, datasource, {_FIELDS} FROM unified),
 blocks AS ({' UNION ALL '.join(_block(rule) for rule in resolution.match_rules())}),
 hubs AS (SELECT rule, block_key, min(record_id) AS hub FROM blocks GROUP BY ALL),
-found AS (SELECT blocks.record_id AS id_a, hub AS id_b, rule, list_filter([{', '.join(map(_agrees, resolution.match_rules()))}],
-    x -> x IS NOT NULL) AS agreeing
+found AS (SELECT blocks.record_id AS id_a, hub AS id_b, rule, coalesce({_AGREE}) AS first_rule,
+    concat_ws(', ', {_AGREE}) AS rules
   FROM blocks JOIN hubs USING (rule, block_key) JOIN records a ON a.record_id = blocks.record_id
   JOIN records b ON b.record_id = hub WHERE blocks.record_id <> hub),
-pairs AS (SELECT id_a, id_b, array_to_string(agreeing, ', ') AS rules FROM found WHERE rule = agreeing[1]),
+pairs AS (SELECT id_a, id_b, rules FROM found WHERE rule = first_rule),
 links AS (SELECT id_a AS x, id_b AS y FROM pairs UNION SELECT id_b, id_a FROM pairs),
 reach AS (SELECT DISTINCT x AS node, x AS seen FROM links
   UNION SELECT node, y FROM reach JOIN links ON seen = x),

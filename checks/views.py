@@ -133,7 +133,7 @@ SELECT 'lake' AS database_name, schema_name, table_name, column_name,
   CASE position % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' WHEN 2 THEN 'surname' ELSE 'address' END
     AS semantic_type,
   CAST('2024-01-01 00:00:00' AS TIMESTAMP) AS updated_at
-FROM columns WHERE position % 3 = 0
+FROM columns WHERE data_type IN ('string', 'varchar(20)')
 """
 
 # Tags to store: some lack a field.
@@ -141,19 +141,19 @@ TAG_BATCH = """
 SELECT 'lake' AS database_name, schema_name, table_name,
   CASE WHEN position % 45 = 0 THEN CAST(NULL AS STRING) ELSE column_name END AS column_name,
   CASE WHEN position % 35 = 0 THEN '' WHEN position % 10 = 0 THEN 'email' ELSE 'full-name' END AS semantic_type
-FROM columns WHERE position % 5 = 0 AND schema_name IN ('s1', 's3')
+FROM columns WHERE data_type = 'timestamp'
 """
 
 # Requests to change a scan result: exclude a table, exclude a column, change a semantic.
 EDITS = """
-SELECT CASE o_orderkey % 3 WHEN 0 THEN 'exclude_table' WHEN 1 THEN 'exclude_column' ELSE 'change_semantic' END
-    AS action,
-  CASE WHEN o_orderkey % 4 = 1 THEN CAST(NULL AS STRING) ELSE upper(table_name) END AS table_name,
-  CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS STRING) WHEN o_orderkey % 8 = 7 THEN concat(column_name, '_x')
+SELECT CASE WHEN o_totalprice > 480000 THEN 'exclude_table' WHEN o_orderpriority < '3' THEN 'exclude_column'
+    ELSE 'change_semantic' END AS action,
+  CASE WHEN o_orderkey % 4 = 1 THEN CAST(NULL AS STRING) WHEN o_orderkey % 50 = 8 THEN 'nowhere'
+    ELSE upper(table_name) END AS table_name,
+  CASE WHEN o_totalprice > 480000 THEN CAST(NULL AS STRING) WHEN o_orderkey % 8 = 7 THEN concat(column_name, '_x')
     ELSE upper(column_name) END AS column_name,
-  CASE WHEN o_orderkey % 3 = 2 THEN 'title' END AS new_semantic
+  CASE WHEN o_totalprice <= 480000 AND o_orderpriority >= '3' THEN 'title' END AS new_semantic
 FROM orders JOIN columns ON position = o_orderkey
-WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000
 """
 
 # Manifests as JSON text, one per customer, some of them broken in one or more places.

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.skew import HOT_ROWS, join_to_groups
+from kinweave.functions.skew import join_to_groups
 from kinweave.sources.shared import SharedTable, materialise
 
 # Edges are kept as (u, v) with u > v.
@@ -21,7 +21,7 @@ def _smallest(edges: DataFrame) -> SharedTable:
     return materialise(lows, "lows")
 
 
-def _large_star(edges: DataFrame, hot_rows: int) -> SharedTable:
+def _large_star(edges: DataFrame, hot_rows: int | None) -> SharedTable:
     """Every neighbour larger than a node is linked to the node's smallest neighbour (or the node, if smaller)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lows = _smallest(both)
@@ -32,7 +32,7 @@ def _large_star(edges: DataFrame, hot_rows: int) -> SharedTable:
     return out
 
 
-def _small_star(edges: DataFrame, hot_rows: int) -> SharedTable:
+def _small_star(edges: DataFrame, hot_rows: int | None) -> SharedTable:
     """A node and its smaller neighbours are all linked to the smallest of them."""
     lows = _smallest(edges)
     moved = join_to_groups(edges, lows.df, ["u"], "degree", hot_rows).filter("v <> low")
@@ -53,7 +53,7 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return nodes.filter((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).isEmpty()
 
 
-def connected_components(edges: DataFrame, hot_rows: int = HOT_ROWS, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, hot_rows: int | None = None, max_rounds: int = 100) -> DataFrame:
     """``node, component`` for every node of ``edges`` (columns ``id_a, id_b``); a component is named by its
     smallest node. Node ids may be of any type that can be ordered.
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions.skew import join_by_key
 from kinweave.sources.catalog import COLUMN_KEYS
 
 
@@ -30,20 +31,16 @@ def _mark_columns(scan: DataFrame, edits: DataFrame, value: Column) -> DataFrame
     keyed = _edit_keys(edits).filter("_column IS NOT NULL").withColumn("_value", value)
     exact = keyed.filter("_table IS NOT NULL").groupBy("_table", "_column").agg(F.max("_value").alias("_exact"))
     general = keyed.filter("_table IS NULL").groupBy("_column").agg(F.max("_value").alias("_general"))
-    return (
-        _keyed(scan)
-        .join(exact, ["_table", "_column"], "left")
-        .join(general, "_column", "left")
-        .withColumn("_edit", F.coalesce("_exact", "_general"))
-    )
+    marked = join_by_key(_keyed(scan), exact, ["_table", "_column"], "left")
+    marked = join_by_key(marked, general, ["_column"], "left")
+    return marked.withColumn("_edit", F.coalesce("_exact", "_general"))
 
 
 def exclude_tables(scan: DataFrame, edits: DataFrame) -> DataFrame:
     """``scan`` with ``excluded``; columns of excluded tables lose their semantic, so the table has no PII."""
     names = edits.select(F.lower("table_name").alias("_table")).filter("_table IS NOT NULL").distinct()
-    marked = scan.withColumn("_table", F.lower("table_name")).join(
-        names.withColumn("_hit", F.lit(True)), "_table", "left"
-    )
+    keyed = scan.withColumn("_table", F.lower("table_name"))
+    marked = join_by_key(keyed, names.withColumn("_hit", F.lit(True)), ["_table"], "left")
     return _apply_exclusion(scan, marked.withColumn("excluded", F.coalesce("_hit", F.lit(False))))
 
 
@@ -94,11 +91,7 @@ def unmatched_edits(scan: DataFrame, edits: DataFrame) -> DataFrame:
             F.format_string("Column '%s' not found in PII results", F.col("column_name")),
         )
     )
-    return (
-        asked.join(tables, "_table", "left")
-        .join(exact, ["_table", "_column"], "left")
-        .join(general, "_column", "left")
-        .withColumn("reason", reason)
-        .filter("reason IS NOT NULL")
-        .select(*edits.columns, "reason")
-    )
+    checked = join_by_key(asked, tables, ["_table"], "left")
+    checked = join_by_key(checked, exact, ["_table", "_column"], "left")
+    checked = join_by_key(checked, general, ["_column"], "left")
+    return checked.withColumn("reason", reason).filter("reason IS NOT NULL").select(*edits.columns, "reason")

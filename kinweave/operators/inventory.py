@@ -51,7 +51,10 @@ def sample_rows(df: DataFrame, key: Sequence[str], n: int = 10) -> DataFrame:
 
 
 def result_page(df: DataFrame, key: Sequence[str], start: int, n: int = 50) -> DataFrame:
-    """Rows ``start`` to ``start + n`` in the order of ``key``, which must be unique for pages to fit together."""
+    """Rows ``start`` to ``start + n`` in the order of ``key``, which must be unique for pages to fit together.
+
+    For pages near the front: ``start + n`` rows meet in one task. ``paging.store_pages`` serves any page.
+    """
     return df.orderBy(*key).offset(start).limit(n)
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.binding import bind
+from kinweave.functions.skew import join_by_key
 from kinweave.functions.types import is_numeric, is_unsupported, normalise_type
 from kinweave.operators.pii import check_width
 from kinweave.sources.catalog import COLUMN_KEYS
@@ -36,7 +37,7 @@ def tables_with_pii(scan: DataFrame) -> DataFrame:
     """Columns of the tables that were scanned without error and have at least one semantic."""
     clean = scan.filter(F.col("error").isNull()) if "error" in scan.columns else scan
     found = clean.filter(_has("semantic")).select(*COLUMN_KEYS).distinct()
-    return clean.join(found, COLUMN_KEYS, "left_semi")
+    return join_by_key(clean, found, COLUMN_KEYS, "left_semi")
 
 
 def resolution_config(scan: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def _tagged(columns: DataFrame, tags: DataFrame) -> DataFrame:
     named = tags.filter(_has("semantic_type")).select(
         F.col("database_name").alias("catalog_name"), "schema_name", "table_name", "column_name", "semantic_type"
     )
-    of_tables = columns.join(named.select(*COLUMN_KEYS).distinct(), COLUMN_KEYS, "left_semi")
+    of_tables = join_by_key(columns, named.select(*COLUMN_KEYS).distinct(), COLUMN_KEYS, "left_semi")
     return of_tables.join(named, [*COLUMN_KEYS, "column_name"], "left")
 
 

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.patterns import NAME_RULES, UUID_PATTERN, NameRule, name_semantic, snake_case
+from kinweave.functions.skew import join_to_groups
 from kinweave.functions.types import is_numeric
 from kinweave.sources.catalog import COLUMN_KEYS
+from kinweave.sources.shared import materialise
 
 
 def check_width(rows: DataFrame, keys: Sequence[str], limit: int = 20_000) -> None:
@@ -80,13 +82,11 @@ def ingest_answers(columns: DataFrame, answers: DataFrame) -> DataFrame:
         *COLUMN_KEYS, F.when(text.startswith("["), F.from_json(text, "array<string>")).alias("items")
     )
     expected = columns.groupBy(*COLUMN_KEYS).agg(F.count("*").alias("n"))
-    checked = expected.join(parsed, COLUMN_KEYS, "left").withColumn(
-        "error",
-        F.when(F.col("items").isNull(), F.lit("Failed to parse the answer")).when(
-            F.size("items") != F.col("n"),
-            F.format_string("Expected %d items, got %d", F.col("n"), F.size("items")),
-        ),
+    problem = F.when(F.col("items").isNull(), F.lit("Failed to parse the answer")).when(
+        F.size("items") != F.col("n"), F.format_string("Expected %d items, got %d", F.col("n"), F.size("items"))
     )
+    # Used twice below, and parsing is the costly part.
+    checked = materialise(expected.join(parsed, COLUMN_KEYS, "left").withColumn("error", problem), "answers").df
     entries = (
         checked.filter("error IS NULL")
         .select(*COLUMN_KEYS, F.posexplode("items").alias("at", "item"))
@@ -100,10 +100,9 @@ def ingest_answers(columns: DataFrame, answers: DataFrame) -> DataFrame:
         .groupBy(*COLUMN_KEYS, "column_name")
         .agg(F.max("entry").getField("semantic").alias("semantic"))
     )
-    return (
-        columns.join(checked.select(*COLUMN_KEYS, "error"), COLUMN_KEYS, "left")
-        .join(entries, [*COLUMN_KEYS, "column_name"], "left")
-        .select(*columns.columns, "semantic", "error")
+    with_error = join_to_groups(columns, checked.select(*COLUMN_KEYS, "error", "n"), COLUMN_KEYS, "n")
+    return with_error.join(entries, [*COLUMN_KEYS, "column_name"], "left").select(
+        *columns.columns, "semantic", "error"
     )
 
 

@@ -80,14 +80,15 @@ def top_sources(prof: DataFrame, k: int = 3) -> DataFrame:
 def source_sets(prof: DataFrame, sources: DataFrame | None = None, keep_null_entity: bool = False) -> DataFrame:
     """``sources, cnt``: distinct sorted sets of sources and the number of entities having exactly that set.
 
-    ``sources`` (column ``source``) limits the sources looked at. A set holds each source of one entity once, so
+    ``sources`` (column ``source``) are the few sources looked at, if not all. A set holds each source of one entity once, so
     its length is bounded by the number of sources.
     """
     pairs = prof.filter(F.col("source").isNotNull())
     if not keep_null_entity:
         pairs = pairs.filter(F.col("entity_id").isNotNull())
     if sources is not None:
-        pairs = pairs.join(sources.select("source"), "source", "left_semi")
+        chosen = sources.agg(F.collect_set("source")).scalar()
+        pairs = pairs.filter(F.array_contains(chosen, F.col("source")))
     return (
         pairs.groupBy("entity_id")
         .agg(F.sort_array(F.collect_set("source")).alias("sources"))

@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.skew import HOT_ROWS, join_to_groups
+from kinweave.functions.skew import join_to_groups
 from kinweave.sources.shared import materialise
 
 FIELDS = ["given_name", "surname", "email", "phone", "address", "birthdate"]
@@ -133,7 +133,7 @@ def _agreeing(rules: Sequence[Sequence[str]]) -> Column:
 
 
 def pairs(
-    records: DataFrame, rules: Sequence[Sequence[str]] | None = None, hot_rows: int = HOT_ROWS
+    records: DataFrame, rules: Sequence[Sequence[str]] | None = None, hot_rows: int | None = None
 ) -> DataFrame:
     """``id_a, id_b, a, b, rules``: records with the smallest id of a group they belong to, each pair once.
 

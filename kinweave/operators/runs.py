@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions.skew import join_by_key
+
 # States after which a job does not change any more, as the listing and the monitor see them.
 TERMINAL_STATES = ["succeeded", "success", "failed", "error", "unknown"]
 MONITOR_STOPS = [*TERMINAL_STATES, "unauthorized"]
@@ -35,21 +37,26 @@ def latest_runs(
 
 
 def instant(text: Column) -> Column:
-    """An ISO text as a UTC timestamp; a text without zone is UTC, an unreadable one null."""
-    return F.try_to_timestamp(text)
+    """An ISO text as a timestamp; a text without zone is UTC whatever the session's zone, an unreadable one null."""
+    text = F.trim(text)
+    zoned = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.concat(text, F.lit("T00:00:00Z"))).when(
+        text.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), text
+    )
+    return F.coalesce(zoned, F.concat(text, F.lit("Z"))).try_cast("timestamp")
 
 
 def recent_runs(latest: DataFrame) -> DataFrame:
     """``latest`` with ``started``: start time, else creation time; newest first, unreadable times last.
 
-    ``last_known`` falls back to the time the job was seen, as the search for the last job does.
+    ``started_text`` shows the time as given, in its own zone. ``last_known`` falls back to the time the job was seen, as the search for the last job does.
     """
     # A job with a start text is dated by it alone, even when it cannot be read.
     dated = F.coalesce(F.nullif("start_time", F.lit("")), F.nullif("created_at", F.lit("")))
+    shown = F.when(instant(dated).isNotNull(), dated.try_cast("timestamp_ntz"))
     return latest.withColumns(
         {
             "started": instant(dated),
-            "started_text": F.coalesce(F.date_format(instant(dated), "yyyy-MMM-dd HH:mm"), F.lit("-")),
+            "started_text": F.coalesce(F.date_format(shown, "yyyy-MMM-dd HH:mm"), F.lit("-")),
             "last_known": F.coalesce(instant(dated), F.col("seen_at").cast("timestamp")),
         }
     ).orderBy(F.desc_nulls_last("started"), "job_id")
@@ -93,7 +100,7 @@ def duration_text(seconds: Column) -> Column:
 
 def run_duration(df: DataFrame, start: str = "start_time", end: str = "end_at") -> DataFrame:
     """``df`` with ``seconds, minutes, rest_seconds, duration`` between start and end, null if either is missing."""
-    seconds = F.timestamp_diff("SECOND", F.col(start).try_cast("timestamp"), F.col(end).try_cast("timestamp"))
+    seconds = F.timestamp_diff("SECOND", instant(F.col(start).cast("string")), instant(F.col(end).cast("string")))
     return df.withColumns(
         {
             "seconds": seconds,
@@ -142,7 +149,7 @@ def lookup_runs(latest: DataFrame, wanted: DataFrame) -> DataFrame:
         .groupBy("run_id")
         .agg(F.max(F.struct("seen_at", "job_id")).getField("job_id").alias("found_job_id"))
     )
-    return wanted.join(by_job, "job_id", "left").join(by_run, "run_id", "left")
+    return join_by_key(join_by_key(wanted, by_job, ["job_id"], "left"), by_run, ["run_id"], "left")
 
 
 TASK_SCHEMA = (

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.scoring import LEVELS, WEIGHTS, bits_score, classify, completeness, presence_bits
-from kinweave.functions.skew import HOT_ROWS, join_to_groups
+from kinweave.functions.skew import join_to_groups
 from kinweave.sources.shared import materialise
 
 SCORES = ["record_pii_score", "source_pii_score", "entity_pii_score", "max_record_pii_score"]
@@ -28,13 +28,14 @@ def _mapping_table(spark: SparkSession, mapping: Mapping[str, str]) -> DataFrame
 def unified_view(df: DataFrame, mapping: Mapping[str, str] | None = None) -> DataFrame:
     """Records with ``source``: the friendly name of ``datasource`` if one is given, else itself.
 
-    Two sources mapped to one name merge. Columns: those of ``df`` without ``datasource``, plus ``source``.
+    Two sources mapped to one name merge. Columns: those of ``df`` without ``datasource``, plus ``source``. The
+    mapping was written by a person and is held by the driver, so it may be broadcast.
     """
     if not mapping:
         return df.withColumn("source", F.col("datasource")).drop("datasource")
     names = _mapping_table(df.sparkSession, mapping)
     return (
-        df.join(names, "datasource", "left")
+        df.join(F.broadcast(names), "datasource", "left")
         .withColumn("source", F.coalesce("friendly", "datasource"))
         .drop("friendly", "datasource")
     )
@@ -117,7 +118,7 @@ def profile_scores(prof: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> D
 
 
 def scored(
-    view: DataFrame, weights: Mapping[str, float] = WEIGHTS, hot_rows: int = HOT_ROWS
+    view: DataFrame, weights: Mapping[str, float] = WEIGHTS, hot_rows: int | None = None
 ) -> DataFrame:
     """Every record with its own score and those of its source group and entity.
 
@@ -156,7 +157,7 @@ def levels(
     view: DataFrame,
     weights: Mapping[str, float] = WEIGHTS,
     bounds: Mapping[str, float] = LEVELS,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Row-level result: entity, source, the four scores and their levels."""
     return with_levels(scored(view, weights, hot_rows), bounds).select(

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions.skew import join_by_key
+
 TABLE_KEYS = ["database_name", "schema_name", "table_name"]
 TAG_KEYS = [*TABLE_KEYS, "column_name"]
 TAG_SCHEMA = (
@@ -63,7 +65,7 @@ def upsert_tags(existing: DataFrame, batch: DataFrame, at: Column) -> DataFrame:
     """The tag table after storing ``batch``: tables named in the batch lose their old tags and get the new ones,
     stamped ``at``; all other tags stay. An empty batch changes nothing. See ``tag_errors`` for what is left out."""
     retagged = batch.filter(_given("table_name")).select(*TABLE_KEYS).distinct()
-    kept = existing.join(retagged, TABLE_KEYS, "left_anti")
+    kept = join_by_key(existing, retagged, TABLE_KEYS, "left_anti")
     fresh = _storable(batch).withColumn("updated_at", at)
     return kept.unionByName(fresh.select(*existing.columns))
 
@@ -73,7 +75,7 @@ def verify_upsert(tags: DataFrame, batch: DataFrame) -> DataFrame:
     retagged = batch.filter(_given("table_name")).select(*TABLE_KEYS).distinct()
     expected = _storable(batch).agg(F.count("*").alias("n")).select(F.lit("expected").alias("side"), "n")
     actual = (
-        tags.join(retagged, TABLE_KEYS, "left_semi")
+        join_by_key(tags, retagged, TABLE_KEYS, "left_semi")
         .agg(F.count("*").alias("n"))
         .select(F.lit("actual").alias("side"), "n")
     )

@@ -6,7 +6,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
-from kinweave.functions.skew import HOT_ROWS
 from kinweave.operators import resolution
 from kinweave.operators.components import connected_components
 from kinweave.sources.shared import SharedTable, materialise
@@ -18,7 +17,7 @@ def resolve(
     keys: Mapping[str, str],
     weights: Mapping[str, float] = resolution.MATCH_WEIGHTS,
     threshold: float = resolution.MATCH_THRESHOLD,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame, list[SharedTable]]:
     """``unified_coalesced``, ``unified_scores`` and the shared tables they read (drop them once both are stored)."""
     records = materialise(resolution.standardise(tables, semantics, keys), "records")

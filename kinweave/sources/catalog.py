@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.functions.skew import join_by_key
+
 COLUMN_KEYS = ["catalog_name", "schema_name", "table_name"]
 COLUMN_SCHEMA = (
     "catalog_name string, schema_name string, table_name string, column_name string, data_type string, "
@@ -39,11 +41,14 @@ def list_catalogs(spark: SparkSession, pattern: str | None = None) -> DataFrame:
 def column_catalog(spark: SparkSession, tables: Iterable[str]) -> DataFrame:
     """One line per column of the named tables (one to three name parts), in table order.
 
-    Only table metadata is read. The lines come from the driver, as table schemas do anywhere in Spark.
+    Missing parts are the current catalogue and database. Only table metadata is read. The lines come from the driver,
+    as table schemas do anywhere in Spark.
     """
+    current = [spark.catalog.currentCatalog(), spark.catalog.currentDatabase()]
     rows = []
     for name in tables:
-        parts = [None, None, *name.split(".")][-3:]
+        given = name.split(".")
+        parts = [*current[: 3 - len(given)], *given]
         for position, field in enumerate(spark.table(name).schema.fields):
             rows.append((*parts, field.name, field.dataType.simpleString(), field.nullable, position))
     return spark.createDataFrame(rows, COLUMN_SCHEMA)
@@ -58,9 +63,8 @@ def read_columns(
     """
     found = columns.filter((F.col("catalog_name") == catalog) & F.col("schema_name").isin(list(schemas)))
     if tagged is not None:
-        found = found.join(
-            tagged.select("schema_name", "table_name").distinct(), ["schema_name", "table_name"], "left_semi"
-        )
+        of_tables = tagged.select("schema_name", "table_name").distinct()
+        found = join_by_key(found, of_tables, ["schema_name", "table_name"], "left_semi")
     return found.orderBy("schema_name", "table_name", "position")
 
 

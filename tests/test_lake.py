@@ -7,7 +7,7 @@ from kinweave.functions.patterns import NAME_RULES, SEMANTICS
 from kinweave.functions.types import is_numeric, is_unsupported, normalise_type
 from kinweave.operators import content, edits, inventory, manifest, pii, tags
 from kinweave.plans import tagging
-from kinweave.sources import catalog, manifests, readers
+from kinweave.sources import catalog, manifests, paging, readers
 
 COLUMNS = "catalog_name string, schema_name string, table_name string, column_name string, data_type string, position bigint"
 KEYS = "catalog_name string, schema_name string, table_name string"
@@ -384,11 +384,15 @@ def test_catalogue_scans(spark, rows):
     assert rows(listed, "schema_name", "table_name") == [("shop", "people")]
     assert ("spark_catalog", "shop") in rows(catalog.list_schemas(spark, "shop"))
     assert ("spark_catalog",) in rows(catalog.list_catalogs(spark))
-    columns = catalog.column_catalog(spark, ["spark_catalog.shop.people", "shop.people"])
-    assert rows(columns.filter("catalog_name IS NOT NULL"), "table_name", "column_name", "data_type", "position") == [
-        ("people", "email", "string", 1),
-        ("people", "id", "bigint", 0),
+    cells = ["catalog_name", "schema_name", "table_name", "column_name", "data_type", "position"]
+    wanted = [
+        ("spark_catalog", "shop", "people", "email", "string", 1),
+        ("spark_catalog", "shop", "people", "id", "bigint", 0),
     ]
+    for name in ["spark_catalog.shop.people", "shop.people"]:
+        assert rows(catalog.column_catalog(spark, [name]), *cells) == wanted
+    spark.range(1).createOrReplaceTempView("people_view")
+    assert rows(catalog.column_catalog(spark, ["people_view"]), *cells[:3]) == [("spark_catalog", "default", "people_view")]
     checked = inventory.check_locations(spark, [("spark_catalog", "shop"), ("spark_catalog", "gone"), ("", "x")])
     assert [r.accessible for r in checked.collect()] == [True, False, False]
 
@@ -403,6 +407,24 @@ def test_pages_fit_together(spark):
     assert by_offset == by_key == list(range(130))
 
 
+def test_stored_pages(spark):
+    df = spark.range(1000).selectExpr("(id * 37) % 1000 AS k", "id AS `odd name`", "array(id) AS a").repartition(7)
+    assert paging.store_pages(df, ["k"]).total_rows == 1000
+    stored = paging.store_pages(df, ["k"], chunks=6)
+    assert stored.total_rows == 1000 and len(stored.chunks) > 1
+    edge = stored.chunks[1].start
+    for start, n in [(0, 50), (edge - 3, 6), (edge, 1), (120, 700), (990, 50), (1000, 50)]:
+        assert [r.k for r in stored.page(start, n).collect()] == list(range(start, min(start + n, 1000)))
+    seen = [(len(part), more) for part, more in stored.pages(300)]
+    assert seen == [(300, True), (300, True), (300, True), (100, False)]
+    assert stored.page(0).columns == df.columns
+
+
+def test_stored_pages_of_nothing(spark):
+    stored = paging.store_pages(spark.range(0), ["id"])
+    assert stored.total_rows == 0 and stored.page(0).count() == 0 and list(stored.pages()) == []
+
+
 def test_sources_fall_back(spark, rows):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "datasource string")
     assert rows(catalog.distinct_sources(df)) == [("a",), ("b",)]

@@ -40,7 +40,7 @@ def test_recent_order(spark):
     )
     got = [(r.job_id, r.started_text) for r in runs.recent_runs(df).collect()]
     assert got == [
-        ("new", "2025-Oct-29 11:00"),
+        ("new", "2025-Oct-29 13:00"),
         ("made", "2025-Oct-29 10:30"),
         ("old", "2025-Oct-29 10:01"),
         ("bad", "-"),
@@ -50,6 +50,28 @@ def test_recent_order(spark):
     assert runs.last_job(df.filter("job_id IN ('bad', 'none')")).first().job_id == "none"
 
 
+@pytest.mark.parametrize(
+    "text, instant",
+    [
+        ("2025-10-29T10:01:00Z", "2025-10-29 10:01:00"),
+        ("2025-10-29T10:01:00.5+02:00", "2025-10-29 08:01:00.5"),
+        ("2025-10-29 10:01:00", "2025-10-29 10:01:00"),
+        ("2025-10-29", "2025-10-29 00:00:00"),
+        ("soon", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_instants_do_not_depend_on_the_session_zone(spark, text, instant):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        df = spark.createDataFrame([(text,)], "t string").select(runs.instant(F.col("t")).alias("t"))
+        shown = df.select(F.date_format(F.to_utc_timestamp("t", "Asia/Tokyo"), "yyyy-MM-dd HH:mm:ss.S")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert (shown and shown.removesuffix(".0")) == instant
+
+
 @pytest.mark.parametrize(
     "state, status, text, terminal, stops",
     [
