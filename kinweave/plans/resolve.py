@@ -2,15 +2,50 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kinweave.operators import resolution
 from kinweave.operators.components import connected_components
+from kinweave.sources.manifests import manifest_fields
 from kinweave.sources.shared import SharedTable, materialise
 
 
+def manifest_semantics(manifest: DataFrame) -> dict[str, dict[str, str]]:
+    """The tagged columns of each table of a manifest (``path, fields``), as ``resolve`` wants them.
+
+    A job names its tables one by one, so this is no more than the driver has to know to open them.
+    """
+    found: dict[str, dict[str, str]] = {}
+    fields = manifest_fields(manifest).select("path", "field_name", F.get("semantics", F.lit(0)).alias("tag"))
+    for row in fields.filter("tag IS NOT NULL").collect():
+        found.setdefault(row["path"], {})[row["field_name"]] = row["tag"]
+    return found
+
+
+def resolve_manifest(
+    spark: SparkSession,
+    manifest: DataFrame,
+    keys: Mapping[str, str] | None = None,
+    read: Callable[[str], DataFrame] | None = None,
+    hot_rows: int | None = None,
+) -> tuple[DataFrame, DataFrame, list[SharedTable]]:
+    """``resolve`` for the tables of a manifest, opened by ``read`` (default: by table name).
+
+    The key of a table is its column tagged ``pk``; ``keys`` names it where none is (numeric keys carry no tag).
+    """
+    semantics = manifest_semantics(manifest)
+    tagged = {path: c for path, columns in semantics.items() for c, tag in columns.items() if tag == "pk"}
+    chosen = {**tagged, **(keys or {})}
+    lacking = sorted(set(semantics) - set(chosen))
+    if lacking:
+        raise ValueError(f"no key column known for {', '.join(lacking)}")
+    opener = read or spark.table
+    return resolve({path: opener(path) for path in semantics}, semantics, chosen, hot_rows=hot_rows)
+
+
 def resolve(
     tables: Mapping[str, DataFrame],
     semantics: Mapping[str, Mapping[str, str]],

@@ -30,8 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/kinweave/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/kinweave/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has put below the shared folder. Call it when all results are stored: some
+    operators leave a small table there that their result still reads."""
+    _delete(spark, _own_folder(spark))
 
 
 @dataclass(frozen=True)
@@ -43,10 +58,7 @@ class SharedTable:
 
     def drop(self) -> None:
         """Delete the files; call it once nothing reads the table any more."""
-        spark = self.df.sparkSession
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.df.sparkSession, self.path)
 
 
 def materialise(df: DataFrame, name: str) -> SharedTable:

@@ -3,7 +3,9 @@ import random
 import pytest
 
 from kinweave.operators import components, resolution
-from kinweave.plans.resolve import resolve
+from kinweave.plans import tagging
+from kinweave.plans.resolve import resolve, resolve_manifest
+from kinweave.sources import catalog, manifests
 from kinweave.sources.outputs import write_resolution
 
 SCHEMA = "record_id string, datasource string, " + ", ".join(f"{f} string" for f in resolution.FIELDS)
@@ -145,6 +147,25 @@ def test_plan_and_stored_outputs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "unified_scores")).count() == 1
 
 
+def test_from_manifest(spark, tmp_path):
+    """Catalogue, rules, manifest file, resolution: the whole way."""
+    spark.sql("CREATE DATABASE IF NOT EXISTS src")
+    spark.createDataFrame([("k1", "A@x.org", "1"), ("k2", None, "2")], "customer_uuid string, email string, phone string").write.mode(
+        "overwrite"
+    ).saveAsTable("src.web")
+    spark.createDataFrame([(1, "a@x.org"), (2, "b@x.org")], "nr int, email string").write.mode("overwrite").saveAsTable("src.crm")
+    columns = catalog.column_catalog(spark, ["src.web", "src.crm"])
+    scan = tagging.scan_columns(columns, "_resolved")
+    tagging.store_manifest(scan, {"output_schema_name": "out"}, str(tmp_path / "m"))
+    manifest = manifests.read_manifest(spark, str(tmp_path / "m"))
+    with pytest.raises(ValueError, match="spark_catalog.src.crm"):
+        resolve_manifest(spark, manifest)
+    records, edges, shared = resolve_manifest(spark, manifest, {"spark_catalog.src.crm": "nr"})
+    entities = {r.record_id.split(".")[-1]: r.entity_id.split(".")[-1] for r in records.collect()}
+    assert entities == {"web:k1": "crm:1", "crm:1": "crm:1", "web:k2": "web:k2", "crm:2": "crm:2"}
+    assert edges.count() == 1 and len(shared) == 2
+
+
 def test_outputs_as_tables(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS resolved_here")
     df = spark.range(3)
