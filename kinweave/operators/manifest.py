@@ -6,8 +6,10 @@ them into one line per table for the JSON sink.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,6 +126,95 @@ def nest_fields(fields: DataFrame) -> DataFrame:
     return fields.groupBy("path").agg(shaped.alias("fields"))
 
 
+def documents(nested: DataFrame, settings: Mapping[str, Any], name: str | None = None) -> DataFrame:
+    """``path, body``: a complete manifest in JSON for each table of ``nest_fields``, with the settings of the run.
+
+    One document per table keeps a manifest of any number of tables out of a single row.
+    """
+    whole = F.struct(
+        *([F.lit(name).alias("name")] if name else []),
+        F.array(F.struct("path", "fields")).alias("tables"),
+    )
+    head = F.regexp_replace(F.to_json(whole), r"\}$", "")
+    return nested.select(
+        "path", F.concat(head, F.lit(',"settings":'), F.lit(json.dumps(dict(settings))), F.lit("}")).alias("body")
+    )
+
+
+def _present(**values: Any) -> dict[str, Any]:
+    return {k: v for k, v in values.items() if v}
+
+
+def config_settings(
+    output_catalog: str,
+    output_schema: str = "resolution_outputs",
+    data_provider: str = "databricks",
+    compute_provider: str = "databricks",
+) -> dict[str, Any]:
+    """Settings of a run on catalogue tables."""
+    return {
+        "output_catalog_name": output_catalog,
+        "output_schema_name": output_schema,
+        "data_provider": data_provider,
+        "compute_provider": compute_provider,
+    }
+
+
+def redshift_settings(
+    database: str,
+    schema: str,
+    temp_dir: str,
+    iam_role: str,
+    host: str | None = None,
+    port: int = 5439,
+    user: str | None = None,
+    output_schema: str = "resolution_outputs",
+    data_provider: str = "redshift",
+    compute_provider: str = "databricks",
+    **connection: str,
+) -> dict[str, Any]:
+    """Settings of a run on Redshift tables. ``connection`` holds what else names the cluster (identifier, workgroup,
+    region). Host, port and user are left out for serverless access by role."""
+    server = _present(host=host, port=port, user=user) if host else {}
+    return {
+        "redshift_config": {"database": database, "schema": schema, **server, **connection},
+        "s3_temp_dir": temp_dir,
+        "redshift_iam_role": iam_role,
+        "output_database_name": database,
+        "output_schema_name": output_schema,
+        "data_provider": data_provider,
+        "compute_provider": compute_provider,
+    }
+
+
+def snowflake_settings(
+    account: str,
+    user: str,
+    database: str,
+    schema: str,
+    warehouse: str,
+    role: str | None = None,
+    output_database: str | None = None,
+    output_schema: str = "resolution_outputs",
+    compute_provider: str = "databricks",
+) -> dict[str, Any]:
+    """Settings of a run on Snowflake tables; results go to the same database unless another is named."""
+    return {
+        "data_provider": "snowflake",
+        "compute_provider": compute_provider,
+        "snowflake_config": {
+            "account": account,
+            "user": user,
+            "database": database,
+            "schema": schema,
+            "warehouse": warehouse,
+            **_present(role=role),
+        },
+        "output_database_name": output_database or database,
+        "output_schema_name": output_schema,
+    }
+
+
 @dataclass(frozen=True)
 class ManifestRules:
     """What a manifest must have: keys of the document, keys of its settings (dotted for inner ones, the parent

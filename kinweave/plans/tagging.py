@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from kinweave.operators import manifest, pii, tags
 from kinweave.sources.manifests import write_manifest
@@ -48,7 +50,18 @@ def store_tags(existing: DataFrame, scan: Scan, at: Column, path: str) -> tuple[
     return stored, tags.verify_upsert(stored, batch)
 
 
-def store_manifest(scan: Scan, settings: Mapping[str, str], path: str) -> DataFrame:
-    """Write the resolution manifest of a scan and return the fields that had to stay out."""
-    write_manifest(manifest.nest_fields(manifest.resolution_config(scan.columns)), settings, path)
+def store_manifest(
+    scan: Scan, settings: Mapping[str, Any], path: str, rules: manifest.ManifestRules | None = None
+) -> DataFrame:
+    """Write the resolution manifest of a scan and return the fields that had to stay out.
+
+    With ``rules`` the manifest is checked first, and nothing is written if it breaks one.
+    """
+    nested = manifest.nest_fields(manifest.resolution_config(scan.columns))
+    if rules is not None:
+        checked = manifest.validate_manifest(manifest.documents(nested, settings, "run"), rules)
+        broken = checked.filter(~F.col("valid")).select("path", "first_error").first()
+        if broken is not None:
+            raise ValueError(f"manifest of {broken['path']} is not valid: {broken['first_error']}")
+    write_manifest(nested, settings, path)
     return manifest.unsupported_fields(scan.columns)

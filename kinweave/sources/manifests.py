@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +14,19 @@ TABLES_SCHEMA = "path string, fields array<struct<`field-name`: string, type: st
 SECRET_WORDS = ("password", "private_key", "token", "secret")
 
 
-def write_manifest(tables: DataFrame, settings: Mapping[str, str], path: str) -> None:
+def write_manifest(tables: DataFrame, settings: Mapping[str, Any], path: str) -> None:
     """Write ``manifest.nest_fields`` output and the settings below ``path``.
 
     ``path/tables`` has one JSON document per table, so a lake of any size is written by all tasks;
-    ``path/settings`` has one line per setting. Settings that look like secrets are refused.
+    ``path/settings`` has one line per setting, nested ones as JSON text. Settings that look like secrets are refused.
     """
-    secrets = [k for k in settings if any(k.lower().endswith(word) for word in SECRET_WORDS)]
+    names = [*settings, *[inner for value in settings.values() if isinstance(value, Mapping) for inner in value]]
+    secrets = [name for name in names if name.lower().endswith(SECRET_WORDS)]
     if secrets:
         raise ValueError(f"manifests must not hold secrets: {', '.join(secrets)}")
     spark = tables.sparkSession
     tables.select("path", "fields").write.mode("overwrite").json(f"{path}/tables")
-    rows = [(k, None if v is None else str(v)) for k, v in settings.items()]
+    rows = [(k, v if v is None or isinstance(v, str) else json.dumps(v)) for k, v in settings.items()]
     spark.createDataFrame(rows, "name string, value string").write.mode("overwrite").json(f"{path}/settings")
 
 

@@ -317,7 +317,7 @@ def test_manifest_files(spark, scan, tmp_path, rows):
     assert rows(back, *cells) == rows(fields, *cells)
     assert rows(manifests.read_settings(spark, path)) == [("data_provider", "redshift")]
     with pytest.raises(ValueError, match="secrets"):
-        manifests.write_manifest(manifest.nest_fields(fields), {"snowflake_password": "x"}, path)
+        manifests.write_manifest(manifest.nest_fields(fields), {"redshift_config": {"password": "x"}}, path)
 
 
 GOOD = '{"name": "n", "tables": [{"path": "t", "fields": [{"field-name": "a", "type": "string", "semantics": []}]}], "settings": {"output_catalog_name": "c", "output_schema_name": "s"}}'
@@ -355,6 +355,33 @@ def test_validate_other_rule_sets(spark):
     ]
 
 
+@pytest.mark.parametrize(
+    "settings, rules",
+    [
+        (manifest.config_settings("lake"), manifest.CONFIG_RULES),
+        (manifest.redshift_settings("dev", "public", "s3://bucket/tmp/", "role", region="eu-1"), manifest.REDSHIFT_RULES),
+        (manifest.snowflake_settings("acc", "me", "mydb", "myschema", "wh"), manifest.SNOWFLAKE_RULES),
+    ],
+    ids=["config", "redshift", "snowflake"],
+)
+def test_generated_manifests_are_valid(spark, scan, tmp_path, settings, rules):
+    nested = manifest.nest_fields(manifest.resolution_config(scan))
+    checked = manifest.validate_manifest(manifest.documents(nested, settings, "run"), rules).collect()
+    assert len(checked) == 2 and all(r.valid for r in checked)
+    kept = tagging.Scan(tagging.materialise(scan, "scan"), scan, scan)
+    tagging.store_manifest(kept, settings, str(tmp_path / "m"), rules)
+    assert manifests.read_manifest(spark, str(tmp_path / "m")).count() == 2
+    with pytest.raises(ValueError, match="Missing"):
+        tagging.store_manifest(kept, {}, str(tmp_path / "n"), rules)
+
+
+def test_settings():
+    red = manifest.redshift_settings("dev", "public", "t", "r", host="h", user="u")
+    assert red["redshift_config"] == {"database": "dev", "schema": "public", "host": "h", "port": 5439, "user": "u"}
+    snow = manifest.snowflake_settings("a", "u", "d", "s", "w", role="x", output_database="o")
+    assert snow["output_database_name"] == "o" and snow["snowflake_config"]["role"] == "x"
+
+
 def test_plan_from_catalogue_to_manifest(spark, tmp_path):
     scanned = tagging.scan_columns(lake(spark), "_resolved")
     assert scanned.schemas.first().tables_with_pii == 3
