@@ -59,7 +59,8 @@ QUERIES = {
         "obs_id", "seconds", "minutes", "rest_seconds", "duration"
     ),
     "runs_duration_ms": lambda s, d: runs.milliseconds_text(view(s, d, "runs").select("obs_id"), ["obs_id"]),
-    "runs_totals": lambda s, d: runs.run_totals(_latest(s, d)),
+    # A sum of doubles depends on the order of the rows in its last digits.
+    "runs_totals": lambda s, d: runs.run_totals(_latest(s, d)).withColumn("total_credits", F.round("total_credits", 6)),
     "runs_cells": lambda s, d: runs.run_cells(_latest(s, d)).select("job_id", "records_text", "credits_text"),
     "runs_lookup": lambda s, d: runs.lookup_runs(_latest(s, d), _wanted(s, d)),
     "runs_tasks": lambda s, d: runs.run_tasks(_nested_tasks(s, d)),
@@ -98,7 +99,7 @@ SELECT obs_id, seconds, seconds // 60 AS minutes, seconds % 60 AS rest_seconds,
     f"SELECT obs_id, {_duration('seconds')} AS obs_id_text FROM s",
     "runs_totals": f"""{_LATEST} SELECT count(*) AS jobs, count(record_count) AS jobs_with_records,
   CAST(coalesce(sum(record_count), 0) AS BIGINT) AS total_records, count(credits) AS jobs_with_credits,
-  coalesce(sum(credits), 0) AS total_credits FROM latest""",
+  round(coalesce(sum(credits), 0), 6) AS total_credits FROM latest""",
     "runs_cells": f"""{_LATEST} SELECT job_id, coalesce(format('{{:,}}', record_count), '-') AS records_text,
   coalesce(CAST(credits AS VARCHAR), '-') AS credits_text FROM latest""",
     "runs_lookup": f"""{_LATEST}, wanted AS (SELECT CASE WHEN obs_id % 2 = 0 THEN job_id END AS job_id,

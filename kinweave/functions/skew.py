@@ -20,7 +20,8 @@ HOT_SHARE = 10_000
 HOT_ROWS = 100_000
 
 
-def _bound(total: int, hot_rows: int | None) -> int:
+def hot_bound(total: int, hot_rows: int | None = None) -> int:
+    """Most rows a key may have, of ``total``, without being hot."""
     return max(HOT_ROWS if hot_rows is None else hot_rows, total // HOT_SHARE)
 
 
@@ -35,7 +36,7 @@ def join_to_groups(
     """
     keys = list(keys)
     total, largest = groups.agg(F.sum(size), F.max(size)).first()
-    bound = _bound(total or 0, hot_rows)
+    bound = hot_bound(total or 0, hot_rows)
     if (largest or 0) <= bound:
         return rows.join(groups.drop(size), keys, "inner")
     hot = groups.filter(F.col(size) > bound).drop(size)
@@ -56,7 +57,7 @@ def join_by_key(
     """
     keys = list(keys)
     total = rows.count()
-    bound = _bound(total, hot_rows)
+    bound = hot_bound(total, hot_rows)
     if total <= bound:
         return rows.join(right, keys, how)
     counts = rows.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.count("*").alias("_n"))

@@ -6,53 +6,79 @@ a step are written to the shared folder, so lineage does not grow and a lost exe
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.skew import join_to_groups
+from kinweave.functions.skew import hot_bound, join_to_groups
 from kinweave.sources.shared import SharedTable, materialise
 
 # Edges are kept as (u, v) with u > v.
 
 
-def _smallest(edges: DataFrame) -> SharedTable:
-    """``u, low, degree``: smallest neighbour of each node, and how many lines it has."""
-    lows = edges.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("degree"))
-    return materialise(lows, "lows")
+class Shape(NamedTuple):
+    """What one look at the edges tells: how many there are, the most edges at one node, the most edges downwards, and
+    whether every node has either one edge down and none up, or none down."""
+
+    edges: int
+    degree: int
+    down: int
+    stars: bool
 
 
-def _large_star(edges: DataFrame, hot_rows: int | None) -> SharedTable:
+def _shape(edges: DataFrame) -> Shape:
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    tangled = (F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))
+    total, degree, down, bad = nodes.agg(
+        F.sum("down"), F.max(F.col("down") + F.col("up")), F.max("down"), F.count_if(tangled)
+    ).first()
+    return Shape(total or 0, degree or 0, down or 0, not bad)
+
+
+def _with_lowest(lines: DataFrame, neighbours: DataFrame, hot: bool, hot_rows: int | None) -> tuple:
+    """``lines`` with ``low``, the smallest neighbour of ``u``, the smallest neighbours themselves, and the table they
+    were written to. They are written only if a node is hot, as the join of hot nodes reads them more than once."""
+    lows = neighbours.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("size"))
+    if not hot:
+        lows = lows.drop("size")
+        return lines.join(lows, "u"), lows, None
+    table = materialise(lows, "lows")
+    return join_to_groups(lines, table.df, ["u"], "size", hot_rows), table.df, table
+
+
+def _large_star(edges: DataFrame, shape: Shape, hot_rows: int | None) -> SharedTable:
     """Every neighbour larger than a node is linked to the node's smallest neighbour (or the node, if smaller)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lows = _smallest(both)
-    nearest = lows.df.withColumn("low", F.least("u", "low"))
-    moved = join_to_groups(both.filter("v > u"), nearest, ["u"], "degree", hot_rows)
-    out = materialise(moved.select(F.col("v").alias("u"), F.col("low").alias("v")), "edges")
-    lows.drop()
+    hot = shape.degree > hot_bound(2 * shape.edges, hot_rows)
+    moved, _, table = _with_lowest(both.filter("v > u"), both, hot, hot_rows)
+    out = materialise(moved.select(F.col("v").alias("u"), F.least("u", "low").alias("v")), "edges")
+    if table:
+        table.drop()
     return out
 
 
-def _small_star(edges: DataFrame, hot_rows: int | None) -> SharedTable:
-    """A node and its smaller neighbours are all linked to the smallest of them."""
-    lows = _smallest(edges)
-    moved = join_to_groups(edges, lows.df, ["u"], "degree", hot_rows).filter("v <> low")
-    linked = moved.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(
-        lows.df.select("u", F.col("low").alias("v"))
+def _small_star(edges: DataFrame, shape: Shape, hot_rows: int | None) -> SharedTable:
+    """A node and its smaller neighbours are all linked to the smallest of them.
+
+    After a large-star step a node has as many lines as it had edges downwards, so ``shape`` still says if one is hot.
+    """
+    hot = shape.down > hot_bound(shape.edges, hot_rows)
+    moved, lows, table = _with_lowest(edges, edges, hot, hot_rows)
+    linked = (
+        moved.filter("v <> low")
+        .select(F.col("v").alias("u"), F.col("low").alias("v"))
+        .unionByName(lows.select("u", F.col("low").alias("v")))
     )
     out = materialise(linked.distinct(), "edges")
-    lows.drop()
+    if table:
+        table.drop()
     return out
 
 
-def _is_star_forest(edges: DataFrame) -> bool:
-    """True if no node has two edges downwards, or one downwards and one upwards."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
-        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
-    )
-    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
-    return nodes.filter((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))).isEmpty()
-
-
 def connected_components(edges: DataFrame, hot_rows: int | None = None, max_rounds: int = 100) -> DataFrame:
     """``node, component`` for every node of ``edges`` (columns ``id_a, id_b``); a component is named by its
     smallest node. Node ids may be of any type that can be ordered.
@@ -65,10 +91,11 @@ def connected_components(edges: DataFrame, hot_rows: int | None = None, max_roun
     loops = given.df.filter("u = v").select(F.col("u").alias("node"))
     current = SharedTable(given.df.filter("u > v"), given.path)
     for _ in range(max_rounds):
-        if _is_star_forest(current.df):
+        shape = _shape(current.df)
+        if shape.stars:
             break
-        large = _large_star(current.df, hot_rows)
-        following = _small_star(large.df, hot_rows)
+        large = _large_star(current.df, shape, hot_rows)
+        following = _small_star(large.df, shape, hot_rows)
         large.drop()
         if current.path != given.path:
             current.drop()

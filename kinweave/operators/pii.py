@@ -64,9 +64,11 @@ def single_pk(scan: DataFrame) -> DataFrame:
 
 def _answer_text(response: Column) -> Column:
     """The answer without surrounding blanks and code fences."""
-    text = F.regexp_replace(response, r"^\s+|\s+$", "")
-    inside = F.regexp_replace(F.regexp_replace(text, "^```(json)?", ""), "```$", "")
-    return F.regexp_replace(F.when(text.startswith("```"), inside).otherwise(text), r"^\s+|\s+$", "")
+    blanks = F.lit(" \t\r\n")
+    text = F.btrim(response, blanks)
+    opening = F.when(text.startswith("```json"), F.lit(7)).when(text.startswith("```"), F.lit(3))
+    inside = F.substr(text, opening + 1, F.length(text) - opening - 3)
+    return F.btrim(F.coalesce(inside, text), blanks)
 
 
 def ingest_answers(columns: DataFrame, answers: DataFrame) -> DataFrame:
