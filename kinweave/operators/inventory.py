@@ -71,8 +71,9 @@ def fuzzy_name_match(
     """``target, name, match, score``: the best name for each wanted name.
 
     An equal name (ignoring case and outer blanks) beats a name containing the target, which beats the most
-    similar name of at least ``min_score`` (none if that is None); ties go to the first in sort order. (A first-come search over a list
-    lets an earlier substring hit beat a later equal name; here the order of the names has no influence.)
+    similar name of at least ``min_score`` (none if that is None); ties go to the first in sort order. (A first-come
+    search over a list lets an earlier substring hit beat a later equal name; here the order of the names has no
+    influence.)
     ``targets`` are typed by a person, ``names`` may be large: each name is scored once per target where it lies,
     and only one candidate per target and task is shuffled.
     """
@@ -96,7 +97,8 @@ def fuzzy_name_match(
         .agg(F.min(F.struct((-F.col("rank")).alias("rank"), (-F.col("score")).alias("score"), "name")).alias("best"))
     )
     labels = F.element_at(F.array(F.lit("similar"), F.lit("contains"), F.lit("equal")), (1 - F.col("best.rank")))
-    return best.select("target", F.col("best.name").alias("name"), labels.alias("match"), (-F.col("best.score")).alias("score"))
+    score = (-F.col("best.score")).alias("score")
+    return best.select("target", F.col("best.name").alias("name"), labels.alias("match"), score)
 
 
 def parse_targets(df: DataFrame, column: str = "target") -> DataFrame:
@@ -104,14 +106,13 @@ def parse_targets(df: DataFrame, column: str = "target") -> DataFrame:
     parts = F.split(F.col(column), r"\.")
     good = (F.size(parts) == 2) & (parts[0] != "") & F.coalesce(F.get(parts, F.lit(1)) != "", F.lit(False))
     good = F.coalesce(good, F.lit(False))
+    given = F.coalesce(F.col(column), F.lit(""))
+    problem = F.concat(F.lit("Invalid target format: '"), given, F.lit("'. Expected 'catalog.schema'"))
     return df.select(
         "*",
         F.when(good, parts[0]).alias("catalog"),
         F.when(good, F.get(parts, F.lit(1))).alias("schema"),
-        F.when(
-            ~good,
-            F.concat(F.lit("Invalid target format: '"), F.coalesce(F.col(column), F.lit("")), F.lit("'. Expected 'catalog.schema'")),
-        ).alias("error"),
+        F.when(~good, problem).alias("error"),
     )
 
 

@@ -327,9 +327,8 @@ def validate_manifest(df: DataFrame, rules: ManifestRules = CONFIG_RULES, body:
             for key in rules.settings
         ]
         unreadable = _error(doc.isNull(), "Not a JSON document")
-        return F.when(doc.isNull(), F.array(unreadable)).otherwise(
-            F.concat(F.array(*top, *listed), tables, F.array(*settings) if settings else F.array().cast("array<string>"))
-        )
+        readable = F.concat(F.array(*top, *listed), tables, F.array(*settings).cast("array<string>"))
+        return F.when(doc.isNull(), F.array(unreadable)).otherwise(readable)
 
     errors = F.array_compact(bind(F.try_parse_json(F.col(body)), document_errors))
     return df.withColumn("errors", errors).select(

@@ -183,6 +183,5 @@ def table_profile(scan: DataFrame, at: str) -> DataFrame:
         tagged.alias("pii_tags"),
         F.lit(at).alias("profiling_timestamp"),
     )
-    return (
-        scan.groupBy(*COLUMN_KEYS).agg(columns.alias("columns")).select(*COLUMN_KEYS, F.to_json(record).alias("profile"))
-    )
+    nested = scan.groupBy(*COLUMN_KEYS).agg(columns.alias("columns"))
+    return nested.select(*COLUMN_KEYS, F.to_json(record).alias("profile"))

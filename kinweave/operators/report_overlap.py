@@ -80,8 +80,8 @@ def top_sources(prof: DataFrame, k: int = 3) -> DataFrame:
 def source_sets(prof: DataFrame, sources: DataFrame | None = None, keep_null_entity: bool = False) -> DataFrame:
     """``sources, cnt``: distinct sorted sets of sources and the number of entities having exactly that set.
 
-    ``sources`` (column ``source``) are the few sources looked at, if not all. A set holds each source of one entity once, so
-    its length is bounded by the number of sources.
+    ``sources`` (column ``source``) are the few sources looked at, if not all. A set holds each source of one entity
+    once, so its length is bounded by the number of sources.
     """
     pairs = prof.filter(F.col("source").isNotNull())
     if not keep_null_entity:

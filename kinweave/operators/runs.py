@@ -48,7 +48,8 @@ def instant(text: Column) -> Column:
 def recent_runs(latest: DataFrame) -> DataFrame:
     """``latest`` with ``started``: start time, else creation time; newest first, unreadable times last.
 
-    ``started_text`` shows the time as given, in its own zone. ``last_known`` falls back to the time the job was seen, as the search for the last job does.
+    ``started_text`` shows the time as given, in its own zone. ``last_known`` falls back to the time the job was seen,
+    as the search for the last job does.
     """
     # A job with a start text is dated by it alone, even when it cannot be read.
     dated = F.coalesce(F.nullif("start_time", F.lit("")), F.nullif("created_at", F.lit("")))
