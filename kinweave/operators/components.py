@@ -94,9 +94,10 @@ def connected_components(edges: DataFrame, hot_rows: int | None = None, max_roun
         shape = _shape(current.df)
         if shape.stars:
             break
-        large = _large_star(current.df, shape, hot_rows)
-        following = _small_star(large.df, shape, hot_rows)
-        large.drop()
+        following = _large_star(current.df, shape, hot_rows)
+        if shape.down > 1:  # Otherwise every node has one line now, and a small-star step would change nothing.
+            large, following = following, _small_star(following.df, shape, hot_rows)
+            large.drop()
         if current.path != given.path:
             current.drop()
         current = following
