@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import decontaminate
+from kinweave.llm import decontaminate, quality_classifier, quality_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,8 +17,20 @@ def _decontamination(s: SparkSession, d: str) -> DataFrame:
     return decontaminate.contamination(_table(s, d, "documents"), _table(s, d, "benchmark"))
 
 
+def _quality_rules(s: SparkSession, d: str) -> DataFrame:
+    docs = _table(s, d, "documents")
+    return quality_rules.judged(docs, quality_rules.fit_lines(docs, _table(s, d, "labels")))
+
+
+def _quality_classifier(s: SparkSession, d: str) -> DataFrame:
+    docs = _table(s, d, "documents")
+    return quality_classifier.scored(docs, quality_classifier.fit_quality(docs, _table(s, d, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op7_quality_rules": _quality_rules,
     "op9_benchmark_decontamination": _decontamination,
+    "op10_quality_classifier": _quality_classifier,
 }
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -6,6 +6,7 @@ this package can be told byte by byte, and no text is turned into Python strings
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -136,7 +137,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         low = int(starts[at])
         upto = max(at + 1, int(np.searchsorted(ends, low + _REGION, "right")))
         high = int(ends[upto - 1])
-        up, down = _powers(max(_REGION, 1 << (high - low).bit_length()))
+        if high - low > _REGION:  # one long span
+            out[at] = int.from_bytes(hashlib.blake2b(data[low:high].tobytes(), digest_size=8).digest(), "little")
+            at = upto
+            continue
+        up, down = _powers(_REGION)
         sums = np.zeros(high - low + 1, np.uint64)
         np.cumsum(_byte_values()[data[low:high]] * up[: high - low], out=sums[1:])
         s, e = starts[at:upto] - low, ends[at:upto] - low
