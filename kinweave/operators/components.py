@@ -1,110 +1,96 @@
-"""Connected components by alternating large-star and small-star steps.
+"""Connected components by alternating large-star and small-star steps over numbers.
 
-Every step keeps the components and brings the edges closer to stars around the smallest node of each. The edges of
-a step are written to the shared folder, so lineage does not grow and a lost executor costs one step at most.
+Every step keeps the components and brings the edges closer to stars around the smallest node of each. Nodes are 64-bit
+numbers while it works, so minima are hash aggregates that combine on the map side, and an edge is 16 bytes. The edges
+of a step are written to the shared folder, so lineage does not grow and a lost executor costs one step at most. A
+join's lines of one node may be many; the other side is a written table with a line per node, so adaptive execution can
+split them.
 """
 
 from __future__ import annotations
 
-from typing import NamedTuple
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.skew import hot_bound, join_to_groups
 from kinweave.sources.shared import SharedTable, materialise
 
-# Edges are kept as (u, v) with u > v.
-
+# Edges are kept as (u, v) with u > v; moved tells that a step made the edge from another.
 
-class Shape(NamedTuple):
-    """What one look at the edges tells: how many there are, the most edges at one node, the most edges downwards, and
-    whether every node has either one edge down and none up, or none down."""
 
-    edges: int
-    degree: int
-    down: int
-    stars: bool
+def _moved(table: SharedTable) -> bool:
+    return not table.df.filter("moved").isEmpty()
 
 
-def _shape(edges: DataFrame) -> Shape:
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
-        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
-    )
-    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
-    tangled = (F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))
-    total, degree, down, bad = nodes.agg(
-        F.sum("down"), F.max(F.col("down") + F.col("up")), F.max("down"), F.count_if(tangled)
-    ).first()
-    return Shape(total or 0, degree or 0, down or 0, not bad)
-
-
-def _with_lowest(lines: DataFrame, neighbours: DataFrame, hot: bool, hot_rows: int | None) -> tuple:
-    """``lines`` with ``low``, the smallest neighbour of ``u``, the smallest neighbours themselves, and the table they
-    were written to. They are written only if a node is hot, as the join of hot nodes reads them more than once."""
-    lows = neighbours.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("size"))
-    if not hot:
-        lows = lows.drop("size")
-        return lines.join(lows, "u"), lows, None
-    table = materialise(lows, "lows")
-    return join_to_groups(lines, table.df, ["u"], "size", hot_rows), table.df, table
-
-
-def _large_star(edges: DataFrame, shape: Shape, hot_rows: int | None) -> SharedTable:
+def _large_star(edges: DataFrame) -> SharedTable:
     """Every neighbour larger than a node is linked to the node's smallest neighbour (or the node, if smaller)."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    hot = shape.degree > hot_bound(2 * shape.edges, hot_rows)
-    moved, _, table = _with_lowest(both.filter("v > u"), both, hot, hot_rows)
-    out = materialise(moved.select(F.col("v").alias("u"), F.least("u", "low").alias("v")), "edges")
-    if table:
-        table.drop()
-    return out
-
-
-def _small_star(edges: DataFrame, shape: Shape, hot_rows: int | None) -> SharedTable:
-    """A node and its smaller neighbours are all linked to the smallest of them.
-
-    After a large-star step a node has as many lines as it had edges downwards, so ``shape`` still says if one is hot.
-    """
-    hot = shape.down > hot_bound(shape.edges, hot_rows)
-    moved, lows, table = _with_lowest(edges, edges, hot, hot_rows)
-    linked = (
-        moved.filter("v <> low")
-        .select(F.col("v").alias("u"), F.col("low").alias("v"))
-        .unionByName(lows.select("u", F.col("low").alias("v")))
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    lows = materialise(both.groupBy("u").agg(F.min("v").alias("low")).filter("low < u"), "lows")
+    lowered = edges.select(F.col("v").alias("node"), "u").join(lows.df.withColumnRenamed("u", "node"), "node", "left")
+    to = F.coalesce("low", "node")
+    out = lowered.groupBy("u", to.alias("v")).agg(F.bool_or(to < F.col("node")).alias("moved"))
+    written = materialise(out, "edges")
+    lows.drop()
+    return written
+
+
+def _small_star(edges: DataFrame) -> SharedTable:
+    """A node and its smaller neighbours are all linked to the smallest of them."""
+    lows = materialise(edges.groupBy("u").agg(F.min("v").alias("low")), "lows")
+    others = edges.select("u", "v").join(lows.df, "u").filter("v <> low")
+    linked = others.select(F.col("v").alias("u"), F.col("low").alias("v"), F.lit(True).alias("moved")).unionByName(
+        lows.df.select("u", F.col("low").alias("v"), F.lit(False).alias("moved"))
     )
-    out = materialise(linked.distinct(), "edges")
-    if table:
-        table.drop()
-    return out
+    written = materialise(linked.groupBy("u", "v").agg(F.bool_or("moved").alias("moved")), "edges")
+    lows.drop()
+    return written
 
 
-def connected_components(edges: DataFrame, hot_rows: int | None = None, max_rounds: int = 100) -> DataFrame:
-    """``node, component`` for every node of ``edges`` (columns ``id_a, id_b``); a component is named by its
-    smallest node. Node ids may be of any type that can be ordered.
-
-    Edges must be free of nulls. Loops and repeated edges do no harm. Fails if ``max_rounds`` do not suffice (the
-    number needed grows with the logarithm of the size).
-    """
+def components_of_numbers(edges: DataFrame) -> SharedTable:
+    """``node, component`` for every node of ``edges`` (64-bit columns ``id_a, id_b`` without nulls; loops and repeats
+    do no harm), a component named by its smallest node. The rounds needed grow with the logarithm of the size."""
     ordered = edges.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"))
-    given = materialise(ordered.distinct(), "edges")
+    given = materialise(ordered.groupBy("u", "v").agg(F.lit(True).alias("moved")), "edges")
     loops = given.df.filter("u = v").select(F.col("u").alias("node"))
     current = SharedTable(given.df.filter("u > v"), given.path)
-    for _ in range(max_rounds):
-        shape = _shape(current.df)
-        if shape.stars:
-            break
-        following = _large_star(current.df, shape, hot_rows)
-        if shape.down > 1:  # Otherwise every node has one line now, and a small-star step would change nothing.
-            large, following = following, _small_star(following.df, shape, hot_rows)
-            large.drop()
+    while True:
+        large = _large_star(current.df)
+        small = _small_star(large.df)
+        settled = not _moved(large) and not _moved(small)
+        large.drop()
         if current.path != given.path:
             current.drop()
-        current = following
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    members = current.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = current.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    settled = members.unionByName(roots)
-    alone = loops.join(settled, "node", "left_anti")
-    return settled.unionByName(alone.select("node", F.col("node").alias("component")))
+        current = small
+        if settled:
+            break
+    found = current.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = current.df.groupBy(F.col("v").alias("node")).agg(F.first("v").alias("component"))
+    linked = found.unionByName(roots)
+    alone = loops.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
+    out = materialise(linked.unionByName(alone), "components")
+    current.drop()
+    given.drop()
+    return out
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``node, component`` for every node of ``edges`` (columns ``id_a, id_b`` without nulls, of any type that can be
+    ordered); a component is named by its smallest node.
+
+    Nodes are numbered once, and named again at the end. The result reads a table below the shared folder.
+    """
+    names = edges.select(F.col("id_a").alias("node")).unionByName(edges.select(F.col("id_b").alias("node"))).distinct()
+    numbers = materialise(names.withColumn("number", F.monotonically_increasing_id()), "numbers")
+
+    def of(end: str) -> DataFrame:
+        return numbers.df.select(F.col("node").alias(end), F.col("number").alias(f"n_{end}"))
+
+    numbered = edges.select("id_a", "id_b").join(of("id_a"), "id_a").join(of("id_b"), "id_b")
+    parts = components_of_numbers(numbered.select(F.col("n_id_a").alias("id_a"), F.col("n_id_b").alias("id_b")))
+    members = numbers.df.join(parts.df.withColumnRenamed("node", "number"), "number")
+    firsts = materialise(members.groupBy("component").agg(F.min("node").alias("first")), "firsts")
+    out = materialise(
+        members.join(firsts.df, "component").select("node", F.col("first").alias("component")), "components"
+    )
+    for table in (numbers, parts, firsts):
+        table.drop()
+    return out.df

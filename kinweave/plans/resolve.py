@@ -59,5 +59,5 @@ def resolve(
     rules = resolution.match_rules(weights, threshold)
     found = resolution.pairs(records.df, rules, hot_rows)
     edges = materialise(resolution.pair_scores(found, weights), "edges")
-    entities = connected_components(edges.df, hot_rows)
+    entities = connected_components(edges.df)
     return resolution.unified(records.df, entities), edges.df, [records, edges]

@@ -58,7 +58,7 @@ def test_entities_equal_all_pairs(spark, seed, hot_rows):
     records = random_records(250, seed)
     df = spark.createDataFrame([tuple(r.values()) for r in records], SCHEMA)
     edges = resolution.pair_scores(resolution.pairs(df, hot_rows=hot_rows))
-    found = resolution.unified(df, components.connected_components(edges, hot_rows))
+    found = resolution.unified(df, components.connected_components(edges))
     assert {r.record_id: r.entity_id for r in found.collect()} == brute_force_entities(records)
     assert edges.filter(f"score < {resolution.MATCH_THRESHOLD}").isEmpty()
     assert edges.filter("NOT confidence BETWEEN 0 AND 1").isEmpty()
@@ -89,7 +89,7 @@ def test_a_key_held_by_a_third_of_all_records(spark):
     )
     found = resolution.pairs(df, hot_rows=50)
     assert found.count() == 999
-    entities = resolution.unified(df, components.connected_components(found, hot_rows=50))
+    entities = resolution.unified(df, components.connected_components(found))
     sizes = sorted(r["count"] for r in entities.groupBy("entity_id").count().collect())
     assert sizes == [1] * 2000 + [1000]
 
@@ -104,10 +104,9 @@ def test_a_key_held_by_a_third_of_all_records(spark):
     ],
     ids=["path", "two stars", "loops and repeats", "mixed"],
 )
-@pytest.mark.parametrize("hot_rows", [0, 100_000])
-def test_components(spark, edges, hot_rows):
+def test_components(spark, edges):
     df = spark.createDataFrame(edges, "id_a bigint, id_b bigint")
-    found = {r.node: r.component for r in components.connected_components(df, hot_rows).collect()}
+    found = {r.node: r.component for r in components.connected_components(df).collect()}
     assert found == groups_of(edges, {n for e in edges for n in e})
 
 
