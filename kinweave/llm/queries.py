@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import decontaminate, quality_classifier, quality_rules
+from kinweave.llm import decontaminate, jaccard_join, quality_classifier, quality_rules
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,7 @@ def _quality_classifier(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_ngram_jaccard_join": lambda s, d: jaccard_join.near_duplicates(_table(s, d, "documents")),
     "op7_quality_rules": _quality_rules,
     "op9_benchmark_decontamination": _decontamination,
     "op10_quality_classifier": _quality_classifier,
