@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import decontaminate, jaccard_join, quality_classifier, quality_rules
+from kinweave.llm import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,8 +28,10 @@ def _quality_classifier(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_source_mix": lambda s, d: mixing.mix(_table(s, d, "documents")).drop("times"),
     "op6_ngram_jaccard_join": lambda s, d: jaccard_join.near_duplicates(_table(s, d, "documents")),
     "op7_quality_rules": _quality_rules,
+    "op8_url_filter": lambda s, d: url_filter.judge(_table(s, d, "pages"), url_filter.train(s)),
     "op9_benchmark_decontamination": _decontamination,
     "op10_quality_classifier": _quality_classifier,
 }
@@ -38,6 +40,23 @@ _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op4_source_mix": r"""
+WITH l AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    md5(concat_ws(':', '17', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))) AS draw FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT)] AS BIGINT) AS w
+  FROM l GROUP BY source),
+c AS (SELECT *, sum(ss) OVER () AS t, sum(w) OVER () AS tw, sum(ss) OVER o - ss AS s0, sum(w) OVER o - w AS w0, row_number() OVER o AS i
+  FROM s WINDOW o AS (ORDER BY ss / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT s0, w0, t, tw, i FROM c WHERE ss > 0 AND (t - 3 * s0) * w <= 3 * ss * (tw - w0) ORDER BY i LIMIT 1),
+g AS (SELECT source, ss, CASE WHEN ss = 0 OR c.i < f.i THEN CAST(3 * ss AS DOUBLE)
+    ELSE CAST((f.t - 3 * f.s0) * w AS DOUBLE) / CAST(f.tw - f.w0 AS DOUBLE) END AS target FROM c LEFT JOIN f ON true),
+q AS (SELECT *, CASE WHEN ss > 0 THEN CAST(floor(target / ss) AS BIGINT) ELSE 0 END AS whole FROM g),
+r AS (SELECT l.*, ss, target, whole, target - whole * ss AS quota,
+    sum(size) OVER (PARTITION BY l.source ORDER BY draw, size ROWS UNBOUNDED PRECEDING) AS run
+  FROM l JOIN q ON l.source IS NOT DISTINCT FROM q.source),
+x AS (SELECT *, min(CASE WHEN run - size / 2 > quota THEN draw END) OVER (PARTITION BY source) AS cut FROM r)
+SELECT doc_id, size, ss AS source_size, target,
+  CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN quota > 0 AND draw < coalesce(cut, 'g') THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken FROM x""",
     "op9_benchmark_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
