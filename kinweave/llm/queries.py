@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import decontaminate, jaccard_join, mixing, quality_classifier, quality_rules, url_filter
+from kinweave.llm import decontaminate, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,6 +28,7 @@ def _quality_classifier(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": lambda s, d: license_scan.scan(_table(s, d, "documents")).drop("matches"),
     "op4_source_mix": lambda s, d: mixing.mix(_table(s, d, "documents")).drop("times"),
     "op6_ngram_jaccard_join": lambda s, d: jaccard_join.near_duplicates(_table(s, d, "documents")),
     "op7_quality_rules": _quality_rules,
