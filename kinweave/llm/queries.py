@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import decontaminate, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, token_counts, url_filter
+from kinweave.llm import chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, token_counts, url_filter
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -27,9 +27,14 @@ def _quality_classifier(s: SparkSession, d: str) -> DataFrame:
     return quality_classifier.scored(docs, quality_classifier.fit_quality(docs, _table(s, d, "labels")))
 
 
+def _chat(s: SparkSession, d: str) -> DataFrame:
+    return chat_format.read_back(chat_format.windows(chat_format.with_extra(_table(s, d, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": lambda s, d: license_scan.scan(_table(s, d, "documents")).drop("matches"),
     "op2_token_counts": lambda s, d: token_counts.section_tokens(_table(s, d, "documents")),
+    "op3_chat_format": _chat,
     "op4_source_mix": lambda s, d: mixing.mix(_table(s, d, "documents")).drop("times"),
     "op6_ngram_jaccard_join": lambda s, d: jaccard_join.near_duplicates(_table(s, d, "documents")),
     "op7_quality_rules": _quality_rules,
