@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, token_counts, url_filter
+from kinweave.llm import chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, token_counts, url_filter, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -36,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": lambda s, d: token_counts.section_tokens(_table(s, d, "documents")),
     "op3_chat_format": _chat,
     "op4_source_mix": lambda s, d: mixing.mix(_table(s, d, "documents")).drop("times"),
+    "op5_warc": lambda s, d: warc.written_and_read(_table(s, d, "pages")),
     "op6_ngram_jaccard_join": lambda s, d: jaccard_join.near_duplicates(_table(s, d, "documents")),
     "op7_quality_rules": _quality_rules,
     "op8_url_filter": lambda s, d: url_filter.judge(_table(s, d, "pages"), url_filter.train(s)),
@@ -64,6 +65,14 @@ r AS (SELECT l.*, ss, target, whole, target - whole * ss AS quota,
 x AS (SELECT *, min(CASE WHEN run - size / 2 > quota THEN draw END) OVER (PARTITION BY source) AS cut FROM r)
 SELECT doc_id, size, ss AS source_size, target,
   CAST(CASE WHEN size > 0 THEN size * (whole + CASE WHEN quota > 0 AND draw < coalesce(cut, 'g') THEN 1 ELSE 0 END) ELSE 0 END AS BIGINT) AS taken FROM x""",
+    "op5_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(raw) AS BIGINT) AS payload_bytes, array_to_string(flatten([[
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, CAST(5 * i + 1 AS BIGINT), 5) AS BIGINT) >> k) & 31 AS BIGINT) + 1, 1)
+    FOR k IN [15, 10, 5, 0]] FOR i IN range(8)]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h)""",
     "op9_benchmark_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS w FROM benchmark),
