@@ -130,8 +130,8 @@ def _gradient(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: np.ndarray, pul
     return of_w, seen - (pairs * both).sum((1, 2))
 
 
-def train(x: list[np.ndarray], chars: list[np.ndarray], y: np.ndarray) -> Crf:
-    """From the features and lengths of the lines of some documents and the documents' labels.
+def train(x: list[np.ndarray], chars: list[np.ndarray], y: np.ndarray, width: int) -> Crf:
+    """From the ``width`` features and lengths of the lines of some documents and the documents' labels.
 
     Without documents of both labels nothing can be learnt: every line then has even odds and every document the
     share of 1 among the labels (a half without any).
@@ -139,7 +139,6 @@ def train(x: list[np.ndarray], chars: list[np.ndarray], y: np.ndarray) -> Crf:
     prior = float(y.mean()) if len(y) else 0.5
     kept = [i for i in range(len(x)) if len(x[i])]
     if len({int(y[i]) for i in kept}) < 2:
-        width = x[0].shape[1] if x else 0
         return Crf((0.0,) * width, (0.0,) * 4, 0.0, float(_log_odds(np.array(prior))), prior)
     t = max(len(x[i]) for i in kept)
     padded, mask = np.zeros((len(kept), t, x[kept[0]].shape[1])), np.zeros((len(kept), t), bool)
@@ -201,4 +200,4 @@ def fit(
     rows.sort(key=lambda r: (str(r[0]), r[1], bytes(r[2])))
     width = features(find_lines(texts_of(pa.array(["a"])))[0]).shape[1]
     x = [np.frombuffer(bytes(r[2]), np.float32).reshape(-1, width) for r in rows]
-    return train(x, [np.frombuffer(bytes(r[3]), np.int64) for r in rows], np.array([r[1] for r in rows]))
+    return train(x, [np.frombuffer(bytes(r[3]), np.int64) for r in rows], np.array([r[1] for r in rows]), width)
