@@ -188,11 +188,11 @@ def _compare(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right
 
 
 def _verified(members: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Lines ``digest, node, links, root`` of classes, from their texts (``component, a, b, block, digest, copies,
-    text``; a and b are the blocks that meet)."""
+    """Lines ``digest, node, parts, links, root`` of classes, from their texts (``component, parts, a, b, block, digest,
+    copies, text``; a and b are the blocks that meet)."""
 
     def compare(table: pa.Table) -> pa.Table:
-        rows = table.select(["digest", "block", "copies"]).to_pylist()
+        rows = table.select(["digest", "parts", "block", "copies"]).to_pylist()
         texts, sets = table.column("text").cast(pa.large_string()).combine_chunks(), []
         for _, part in chunks(texts_of(texts)):
             values, first = _sets(part, words)
@@ -203,10 +203,11 @@ def _verified(members: DataFrame, words: int, similarity: float) -> DataFrame:
         block, copies = (np.array([r[c] for r in rows], np.int64) for c in ("block", "copies"))
         a, b = (table.column(c)[0].as_py() for c in ("a", "b"))
         links, root = _compare(sets, copies, block == a, block == b, similarity)
-        out = {"digest": [r["digest"] for r in rows], "node": nodes, "links": links, "root": [nodes[r] for r in root]}
+        parts = [r["parts"] for r in rows]
+        out = {"digest": [r["digest"] for r in rows], "node": nodes, "parts": parts, "links": links, "root": [nodes[r] for r in root]}
         return pa.table({c: pa.array(v, pa.binary() if c == "digest" else pa.int64()) for c, v in out.items()})
 
-    return members.groupBy("component", "a", "b").applyInArrow(compare, "digest binary, node long, links long, root long")
+    return members.groupBy("component", "a", "b").applyInArrow(compare, "digest binary, node long, parts long, links long, root long")
 
 
 def _node(digest: bytes) -> int:
@@ -259,18 +260,20 @@ def find_classes(
     blocks = materialise(members.groupBy("component").agg(parts.alias("parts")), "blocks")
     placed = members.join(blocks.df, "component").withColumn("block", F.pmod(F.xxhash64("digest"), "parts").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "component", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "digest",
+        "component", "parts", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "digest",
         "copies", F.col("lead.row_key").alias("row_key"),
     )
     once = keyed.groupBy("row_key").agg(F.first("text").alias("text"))
     verified = materialise(_verified(placed.join(once, "row_key"), words, similarity), "verified")
-    ties = verified.df.filter("node <> root").select(F.col("node").alias("id_a"), F.col("root").alias("id_b"))
+    # A task that holds a whole component names its classes for good, by their smallest; others are tied together.
+    whole = verified.df.filter("parts = 1").select("node", F.col("root").alias("component"))
+    ties = verified.df.filter("parts > 1").select(F.col("node").alias("id_a"), F.col("root").alias("id_b"))
     tied = components_of_numbers(ties)
     links = verified.df.groupBy("digest").agg(F.sum("links").alias("links"))
     named = (
         reps.df.drop("paths")
         .join(links, "digest", "left")
-        .join(tied.df, "node", "left")
+        .join(tied.df.unionByName(whole), "node", "left")
         .select("digest", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("class_key"), "lead")
     )
     firsts = materialise(named.groupBy("class_key").agg(F.min("lead").alias("first")), "firsts")
