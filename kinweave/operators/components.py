@@ -14,60 +14,58 @@ from pyspark.sql import functions as F
 
 from kinweave.sources.shared import SharedTable, materialise
 
-# Edges are kept as (u, v) with u > v; moved tells that a step made the edge from another.
+# Edges are kept as (u, v) with u > v, each once.
 
 
-def _moved(table: SharedTable) -> bool:
-    return not table.df.filter("moved").isEmpty()
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down and none up, or none down."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.filter("down > 1 OR down > 0 AND up > 0").isEmpty()
 
 
 def _large_star(edges: DataFrame) -> SharedTable:
     """Every neighbour larger than a node is linked to the node's smallest neighbour (or the node, if smaller)."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     lows = materialise(both.groupBy("u").agg(F.min("v").alias("low")).filter("low < u"), "lows")
-    lowered = edges.select(F.col("v").alias("node"), "u").join(lows.df.withColumnRenamed("u", "node"), "node", "left")
-    to = F.coalesce("low", "node")
-    out = lowered.groupBy("u", to.alias("v")).agg(F.bool_or(to < F.col("node")).alias("moved"))
-    written = materialise(out, "edges")
+    moved = edges.select(F.col("v").alias("node"), "u").join(lows.df.withColumnRenamed("u", "node"), "node", "left")
+    out = materialise(moved.select("u", F.coalesce("low", "node").alias("v")).distinct(), "edges")
     lows.drop()
-    return written
+    return out
 
 
 def _small_star(edges: DataFrame) -> SharedTable:
     """A node and its smaller neighbours are all linked to the smallest of them."""
     lows = materialise(edges.groupBy("u").agg(F.min("v").alias("low")), "lows")
-    others = edges.select("u", "v").join(lows.df, "u").filter("v <> low")
-    linked = others.select(F.col("v").alias("u"), F.col("low").alias("v"), F.lit(True).alias("moved")).unionByName(
-        lows.df.select("u", F.col("low").alias("v"), F.lit(False).alias("moved"))
-    )
-    written = materialise(linked.groupBy("u", "v").agg(F.bool_or("moved").alias("moved")), "edges")
+    others = edges.join(lows.df, "u").filter("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    out = materialise(others.unionByName(lows.df.withColumnRenamed("low", "v")).distinct(), "edges")
     lows.drop()
-    return written
+    return out
 
 
 def components_of_numbers(edges: DataFrame) -> SharedTable:
     """``node, component`` for every node of ``edges`` (64-bit columns ``id_a, id_b`` without nulls; loops and repeats
     do no harm), a component named by its smallest node. The rounds needed grow with the logarithm of the size."""
     ordered = edges.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"))
-    given = materialise(ordered.groupBy("u", "v").agg(F.lit(True).alias("moved")), "edges")
+    given = materialise(ordered.distinct(), "edges")
     loops = given.df.filter("u = v").select(F.col("u").alias("node"))
     current = SharedTable(given.df.filter("u > v"), given.path)
-    while True:
+    while not _are_stars(current.df):
         large = _large_star(current.df)
         small = _small_star(large.df)
-        settled = not _moved(large) and not _moved(small)
         large.drop()
         if current.path != given.path:
             current.drop()
         current = small
-        if settled:
-            break
     found = current.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.df.groupBy(F.col("v").alias("node")).agg(F.first("v").alias("component"))
     linked = found.unionByName(roots)
     alone = loops.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
     out = materialise(linked.unionByName(alone), "components")
-    current.drop()
+    if current.path != given.path:
+        current.drop()
     given.drop()
     return out
 
