@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.views import TABLES, table, view, with_views
-from kinweave.functions.patterns import NAME_RULES, UUID_PATTERN, VALUE_PATTERNS, any_pattern
-from kinweave.functions.types import NUMERIC_TYPES, UNSUPPORTED_TYPES, normalise_type
+from checks.rules import NAME_PATTERNS, NUMERIC_TYPES, SEMANTICS, UNSUPPORTED_TYPES, UUID_PATTERN, VALUE_PATTERNS
+from checks.views import SCHEMAS, TABLES, table, view, with_views
+from kinweave.functions.types import normalise_type
 from kinweave.operators import content, edits, inventory, manifest, pii, tags
 from kinweave.plans import tagging
 from kinweave.sources import catalog, manifests, paging, readers
@@ -16,12 +16,11 @@ from kinweave.sources.shared import materialise, scratch_path
 SKIP = "_resolved"
 AT = "2024-06-01 00:00:00"
 RULES = manifest.ManifestRules(settings=("output_catalog_name", "output_schema_name"))
+# The string columns of the given tables, by their stated schemas.
 TEXT_COLUMNS = {
-    "customer": ["c_name", "c_mktsegment"],
-    "documents": ["text", "source"],
-    "conversations": ["text", "role"],
-    "events": ["props", "event_type"],
-    "pages": ["url", "html"],
+    name: found
+    for name, schema in SCHEMAS.items()
+    if (found := [c.split()[0] for c in schema.split(", ") if c.endswith(" string")])
 }
 TARGETS = ["customer#000000012", "SUPPLIER#00000000", "nation_2", "nation", "zz top"]
 CHUNK_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
@@ -129,7 +128,25 @@ def _tagged_customers(s: SparkSession, d: str) -> DataFrame:
     rules = pii.classify_columns(catalog.column_catalog(s, ["customer"]))
     known = rules.withColumn("semantic", F.when(F.col("column_name") == "c_name", F.lit("full-name")))
     chosen = known.filter("semantic IS NOT NULL").select(F.col("column_name").alias("column"), "semantic")
-    return tags.with_semantics(customer, chosen)
+    tagged = tags.with_semantics(customer, chosen)
+    lines = [
+        F.struct(
+            F.lit(f.name).alias("column"),
+            F.lit(f.metadata.get("semantic")).cast("string").alias("semantic"),
+            F.count(f.name).alias("non_null"),
+        )
+        for f in tagged.schema
+    ]
+    return tagged.agg(F.array(*lines).alias("lines")).select(F.inline("lines"))
+
+
+def _nested(s: SparkSession, d: str) -> DataFrame:
+    """Tables of one name in several schemas and two catalogues, nested."""
+    scan = _kept_answers(s, d)
+    pond = scan.filter("position % 3 = 0").withColumn("catalog_name", F.lit("pond"))
+    nested = manifest.nest_fields(manifest.manifest_from_scan(scan.unionByName(pond)))
+    names = F.array_join(F.col("fields.field-name"), ",")
+    return nested.select("catalog_name", "schema_name", "path", F.size("fields").alias("n_fields"), names.alias("names"))
 
 
 QUERIES = {
@@ -167,7 +184,7 @@ QUERIES = {
     "pii_change_semantic": lambda s, d: edits.change_semantics(_scan(s, d), _edits(s, d, "change_semantic")),
     "pii_unmatched_edits": lambda s, d: edits.unmatched_edits(_scan(s, d), view(s, d, "edits")),
     "pii_content_evidence": lambda s, d: content.content_evidence(
-        {name: (table(s, d, name), columns) for name, columns in TEXT_COLUMNS.items()}
+        {n: (df, found) for n in TABLES if (found := content.text_columns(df := table(s, d, n)))}
     ),
     "pii_text_findings": lambda s, d: content.text_findings(table(s, d, "documents"), "doc_id", "text"),
     "table_profile": lambda s, d: pii.table_profile(_scan(s, d), AT),
@@ -193,6 +210,7 @@ QUERIES = {
     ),
     "manifest_unsupported": lambda s, d: manifest.unsupported_fields(_scan(s, d)),
     "manifest_from_scan": lambda s, d: _semantics_text(manifest.manifest_from_scan(_kept_answers(s, d))),
+    "manifest_nested": _nested,
     "manifest_from_tags": lambda s, d: _semantics_text(
         manifest.manifest_from_tags(_columns(s, d), view(s, d, "tags"), "lake", "s3")
     ),
@@ -215,7 +233,8 @@ _SNAKE = r"lower(regexp_replace(column_name, '([a-z])([A-Z])', '\1_\2', 'g'))"
 _BASE_TYPE = r"upper(trim(regexp_extract(data_type, '^[^(<]*')))"
 _NUMERIC = f"{_BASE_TYPE} IN ({', '.join(repr(t) for t in NUMERIC_TYPES)})"
 _UNSUPPORTED = f"split_part({_BASE_TYPE}, ' ', 1) IN ({', '.join(repr(t) for t in UNSUPPORTED_TYPES)})"
-_RULE_CASE = " ".join(f"WHEN regexp_matches({_SNAKE}, '{r.pattern}') THEN '{r.semantic}'" for r in NAME_RULES)
+_RULE_CASE = " ".join(f"WHEN regexp_matches({_SNAKE}, '{p}') THEN '{semantic}'" for semantic, p in NAME_PATTERNS)
+_ODD = f"[x FOR x IN (doc->>'$[*].semantic') IF x IS NOT NULL AND x <> '' AND x NOT IN ({', '.join(map(repr, SEMANTICS))})]"
 _COLUMNS = with_views(["columns"])
 
 _SCAN = f"""{_COLUMNS},
@@ -234,11 +253,13 @@ own AS (SELECT * FROM columns WHERE NOT starts_with(table_name, '{SKIP}')),
 texts AS (SELECT {_K}, CASE WHEN starts_with(t, '```json') THEN trim(t[8:-4], e' \\n')
     WHEN starts_with(t, '```') THEN trim(t[4:-4], e' \\n') ELSE t END AS t
   FROM (SELECT {_K}, trim(response, e' \\n') AS t FROM answers)),
-docs AS (SELECT {_K}, CASE WHEN json_valid(t) AND json_type(t) = 'ARRAY' THEN CAST(t AS JSON) END AS doc FROM texts),
+docs AS (SELECT {_K}, count(*) OVER (PARTITION BY {_K}) AS answers, CASE WHEN json_valid(t) AND json_type(t) = 'ARRAY' THEN CAST(t AS JSON) END AS doc FROM texts),
 sizes AS (SELECT {_K}, count(*) AS n FROM own GROUP BY ALL),
-checked AS (SELECT sizes.*, doc, CASE WHEN doc IS NULL THEN 'Failed to parse the answer'
-    WHEN json_array_length(doc) <> n THEN format('Expected {{}} items, got {{}}', n, json_array_length(doc)) END AS error
-  FROM sizes LEFT JOIN docs USING ({_K})),
+checked AS (SELECT sizes.*, doc, CASE WHEN answers > 1 THEN format('{{}} answers for one table', answers)
+    WHEN doc IS NULL THEN 'Failed to parse the answer'
+    WHEN json_array_length(doc) <> n THEN format('Expected {{}} items, got {{}}', n, json_array_length(doc))
+    WHEN len({_ODD}) > 0 THEN format('Unknown semantic ''{{}}''', {_ODD}[1]) END AS error
+  FROM sizes LEFT JOIN (SELECT * FROM docs QUALIFY row_number() OVER (PARTITION BY {_K}) = 1) USING ({_K})),
 entries AS (SELECT {_K}, item->>'$.name' AS column_name, nullif(item->>'$.semantic', '') AS semantic
   FROM (SELECT {_K}, unnest(CAST(doc AS JSON[])) AS item FROM checked WHERE error IS NULL)),
 scan AS (SELECT own.*, semantic, error FROM own LEFT JOIN checked USING ({_K})
@@ -275,6 +296,7 @@ def _type_case(texts: list[tuple[str, list[str]]]) -> str:
     return f"CASE {' '.join(branches)} ELSE 'string' END"
 
 
+# Texts in type names and the short names they stand for.
 _REFERENCE_TYPE = _type_case(
     [
         ("string", ["varchar", "char", "text", "string"]),
@@ -300,8 +322,10 @@ joined AS (SELECT c.*, t.semantic_type FROM columns c LEFT JOIN tags t ON c.cata
   WHERE (c.catalog_name, c.schema_name, c.table_name) IN (SELECT (database_name, schema_name, table_name) FROM tags))"""
 
 _TAG_BASE = f"""{with_views(["columns", "tags", "tag_batch"])},
-good AS (SELECT * FROM tag_batch WHERE table_name <> '' AND column_name <> '' AND semantic_type <> ''),
-touched AS (SELECT DISTINCT database_name, schema_name, table_name FROM tag_batch),
+good AS (SELECT * FROM tag_batch WHERE database_name <> '' AND schema_name <> '' AND table_name <> '' AND column_name <> ''
+  AND semantic_type <> ''),
+touched AS (SELECT DISTINCT database_name, schema_name, table_name FROM tag_batch
+  WHERE database_name <> '' AND schema_name <> '' AND table_name <> ''),
 stored AS (SELECT * FROM tags WHERE (database_name, schema_name, table_name) NOT IN (FROM touched SELECT (database_name, schema_name, table_name))
   UNION ALL SELECT database_name, schema_name, table_name, column_name, min(semantic_type), TIMESTAMP '{AT}'
   FROM good GROUP BY 1, 2, 3, 4)"""
@@ -342,13 +366,14 @@ def _evidence_sql() -> str:
                 parts.append(
                     f"SELECT '{name}' AS table_name, '{column}' AS column_name, '{kind}' AS pattern, "
                     f"count({column}) AS non_null, "
-                    f"CAST(coalesce(sum(CASE WHEN regexp_matches({column}, '{shape.pattern}') THEN 1 ELSE 0 END), 0) AS BIGINT) "
+                    f"CAST(coalesce(sum(CASE WHEN regexp_matches({column}, '{shape}') THEN 1 ELSE 0 END), 0) AS BIGINT) "
                     f"AS matches FROM {name}"
                 )
     return f"SELECT *, round(CAST(matches AS DOUBLE) / non_null, 6) AS share FROM ({' UNION ALL '.join(parts)})"
 
 
-_KIND_CASE = " ".join(f"WHEN regexp_full_match(value, '{p.pattern}') THEN '{k}'" for k, p in VALUE_PATTERNS.items())
+_ANY = "|".join(f"(?:{p})" for p in VALUE_PATTERNS.values())
+_KIND_CASE = " ".join(f"WHEN regexp_full_match(value, '{p}') THEN '{k}'" for k, p in VALUE_PATTERNS.items())
 _ROW_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)
 
 ORACLES = {
@@ -417,14 +442,21 @@ judged AS (SELECT *, CASE
 SELECT * FROM judged WHERE reason IS NOT NULL""",
     "pii_content_evidence": _evidence_sql(),
     "pii_text_findings": f"""SELECT doc_id, CASE {_KIND_CASE} END AS kind, value, count(*) AS hits
-FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{any_pattern()}')) AS value FROM documents) GROUP BY ALL""",
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_ANY}')) AS value FROM documents) GROUP BY ALL""",
     "tag_upsert": f"{_TAG_BASE} SELECT * FROM stored",
-    "tag_upsert_errors": f"""{_TAG_BASE} SELECT *, 'Missing table, column, or semantic_type' AS error FROM tag_batch
-WHERE NOT coalesce(table_name <> '' AND column_name <> '' AND semantic_type <> '', FALSE)""",
+    "tag_upsert_errors": f"""{_TAG_BASE} SELECT *, CASE WHEN table_name <> '' AND column_name <> '' AND semantic_type <> ''
+    THEN 'Missing database or schema' ELSE 'Missing table, column, or semantic_type' END AS error FROM tag_batch
+  WHERE NOT coalesce(database_name <> '' AND schema_name <> '' AND table_name <> '' AND column_name <> '' AND semantic_type <> '', FALSE)
+UNION ALL SELECT good.*, 'Column tagged twice in one batch' FROM good JOIN (SELECT * EXCLUDE (semantic_type),
+  min(semantic_type) AS kept FROM good GROUP BY ALL) USING (database_name, schema_name, table_name, column_name)
+  WHERE semantic_type <> kept""",
     "tag_upsert_check": f"""{_TAG_BASE}, n AS (SELECT (SELECT count(*) FROM (SELECT DISTINCT * EXCLUDE (semantic_type) FROM good))
   AS expected, (SELECT count(*) FROM stored WHERE (database_name, schema_name, table_name) IN
   (FROM touched SELECT (database_name, schema_name, table_name))) AS actual) SELECT *, expected = actual AS success FROM n""",
-    "tag_apply_metadata": "SELECT * FROM customer",
+    "tag_apply_metadata": " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {semantic} AS semantic, count({c}) AS non_null FROM customer"
+        for c, semantic in [("c_custkey", "NULL"), ("c_name", "'full-name'"), ("c_nationkey", "NULL"), ("c_acctbal", "NULL"), ("c_mktsegment", "NULL")]
+    ),
     "table_ref_resolve": """WITH r AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name
     WHEN 1 THEN concat(c_mktsegment, '.', c_name) ELSE concat('lake.', c_mktsegment, '.', c_name) END AS ref,
     CASE WHEN c_custkey % 3 = 2 THEN 'lake' ELSE 'main' END AS database_name,
@@ -449,11 +481,17 @@ SELECT *, format('{{}} column(s) failed due to: {{}}', columns, error) AS messag
   CAST(row_number() OVER (PARTITION BY {_K} ORDER BY position) - 1 AS INTEGER) AS position, column_name AS field_name,
   data_type AS type, CASE WHEN {_NUMERIC} THEN '' ELSE coalesce(semantic, '') END AS semantics
   FROM with_pii WHERE NOT {_UNSUPPORTED}""",
-    "manifest_from_scan": f"""{_ANSWERED_PII} SELECT table_name AS path, schema_name, position, column_name AS field_name,
+    "manifest_nested": f"""{_ANSWERED}, both_lakes AS (SELECT * FROM scan UNION ALL
+  SELECT * REPLACE ('pond' AS catalog_name) FROM scan WHERE position % 3 = 0),
+clean AS (SELECT * FROM both_lakes WHERE error IS NULL)
+SELECT catalog_name, schema_name, table_name AS path, CAST(count(*) AS INTEGER) AS n_fields,
+  string_agg(column_name, ',' ORDER BY position) AS names FROM clean
+WHERE ({_K}) IN (SELECT ({_K}) FROM clean WHERE semantic <> '') GROUP BY ALL""",
+    "manifest_from_scan": f"""{_ANSWERED_PII} SELECT table_name AS path, catalog_name, schema_name, position, column_name AS field_name,
   {_REFERENCE_TYPE} AS type, coalesce(semantic || ',pii', '') AS semantics FROM with_pii""",
     "manifest_from_tags": f"""{_TAGGED} SELECT table_name AS path, position, column_name AS field_name,
   {_REDSHIFT_TYPE} AS type, coalesce(semantic_type, '') AS semantics FROM joined WHERE schema_name = 's3'""",
-    "manifest_multi_schema": f"""{_TAGGED} SELECT concat(schema_name, '.', table_name) AS path, position,
+    "manifest_multi_schema": f"""{_TAGGED} SELECT concat(schema_name, '.', table_name) AS path, catalog_name, position,
   column_name AS field_name, {_REFERENCE_TYPE} AS type, coalesce(semantic_type || ',pii', '') AS semantics FROM joined""",
     "resolution_config": f"""{_ANSWERED_PII} SELECT concat_ws('.', {_K}) AS path, position, column_name AS field_name,
   data_type AS type, CASE WHEN {_NUMERIC} THEN '' ELSE coalesce(semantic, '') END AS semantics

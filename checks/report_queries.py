@@ -30,6 +30,11 @@ def _graded(spark: SparkSession, folder: str) -> DataFrame:
     return scores.profile_levels(_profile(spark, folder))
 
 
+def _three_regions(s: SparkSession, d: str) -> DataFrame:
+    sizes = _sizes(s, d)
+    return report_overlap.all_venn_regions(sizes, [r["source"] for r in report_overlap.top_sources(sizes).collect()])
+
+
 QUERIES = {
     "rpt_unified_view": lambda s, d: scores.unified_view(view(s, d, "unified"), MAPPING),
     "rpt_record_score": lambda s, d: scores.record_scores(_unified(s, d)).select("pk", "record_pii_score"),
@@ -52,7 +57,8 @@ QUERIES = {
     "rpt_source_count": lambda s, d: report_overlap.source_count(_sizes(s, d)),
     "rpt_top_sources": lambda s, d: report_overlap.top_sources(_sizes(s, d)),
     "rpt_overlap_groups": lambda s, d: report_overlap.overlap_groups(_sizes(s, d)),
-    "rpt_venn_regions": lambda s, d: report_overlap.venn_regions(_sizes(s, d)),
+    "rpt_venn_regions": _three_regions,
+    "rpt_venn_occurring": lambda s, d: report_overlap.venn_regions(_sizes(s, d)).drop("sources"),
     "rpt_pairwise_overlap": lambda s, d: report_overlap.pairwise_overlap(_sizes(s, d)),
     "rpt_overlap_matrix": lambda s, d: report_overlap.overlap_matrix(_sizes(s, d), PAIRED),
     "distinct_sources": lambda s, d: distinct_sources(view(s, d, "unified")),
@@ -170,13 +176,15 @@ UNION SELECT 'Source IDs', '2+ Records to 1 Cluster',
   FROM e_sizes GROUP BY 1""",
     "rpt_top_sources": "SELECT source, count(*) AS record_count FROM v WHERE source IN (SELECT source FROM top3) "
     "GROUP BY 1",
-    "rpt_overlap_groups": "SELECT venn_group, cnt FROM groups ORDER BY 1 LIMIT 1000",
+    "rpt_overlap_groups": "SELECT venn_group, cnt FROM groups ORDER BY 1",
     "rpt_venn_regions": """SELECT CAST(region AS BIGINT) AS region, regions.venn_group,
   CAST(coalesce(cnt, 0) AS BIGINT) AS cnt FROM (
   SELECT region, string_agg(source, ', ' ORDER BY source) AS venn_group
   FROM (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i FROM top3), range(1, 8) AS g(region)
   WHERE (region >> i) & 1 = 1 GROUP BY 1) AS regions
   LEFT JOIN groups ON regions.venn_group = groups.venn_group""",
+    "rpt_venn_occurring": """SELECT venn_group, count(*) AS cnt FROM (SELECT entity_id,
+  string_agg(DISTINCT source, ', ' ORDER BY source) AS venn_group FROM v WHERE source IS NOT NULL GROUP BY 1) GROUP BY 1""",
     "rpt_pairwise_overlap": "SELECT * FROM pairs",
     "rpt_overlap_matrix": "SELECT source_1, "
     + ", ".join(f"CAST(sum(CASE WHEN source_2 = '{s}' THEN cnt END) AS BIGINT) AS {s}" for s in PAIRED)

@@ -3,28 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from checks.views import table, view, with_views
+from checks.rules import MATCH_RULES, MATCH_WEIGHTS
+from checks.views import table
 from kinweave.operators import components, resolution, scores
 from kinweave.operators.report_overlap import pairwise_overlap
 from kinweave.sources.outputs import write_resolution
 from kinweave.sources.shared import scratch_path
 
+# Every match rule has records that it links, and some that it alone links.
 SEMANTICS = {
     "crm": {"c_name": "full-name", "mail": "email", "street": "address", "nation": "country", "c_mktsegment": "surname"},
     "orders": {"mail": "email", "caller": "phone"},
     "vendors": {"s_name": "full-name"},
     "web": {"mail": "email", "born": "birthdate"},
+    "members": {"c_name": "given-name", "c_mktsegment": "surname", "street": "address", "born": "birthdate"},
+    "guests": {"guest": "given-name", "c_mktsegment": "surname", "street": "address", "born": "birthdate"},
 }
-KEYS = {"crm": "c_custkey", "orders": "o_orderkey", "vendors": "s_suppkey", "web": "event_id"}
+KEYS = {"crm": "c_custkey", "orders": "o_orderkey", "vendors": "s_suppkey", "web": "event_id", "members": "m_id", "guests": ["c_nationkey", "c_custkey"]}
 
 
 def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
     """Source tables as they come: mixed case, stray blanks, phones with signs, dates in another order."""
     return {
         "crm": table(s, d, "customer").selectExpr(
-            "c_custkey",
+            "CASE WHEN c_custkey % 97 <> 1 THEN c_custkey END AS c_custkey",
             "c_name",
             "c_mktsegment",
             "CASE WHEN c_custkey % 2 = 0 THEN concat(' U', CAST(c_custkey AS STRING), '@Example.COM ') END AS mail",
@@ -36,7 +39,23 @@ def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
             "CASE WHEN o_orderkey % 3 = 0 THEN concat('u', CAST(o_custkey AS STRING), '@example.com') END AS mail",
             "CASE WHEN o_orderpriority = '1-URGENT' THEN concat('(555) ', CAST(o_custkey AS STRING), '-00') END AS caller",
         ),
-        "vendors": table(s, d, "supplier").select("s_suppkey", "s_name"),
+        "vendors": table(s, d, "supplier").selectExpr("s_suppkey - IF(s_suppkey % 10 = 3, 1, 0) AS s_suppkey", "s_name"),
+        "members": table(s, d, "customer").selectExpr(
+            "c_custkey AS m_id",
+            "c_name",
+            "c_mktsegment",
+            "CASE c_custkey % 3 WHEN 0 THEN concat('STREET ', CAST(c_nationkey AS STRING)) "
+            "WHEN 1 THEN concat('Lane ', CAST(c_custkey AS STRING)) END AS street",
+            "CASE WHEN c_custkey % 4 <> 0 THEN concat('02/01/19', CAST(60 + c_custkey % 30 AS STRING)) END AS born",
+        ),
+        "guests": table(s, d, "customer").filter("c_custkey % 5 < 3").selectExpr(
+            "c_custkey",
+            "c_nationkey",
+            "c_mktsegment",
+            "CASE WHEN c_custkey % 5 = 0 THEN upper(c_name) ELSE concat('guest ', CAST(c_custkey AS STRING)) END AS guest",
+            "CASE WHEN c_custkey % 5 = 1 THEN concat('lane  ', CAST(c_custkey AS STRING)) END AS street",
+            "CASE WHEN c_custkey % 7 <> 0 THEN concat('19', CAST(60 + c_custkey % 30 AS STRING), '-02-01') END AS born",
+        ),
         "web": table(s, d, "events").selectExpr(
             "event_id",
             "CASE WHEN event_type = 'signup' THEN concat('u', CAST(user_id AS STRING), '@example.com') END AS mail",
@@ -46,8 +65,7 @@ def _tables(s: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def _records(s: SparkSession, d: str) -> DataFrame:
-    """Records of the unified view without the entity they belong to."""
-    return view(s, d, "unified").select(F.col("pk").alias("record_id"), "datasource", *resolution.FIELDS)
+    return resolution.standardise(_tables(s, d), SEMANTICS, KEYS)
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
@@ -69,7 +87,8 @@ def _stored_overlap(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "er_standardise": lambda s, d: resolution.standardise(_tables(s, d), SEMANTICS, KEYS),
+    "er_standardise": _records,
+    "er_rejected": lambda s, d: resolution.rejected(_tables(s, d), KEYS),
     "er_blocks": lambda s, d: resolution.blocks(_records(s, d)),
     "er_pairs": lambda s, d: resolution.pairs(_records(s, d)).select("id_a", "id_b", "rules"),
     "er_scores": _edges,
@@ -91,10 +110,30 @@ def _agrees(fields: tuple[str, ...]) -> str:
     return f"CASE WHEN {' AND '.join(f'a.{f} = b.{f}' for f in fields)} THEN '{'+'.join(fields)}' END"
 
 
-_AGREE = ", ".join(_agrees(rule) for rule in resolution.match_rules())
-_BASE = f"""WITH RECURSIVE {with_views(['unified']).removeprefix('WITH ')},
-records AS (SELECT pk AS record_id, datasource, {_FIELDS} FROM unified),
-blocks AS ({' UNION ALL '.join(_block(rule) for rule in resolution.match_rules())}),
+_AGREE = ", ".join(_agrees(rule) for rule in MATCH_RULES)
+_RECORDS = """
+SELECT concat('crm:', c_custkey) AS record_id, 'crm' AS datasource, lower(c_name) AS given_name,
+  lower(c_mktsegment) AS surname, CASE WHEN c_custkey % 2 = 0 THEN concat('u', c_custkey, '@example.com') END AS email,
+  CAST(NULL AS VARCHAR) AS phone, CASE WHEN c_acctbal > 5000 THEN concat('street ', c_nationkey, ' nation ', c_nationkey)
+    WHEN c_acctbal > 0 THEN concat('street ', c_nationkey) END AS address, CAST(NULL AS VARCHAR) AS birthdate
+  FROM customer WHERE c_custkey % 97 <> 1
+UNION ALL SELECT concat('orders:', o_orderkey), 'orders', NULL, NULL,
+  CASE WHEN o_orderkey % 3 = 0 THEN concat('u', o_custkey, '@example.com') END,
+  CASE WHEN o_orderpriority = '1-URGENT' THEN concat('555', o_custkey, '00') END, NULL, NULL FROM orders
+UNION ALL SELECT concat('vendors:', s_suppkey - CASE WHEN s_suppkey % 10 = 3 THEN 1 ELSE 0 END), 'vendors', lower(s_name),
+  NULL, NULL, NULL, NULL, NULL FROM supplier
+UNION ALL SELECT concat('web:', event_id), 'web', NULL, NULL,
+  CASE WHEN event_type = 'signup' THEN concat('u', user_id, '@example.com') END, NULL, NULL,
+  CASE WHEN event_type = 'purchase' THEN '1990-12-31' END FROM events
+UNION ALL SELECT concat('members:', c_custkey), 'members', lower(c_name), lower(c_mktsegment), NULL, NULL,
+  CASE c_custkey % 3 WHEN 0 THEN concat('street ', c_nationkey) WHEN 1 THEN concat('lane ', c_custkey) END,
+  CASE WHEN c_custkey % 4 <> 0 THEN concat('19', 60 + c_custkey % 30, '-02-01') END FROM customer
+UNION ALL SELECT concat('guests:', c_nationkey, chr(31), c_custkey), 'guests',
+  CASE WHEN c_custkey % 5 = 0 THEN lower(c_name) ELSE concat('guest ', c_custkey) END, lower(c_mktsegment), NULL, NULL,
+  CASE WHEN c_custkey % 5 = 1 THEN concat('lane ', c_custkey) END,
+  CASE WHEN c_custkey % 7 <> 0 THEN concat('19', 60 + c_custkey % 30, '-02-01') END FROM customer WHERE c_custkey % 5 < 3"""
+_BASE = f"""WITH RECURSIVE records AS ({_RECORDS}),
+blocks AS ({' UNION ALL '.join(_block(rule) for rule in MATCH_RULES)}),
 hubs AS (SELECT rule, block_key, min(record_id) AS hub FROM blocks GROUP BY ALL),
 found AS (SELECT blocks.record_id AS id_a, hub AS id_b, rule, coalesce({_AGREE}) AS first_rule,
     concat_ws(', ', {_AGREE}) AS rules
@@ -112,7 +151,7 @@ resolved AS (SELECT records.*, coalesce(component, record_id) AS entity_id
 
 def _scores_sql() -> str:
     score, alike, known = [], [], []
-    for f, w in resolution.MATCH_WEIGHTS.items():
+    for f, w in MATCH_WEIGHTS.items():
         both = f"a.{f} IS NOT NULL AND b.{f} IS NOT NULL"
         near = f"1 - CAST(levenshtein(a.{f}, b.{f}) AS DOUBLE) / greatest(length(a.{f}), length(b.{f}))"
         score.append(f"CASE WHEN a.{f} = b.{f} THEN CAST({w} AS DOUBLE) ELSE 0 END")
@@ -125,18 +164,11 @@ def _scores_sql() -> str:
 
 
 ORACLES = {
-    "er_standardise": """
-SELECT concat('crm:', c_custkey) AS record_id, 'crm' AS datasource, lower(c_name) AS given_name,
-  lower(c_mktsegment) AS surname, CASE WHEN c_custkey % 2 = 0 THEN concat('u', c_custkey, '@example.com') END AS email,
-  NULL AS phone, CASE WHEN c_acctbal > 5000 THEN concat('street ', c_nationkey, ' nation ', c_nationkey)
-    WHEN c_acctbal > 0 THEN concat('street ', c_nationkey) END AS address, NULL AS birthdate FROM customer
-UNION ALL SELECT concat('orders:', o_orderkey), 'orders', NULL, NULL,
-  CASE WHEN o_orderkey % 3 = 0 THEN concat('u', o_custkey, '@example.com') END,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN concat('555', o_custkey, '00') END, NULL, NULL FROM orders
-UNION ALL SELECT concat('vendors:', s_suppkey), 'vendors', lower(s_name), NULL, NULL, NULL, NULL, NULL FROM supplier
-UNION ALL SELECT concat('web:', event_id), 'web', NULL, NULL,
-  CASE WHEN event_type = 'signup' THEN concat('u', user_id, '@example.com') END, NULL, NULL,
-  CASE WHEN event_type = 'purchase' THEN '1990-12-31' END FROM events""",
+    "er_standardise": _RECORDS,
+    "er_rejected": """
+SELECT 'crm' AS datasource, CAST(NULL AS VARCHAR) AS record_key, 'no key' AS reason, count(*) AS lines FROM customer
+  WHERE c_custkey % 97 = 1 HAVING count(*) > 0
+UNION ALL SELECT 'vendors', CAST(s_suppkey - 1 AS VARCHAR), 'repeated key', 2 FROM supplier WHERE s_suppkey % 10 = 3""",
     "er_blocks": f"{_BASE} SELECT * FROM blocks",
     "er_pairs": f"{_BASE} SELECT * FROM pairs",
     "er_scores": f"{_BASE} {_scores_sql()}",

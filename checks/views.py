@@ -106,7 +106,8 @@ SELECT 'lake' AS catalog_name, concat('s', CAST(c_custkey % 5 AS STRING)) AS sch
 FROM customer
 """
 
-# What a model answered for each table, as text: right, fenced, cut short, with an item missing, or no list.
+# What a model answered for each table, as text: right, fenced, cut short, with an item missing, no list, with a semantic
+# that does not exist, or twice.
 ANSWERS = """
 SELECT catalog_name, schema_name, table_name,
   CASE k % 9 WHEN 1 THEN concat('```json', chr(10), body, chr(10), '```') WHEN 2 THEN concat('```', body, '```')
@@ -118,13 +119,17 @@ FROM (
            CAST(o_custkey - o_custkey % 5 AS STRING)) AS table_name,
     o_custkey AS k, min(item) AS item, concat('[', listagg(item, ', '), ']') AS body
   FROM (
-    SELECT o_custkey, concat('{"name": "', column_name, '", "semantic": ', CASE o_orderkey % 6
-      WHEN 0 THEN '"email"' WHEN 1 THEN '"phone"' WHEN 2 THEN '"given-name"' WHEN 3 THEN '""' ELSE 'null' END,
+    SELECT o_custkey, concat('{"name": "', column_name, '", "semantic": ', CASE WHEN o_orderkey % 211 = 5
+      THEN '"nickname"' ELSE CASE o_orderkey % 6 WHEN 0 THEN '"email"' WHEN 1 THEN '"phone"'
+        WHEN 2 THEN '"given-name"' WHEN 3 THEN '""' ELSE 'null' END END,
       '}') AS item
     FROM orders JOIN columns ON position = o_orderkey
   ) AS items
   GROUP BY o_custkey
 ) AS tables
+UNION ALL SELECT 'lake', concat('s', CAST(c_custkey % 5 AS STRING)),
+  concat(CASE WHEN c_custkey % 40 = 39 THEN '_resolved_t' ELSE 't' END, CAST(c_custkey - c_custkey % 5 AS STRING)), '[]'
+FROM customer WHERE c_custkey % 53 = 1
 """
 
 # Semantic tags already stored.
@@ -136,12 +141,17 @@ SELECT 'lake' AS database_name, schema_name, table_name, column_name,
 FROM columns WHERE data_type IN ('string', 'varchar(20)')
 """
 
-# Tags to store: some lack a field.
+# Tags to store: some lack a field, some columns are tagged twice. Positions of these columns are 1 more than a multiple
+# of 4, and no multiples of 5, 7, 11, 13, 17, 19 or 23.
 TAG_BATCH = """
-SELECT 'lake' AS database_name, schema_name, table_name,
-  CASE WHEN position % 45 = 0 THEN CAST(NULL AS STRING) ELSE column_name END AS column_name,
-  CASE WHEN position % 35 = 0 THEN '' WHEN position % 10 = 0 THEN 'email' ELSE 'full-name' END AS semantic_type
+SELECT CASE WHEN position % 31 = 1 THEN CAST(NULL AS STRING) ELSE 'lake' END AS database_name,
+  CASE WHEN position % 37 = 2 THEN '' ELSE schema_name END AS schema_name,
+  CASE WHEN position % 41 = 3 THEN CAST(NULL AS STRING) ELSE table_name END AS table_name,
+  CASE WHEN position % 9 = 0 THEN CAST(NULL AS STRING) ELSE column_name END AS column_name,
+  CASE WHEN position % 27 = 3 THEN '' WHEN position % 3 = 1 THEN 'email' ELSE 'full-name' END AS semantic_type
 FROM columns WHERE data_type = 'timestamp'
+UNION ALL SELECT 'lake', schema_name, table_name, column_name, 'surname'
+FROM columns WHERE data_type = 'timestamp' AND position % 29 = 1
 """
 
 # Requests to change a scan result: exclude a table, exclude a column, change a semantic.

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from kinweave.functions.binding import bind
 
 # The semantics a column may carry.
-SEMANTICS = (
-    "pk address address2 birthdate city country state postal create-dt update-dt email full-name given-name "
-    "surname title generational-suffix gender phone"
-).split()
+SEMANTICS = [
+    "pk", "address", "address2", "birthdate", "city", "country", "state", "postal", "create-dt", "update-dt", "email",
+    "full-name", "given-name", "surname", "title", "generational-suffix", "gender", "phone",
+]
 
 
 @dataclass(frozen=True)
@@ -31,8 +31,8 @@ class NameRule:
 
 # Tried in this order, the first that fits wins.
 NAME_RULES = [
-    NameRule("email", "email|e_mail|mail_address|email_address"),
-    NameRule("phone", "phone|telephone|mobile|cell|phone_number"),
+    NameRule("email", "email|e_mail|mail_address|e_?mail_?address"),
+    NameRule("phone", "phone|telephone|mobile|cell_?(phone|number|no)|phone_number"),
     NameRule("birthdate", "birth_?date|birth_?day|dob|date_of_birth"),
     NameRule("address2", "address_?(line_?)?2|addr_?2|apartment|suite"),
     NameRule("address", "address|addr|street"),
@@ -87,8 +87,9 @@ VALUE_PATTERNS = {
     "email": ValuePattern(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"),
     "ipv4": ValuePattern(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", r"[0-9]\.[0-9]"),
     "card": ValuePattern(r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", "[0-9]{4}"),
-    "phone": ValuePattern(r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}", "-[0-9]{4}"),
     "date": ValuePattern(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "[0-9]{4}-"),
+    # With or without country code, brackets round the area code, and blanks, dots or hyphens between the groups.
+    "phone": ValuePattern(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}", "[ .-][0-9]{4}"),
 }
 
 

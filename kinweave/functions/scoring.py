@@ -38,27 +38,38 @@ def completeness(weights: Mapping[str, float] = WEIGHTS) -> Column:
     )
 
 
-def presence_bits(weights: Mapping[str, float] = WEIGHTS) -> Column:
-    """One bit per weighted column, set where the column is not null.
+#: Weighted columns told by one number.
+WORD = 62
+
+
+def bit_names(weights: Mapping[str, float] = WEIGHTS, prefix: str = "bits") -> list[str]:
+    """The columns that hold the presence bits: ``bits``, and ``bits_1`` and so on for more than ``WORD`` weights."""
+    return [prefix, *(f"{prefix}_{i}" for i in range(1, -(-len(weights) // WORD)))]
+
+
+def presence_bits(weights: Mapping[str, float] = WEIGHTS) -> list[Column]:
+    """One bit per weighted column, set where the column is not null, in the columns ``bit_names``.
 
     ``bit_or`` of these bits over a group says which columns the whole group holds. It is the same
-    question as ``max(column) IS NOT NULL`` for each column, answered by one fixed-width number, so the
+    question as ``max(column) IS NOT NULL`` for each column, answered by fixed-width numbers, so the
     aggregation stays a hash aggregate and no strings are shuffled.
     """
-    if len(weights) > 62:
-        raise ValueError("at most 62 weighted columns")
-    terms = [
-        F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-        for i, c in enumerate(weights)
-    ]
-    return reduce(lambda a, b: a.bitwiseOR(b), terms) if terms else F.lit(0).cast("bigint")
+    columns, words = list(weights), []
+    for at, name in enumerate(bit_names(weights)):
+        terms = [
+            F.when(F.col(c).isNotNull(), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
+            for i, c in enumerate(columns[at * WORD : (at + 1) * WORD])
+        ]
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), terms, F.lit(0).cast("bigint")).alias(name))
+    return words
 
 
-def bits_score(bits: Column, weights: Mapping[str, float] = WEIGHTS) -> Column:
-    """The score ``completeness`` would give a row holding exactly the columns set in ``bits``."""
+def bits_score(weights: Mapping[str, float] = WEIGHTS, prefix: str = "bits") -> Column:
+    """The score ``completeness`` would give a row holding exactly the columns set in the bits of this prefix."""
+    names = bit_names(weights, prefix)
     return _total(
         [
-            F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.lit(float(w))).otherwise(F.lit(0.0))
+            F.when(F.col(names[i // WORD]).bitwiseAND(F.lit(1 << i % WORD)) != 0, F.lit(float(w))).otherwise(F.lit(0.0))
             for i, w in enumerate(weights.values())
         ]
     )

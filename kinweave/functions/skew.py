@@ -1,71 +1,20 @@
-"""Joins that stay balanced when one key holds a large share of all rows.
+"""Joins that stay balanced when one key, or no key, holds a large share of all rows.
 
-A key is hot when it holds more than ``HOT_ROWS`` rows and more than 1/HOT_SHARE of all. Fewer than HOT_SHARE keys can
-be hot, whatever the size of the data, so what belongs to them on the other side (one line per key) may be broadcast.
-Rows of hot keys then stay where they are, spread over all tasks; all other rows are joined by a shuffle in which no
-key is large. Both parts together are the plain join, nothing is dropped or capped.
+Adaptive execution splits a partition that a hot key makes large, for inner, left, left semi and left anti joins, if each
+side's shuffle stands right below the join. An aggregate on the other side stands in the way. So the side with one line
+per key is written first and read back; the rows are read once, whatever their keys, and null keys are split like others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from kinweave.sources.shared import materialise
 
-HOT_SHARE = 10_000
-HOT_ROWS = 100_000
 
-
-def hot_bound(total: int, hot_rows: int | None = None) -> int:
-    """Most rows a key may have, of ``total``, without being hot."""
-    return max(HOT_ROWS if hot_rows is None else hot_rows, total // HOT_SHARE)
-
-
-def join_to_groups(
-    rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, hot_rows: int | None = None
-) -> DataFrame:
-    """Inner join of ``rows`` with ``groups``, which holds one line per key and, in ``size``, its number of rows.
-
-    ``size`` is dropped. ``groups`` is read more than once, so pass a written table (``shared.materialise``): an
-    aggregate joined to its own input would also keep Spark from splitting skewed partitions, as its side has no
-    shuffle right below the join. One small job looks for hot keys; without any this is the plain join.
-    """
-    keys = list(keys)
-    total, largest = groups.agg(F.sum(size), F.max(size)).first()
-    bound = hot_bound(total or 0, hot_rows)
-    if (largest or 0) <= bound:
-        return rows.join(groups.drop(size), keys, "inner")
-    hot = groups.filter(F.col(size) > bound).drop(size)
-    cold = groups.filter(F.col(size) <= bound).drop(size)
-    from_hot = rows.join(F.broadcast(hot), keys, "inner")
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return from_hot.unionByName(rest.join(cold, keys, "inner"))
-
-
-def join_by_key(
-    rows: DataFrame, right: DataFrame, keys: Sequence[str], how: str, hot_rows: int | None = None
-) -> DataFrame:
+def join_by_key(rows: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """``rows.join(right, keys, how)`` for ``inner``, ``left``, ``left_semi`` or ``left_anti``, where ``right`` holds at
-    most one line per key and ``rows`` may hold any number.
-
-    The rows are counted first, and if there are enough of them, counted by key. A null key can be hot too: it
-    matches nothing, but a shuffle would bring all its rows into one task.
-    """
-    keys = list(keys)
-    total = rows.count()
-    bound = hot_bound(total, hot_rows)
-    if total <= bound:
-        return rows.join(right, keys, how)
-    counts = rows.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.count("*").alias("_n"))
-    hot = materialise(counts.filter(F.col("_n") > bound).drop("_n"), "hot").df
-    if hot.isEmpty():
-        return rows.join(right, keys, how)
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
-    of_hot = right.join(F.broadcast(hot), same, "left_semi")
-    spread = rows.join(F.broadcast(hot), same, "left_semi").join(F.broadcast(of_hot), keys, how)
-    rest = rows.join(F.broadcast(hot), same, "left_anti").join(right, keys, how)
-    return spread.unionByName(rest)
+    most one line per key and ``rows`` may hold any number. ``right`` is written below the shared folder."""
+    return rows.join(materialise(right, "right").df, list(keys), how)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from kinweave.functions.unions import union_all
 from kinweave.functions.patterns import VALUE_PATTERNS, ValuePattern, any_pattern, holds, may_hold, value_kind
 
 
@@ -39,7 +40,12 @@ def content_evidence(
         ]
         parts.append(df.agg(*counts).select(F.lit(table).alias("table_name"), F.inline(F.array(*lines))))
     share = F.round(F.try_divide(F.col("matches").cast("double"), F.col("non_null").cast("double")), 6)
-    return reduce(DataFrame.unionByName, parts).withColumn("share", share)
+    return union_all(parts).withColumn("share", share)
+
+
+def text_columns(df: DataFrame) -> list[str]:
+    """The string columns of a table, by its schema."""
+    return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
 def text_findings(

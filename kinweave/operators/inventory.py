@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from kinweave.functions.names import likeness
+from kinweave.functions.unions import union_all
 from kinweave.sources.catalog import COLUMN_KEYS
 
 
@@ -29,7 +29,7 @@ def table_row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
         df.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
         for name, df in tables.items()
     ]
-    return reduce(DataFrame.unionByName, counts)
+    return union_all(counts)
 
 
 def table_inventory(

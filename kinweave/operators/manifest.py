@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from kinweave.functions.binding import bind
 from kinweave.functions.skew import join_by_key
 from kinweave.functions.types import is_numeric, is_unsupported, normalise_type
-from kinweave.operators.pii import check_width
 from kinweave.sources.catalog import COLUMN_KEYS
 
 
+# Endings of setting names that would hold a secret.
+SECRET_WORDS = ("password", "private_key", "token", "secret")
+
+
 def _has(name: str) -> Column:
     return F.coalesce(F.col(name) != "", F.lit(False))
 
@@ -65,12 +68,14 @@ def unsupported_fields(scan: DataFrame) -> DataFrame:
 
 
 def manifest_from_scan(scan: DataFrame, mode: str = "reference") -> DataFrame:
-    """Fields of all tables with PII, ``path`` being the bare table name, semantics ``[semantic, "pii"]``."""
+    """Fields of all tables with PII, ``path`` being the bare table name, semantics ``[semantic, "pii"]``. Catalogue
+    and schema tell tables of one name apart."""
     return (
         tables_with_pii(scan)
         .filter(_has("table_name") & _has("column_name"))
         .select(
             F.col("table_name").alias("path"),
+            "catalog_name",
             "schema_name",
             "position",
             F.col("column_name").alias("field_name"),
@@ -103,9 +108,11 @@ def manifest_from_tags(columns: DataFrame, tags: DataFrame, database: str, schem
 
 
 def manifest_multi_schema(columns: DataFrame, tags: DataFrame, mode: str = "reference") -> DataFrame:
-    """Fields of the tagged tables of any number of schemas, ``path`` being ``schema.table``."""
+    """Fields of the tagged tables of any number of schemas, ``path`` being ``schema.table``. The catalogue tells those
+    of one path apart."""
     return _tagged(columns, tags).select(
         F.concat_ws(".", "schema_name", "table_name").alias("path"),
+        "catalog_name",
         "position",
         F.col("column_name").alias("field_name"),
         normalise_type(F.col("data_type"), mode).alias("type"),
@@ -114,8 +121,11 @@ def manifest_multi_schema(columns: DataFrame, tags: DataFrame, mode: str = "refe
 
 
 def nest_fields(fields: DataFrame) -> DataFrame:
-    """One line per table: ``path, fields`` in column order, named as in the manifest JSON."""
-    check_width(fields, ["path"])
+    """One line per table: ``path, fields`` in column order, named as in the manifest JSON.
+
+    Fields that carry ``catalog_name`` or ``schema_name`` are nested by those too, and keep them, so tables of one path
+    do not mix. A line holds one table's columns, which Spark holds as one schema anyway.
+    """
     entry = F.struct("position", F.col("field_name").alias("field-name"), "type", "semantics")
     shaped = F.transform(
         F.sort_array(F.collect_list(entry)),
@@ -123,24 +133,43 @@ def nest_fields(fields: DataFrame) -> DataFrame:
             f["field-name"].alias("field-name"), f["type"].alias("type"), f["semantics"].alias("semantics")
         ),
     )
-    return fields.groupBy("path").agg(shaped.alias("fields"))
+    keys = [c for c in ("catalog_name", "schema_name") if c in fields.columns]
+    return fields.groupBy(*keys, "path").agg(shaped.alias("fields"))
 
 
 def documents(nested: DataFrame, settings: Mapping[str, Any], name: str | None = None) -> DataFrame:
     """``path, body``: a complete manifest in JSON for each table of ``nest_fields``, with the settings of the run.
+    Settings that look like secrets are refused.
 
     One document per table keeps a manifest of any number of tables out of a single row.
     """
+    refuse_secrets(settings)
     whole = F.struct(
         *([F.lit(name).alias("name")] if name else []),
         F.array(F.struct("path", "fields")).alias("tables"),
     )
     head = F.regexp_replace(F.to_json(whole), r"\}$", "")
+    keys = [c for c in ("catalog_name", "schema_name") if c in nested.columns]
     return nested.select(
-        "path", F.concat(head, F.lit(',"settings":'), F.lit(json.dumps(dict(settings))), F.lit("}")).alias("body")
+        *keys, "path", F.concat(head, F.lit(',"settings":'), F.lit(json.dumps(dict(settings))), F.lit("}")).alias("body")
     )
 
 
+def refuse_secrets(settings: Mapping[str, Any]) -> None:
+    """Fail if the name of a setting, at any depth, looks like that of a secret."""
+
+    def names(value: Any) -> list[str]:
+        if isinstance(value, Mapping):
+            return [str(k) for k in value] + [n for v in value.values() for n in names(v)]
+        if isinstance(value, (list, tuple)):
+            return [n for v in value for n in names(v)]
+        return []
+
+    secrets = [n for n in names(settings) if n.lower().endswith(SECRET_WORDS)]
+    if secrets:
+        raise ValueError(f"manifests must not hold secrets: {', '.join(secrets)}")
+
+
 def _present(**values: Any) -> dict[str, Any]:
     return {k: v for k, v in values.items() if v}
 

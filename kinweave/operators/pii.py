@@ -6,25 +6,15 @@ classified. Tables are told apart by ``catalog_name, schema_name, table_name`` t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.patterns import NAME_RULES, UUID_PATTERN, NameRule, name_semantic, snake_case
-from kinweave.functions.skew import join_to_groups
+from kinweave.functions.patterns import NAME_RULES, SEMANTICS, UUID_PATTERN, NameRule, name_semantic, snake_case
 from kinweave.functions.types import is_numeric
 from kinweave.sources.catalog import COLUMN_KEYS
 from kinweave.sources.shared import materialise
 
 
-def check_width(rows: DataFrame, keys: Sequence[str], limit: int = 20_000) -> None:
-    """Fail if a table has more than ``limit`` columns. Run before all columns of a table are put into one row."""
-    widest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-    if widest is not None and widest > limit:
-        raise ValueError(f"a table has {widest} columns, more than the {limit} that may be nested in one row")
-
-
 def skip_tables(df: DataFrame, prefix: str) -> DataFrame:
     """Without tables whose name starts with ``prefix`` (case counts): the outputs of earlier resolution runs."""
     return df.filter(~F.coalesce(F.col("table_name").startswith(prefix), F.lit(False)))
@@ -77,15 +67,22 @@ def ingest_answers(columns: DataFrame, answers: DataFrame) -> DataFrame:
     ``answers`` has the three table names and ``response``: a JSON list with one ``{"name", "semantic"}`` for each
     column, perhaps inside a code fence. Names are matched exactly, the last entry of a name counts, an empty
     semantic is none, unknown names are ignored. A response that is no list or has another length makes every
-    column of the table an error; so does a missing response.
+    column of the table an error; so do a missing response, more than one answer for the table, and a semantic that
+    is not one of ``SEMANTICS``.
     """
     text = _answer_text(F.col("response"))
-    parsed = answers.select(
-        *COLUMN_KEYS, F.when(text.startswith("["), F.from_json(text, "array<string>")).alias("items")
+    one = answers.groupBy(*COLUMN_KEYS).agg(F.max("response").alias("response"), F.count("*").alias("answers"))
+    parsed = one.select(
+        *COLUMN_KEYS, "answers", F.when(text.startswith("["), F.from_json(text, "array<string>")).alias("items")
     )
+    given = F.transform("items", lambda i: F.get_json_object(i, "$.semantic"))
+    unknown = F.get(F.filter(given, lambda s: (s != "") & ~s.isin(*SEMANTICS)), F.lit(0))
     expected = columns.groupBy(*COLUMN_KEYS).agg(F.count("*").alias("n"))
-    problem = F.when(F.col("items").isNull(), F.lit("Failed to parse the answer")).when(
-        F.size("items") != F.col("n"), F.format_string("Expected %d items, got %d", F.col("n"), F.size("items"))
+    problem = (
+        F.when(F.col("answers") > 1, F.format_string("%d answers for one table", F.col("answers")))
+        .when(F.col("items").isNull(), F.lit("Failed to parse the answer"))
+        .when(F.size("items") != F.col("n"), F.format_string("Expected %d items, got %d", F.col("n"), F.size("items")))
+        .when(unknown.isNotNull(), F.format_string("Unknown semantic '%s'", unknown))
     )
     # Used twice below, and parsing is the costly part.
     checked = materialise(expected.join(parsed, COLUMN_KEYS, "left").withColumn("error", problem), "answers").df
@@ -102,7 +99,7 @@ def ingest_answers(columns: DataFrame, answers: DataFrame) -> DataFrame:
         .groupBy(*COLUMN_KEYS, "column_name")
         .agg(F.max("entry").getField("semantic").alias("semantic"))
     )
-    with_error = join_to_groups(columns, checked.select(*COLUMN_KEYS, "error", "n"), COLUMN_KEYS, "n")
+    with_error = columns.join(checked.select(*COLUMN_KEYS, "error"), COLUMN_KEYS)
     return with_error.join(entries, [*COLUMN_KEYS, "column_name"], "left").select(
         *columns.columns, "semantic", "error"
     )
@@ -169,7 +166,6 @@ def location_rollup(summary: DataFrame, locations: DataFrame | None = None) -> D
 
 def table_profile(scan: DataFrame, at: str) -> DataFrame:
     """One JSON ``profile`` per table: its names, columns in order, PII tags, and the time ``at`` (ISO text)."""
-    check_width(scan, COLUMN_KEYS)
     column = F.struct("position", F.col("column_name").alias("name"), F.col("data_type").alias("type"), "semantic")
     columns = F.sort_array(F.collect_list(column))
     schema = F.transform("columns", lambda c: F.struct(c["name"].alias("name"), c["type"].alias("type")))

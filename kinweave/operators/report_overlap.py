@@ -97,10 +97,10 @@ def source_sets(prof: DataFrame, sources: DataFrame | None = None, keep_null_ent
     )
 
 
-def overlap_groups(prof: DataFrame, sources: DataFrame | None = None, limit: int | None = 1000) -> DataFrame:
+def overlap_groups(prof: DataFrame, sources: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """``venn_group, cnt``: entities by the exact set of chosen sources they appear in, names joined by ", ".
 
-    ``sources`` defaults to the three largest. The null entity counts as one. ``limit`` is the report length.
+    ``sources`` defaults to the three largest. The null entity counts as one. ``limit``, if any, is the report length.
     """
     chosen = top_sources(prof) if sources is None else sources
     out = source_sets(prof, chosen, keep_null_entity=True).select(
@@ -111,20 +111,25 @@ def overlap_groups(prof: DataFrame, sources: DataFrame | None = None, limit: int
 
 
 def venn_regions(prof: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """``region, venn_group, cnt`` for every non-empty combination of the chosen sources, 0 where none.
+    """``sources, venn_group, cnt`` for every combination of the chosen sources (default: all) that occurs. The set
+    itself is the key, so there may be any number of sources."""
+    return source_sets(prof, sources, keep_null_entity=True).select(
+        "sources", F.array_join("sources", ", ").alias("venn_group"), "cnt"
+    )
+
+
+def all_venn_regions(prof: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``region, venn_group, cnt`` for every non-empty combination of a few sources named by a person, 0 where none.
 
-    Region numbers count in binary over the sources in name order: A, B, AB, C, AC, BC, ABC. Works for any number
-    of chosen sources, also fewer than three.
+    Region numbers count in binary over the sources in name order: A, B, AB, C, AC, BC, ABC. There are 2 to the number
+    of sources less one of them, made by all tasks.
     """
-    chosen = top_sources(prof) if sources is None else sources
-    names = chosen.agg(F.sort_array(F.collect_set("source")).alias("names")).filter(F.size("names") > 0)
-    regions = names.select(
-        "names",
-        F.explode(F.expr("sequence(1L, shiftleft(1L, size(names)) - 1L)")).alias("region"),
-    ).select(
-        "region",
-        F.expr("filter(names, (name, i) -> (region & shiftleft(1L, i)) <> 0)").alias("sources"),
-    )
+    ordered = sorted({n for n in names if n is not None})
+    spark = prof.sparkSession
+    regions = spark.range(1, 1 << len(ordered)).withColumnRenamed("id", "region")
+    bits = [F.when(F.col("region").bitwiseAND(F.lit(1 << i)) != 0, F.lit(name)) for i, name in enumerate(ordered)]
+    regions = regions.select("region", F.array_compact(F.array(*bits)).cast("array<string>").alias("sources"))
+    chosen = spark.range(1).select(F.explode(F.array(*map(F.lit, ordered)).cast("array<string>")).alias("source"))
     counts = source_sets(prof, chosen, keep_null_entity=True)
     return (
         regions.join(counts, "sources", "left")

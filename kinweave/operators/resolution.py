@@ -16,7 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.skew import join_to_groups
+from kinweave.functions.unions import union_all
 from kinweave.sources.shared import materialise
 
 FIELDS = ["given_name", "surname", "email", "phone", "address", "birthdate"]
@@ -66,12 +66,13 @@ def _day(text: Column) -> Column:
 
 
 def standardise(
-    tables: Mapping[str, DataFrame], semantics: Mapping[str, Mapping[str, str]], keys: Mapping[str, str]
+    tables: Mapping[str, DataFrame], semantics: Mapping[str, Mapping[str, str]], keys: Mapping[str, str | Sequence[str]]
 ) -> DataFrame:
     """Records of all tables in one form: ``record_id, datasource`` and the six identity columns.
 
     ``semantics`` gives, for each table (by its manifest path, which becomes ``datasource``), the columns and their
-    tags; ``keys`` its key column. Names, e-mail and address are trimmed and lower-cased, phones keep digits only,
+    tags; ``keys`` its key column, or several that make the key together. Lines without a key are no records (see
+    ``rejected``); lines of one key are one record in resolution. Names, e-mail and address are trimmed and lower-cased, phones keep digits only,
     dates become ISO dates; what is empty or unreadable is null. A full name is split at its first blank where no
     given name or surname is tagged; address parts are joined in the order address, address2, city, state, postal,
     country.
@@ -92,8 +93,8 @@ def standardise(
         lines = ["address", "address2", "city", "state", "postal", "country"]
         address = F.nullif(F.concat_ws(" ", *[_clean(text(t)) for t in lines]), F.lit(""))
         parts.append(
-            df.select(
-                F.concat(F.lit(f"{path}:"), F.col(keys[path]).cast("string")).alias("record_id"),
+            df.filter(_key(keys[path]).isNotNull()).select(
+                F.concat(F.lit(f"{path}:"), _key(keys[path])).alias("record_id"),
                 F.lit(path).alias("datasource"),
                 F.coalesce(_clean(text("given-name")), first).alias("given_name"),
                 F.coalesce(_clean(text("surname")), rest).alias("surname"),
@@ -103,7 +104,25 @@ def standardise(
                 _day(text("birthdate")).alias("birthdate"),
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
+
+
+def _key(columns: str | Sequence[str]) -> Column:
+    """The key of a line as text; null if any part is."""
+    names = [columns] if isinstance(columns, str) else list(columns)
+    text = [F.col(c).cast("string") for c in names]
+    return reduce(lambda a, b: F.concat(a, F.lit(KEY_SEPARATOR), b), text)
+
+
+def rejected(tables: Mapping[str, DataFrame], keys: Mapping[str, str | Sequence[str]]) -> DataFrame:
+    """``datasource, record_key, reason, lines``: lines without a key, which ``standardise`` leaves out, and keys held by
+    more than one line. A line per key."""
+    parts = []
+    for path, df in tables.items():
+        counts = df.groupBy(_key(keys[path]).alias("record_key")).agg(F.count("*").alias("lines"))
+        reason = F.when(F.col("record_key").isNull(), F.lit("no key")).when(F.col("lines") > 1, F.lit("repeated key"))
+        parts.append(counts.select(F.lit(path).alias("datasource"), "record_key", reason.alias("reason"), "lines"))
+    return union_all(parts).filter("reason IS NOT NULL")
 
 
 def _keys(rules: Sequence[Sequence[str]]) -> Column:
@@ -133,18 +152,18 @@ def _agreeing(rules: Sequence[Sequence[str]]) -> Column:
 
 
 def pairs(
-    records: DataFrame, rules: Sequence[Sequence[str]] | None = None, hot_rows: int | None = None
+    records: DataFrame, rules: Sequence[Sequence[str]] | None = None
 ) -> DataFrame:
     """``id_a, id_b, a, b, rules``: records with the smallest id of a group they belong to, each pair once.
 
     ``a`` and ``b`` are the fields of the two records, ``rules`` the names of all rules they agree on. The smallest
-    records of groups with more than one are written to the shared folder first.
+    records of groups with more than one are written to the shared folder first. Records without an id match nothing.
 
     A pair found by a rule is kept if it agrees on no earlier rule. Otherwise both records are in one group of that
     earlier rule and connected there, so the components are the same, and no shuffle is needed to find repeats.
     """
     rules = rules or match_rules()
-    keyed = records.select("record_id", F.struct(*FIELDS).alias("a"), F.inline(_keys(rules)))
+    keyed = records.filter("record_id IS NOT NULL").select("record_id", F.struct(*FIELDS).alias("a"), F.inline(_keys(rules)))
     hubs = (
         keyed.groupBy("rule", "block_key")
         .agg(F.min(F.struct("record_id", "a")).alias("hub"), F.count("*").alias("size"))
@@ -153,7 +172,7 @@ def pairs(
     )
     hubs = materialise(hubs, "hubs").df
     return (
-        join_to_groups(keyed, hubs, ["rule", "block_key"], "size", hot_rows)
+        keyed.join(hubs.drop("size"), ["rule", "block_key"])
         .filter("record_id <> id_b")
         .withColumn("agreeing", _agreeing(rules))
         .filter(F.get("agreeing", F.lit(0)) == F.col("rule"))

@@ -10,12 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.scoring import LEVELS, WEIGHTS, bits_score, classify, completeness, presence_bits
-from kinweave.functions.skew import join_to_groups
-from kinweave.sources.shared import materialise
+from kinweave.functions.scoring import LEVELS, WEIGHTS, bit_names, bits_score, classify, completeness, presence_bits
+from kinweave.functions.skew import join_by_key
 
 SCORES = ["record_pii_score", "source_pii_score", "entity_pii_score", "max_record_pii_score"]
 
@@ -58,8 +57,8 @@ def record_levels(
 def profile(view: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """``entity_id, source, bits, records``: how many records show which columns (null keys kept)."""
     return (
-        view.select("entity_id", "source", presence_bits(weights).alias("bits"))
-        .groupBy("entity_id", "source", "bits")
+        view.select("entity_id", "source", *presence_bits(weights))
+        .groupBy("entity_id", "source", *bit_names(weights))
         .agg(F.count("*").alias("records"))
     )
 
@@ -69,12 +68,16 @@ def sizes(view: DataFrame) -> DataFrame:
     return view.groupBy("entity_id", "source").agg(F.count("*").alias("records"))
 
 
+def _merged(weights: Mapping[str, float]) -> list[Column]:
+    return [F.bit_or(n).alias(n) for n in bit_names(weights)]
+
+
 def source_scores(prof: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """``entity_id, source, source_pii_score``: score of all records of an entity in a source taken together."""
     return (
         prof.groupBy("entity_id", "source")
-        .agg(F.bit_or("bits").alias("bits"))
-        .select("entity_id", "source", bits_score(F.col("bits"), weights).alias("source_pii_score"))
+        .agg(*_merged(weights))
+        .select("entity_id", "source", bits_score(weights).alias("source_pii_score"))
     )
 
 
@@ -82,44 +85,37 @@ def entity_scores(prof: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> Da
     """``entity_id, max_record_pii_score, entity_pii_score`` over all records of an entity."""
     return (
         prof.groupBy("entity_id")
-        .agg(
-            F.max(bits_score(F.col("bits"), weights)).alias("max_record_pii_score"),
-            F.bit_or("bits").alias("bits"),
-        )
-        .select(
-            "entity_id", "max_record_pii_score", bits_score(F.col("bits"), weights).alias("entity_pii_score")
-        )
+        .agg(F.max(bits_score(weights)).alias("max_record_pii_score"), *_merged(weights))
+        .select("entity_id", "max_record_pii_score", bits_score(weights).alias("entity_pii_score"))
     )
 
 
 def profile_scores(prof: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """``prof`` with the four scores. Lines without entity or source are left out, but a line without source
     still counts for its entity. The window holds at most sources x column sets lines of one entity."""
-    score = bits_score(F.col("bits"), weights)
+    score, names = bits_score(weights), bit_names(weights)
     entity = Window.partitionBy("entity_id")
     source = Window.partitionBy("entity_id", "source")
     return (
         prof.filter(F.col("entity_id").isNotNull())
-        .withColumn("entity_bits", F.bit_or("bits").over(entity))
+        .withColumns({f"entity_{n}": F.bit_or(n).over(entity) for n in names})
         .withColumn("max_record_pii_score", F.max(score).over(entity))
-        .withColumn("source_bits", F.bit_or("bits").over(source))
+        .withColumns({f"source_{n}": F.bit_or(n).over(source) for n in names})
         .filter(F.col("source").isNotNull())
         .select(
             "entity_id",
             "source",
-            "bits",
+            *names,
             "records",
             score.alias("record_pii_score"),
-            bits_score(F.col("source_bits"), weights).alias("source_pii_score"),
-            bits_score(F.col("entity_bits"), weights).alias("entity_pii_score"),
+            bits_score(weights, "source_bits").alias("source_pii_score"),
+            bits_score(weights, "entity_bits").alias("entity_pii_score"),
             "max_record_pii_score",
         )
     )
 
 
-def scored(
-    view: DataFrame, weights: Mapping[str, float] = WEIGHTS, hot_rows: int | None = None
-) -> DataFrame:
+def scored(view: DataFrame, weights: Mapping[str, float] = WEIGHTS) -> DataFrame:
     """Every record with its own score and those of its source group and entity.
 
     Records without entity or source drop out, as in an inner join on both keys. Scores of the two groups are
@@ -132,13 +128,9 @@ def scored(
             F.max("source_pii_score").alias("source_pii_score"),
             F.max("entity_pii_score").alias("entity_pii_score"),
             F.max("max_record_pii_score").alias("max_record_pii_score"),
-            F.sum("records").alias("group_records"),
         )
     )
-    table = materialise(groups, "scores").df
-    return join_to_groups(
-        record_scores(view, weights), table, ["entity_id", "source"], "group_records", hot_rows
-    )
+    return join_by_key(record_scores(view, weights), groups, ["entity_id", "source"], "inner")
 
 
 def with_levels(df: DataFrame, levels: Mapping[str, float] = LEVELS) -> DataFrame:
@@ -157,10 +149,9 @@ def levels(
     view: DataFrame,
     weights: Mapping[str, float] = WEIGHTS,
     bounds: Mapping[str, float] = LEVELS,
-    hot_rows: int | None = None,
 ) -> DataFrame:
     """Row-level result: entity, source, the four scores and their levels."""
-    return with_levels(scored(view, weights, hot_rows), bounds).select(
+    return with_levels(scored(view, weights), bounds).select(
         "entity_id",
         "source",
         "record_pii_score",

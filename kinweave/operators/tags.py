@@ -6,6 +6,8 @@ are its key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,15 @@ def _given(name: str) -> Column:
     return F.coalesce(F.col(name) != "", F.lit(False))
 
 
+def _complete() -> Column:
+    return reduce(lambda a, b: a & b, [_given(c) for c in [*TAG_KEYS, "semantic_type"]])
+
+
+def _retagged(batch: DataFrame) -> DataFrame:
+    """The tables a batch names in full."""
+    return batch.filter(reduce(lambda a, b: a & b, [_given(c) for c in TABLE_KEYS])).select(*TABLE_KEYS).distinct()
+
+
 def tag_plan(scan: DataFrame) -> DataFrame:
     """Tags to store for a scan: ``database_name, schema_name, table_name, column_name, semantic_type`` of every
     column with a semantic, in tables without error, where no name is blank."""
@@ -39,10 +50,10 @@ def tag_plan(scan: DataFrame) -> DataFrame:
 def tag_errors(batch: DataFrame) -> DataFrame:
     """Tags of a batch that cannot be stored, with ``error``: a field is missing, or the column appears with another
     semantic too (the first in sort order is stored)."""
-    missing = ~(_given("table_name") & _given("column_name") & _given("semantic_type"))
-    lacking = batch.filter(missing).select(
-        *TAG_KEYS, "semantic_type", F.lit("Missing table, column, or semantic_type").alias("error")
-    )
+    missing = ~_complete()
+    inner = _given("table_name") & _given("column_name") & _given("semantic_type")
+    reason = F.when(inner, F.lit("Missing database or schema")).otherwise(F.lit("Missing table, column, or semantic_type"))
+    lacking = batch.filter(missing).select(*TAG_KEYS, "semantic_type", reason.alias("error"))
     stored = _storable(batch).select(*TAG_KEYS, F.col("semantic_type").alias("stored_type"))
     clashes = (
         batch.filter(~missing)
@@ -55,7 +66,7 @@ def tag_errors(batch: DataFrame) -> DataFrame:
 
 def _storable(batch: DataFrame) -> DataFrame:
     return (
-        batch.filter(_given("table_name") & _given("column_name") & _given("semantic_type"))
+        batch.filter(_complete())
         .groupBy(*TAG_KEYS)
         .agg(F.min("semantic_type").alias("semantic_type"))
     )
@@ -64,7 +75,7 @@ def _storable(batch: DataFrame) -> DataFrame:
 def upsert_tags(existing: DataFrame, batch: DataFrame, at: Column) -> DataFrame:
     """The tag table after storing ``batch``: tables named in the batch lose their old tags and get the new ones,
     stamped ``at``; all other tags stay. An empty batch changes nothing. See ``tag_errors`` for what is left out."""
-    retagged = batch.filter(_given("table_name")).select(*TABLE_KEYS).distinct()
+    retagged = _retagged(batch)
     kept = join_by_key(existing, retagged, TABLE_KEYS, "left_anti")
     fresh = _storable(batch).withColumn("updated_at", at)
     return kept.unionByName(fresh.select(*existing.columns))
@@ -72,7 +83,7 @@ def upsert_tags(existing: DataFrame, batch: DataFrame, at: Column) -> DataFrame:
 
 def verify_upsert(tags: DataFrame, batch: DataFrame) -> DataFrame:
     """``expected, actual, success``: tags to be stored against tags found for the tables of the batch."""
-    retagged = batch.filter(_given("table_name")).select(*TABLE_KEYS).distinct()
+    retagged = _retagged(batch)
     expected = _storable(batch).agg(F.count("*").alias("n")).select(F.lit("expected").alias("side"), "n")
     actual = (
         join_by_key(tags, retagged, TABLE_KEYS, "left_semi")

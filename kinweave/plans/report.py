@@ -39,7 +39,7 @@ def identity_report(
         "source_count": report_overlap.source_count(prof.df),
         "top_sources": top,
         "overlap_groups": report_overlap.overlap_groups(prof.df, top),
-        "venn_regions": report_overlap.venn_regions(prof.df, top),
+        "venn_regions": report_overlap.all_venn_regions(prof.df, [r["source"] for r in top.collect()]),
         "pairwise_overlap": report_overlap.pairwise_overlap(prof.df),
     }
     return reports, [prof, graded]

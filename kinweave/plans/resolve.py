@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,36 +28,38 @@ def manifest_semantics(manifest: DataFrame) -> dict[str, dict[str, str]]:
 def resolve_manifest(
     spark: SparkSession,
     manifest: DataFrame,
-    keys: Mapping[str, str] | None = None,
+    keys: Mapping[str, str | Sequence[str]] | None = None,
     read: Callable[[str], DataFrame] | None = None,
-    hot_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame, list[SharedTable]]:
     """``resolve`` for the tables of a manifest, opened by ``read`` (default: by table name).
 
-    The key of a table is its column tagged ``pk``; ``keys`` names it where none is (numeric keys carry no tag).
+    The key of a table is its columns tagged ``pk``, in name order; ``keys`` names it where none is (numeric keys carry
+    no tag).
     """
     semantics = manifest_semantics(manifest)
-    tagged = {path: c for path, columns in semantics.items() for c, tag in columns.items() if tag == "pk"}
+    tagged = {}
+    for path, columns in semantics.items():
+        if found := sorted(c for c, tag in columns.items() if tag == "pk"):
+            tagged[path] = found
     chosen = {**tagged, **(keys or {})}
     lacking = sorted(set(semantics) - set(chosen))
     if lacking:
         raise ValueError(f"no key column known for {', '.join(lacking)}")
     opener = read or spark.table
-    return resolve({path: opener(path) for path in semantics}, semantics, chosen, hot_rows=hot_rows)
+    return resolve({path: opener(path) for path in semantics}, semantics, chosen)
 
 
 def resolve(
     tables: Mapping[str, DataFrame],
     semantics: Mapping[str, Mapping[str, str]],
-    keys: Mapping[str, str],
+    keys: Mapping[str, str | Sequence[str]],
     weights: Mapping[str, float] = resolution.MATCH_WEIGHTS,
     threshold: float = resolution.MATCH_THRESHOLD,
-    hot_rows: int | None = None,
 ) -> tuple[DataFrame, DataFrame, list[SharedTable]]:
     """``unified_coalesced``, ``unified_scores`` and the shared tables they read (drop them once both are stored)."""
     records = materialise(resolution.standardise(tables, semantics, keys), "records")
     rules = resolution.match_rules(weights, threshold)
-    found = resolution.pairs(records.df, rules, hot_rows)
+    found = resolution.pairs(records.df, rules)
     edges = materialise(resolution.pair_scores(found, weights), "edges")
     entities = connected_components(edges.df)
     return resolution.unified(records.df, entities), edges.df, [records, edges]

@@ -9,9 +9,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinweave.operators.manifest import refuse_secrets
+
 TABLES_SCHEMA = "path string, fields array<struct<`field-name`: string, type: string, semantics: array<string>>>"
-# Endings of setting names that would hold a secret.
-SECRET_WORDS = ("password", "private_key", "token", "secret")
 
 
 def write_manifest(tables: DataFrame, settings: Mapping[str, Any], path: str) -> None:
@@ -20,10 +20,7 @@ def write_manifest(tables: DataFrame, settings: Mapping[str, Any], path: str) ->
     ``path/tables`` has one JSON document per table, so a lake of any size is written by all tasks;
     ``path/settings`` has one line per setting, nested ones as JSON text. Settings that look like secrets are refused.
     """
-    names = [*settings, *[inner for value in settings.values() if isinstance(value, Mapping) for inner in value]]
-    secrets = [name for name in names if name.lower().endswith(SECRET_WORDS)]
-    if secrets:
-        raise ValueError(f"manifests must not hold secrets: {', '.join(secrets)}")
+    refuse_secrets(settings)
     spark = tables.sparkSession
     tables.select("path", "fields").write.mode("overwrite").json(f"{path}/tables")
     rows = [(k, v if v is None or isinstance(v, str) else json.dumps(v)) for k, v in settings.items()]

@@ -20,14 +20,17 @@ CONNECTORS = {
 def read_source(spark: SparkSession, kind: str, path: str | None = None, **options: Any) -> DataFrame:
     """A table from any source: ``table`` (by name), a file format, ``jdbc``, or a warehouse connector.
 
-    For ``jdbc`` kinds pass ``partitionColumn, lowerBound, upperBound, numPartitions``; without them one task reads
-    the whole table.
+    ``jdbc`` kinds need ``partitionColumn, lowerBound, upperBound, numPartitions``, as one task would otherwise read the
+    whole table.
     """
     if kind == "table":
         if not path:
             raise ValueError("a table name is needed")
         return spark.table(path)
-    reader = spark.read.format(CONNECTORS.get(kind, kind)).options(**options)
+    name = CONNECTORS.get(kind, kind)
+    if name == "jdbc" and not {"partitioncolumn", "lowerbound", "upperbound", "numpartitions"} <= {o.lower() for o in options}:
+        raise ValueError("jdbc reads need partitionColumn, lowerBound, upperBound and numPartitions")
+    reader = spark.read.format(name).options(**options)
     return reader.load(path) if path else reader.load()
 
 
@@ -59,9 +62,15 @@ def run_sql(
     catalog: str | None = None,
     database: str | None = None,
 ) -> DataFrame:
-    """The result of one SQL query with named parameters, in the given catalogue and database if any."""
-    if catalog:
-        spark.catalog.setCurrentCatalog(catalog)
-    if database:
-        spark.catalog.setCurrentDatabase(database)
-    return spark.sql(query, args=dict(args)) if args else spark.sql(query)
+    """The result of one SQL query with named parameters, in the given catalogue and database if any. Names are looked
+    up at once, and the session is left as it was."""
+    before = spark.catalog.currentCatalog(), spark.catalog.currentDatabase()
+    try:
+        if catalog:
+            spark.catalog.setCurrentCatalog(catalog)
+        if database:
+            spark.catalog.setCurrentDatabase(database)
+        return spark.sql(query, args=dict(args)) if args else spark.sql(query)
+    finally:
+        spark.catalog.setCurrentCatalog(before[0])
+        spark.catalog.setCurrentDatabase(before[1])

@@ -124,6 +124,16 @@ def test_answers(spark):
     }
 
 
+def test_answers_that_are_no_answers(spark):
+    columns = lake(spark, [("a", "x", "string"), ("b", "x", "string")])
+    two = answers_for(spark, a='[{"name": "x", "semantic": "email"}]', b='[{"name": "x", "semantic": "nickname"}]')
+    got = pii.ingest_answers(columns, two.unionByName(answers_for(spark, a='[{"name": "x", "semantic": "phone"}]'))).collect()
+    assert sorted((r.table_name, r.semantic, r.error) for r in got) == [
+        ("a", None, "2 answers for one table"),
+        ("b", None, "Unknown semantic 'nickname'"),
+    ]
+
+
 def test_last_entry_of_a_name_counts(spark):
     columns = lake(spark, [("a", "x", "string"), ("a", "y", "string")])
     text = '[{"name": "x", "semantic": "email"}, {"name": "x", "semantic": "phone"}]'
@@ -156,11 +166,6 @@ def test_profile_holds_columns_in_order(spark, scan):
     assert users["table"]["table_name"] == "users" and users["profiling_timestamp"].startswith("2024")
 
 
-def test_too_wide_tables_are_refused(scan):
-    with pytest.raises(ValueError, match="more than the 3"):
-        pii.check_width(scan, ["table_name"], limit=3)
-
-
 # ---- edits ----
 
 
@@ -297,6 +302,19 @@ def test_same_table_name_in_two_schemas(spark):
     assert got == [("s1.t", "string", ["email", "pii"])]
 
 
+def test_equal_paths_are_not_mixed_when_nested(spark):
+    columns = lake(spark, [("t", "email", "string")], "s1").unionByName(lake(spark, [("t", "phone", "string")], "s2"))
+    nested = manifest.nest_fields(manifest.manifest_from_scan(pii.classify_columns(columns)))
+    got = sorted((r.schema_name, r.path, [f["field-name"] for f in r.fields]) for r in nested.collect())
+    assert got == [("s1", "t", ["email"]), ("s2", "t", ["phone"])]
+
+
+def test_secrets_are_found_at_any_depth(spark, scan):
+    nested = manifest.nest_fields(manifest.resolution_config(scan))
+    with pytest.raises(ValueError, match="api_token"):
+        manifest.documents(nested, {"a": [{"b": {"api_token": "x"}}]})
+
+
 def test_manifest_from_tags(spark):
     columns = lake(spark, [("customers", "email", "varchar"), ("customers", "phone", "varchar"), ("customers", "id", "int"), ("other", "x", "int")])
     stored = spark.createDataFrame([("dev", "public", "customers", c, c) for c in ["email", "phone"]], TAGS)
@@ -510,6 +528,30 @@ def test_sources_by_format(spark, tmp_path, rows):
     assert readers.name_columns(got).columns == ["column_1"]
 
 
+def test_a_query_elsewhere_leaves_the_session_where_it_was(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS elsewhere")
+    try:
+        assert readers.run_sql(spark, "SELECT current_database() AS d", database="elsewhere").first()[0] is not None
+        assert spark.catalog.currentDatabase() == "default"
+        with pytest.raises(Exception, match="(?i)not.found"):
+            readers.run_sql(spark, "SELECT * FROM no_such_table", database="elsewhere")
+        assert spark.catalog.currentDatabase() == "default"
+    finally:
+        spark.sql("DROP DATABASE elsewhere")
+
+
+def test_jdbc_needs_partitions(spark):
+    for kind in ("jdbc", "databricks"):
+        with pytest.raises(ValueError, match="partitionColumn"):
+            readers.read_source(spark, kind, url="jdbc:x", dbtable="t")
+
+
+@pytest.mark.parametrize("phone", ["555-123-4567", "(555) 123-4567", "+1 (555) 123-4567", "+44 555 123 4567", "555.123.4567"])
+def test_shapes_of_phones(spark, phone):
+    found = content.text_findings(spark.createDataFrame([(1, f"call {phone}, please")], "id int, body string"), "id", "body")
+    assert [(r.kind, r.value) for r in found.collect()] == [("phone", phone)]
+
+
 def test_content(spark, rows):
     texts = ["mail a@x.org or b@y.org, a@x.org", "card 4111 1111 1111 1111 ip 10.0.0.1", None, "tel +1 (555) 123-4567 on 2024-01-31"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, body string")

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.functions.scoring import LEVELS, WEIGHTS
 from kinweave.operators import report_global, report_overlap, report_source, scores
@@ -65,9 +66,8 @@ def brute_force(records_in):
     return sorted(kept, key=repr)
 
 
-@pytest.mark.parametrize("hot_rows", [0, 100_000])
-def test_scores_match_brute_force(view, rows, hot_rows):
-    df = scores.scored(view, hot_rows=hot_rows)
+def test_scores_match_brute_force(view, rows):
+    df = scores.scored(view)
     got = rows(df, "entity_id", "source", *scores.SCORES)
     assert got == brute_force(EDGE_ROWS)
 
@@ -82,7 +82,7 @@ def test_profile_scores_carry_all_records(view, prof, rows):
 
 
 def test_hot_entity_gives_the_same_rows(spark, rows):
-    """A third of all rows in one entity, another third in one source; broadcast and shuffle agree."""
+    """A third of all rows in one entity, another third in one source."""
     df = spark.range(6000).selectExpr(
         "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('e', id) END AS entity_id",
         "CASE WHEN id % 3 = 1 THEN 'big' ELSE concat('s', id % 7) END AS datasource",
@@ -93,10 +93,13 @@ def test_hot_entity_gives_the_same_rows(spark, rows):
         "CASE WHEN id = 3 THEN 'a' END AS address",
         "CAST(NULL AS STRING) AS birthdate",
     )
-    hot = scores.levels(scores.unified_view(df), hot_rows=10)
-    plain = scores.levels(scores.unified_view(df), hot_rows=10**9)
-    assert "BroadcastHashJoin" in hot._jdf.queryExecution().toString()
-    assert rows(hot) == rows(plain) and hot.count() == 6000
+    view = scores.unified_view(df)
+    found = scores.levels(view)
+    best = view.groupBy("entity_id").agg(*[F.max(c).alias(c) for c in scores.WEIGHTS])
+    score = scores.completeness().alias("entity_pii_score")
+    want = view.select("entity_id", "source").join(best.select("entity_id", score), "entity_id")
+    assert rows(found, "entity_id", "source", "entity_pii_score") == rows(want, "entity_id", "source", "entity_pii_score")
+    assert found.count() == 6000
 
 
 def test_mapping_merges_sources(records, rows):
@@ -141,10 +144,27 @@ def test_improvement_keeps_levels_of_one_side(prof, rows):
 
 
 def test_regions_for_any_number_of_sources(prof, rows):
-    two = report_overlap.venn_regions(prof, report_overlap.top_sources(prof, 2).filter("source IS NOT NULL"))
-    assert rows(two) == [(1, "crm", 2), (2, "web", 1), (3, "crm, web", 1)]
-    one = prof.filter("source = 'crm'").select("source").distinct()
-    assert rows(report_overlap.venn_regions(prof, one)) == [(1, "crm", 3)]
+    assert rows(report_overlap.all_venn_regions(prof, ["web", "crm"])) == [(1, "crm", 2), (2, "web", 1), (3, "crm, web", 1)]
+    assert rows(report_overlap.all_venn_regions(prof, ["crm"])) == [(1, "crm", 3)]
+    assert report_overlap.all_venn_regions(prof, []).count() == 0
+    assert rows(report_overlap.venn_regions(prof), "venn_group", "cnt") == [("crm", 2), ("crm, web", 1), ("web", 1)]
+
+
+def test_regions_of_a_hundred_sources(spark, rows):
+    prof = spark.range(5000).selectExpr("concat('e', id % 1000) AS entity_id", "concat('s', id % 97 + 1000) AS source", "1L AS records")
+    found = report_overlap.venn_regions(prof)
+    assert found.agg(F.sum("cnt")).first()[0] == 1000 and found.filter("size(sources) <> 5").isEmpty()
+
+
+def test_more_weights_than_one_number_holds(spark):
+    weights = {f"c{i}": float(i + 1) for i in range(130)}
+    df = spark.range(20).select(
+        (F.col("id") % 3).cast("string").alias("entity_id"), F.lit("s").alias("source"),
+        *[F.when((F.col("id") * (i + 1)) % 7 == 0, "x").alias(f"c{i}") for i in range(130)],
+    )
+    for r in scores.scored(df, weights).collect():
+        assert r.record_pii_score == sum(w for c, w in weights.items() if r[c])
+        assert r.entity_pii_score >= r.record_pii_score
 
 
 def test_pairs_ignore_null_entity_and_source(prof, rows):

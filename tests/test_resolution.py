@@ -52,12 +52,11 @@ def random_records(n, seed):
     ]
 
 
-@pytest.mark.parametrize("hot_rows", [0, 100_000])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_entities_equal_all_pairs(spark, seed, hot_rows):
+def test_entities_equal_all_pairs(spark, seed):
     records = random_records(250, seed)
     df = spark.createDataFrame([tuple(r.values()) for r in records], SCHEMA)
-    edges = resolution.pair_scores(resolution.pairs(df, hot_rows=hot_rows))
+    edges = resolution.pair_scores(resolution.pairs(df))
     found = resolution.unified(df, components.connected_components(edges))
     assert {r.record_id: r.entity_id for r in found.collect()} == brute_force_entities(records)
     assert edges.filter(f"score < {resolution.MATCH_THRESHOLD}").isEmpty()
@@ -87,7 +86,7 @@ def test_a_key_held_by_a_third_of_all_records(spark):
         "CAST(NULL AS STRING) AS address",
         "CAST(NULL AS STRING) AS birthdate",
     )
-    found = resolution.pairs(df, hot_rows=50)
+    found = resolution.pairs(df)
     assert found.count() == 999
     entities = resolution.unified(df, components.connected_components(found))
     sizes = sorted(r["count"] for r in entities.groupBy("entity_id").count().collect())
@@ -110,6 +109,17 @@ def test_components(spark, edges):
     assert found == groups_of(edges, {n for e in edges for n in e})
 
 
+def test_records_without_a_key_leave_other_links_alone(spark):
+    rows = [(1, 7, "a@x.org"), (2, 7, "a@x.org"), (None, 7, "a@x.org"), (3, None, "a@x.org"), (2, 7, "b@x.org")]
+    table = spark.createDataFrame(rows, "k int, j int, mail string")
+    records = resolution.standardise({"t": table}, {"t": {"mail": "email"}}, {"t": ["k", "j"]})
+    assert records.count() == 3
+    pairs = resolution.pairs(records.unionByName(records.limit(1).selectExpr("CAST(NULL AS STRING) AS record_id", *records.columns[1:])))
+    assert pairs.select("id_a", "id_b").collect() == [("t:2\x1f7", "t:1\x1f7")]
+    refused = resolution.rejected({"t": table}, {"t": ["k", "j"]})
+    assert {tuple(r) for r in refused.collect()} == {("t", None, "no key", 2), ("t", "2\x1f7", "repeated key", 2)}
+
+
 def test_components_of_nothing(spark):
     assert components.connected_components(spark.createDataFrame([], "id_a string, id_b string")).count() == 0
 
