@@ -149,11 +149,32 @@ def _nested(s: SparkSession, d: str) -> DataFrame:
     return nested.select("catalog_name", "schema_name", "path", F.size("fields").alias("n_fields"), names.alias("names"))
 
 
+def _given_columns(s: SparkSession, d: str) -> DataFrame:
+    for name in TABLES:
+        table(s, d, name).createOrReplaceTempView(name)
+    return catalog.column_catalog(s, TABLES)
+
+
+def _with_evidence(s: SparkSession, d: str) -> DataFrame:
+    """The given tables' columns, classified by name, then by what a hundredth of their values look like."""
+    found = content.content_evidence({n: (df, cs) for n in TABLES if (cs := content.text_columns(df := table(s, d, n)))})
+    scan = pii.classify_columns(_given_columns(s, d))
+    return pii.with_evidence(scan, found, 0.01).select("table_name", "column_name", "semantic")
+
+
+def _schema_edits(s: SparkSession, d: str) -> DataFrame:
+    wanted = _edits(s, d, "exclude_column").withColumn("schema_name", F.lit("s1"))
+    return edits.exclude_columns(_scan(s, d), wanted)
+
+
 QUERIES = {
     "sample_rows": lambda s, d: inventory.sample_rows(table(s, d, "orders"), ["o_orderkey"]),
     "csv_chunk_scan": _csv_chunks,
     "run_sql": _run_sql,
     "column_catalog": lambda s, d: catalog.read_columns(_columns(s, d), "lake", ["s1", "s2"], view(s, d, "tags")),
+    "catalog_columns": lambda s, d: _given_columns(s, d).select("table_name", "column_name", "data_type", "position"),
+    "pii_classify_with_evidence": _with_evidence,
+    "pii_exclude_column_in_schema": _schema_edits,
     "read_semantic_tags": lambda s, d: catalog.read_tags(view(s, d, "tags"), "lake", "s2"),
     "manifest_roundtrip": _manifest_roundtrip,
     "table_column_counts": lambda s, d: inventory.table_column_counts(_columns(s, d)),
@@ -376,6 +397,11 @@ _ANY = "|".join(f"(?:{p})" for p in VALUE_PATTERNS.values())
 _KIND_CASE = " ".join(f"WHEN regexp_full_match(value, '{p}') THEN '{k}'" for k, p in VALUE_PATTERNS.items())
 _ROW_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES)
 
+_TYPE_NAMES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz", "FLOAT[]": "array<float>"}
+_TYPE_NAME = f"CASE data_type {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in _TYPE_NAMES.items())} END"
+_GIVEN = f"""SELECT table_name, column_name, {_TYPE_NAME} AS data_type, CAST(column_index - 1 AS BIGINT) AS position
+  FROM duckdb_columns() WHERE NOT internal"""
+
 ORACLES = {
     "sample_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10",
     "csv_chunk_scan": f"SELECT {', '.join(CHUNK_COLUMNS)} FROM customer",
@@ -383,6 +409,14 @@ ORACLES = {
     "WHERE o_totalprice > 100000 GROUP BY 1",
     "column_catalog": f"{with_views(['columns', 'tags'])} SELECT * FROM columns WHERE catalog_name = 'lake' AND "
     "schema_name IN ('s1', 's2') AND (schema_name, table_name) IN (SELECT (schema_name, table_name) FROM tags)",
+    "catalog_columns": _GIVEN,
+    "pii_classify_with_evidence": f"""WITH given AS ({_GIVEN}), named AS (SELECT table_name, column_name,
+  CASE WHEN {_NUMERIC} THEN NULL {_RULE_CASE} END AS semantic FROM given),
+seen AS (SELECT table_name, column_name, arg_max(pattern, (share, pattern)) AS kind FROM ({_evidence_sql()})
+  WHERE pattern IN ('email', 'phone') AND share >= 0.01 GROUP BY ALL)
+SELECT table_name, column_name, coalesce(semantic, kind) AS semantic FROM named LEFT JOIN seen USING (table_name, column_name)""",
+    "pii_exclude_column_in_schema": f"""{_edited('exclude_column', '1')} SELECT scan.* REPLACE
+  (CASE WHEN v IS NULL OR schema_name <> 's1' THEN semantic END AS semantic) FROM scan JOIN hits USING (position)""",
     "read_semantic_tags": f"{with_views(['tags'])} SELECT table_name AS \"table\", column_name AS \"column\", "
     "semantic_type AS semantic FROM tags WHERE database_name = 'lake' AND schema_name = 's2'",
     "table_column_counts": f"{_COLUMNS} SELECT {_K}, count(DISTINCT column_name) AS column_count FROM columns GROUP BY ALL",

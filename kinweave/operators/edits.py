@@ -1,6 +1,7 @@
 """Changes a person asks for after a scan. Names are compared without regard to case.
 
-``edits`` holds ``table_name`` (null = every table), ``column_name``, and for changes ``new_semantic``. Edits that
+``edits`` holds ``table_name`` (null = every table), ``column_name``, and for changes ``new_semantic``. It may also have
+``catalog_name`` and ``schema_name``; where they are given, the edit is for that catalogue or schema alone. Edits that
 name a table and edits that do not are joined separately, each on its whole key, so that a frequent column name
 meets at most one edit.
 """
@@ -25,23 +26,44 @@ def _edit_keys(edits: DataFrame) -> DataFrame:
     return edits.withColumns({"_table": F.lower("table_name"), "_column": F.lower("column_name")})
 
 
+_PLACES = "array<struct<catalog:string,schema:string>>"
+
+
+def _place(edits: DataFrame) -> Column:
+    """Where an edit holds; null parts mean everywhere. A person writes few edits for one name."""
+    given = [F.lower(c) if c in edits.columns else F.lit(None).cast("string") for c in ("catalog_name", "schema_name")]
+    return F.struct(given[0].alias("catalog"), given[1].alias("schema"))
+
+
+def _here(place: Column) -> Column:
+    """Whether an edit for this place is for the column of the scan."""
+    same = [F.coalesce(place[p] == F.lower(F.col(f"{p}_name")), place[p].isNull()) for p in ("catalog", "schema")]
+    return same[0] & same[1]
+
+
 def _mark_columns(scan: DataFrame, edits: DataFrame, value: Column) -> DataFrame:
     """``scan`` with ``_edit``: the value of the edit for this column; one naming the table goes first, and of two
     for the same key the greater value."""
     keyed = _edit_keys(edits).filter("_column IS NOT NULL").withColumn("_value", value)
-    exact = keyed.filter("_table IS NOT NULL").groupBy("_table", "_column").agg(F.max("_value").alias("_exact"))
-    general = keyed.filter("_table IS NULL").groupBy("_column").agg(F.max("_value").alias("_general"))
+    entry = F.collect_set(F.struct(F.col("_value").alias("value"), _place(edits).alias("place")))
+    exact = keyed.filter("_table IS NOT NULL").groupBy("_table", "_column").agg(entry.alias("_exact"))
+    general = keyed.filter("_table IS NULL").groupBy("_column").agg(entry.alias("_general"))
     marked = join_by_key(_keyed(scan), exact, ["_table", "_column"], "left")
     marked = join_by_key(marked, general, ["_column"], "left")
-    return marked.withColumn("_edit", F.coalesce("_exact", "_general"))
+
+    def best(entries: str) -> Column:
+        return F.array_max(F.transform(F.filter(entries, lambda e: _here(e["place"])), lambda e: e["value"]))
+
+    return marked.withColumn("_edit", F.coalesce(best("_exact"), best("_general")))
 
 
 def exclude_tables(scan: DataFrame, edits: DataFrame) -> DataFrame:
     """``scan`` with ``excluded``; columns of excluded tables lose their semantic, so the table has no PII."""
-    names = edits.select(F.lower("table_name").alias("_table")).filter("_table IS NOT NULL").distinct()
-    keyed = scan.withColumn("_table", F.lower("table_name"))
-    marked = join_by_key(keyed, names.withColumn("_hit", F.lit(True)), ["_table"], "left")
-    return _apply_exclusion(scan, marked.withColumn("excluded", F.coalesce("_hit", F.lit(False))))
+    named = edits.withColumn("_table", F.lower("table_name")).filter("_table IS NOT NULL")
+    places = named.groupBy("_table").agg(F.collect_set(_place(edits)).alias("_places"))
+    marked = join_by_key(scan.withColumn("_table", F.lower("table_name")), places, ["_table"], "left")
+    hit = F.exists(F.coalesce("_places", F.array().cast(_PLACES)), _here)
+    return _apply_exclusion(scan, marked.withColumn("excluded", hit))
 
 
 def exclude_tables_containing(scan: DataFrame, texts: Sequence[str]) -> DataFrame:

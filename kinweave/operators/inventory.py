@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 from kinweave.functions.names import likeness
 from kinweave.functions.unions import union_all
 from kinweave.sources.catalog import COLUMN_KEYS
+from kinweave.sources.shared import materialise
 
 
 def table_column_counts(columns: DataFrame, keys: Sequence[str] = COLUMN_KEYS) -> DataFrame:
@@ -74,28 +75,36 @@ def fuzzy_name_match(
     similar name of at least ``min_score`` (none if that is None); ties go to the first in sort order. (A first-come
     search over a list lets an earlier substring hit beat a later equal name; here the order of the names has no
     influence.)
-    ``targets`` are typed by a person, ``names`` may be large: each name is scored once per target where it lies,
-    and only one candidate per target and task is shuffled.
+    ``targets`` are typed by a person, ``names`` may be large: only one candidate per target and task is shuffled. The
+    sure hits are looked for first; names are scored only for targets without one, and only where the lengths and the
+    letters two names share leave the score within reach (both are upper bounds of it, worked out without Python).
     """
-    wanted = F.explode(F.array(*[F.lit(t) for t in targets])).alias("target")
-    rows = names.select(F.col(column).alias("name")).filter("name <> ''").select("name", wanted)
-    rows = rows.withColumns({"t": F.lower(F.trim("target")), "c": F.lower(F.trim("name"))})
-    sure = rows.withColumn(
-        "rank", F.when(F.col("t") == F.col("c"), F.lit(2)).when(F.col("c").contains(F.col("t")), F.lit(1))
-    )
-    found = sure.filter("rank IS NOT NULL").withColumn("score", F.lit(1.0))
+
+    def crossed(wanted: Sequence[str]) -> DataFrame:
+        target = F.explode(F.array(*[F.lit(t) for t in wanted]).cast("array<string>")).alias("target")
+        rows = names.select(F.col(column).alias("name")).filter("name <> ''").select("name", target)
+        return rows.withColumns({"t": F.lower(F.trim("target")), "c": F.lower(F.trim("name"))})
+
+    def best_of(rows: DataFrame) -> DataFrame:
+        order = F.struct((-F.col("rank")).alias("rank"), (-F.col("score")).alias("score"), "name")
+        return rows.groupBy("target").agg(F.min(order).alias("best"))
+
+    rank = F.when(F.col("t") == F.col("c"), F.lit(2)).when(F.col("c").contains(F.col("t")), F.lit(1))
+    sure = crossed(list(targets)).withColumn("rank", rank).filter("rank IS NOT NULL").withColumn("score", F.lit(1.0))
+    best = materialise(best_of(sure), "sure_names").df
     if min_score is not None:
-        guessed = (
-            sure.filter("rank IS NULL")
-            .withColumn("rank", F.lit(0))
-            .withColumn("score", likeness("t", "c"))
-            .filter(F.col("score") >= F.lit(float(min_score)))
+        # No more lines than targets.
+        settled = {r["target"] for r in best.select("target").collect()}
+        a, b = F.char_length("t"), F.char_length("c")
+        bound = F.try_divide(2 * F.least(a, b), a + b)
+        near = crossed([t for t in targets if t not in settled]).filter(bound >= F.lit(float(min_score)))
+        letters = F.array_intersect(F.split("t", ""), F.split("c", ""))
+        shared = F.aggregate(
+            letters, F.lit(0), lambda n, x: n + F.least(a - F.char_length(F.replace(F.col("t"), x)), b - F.char_length(F.replace(F.col("c"), x)))
         )
-        found = found.unionByName(guessed)
-    best = (
-        found.groupBy("target")
-        .agg(F.min(F.struct((-F.col("rank")).alias("rank"), (-F.col("score")).alias("score"), "name")).alias("best"))
-    )
+        near = near.filter(F.try_divide(2 * shared, a + b) >= F.lit(float(min_score)))
+        guessed = near.withColumn("rank", F.lit(0)).withColumn("score", likeness("t", "c"))
+        best = best.unionByName(best_of(guessed.filter(F.col("score") >= F.lit(float(min_score)))))
     labels = F.element_at(F.array(F.lit("similar"), F.lit("contains"), F.lit("equal")), (1 - F.col("best.rank")))
     score = (-F.col("best.score")).alias("score")
     return best.select("target", F.col("best.name").alias("name"), labels.alias("match"), score)

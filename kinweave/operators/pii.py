@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.functions.patterns import NAME_RULES, SEMANTICS, UUID_PATTERN, NameRule, name_semantic, snake_case
+from kinweave.functions.skew import join_by_key
 from kinweave.functions.types import is_numeric
 from kinweave.sources.catalog import COLUMN_KEYS
 from kinweave.sources.shared import materialise
@@ -26,6 +27,21 @@ def classify_columns(columns: DataFrame, rules: list[NameRule] = NAME_RULES) ->
     return columns.withColumn("semantic", semantic)
 
 
+# What a value pattern says about the column that holds it.
+EVIDENCE = {"email": "email", "phone": "phone"}
+
+
+def with_evidence(scan: DataFrame, evidence: DataFrame, least: float = 0.5) -> DataFrame:
+    """``scan`` with a semantic also for columns whose names say nothing, if a share of ``least`` of their values looks
+    like one kind of personal data (``content.content_evidence``: ``table_name, column_name, pattern, share``). Of two
+    kinds the more frequent one is taken. Columns are matched by table and column name."""
+    kinds = F.create_map(*[F.lit(x) for pair in EVIDENCE.items() for x in pair])
+    told = evidence.withColumn("kind", kinds[F.col("pattern")]).filter(F.col("kind").isNotNull() & (F.col("share") >= least))
+    best = told.groupBy("table_name", "column_name").agg(F.max(F.struct("share", "kind")).getField("kind").alias("kind"))
+    joined = join_by_key(scan, best, ["table_name", "column_name"], "left")
+    return joined.withColumn("semantic", F.coalesce("semantic", "kind")).select(*scan.columns)
+
+
 def numeric_guard(scan: DataFrame) -> DataFrame:
     """``scan`` with no semantic on numeric types. Goes by the base type, so ``DECIMAL(10,2)`` is caught."""
     return scan.withColumn("semantic", F.when(~is_numeric(F.col("data_type")), F.col("semantic")))

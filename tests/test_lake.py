@@ -191,6 +191,27 @@ def test_edits(spark, scan):
     assert changed[("logs", "message")] is None
 
 
+def test_edits_of_one_schema(spark):
+    columns = lake(spark, [("t", "email", "string")], "s1").unionByName(lake(spark, [("t", "email", "string")], "s2"))
+    scan = pii.classify_columns(columns)
+    here = asked(spark, ("x", "T", "EMAIL", "surname")).withColumn("schema_name", F.lit("S2"))
+    changed = {r.schema_name: r.semantic for r in edits.change_semantics(scan, here).collect()}
+    assert changed == {"s1": "email", "s2": "surname"}
+    excluded = {r.schema_name: r.excluded for r in edits.exclude_tables(scan, here).collect()}
+    assert excluded == {"s1": False, "s2": True}
+    everywhere = asked(spark, ("x", None, "email", None))
+    assert edits.exclude_columns(scan, everywhere).filter("semantic IS NOT NULL").isEmpty()
+    assert edits.exclude_tables(scan, everywhere).filter("excluded").isEmpty()
+
+
+def test_values_tell_what_names_do_not(spark):
+    scan = pii.classify_columns(lake(spark, [("t", "a", "string"), ("t", "b", "string"), ("t", "phone", "string")]))
+    df = spark.createDataFrame([("a@x.org", "call 555-123-4567", "n/a"), ("b@x.org", "x", "n/a"), (None, None, None)], "a string, b string, phone string")
+    found = content.content_evidence({"t": (df, content.text_columns(df))})
+    got = {r.column_name: r.semantic for r in pii.with_evidence(scan, found, 0.6).collect()}
+    assert got == {"a": "email", "b": None, "phone": "phone"}
+
+
 def test_unmatched_edits(spark, scan):
     wanted = asked(
         spark,
