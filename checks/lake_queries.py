@@ -82,6 +82,17 @@ def _csv_chunks(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _chunk_page(s: SparkSession, d: str) -> DataFrame:
+    """A page of a result given as ordered chunks with their counts."""
+    path = scratch_path(s, "chunks")
+    ordered = table(s, d, "customer").select(*CHUNK_COLUMNS).repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey")
+    ordered.write.option("escape", '"').csv(path)
+    rows = readers.csv_chunks(s, path, CHUNK_COLUMNS).groupBy(F.input_file_name().alias("path")).count().collect()
+    chunks = [(i, file, n) for i, (file, n) in enumerate(sorted(tuple(r) for r in rows))]
+    page = paging.chunk_page(s, chunks, CHUNK_COLUMNS, 700)
+    return readers.cast_columns(page, {"c_custkey": "bigint", "c_nationkey": "int", "c_acctbal": "double"})
+
+
 def _run_sql(s: SparkSession, d: str) -> DataFrame:
     table(s, d, "orders").createOrReplaceTempView("orders")
     query = """SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS dearest FROM orders
@@ -170,6 +181,7 @@ def _schema_edits(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "sample_rows": lambda s, d: inventory.sample_rows(table(s, d, "orders"), ["o_orderkey"]),
     "csv_chunk_scan": _csv_chunks,
+    "chunk_page": _chunk_page,
     "run_sql": _run_sql,
     "column_catalog": lambda s, d: catalog.read_columns(_columns(s, d), "lake", ["s1", "s2"], view(s, d, "tags")),
     "catalog_columns": lambda s, d: _given_columns(s, d).select("table_name", "column_name", "data_type", "position"),
@@ -405,6 +417,7 @@ _GIVEN = f"""SELECT table_name, column_name, {_TYPE_NAME} AS data_type, CAST(col
 ORACLES = {
     "sample_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10",
     "csv_chunk_scan": f"SELECT {', '.join(CHUNK_COLUMNS)} FROM customer",
+    "chunk_page": f"SELECT {', '.join(CHUNK_COLUMNS)} FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 700",
     "run_sql": "SELECT o_orderpriority, count(*) AS n, max(o_totalprice) AS dearest FROM orders "
     "WHERE o_totalprice > 100000 GROUP BY 1",
     "column_catalog": f"{with_views(['columns', 'tags'])} SELECT * FROM columns WHERE catalog_name = 'lake' AND "

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinweave.functions.unions import union_all
+from kinweave.sources.readers import csv_chunks
 from kinweave.sources.shared import scratch_path
 
 CHUNK = "_chunk"
@@ -55,6 +57,28 @@ class PagedResult:
             yield self.page(start, n).collect(), start + n < self.total_rows
 
 
+def chunk_page(
+    spark: SparkSession, chunks: Sequence[tuple[int, str, int]], columns: Sequence[str] | int, start: int, n: int = 50
+) -> DataFrame:
+    """Rows ``start`` to ``start + n`` of an ordered result that came in CSV chunks, each ``(index, path, rows)``.
+
+    The chunks' counts tell which of them a page touches; only those files are read, and nothing is sorted but the page.
+    A chunk is one file read by one task, so its rows are numbered as they stand in it.
+    """
+    names = [f"column_{i + 1}" for i in range(columns)] if isinstance(columns, int) else list(columns)
+    at, parts = 0, []
+    for index, path, rows in sorted(chunks):
+        low, high = max(start - at, 0), min(start + n - at, rows)
+        if low < high:
+            place = F.monotonically_increasing_id()
+            part = csv_chunks(spark, path, names).select("*", F.lit(index).alias("_index"), place.alias("_place"))
+            parts.append(part.filter(F.col("_place").between(low, high - 1)))
+        at += rows
+    if not parts:
+        return spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in names]))
+    return union_all(parts).orderBy("_index", "_place").drop("_index", "_place")
+
+
 def store_pages(
     df: DataFrame, key: Sequence[str], path: str | None = None, chunks: int | None = None
 ) -> PagedResult:

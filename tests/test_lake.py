@@ -424,9 +424,15 @@ def test_settings():
 def test_plan_from_catalogue_to_manifest(spark, tmp_path):
     scanned = tagging.scan_columns(lake(spark), "_resolved")
     assert scanned.schemas.first().tables_with_pii == 3
-    empty = spark.createDataFrame([], tags.TAG_SCHEMA)
-    stored, check = tagging.store_tags(empty, scanned, F.current_timestamp(), str(tmp_path / "tags"))
+    path = str(tmp_path / "tags")
+    stored, check = tagging.store_tags(scanned, F.current_timestamp(), path)
     assert check.first().success and stored.count() == check.first().actual
+    before_count = stored.count()
+    other = tagging.scan_columns(lake(spark, [("t", "email", "string")], "s9"), "_resolved")
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "tags").rglob("*public*/*.parquet")}
+    both, check = tagging.store_tags(other, F.current_timestamp(), path)
+    assert check.first().success and both.count() == before_count + 1 and both.filter("schema_name = 's9'").count() == 1
+    assert before and all(p.stat().st_mtime_ns == t for p, t in before.items())
     left_out = tagging.store_manifest(scanned, {"output_schema_name": "out"}, str(tmp_path / "manifest"))
     assert left_out.count() == 2 and manifests.read_manifest(spark, str(tmp_path / "manifest")).count() == 2
 
@@ -473,6 +479,19 @@ def test_pages_fit_together(spark):
     assert by_offset == by_key == list(range(130))
 
 
+def test_pages_over_given_chunks(spark, tmp_path):
+    chunks, at = [], 0
+    for number, size in enumerate([7, 0, 30, 1, 12]):
+        path = tmp_path / f"c{number}.csv"
+        path.write_text("".join(f'{at + i},"line ""{at + i}""\nof two"\n' for i in range(size)))
+        chunks.append((number, str(path), size))
+        at += size
+    shuffled = chunks[::-1]
+    for start in (0, 5, 7, 36, 37, 49, 50, 99):
+        got = [(int(r.k), r.v) for r in paging.chunk_page(spark, shuffled, ["k", "v"], start, 10).collect()]
+        assert got == [(i, f'line "{i}"\nof two') for i in range(start, min(start + 10, 50))]
+
+
 def test_stored_pages(spark):
     df = spark.range(1000).selectExpr("(id * 37) % 1000 AS k", "id AS `odd name`", "array(id) AS a").repartition(7)
     assert paging.store_pages(df, ["k"]).total_rows == 1000
