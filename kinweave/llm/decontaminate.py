@@ -1,7 +1,7 @@
 """Benchmark decontamination: an FM-index per training shard, searched for the words of the benchmark's phrases.
 
-A shard is a run of documents of one task, about ``SHARD_WORDS`` words or one longer document. Its words become numbers
-(those of no phrase share one number, and a run of them is kept as one, as nothing can be found across it), the numbers
+A shard is a run of words of one task's documents, ``SHARD_WORDS`` of them and as many more as a phrase may reach over; a
+long document lies in several. Its words become numbers (those of no phrase share one number, and a run of them is kept as one, as nothing can be found across it), the numbers
 an FM-index. Phrases are searched backwards through the ranks of a wavelet matrix, places are found by sampled suffix
 positions, and the word spans of a document are merged. Nothing is shuffled, and a lost task is simply run again.
 
@@ -82,8 +82,8 @@ class Hits(NamedTuple):
     pair_item: np.ndarray
 
 
-def search_shard(texts: Texts, phrases: Phrases) -> Hits:
-    """Index the words of some texts and search all phrases in them."""
+def search_texts(texts: Texts, phrases: Phrases, shard_words: int = SHARD_WORDS) -> Hits:
+    """Index the words of some texts, shard by shard, and search all phrases in them."""
     low = Texts(lowered(texts.data), texts.offsets)
     words = find_words(low, alnum_bytes())
     hashes = span_hashes(low.data, words.starts, words.ends)
@@ -98,12 +98,15 @@ def search_shard(texts: Texts, phrases: Phrases) -> Hits:
     kept = np.ones(len(numbers), bool)
     kept[1:] = (numbers[1:] > 1) | (numbers[:-1] > 1)
     numbers, word = numbers[kept], word[kept]
-    index = FmIndex(numbers, int(len(phrases.words) + 1).bit_length())
-    begin, end = index.search(phrases.rows)
-    found = np.flatnonzero(end > begin)
-    sizes = end[found] - begin[found]
-    starts = word[index.locate(_ranges(begin[found], sizes))]
-    phrase = np.repeat(found, sizes)
+    starts, phrase = [], []
+    for at in range(0, len(numbers), shard_words):
+        index = FmIndex(numbers[at : at + shard_words + phrases.rows.shape[1] - 1], int(len(phrases.words) + 1).bit_length())
+        begin, end = index.search(phrases.rows)
+        found = np.flatnonzero(end > begin)
+        sizes = end[found] - begin[found]
+        starts.append(word[at + index.locate(_ranges(begin[found], sizes))])
+        phrase.append(np.repeat(found, sizes))
+    starts, phrase = np.concatenate(starts), np.concatenate(phrase)
     length = (phrases.rows[phrase] > 0).sum(1)
     change = np.bincount(starts, minlength=n + 1) - np.bincount(starts + length, minlength=n + 1)
     hit = np.cumsum(change)[:n] > 0
@@ -173,7 +176,7 @@ def _searcher(phrases: Phrases, text_at: int, width: int, shard_words: int):
         # A word and the gap after it have two bytes at least, more often about six.
         for first, part in chunks(texts, shard_words * 6):
             n = len(part.offsets) - 1
-            hits = search_shard(part, phrases)
+            hits = search_texts(part, phrases, shard_words)
             own = [c.slice(first, n) for c in batch.columns[:width]]
             old_spans, old_items = (batch.column(width + k).slice(first, n) for k in (1, 2))
             spans = _lists(hits.span_text, n, [tuple(s) for s in hits.spans.T.tolist()])

@@ -97,13 +97,13 @@ def find_lines(texts: Texts) -> tuple[Lines, np.ndarray]:
     flags = _FLAGS[data]
 
     def count(mask: int, every: int = 0) -> np.ndarray:
-        """Bytes up to each place that have one of the flags, or all of some."""
-        sums = np.zeros(len(data) + 1, np.int64)
+        """Bytes up to each place that have the flag, or all of some."""
+        sums = np.zeros(len(data) + 1, np.int32)  # a batch of Arrow strings is shorter than that
         np.cumsum((flags & every) == every if every else (flags & mask) != 0, out=sums[1:])
         return sums
 
     def per_line(sums: np.ndarray) -> np.ndarray:
-        return sums[end] - sums[begin]
+        return (sums[end] - sums[begin]).astype(np.int64)
 
     points = count(0, _VISIBLE | _POINT)
     symbols = count(_SYMBOL)
@@ -123,7 +123,7 @@ def find_lines(texts: Texts) -> tuple[Lines, np.ndarray]:
         )
     ):
         features[:, k] = values
-    of_text = lambda sums: sums[texts.offsets[1:]] - sums[texts.offsets[:-1]]
+    of_text = lambda sums: (sums[texts.offsets[1:]] - sums[texts.offsets[:-1]]).astype(np.int64)
     return Lines(words, first, chars, repeated, features, of_text(points), of_text(symbols)), hashes
 
 

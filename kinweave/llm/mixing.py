@@ -117,16 +117,18 @@ def mix_limits(lines: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int
     return out
 
 
-def _times(size: str, draw: str) -> Column:
-    more = (F.col(draw) < F.col("mix_cut")).cast("long")
-    return F.when(F.col(size) > 0, F.col("mix_whole") + more).otherwise(F.lit(0)).cast("long")
-
-
-def _joined(rows: DataFrame, source: str, limits: DataFrame) -> DataFrame:
-    """``rows`` with the columns of their source's limits, named ``mix_...``. A source may have any share of the rows:
-    the other side is a written table, so adaptive execution can split it."""
-    own = limits.select(*(F.col(c).alias(f"mix_{c}") for c in limits.columns))
-    return rows.join(own, F.col(source).cast("string").eqNullSafe(F.col("mix_source")))
+def _joined(rows: DataFrame, source: str, size: str, draw: str, limits: DataFrame) -> tuple[DataFrame, str]:
+    """``rows`` with the columns of their source's limits and ``times``, how often a row is taken, all behind a prefix
+    that is new to ``rows`` and returned. A source may have any share of the rows: the other side is a written table, so
+    adaptive execution can split it."""
+    p = "mix_"
+    while any(c.lower().startswith(p) for c in rows.columns):
+        p += "_"
+    own = limits.select(*(F.col(c).alias(p + c) for c in limits.columns))
+    joined = rows.join(own, F.col(source).cast("string").eqNullSafe(F.col(f"{p}source")))
+    more = (F.col(draw) < F.col(f"{p}cut")).cast("long")
+    times = F.when(F.col(size) > 0, F.col(f"{p}whole") + more).otherwise(F.lit(0)).cast("long")
+    return joined.withColumn(f"{p}times", times), p
 
 
 def mix(
@@ -146,11 +148,11 @@ def mix(
         ),
         "lines",
     )
-    out = _joined(lines.df, "source", mix_limits(lines.df, weights, epochs).df).withColumn("times", _times("size", "draw"))
-    taken = F.col("size") * F.col("times")
+    out, p = _joined(lines.df, "source", "size", "draw", mix_limits(lines.df, weights, epochs).df)
+    times = F.col(f"{p}times")
     return out.select(
-        "doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"),
-        taken.alias("taken"), "times",
+        "doc_id", "size", F.col(f"{p}source_size").alias("source_size"), F.col(f"{p}target").alias("target"),
+        (F.col("size") * times).alias("taken"), times.alias("times"),
     )
 
 
@@ -165,6 +167,6 @@ def repeated(
     lines = materialise(rows.select(F.col(source).cast("string").alias("source"), F.col(size).alias("size"), F.col(draw).alias("draw")), "lines")
     limits = mix_limits(lines.df, weights, epochs)
     lines.drop()
-    taken = _joined(rows, source, limits.df).withColumn("mix_times", _times(size, draw)).filter("mix_times > 0")
-    repetition = F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int"))).alias(added(docs, "repetition"))
-    return taken.select(*docs.columns, repetition)
+    taken, p = _joined(rows, source, size, draw, limits.df)
+    repetition = F.explode(F.sequence(F.lit(1), F.col(f"{p}times").cast("int"))).alias(added(docs, "repetition"))
+    return taken.filter(F.col(f"{p}times") > 0).select(*docs.columns, repetition)
