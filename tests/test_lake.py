@@ -452,6 +452,9 @@ def test_inventory(spark, rows):
 def test_catalogue_scans(spark, rows):
     spark.sql("CREATE DATABASE IF NOT EXISTS shop")
     spark.range(3).selectExpr("id", "CAST(id AS STRING) AS email").write.mode("overwrite").saveAsTable("shop.people")
+    detail = catalog.table_details(spark, "shop", "peo*").filter("NOT is_temporary").first()
+    assert detail.table_name == "people" and detail.table_type == "MANAGED" and detail.format == "parquet"
+    assert detail.created and detail.location.endswith("people") and detail.schema_name == "shop"
     listed = catalog.list_tables(spark, "shop", "peo*")
     assert rows(listed, "schema_name", "table_name") == [("shop", "people")]
     assert ("spark_catalog", "shop") in rows(catalog.list_schemas(spark, "shop"))
