@@ -490,6 +490,10 @@ SELECT * FROM judged WHERE reason IS NOT NULL""",
     "pii_content_evidence": _evidence_sql(),
     "pii_text_findings": f"""SELECT doc_id, CASE {_KIND_CASE} END AS kind, value, count(*) AS hits
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_ANY}')) AS value FROM documents) GROUP BY ALL""",
+    "table_profile": f"""{_SCAN} SELECT {_K}, CAST(to_json({{'table': {{'catalog_name': catalog_name, 'schema_name': schema_name,
+    'table_name': table_name}}, 'schema': list({{'name': column_name, 'type': data_type}} ORDER BY position),
+  'pii_tags': coalesce(list({{'name': column_name, 'semantic': semantic}} ORDER BY position) FILTER (semantic IS NOT NULL), []),
+  'profiling_timestamp': '{AT}'}}) AS VARCHAR) AS profile FROM scan GROUP BY {_K}""",
     "tag_upsert": f"{_TAG_BASE} SELECT * FROM stored",
     "tag_upsert_errors": f"""{_TAG_BASE} SELECT *, CASE WHEN table_name <> '' AND column_name <> '' AND semantic_type <> ''
     THEN 'Missing database or schema' ELSE 'Missing table, column, or semantic_type' END AS error FROM tag_batch
