@@ -62,8 +62,10 @@ def components_of_numbers(edges: DataFrame) -> SharedTable:
     found = current.df.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.df.groupBy(F.col("v").alias("node")).agg(F.first("v").alias("component"))
     linked = found.unionByName(roots)
-    alone = loops.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
-    out = materialise(linked.unionByName(alone), "components")
+    if not loops.isEmpty():
+        alone = loops.join(linked, "node", "left_anti").select("node", F.col("node").alias("component"))
+        linked = linked.unionByName(alone)
+    out = materialise(linked, "components")
     if current.path != given.path:
         current.drop()
     given.drop()
