@@ -255,32 +255,31 @@ def find_classes(
     )
     shared = paths.join(hubs.df, "path").filter("node <> hub")
     candidates = components_of_numbers(shared.select(F.col("node").alias("id_a"), F.col("hub").alias("id_b")))
-    members = reps.df.drop("paths").join(candidates.df, "node")
+    found = reps.df.join(candidates.df, "node")
+    members = materialise(found.select("component", "digest", "size", "copies", F.col("lead.row_key").alias("row_key")), "members")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    blocks = materialise(members.groupBy("component").agg(parts.alias("parts")), "blocks")
-    placed = members.join(blocks.df, "component").withColumn("block", F.pmod(F.xxhash64("digest"), "parts").cast("int"))
+    blocks = materialise(members.df.groupBy("component").agg(parts.alias("parts")), "blocks")
+    placed = members.df.join(blocks.df, "component").withColumn("block", F.pmod(F.xxhash64("digest"), "parts").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "component", "parts", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "digest",
-        "copies", F.col("lead.row_key").alias("row_key"),
+        "copies", "row_key",
     )
     once = keyed.groupBy("row_key").agg(F.first("text").alias("text"))
     verified = materialise(_verified(placed.join(once, "row_key"), words, similarity), "verified")
     # A task that holds a whole component names its classes for good, by their smallest; others are tied together.
-    whole = verified.df.filter("parts = 1").select("node", F.col("root").alias("component"))
     ties = verified.df.filter("parts > 1").select(F.col("node").alias("id_a"), F.col("root").alias("id_b"))
     tied = components_of_numbers(ties)
-    links = verified.df.groupBy("digest").agg(F.sum("links").alias("links"))
-    named = (
-        reps.df.drop("paths")
-        .join(links, "digest", "left")
-        .join(tied.df.unionByName(whole), "node", "left")
-        .select("digest", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("class_key"), "lead")
-    )
-    firsts = materialise(named.groupBy("class_key").agg(F.min("lead").alias("first")), "firsts")
-    classes = named.drop("lead").join(firsts.df, "class_key")
+    alone_there = F.min(F.when(F.col("parts") == 1, F.col("root")))
+    links = verified.df.groupBy("digest", "node").agg(F.sum("links").alias("links"), alone_there.alias("whole"))
+    linked = links.join(tied.df, "node", "left").select("digest", "links", F.coalesce("whole", "component").alias("component"))
+    key = F.coalesce("component", "node").alias("class_key")
+    named = reps.df.join(linked, "digest", "left")
+    named = materialise(named.select("digest", "copies", F.coalesce("links", F.lit(0)).alias("links"), key, "lead"), "named")
+    firsts = materialise(named.df.groupBy("class_key").agg(F.min("lead").alias("first")), "firsts")
+    classes = named.df.drop("lead").join(firsts.df, "class_key")
     classes = classes.select("*", F.col("first.doc_id").alias("class_id"), F.col("first.row_key").alias("first_key"))
     out = Classes(signed, materialise(classes.drop("first"), "classes"))
-    for table in (reps, hubs, candidates, blocks, verified, tied, firsts):
+    for table in (reps, hubs, candidates, members, blocks, verified, tied, named, firsts):
         table.drop()
     return out
 
