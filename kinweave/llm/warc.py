@@ -29,9 +29,11 @@ from pyspark.sql import types as T
 
 from kinweave.sources.shared import SharedTable, materialise, scratch_path
 
-BUCKETS = 4096
-SHARD_BYTES = 256 << 20
-ROLL_BYTES = 64 << 20
+BUCKETS = 1 << 14
+#: Shards hold at least so many bytes, and there are at most so many shards.
+SHARD_BYTES = 32 << 20
+SHARDS = 8192
+ROLL_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs
 _END = b"\r\n\r\n"
@@ -106,8 +108,10 @@ _COLUMNS = [c.split()[0] for c in _MANIFEST.split(", ")]
 def _shards(sizes: DataFrame, shard_bytes: int) -> DataFrame:
     """``bucket, shard``, at most ``BUCKETS`` + 1 lines, from ``bucket, bytes`` of each page."""
     totals = sizes.groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
-    before = F.sum("bytes").over(Window.orderBy("bucket")) - F.col("bytes")
-    return totals.select(F.col("bucket").alias("of"), F.floor(before / shard_bytes).cast("long").alias("shard"))
+    order = Window.orderBy("bucket")
+    before = F.sum("bytes").over(order) - F.col("bytes")
+    least = F.greatest(F.lit(shard_bytes), F.ceil(F.sum("bytes").over(Window.partitionBy()) / SHARDS))
+    return totals.select(F.col("bucket").alias("of"), F.floor(before / least).cast("long").alias("shard"))
 
 
 def write_archives(
