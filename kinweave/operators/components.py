@@ -76,21 +76,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``edges`` (columns ``id_a, id_b`` without nulls, of any type that can be
     ordered); a component is named by its smallest node.
 
-    Nodes are numbered once, and named again at the end. The result reads a table below the shared folder.
+    Nodes are numbered once, in their order, so that the smallest number of a component is its smallest node and edges
+    that are stars already stay so; names are joined back at the end. The result reads a table below the shared folder.
     """
     names = edges.select(F.col("id_a").alias("node")).unionByName(edges.select(F.col("id_b").alias("node"))).distinct()
-    numbers = materialise(names.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    numbers = materialise(names.orderBy("node").withColumn("number", F.monotonically_increasing_id()), "numbers")
 
     def of(end: str) -> DataFrame:
         return numbers.df.select(F.col("node").alias(end), F.col("number").alias(f"n_{end}"))
 
     numbered = edges.select("id_a", "id_b").join(of("id_a"), "id_a").join(of("id_b"), "id_b")
     parts = components_of_numbers(numbered.select(F.col("n_id_a").alias("id_a"), F.col("n_id_b").alias("id_b")))
-    members = numbers.df.join(parts.df.withColumnRenamed("node", "number"), "number")
-    firsts = materialise(members.groupBy("component").agg(F.min("node").alias("first")), "firsts")
-    out = materialise(
-        members.join(firsts.df, "component").select("node", F.col("first").alias("component")), "components"
-    )
-    for table in (numbers, parts, firsts):
+    members = numbers.df.join(parts.df.withColumnRenamed("node", "number"), "number").select("node", "component")
+    firsts = numbers.df.select(F.col("number").alias("component"), F.col("node").alias("first"))
+    out = materialise(members.join(firsts, "component").select("node", F.col("first").alias("component")), "components")
+    for table in (numbers, parts):
         table.drop()
     return out.df
