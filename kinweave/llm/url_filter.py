@@ -1,17 +1,19 @@
 """URL filter: rules on host and path first, then a logistic regression on hashed character n-grams of host and path.
-DataFrame functions and Spark's own logistic regression only.
+DataFrame functions and Spark's own logistic regression only. Host and path have buckets of their own, and the n-grams of
+each are scaled to length 1, so a long path takes nothing from the host.
 
 A rule (host, path) fits its host and all subdomains, if the URL's path starts with the rule's; the longest wins. Rules
-and the labelled URLs the model learns from are lists written by a person; they, and the model's ``BUCKETS`` weights,
+and the labelled URLs the model learns from are lists written by a person; they, and the model's 2 * ``BUCKETS`` weights,
 travel inside the expression. Scoring is one narrow pass over the URLs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from random import Random
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import HashingTF, Normalizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,7 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Lengths of n-grams, and buckets they are hashed to.
+#: Lengths of n-grams, and buckets that those of the host, and those of the path, are hashed to.
 NGRAMS = (2, 3, 4, 5)
 BUCKETS = 1 << 13
 #: A URL is blocked if it is at least twice as likely junk as worth reading.
@@ -48,16 +50,29 @@ _LANGS = ("en", "de", "fr", "es")
 _TAILS = ("", "/", ".html", "?page=2", "#top", "?utm_source=feed")
 
 
+#: Lengths of labelled paths that tell nothing.
+_LENGTHS = (0, 10, 25, 60, 120, 250, 500, 1000, 2000)
+_PLACES = "abcdefghijklmnopqrstuvwxyz0123456789-/"
+
+
 def labelled_urls() -> list[tuple[str, int]]:
     """A small labelled table: 1 is worth reading, 0 is not. Hosts are one word or two with a hyphen; front, end and
-    path go round in the same way for both labels, so that they tell nothing."""
+    most paths go round in the same way for both labels, so that they tell nothing. Paths of words tell the label under
+    hosts that tell nothing; under the others the host does, whatever words are in the path."""
     out = []
-    for label, words in ((0, JUNK_WORDS), (1, PLAIN_WORDS)):
+    for label, words, others in ((0, JUNK_WORDS, PLAIN_WORDS), (1, PLAIN_WORDS, JUNK_WORDS)):
+        random = Random(17)
         for i, word in enumerate(words):
-            for k, host in enumerate((word, f"{word}-{words[(5 * i + 3) % len(words)]}", f"{words[(3 * i + 7) % len(words)]}-{word}")):
+            hosts = (word, f"{word}-{words[(5 * i + 3) % len(words)]}", f"{words[(3 * i + 7) % len(words)]}-{word}")
+            for k, host in enumerate(hosts):
                 n = i + 5 * k
-                path = f"/{_LANGS[n % 4]}/{(n + 1) * 7919 % 99991}{_TAILS[n % 6]}"
-                out.append((f"https://{_FRONTS[(n // 2) % 4]}{host}.example.{_ENDS[n % 3]}{path}", label))
+                site = f"https://{_FRONTS[(n // 2) % 4]}{host}.example.{_ENDS[n % 3]}"
+                out.append((f"{site}/{_LANGS[n % 4]}/{(n + 1) * 7919 % 99991}{_TAILS[n % 6]}", label))
+                out.append((f"{site}/{''.join(random.choices(_PLACES, k=_LENGTHS[n % len(_LENGTHS)]))}", label))
+                some = random.choices(range(1 << 20), k=(1, 2, 4, 12)[n % 4])
+                out.append((f"{site}/{'/'.join(others[j % len(others)] for j in some)}", label))
+                site = f"https://{_FRONTS[(n // 2) % 4]}{''.join(random.choices(_PLACES[:26], k=5 + n % 8))}.example.{_ENDS[n % 3]}"
+                out.append((f"{site}/{_LANGS[n % 4]}/{'-'.join([word, *(words[j % len(words)] for j in some)])}", label))
     return out
 
 
@@ -72,22 +87,25 @@ def path_of(url: str) -> Column:
     return F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def _ngrams(host: str, path: str) -> Column:
-    """The character n-grams of host and path, which are told apart and marked at their ends."""
+def _ngrams(part: str) -> Column:
+    """The character n-grams of host or path, which is marked at its ends."""
+    text = F.concat(F.lit("^"), F.col(part), F.lit("$"))
 
-    def grams(mark: str, part: str, n: int) -> Column:
-        text = F.concat(F.lit("^"), F.col(part), F.lit("$"))
+    def grams(n: int) -> Column:
         last = F.greatest(F.char_length(text) - n + 1, F.lit(1))
-        return F.transform(F.sequence(F.lit(1), last), lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
+        return F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))
 
-    return F.flatten(F.array(*(grams(m, p, n) for m, p in (("h", host), ("p", path)) for n in NGRAMS)))
+    return F.flatten(F.array(*(grams(n) for n in NGRAMS)))
 
 
 def _hashed(rows: DataFrame) -> DataFrame:
-    """``rows`` (with ``host`` and ``path``) and their ``features``, of length 1."""
-    hashed = HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="counts")
-    scaled = Normalizer(inputCol="counts", outputCol="features")
-    return scaled.transform(hashed.transform(rows.withColumn("grams", _ngrams("host", "path")))).drop("grams", "counts")
+    """``rows`` (with ``host`` and ``path``) and their ``features``: those of the host and those of the path, either of
+    length 1."""
+    for part in ("host", "path"):
+        hashed = HashingTF(numFeatures=BUCKETS, inputCol=f"{part}_grams", outputCol=f"{part}_counts")
+        scaled = Normalizer(inputCol=f"{part}_counts", outputCol=f"{part}_scaled")
+        rows = scaled.transform(hashed.transform(rows.withColumn(f"{part}_grams", _ngrams(part)))).drop(f"{part}_grams", f"{part}_counts")
+    return VectorAssembler(inputCols=["host_scaled", "path_scaled"], outputCol="features").transform(rows).drop("host_scaled", "path_scaled")
 
 
 def train(spark: SparkSession, labelled: Sequence[tuple[str, int]] | None = None) -> LogisticRegressionModel:

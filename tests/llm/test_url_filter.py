@@ -1,3 +1,5 @@
+from random import Random
+
 import pytest
 
 from kinweave.llm import url_filter as U
@@ -19,6 +21,9 @@ def _brute(url):
     fits = [(len(h + p), h + p, v) for h, p, v in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return host, path, max(fits)[1:] if fits else (None, None)
 
+JUNK_HOSTS = ["casino-bonus.example.org", "free-poker.example.com", "www.payday-loans.example.net", "cheap-pills.example.org", "m.xxx-cams.example.com"]
+PLAIN_HOSTS = ["river-reading.example.org", "www.garden-museum.example.com", "history.example.net", "blog.forest-letters.example.org"]
+
 
 @pytest.fixture(scope="module")
 def model(spark):
@@ -42,6 +47,29 @@ def test_the_model_knows_its_table_and_hosts_made_of_its_words(spark, model):
     assert sum(right[: len(known)]) >= 0.98 * len(known) and all(right[len(known) :])
 
 
+@pytest.mark.parametrize("length", [0, 10, 100, 200, 500, 2000])
+def test_long_paths_change_no_host(spark, model, length):
+    random, rows = Random(5), []
+    for label, hosts in enumerate((JUNK_HOSTS, PLAIN_HOSTS)):
+        for host in hosts:
+            for _ in range(10):
+                path = "".join(random.choices("abcdefghijklmnopqrstuvwxyz0123456789/-_.", k=length))
+                rows.append((label, f"https://{host}/{path}"))
+            words = "/".join((U.JUNK_WORDS if label else U.PLAIN_WORDS) * 10)
+            rows.append((label, f"https://{host}/{words[:length]}"))
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    wrong = [r for r in U.judge(df, model, rules=(("nowhere", "/", "block"),)).collect() if (r.verdict == "allow") != bool(r.page_id)]
+    assert not wrong
+
+
+def test_paths_tell_when_hosts_do_not(spark, model):
+    rows = [(0, f"https://kvuzip.example.org/en/{w}-{v}") for w, v in zip(U.JUNK_WORDS, U.JUNK_WORDS[9:], strict=False)]
+    rows += [(1, f"https://kvuzip.example.org/en/{w}-{v}") for w, v in zip(U.PLAIN_WORDS, U.PLAIN_WORDS[9:], strict=False)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = U.judge(df, model, rules=(("nowhere", "/", "block"),)).collect()
+    assert sum((r.score >= 0.5) == bool(r.page_id) for r in got) >= 0.9 * len(got)
+
+
 def test_plan_has_no_python(spark, model):
     df = spark.createDataFrame([(1, "http://a.org/")], "page_id bigint, url string")
     plan = U.judge(df, model)._jdf.queryExecution().executedPlan().toString()
