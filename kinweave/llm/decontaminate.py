@@ -5,17 +5,21 @@ long document lies in several. Its words become numbers (those of no phrase shar
 an FM-index. Phrases are searched backwards through the ranks of a wavelet matrix, places are found by sampled suffix
 positions, and the word spans of a document are merged. Nothing is shuffled, and a lost task is simply run again.
 
-Phrases travel with the tasks in blocks of bounded size; more blocks mean more passes over the documents, none of them
-needs more memory. A document's words are lower-cased (A-Z) runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
+Phrases are a table below the shared folder, made, reduced to distinct ones and dealt into blocks of bounded size by
+Spark; the driver learns which blocks there are. A task reads a block at a time and searches it in all texts of an Arrow
+batch before the next, so more blocks mean more passes, none of them needs more memory. A document's words are lower-cased (A-Z) runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,13 +27,17 @@ from pyspark.sql import types as T
 from kinweave.llm.arrow import added, map_batches
 from kinweave.llm.fm_index import FmIndex
 from kinweave.llm.words import Texts, alnum_bytes, chunks, find_words, lowered, span_hashes, texts_of
+from kinweave.sources.shared import scratch_path
 
 #: Words of a phrase.
 WINDOW = 10
 #: Words of documents in one index.
 SHARD_WORDS = 1 << 18
-#: Phrases sent with a task at once.
+#: Phrases that a task holds at once.
 BLOCK_PHRASES = 200_000
+#: Phrases made at once, and tasks that write a block.
+_MADE = 1 << 14
+_WRITERS = 8
 
 
 class Phrases(NamedTuple):
@@ -43,26 +51,81 @@ class Phrases(NamedTuple):
     names: list[str | None]
 
 
-def phrases_of(texts: pa.Array, names: list[str | None], window: int) -> Phrases:
-    """Every window of the items' words; an item of fewer words, but not none, is one phrase."""
-    texts = texts_of(texts)
-    texts = Texts(lowered(texts.data), texts.offsets)
-    words = find_words(texts, alnum_bytes())
-    vocabulary, numbers = np.unique(span_hashes(texts.data, words.starts, words.ends), return_inverse=True)
-    rows, item = [], []
-    for i, (at, end) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
-        for k in range(at, max(end - window, at if end > at else at - 1) + 1):
-            row = np.zeros(window, np.int64)
-            part = numbers[k : min(k + window, end)]
-            row[window - len(part) :] = part + 2
-            rows.append(row)
-            item.append(i)
-    if not rows:
-        return Phrases(vocabulary, np.zeros((0, window), np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64), names)
-    unique, which = np.unique(np.array(rows), axis=0, return_inverse=True)
-    pairs = np.unique(np.stack([which.ravel(), np.array(item)], 1), axis=0)
+_PHRASE = T.StructType([T.StructField("item", T.StringType()), T.StructField("words", T.BinaryType())])
+
+
+def _phrases(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
+    """``item, words``: the word hashes of every window of the items' words, in runs of bounded size however long an item
+    is; an item of fewer words, but not none, is one phrase."""
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[list]:
+        for at, part in chunks(texts_of(batch.column(1))):
+            low = Texts(lowered(part.data), part.offsets)
+            words = find_words(low, alnum_bytes())
+            hashes = span_hashes(low.data, words.starts, words.ends)
+            item, raw, sizes, made = [], [], [], 0
+            for i, (first, end) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+                n = min(window, end - first)
+                for k in range(first, end - n + 1 if n else first, _MADE):
+                    some = np.lib.stride_tricks.sliding_window_view(hashes[k : min(k + _MADE + n - 1, end)], n)
+                    item.append(np.full(len(some), at + i))
+                    raw.append(some.tobytes())
+                    sizes.append(np.full(len(some), 8 * n))
+                    made += len(some)
+                    if made >= _MADE:
+                        yield _columns(batch.column(0), item, raw, sizes)
+                        item, raw, sizes, made = [], [], [], 0
+            if made:
+                yield _columns(batch.column(0), item, raw, sizes)
+
+    rows = items.select(F.col(item_id).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
+    return map_batches(rows, of_batch, _PHRASE)
+
+
+def _columns(names: pa.Array, item: list[np.ndarray], raw: list[bytes], sizes: list[np.ndarray]) -> list[pa.Array]:
+    ends = np.cumsum(np.concatenate([[0], *sizes])).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(raw))])
+    return [names.take(pa.array(np.concatenate(item))), words]
+
+
+def _blocks(items: DataFrame, item_id: str, text: str, window: int = WINDOW) -> list[str]:
+    """The folders of the benchmark's distinct phrases, about ``BLOCK_PHRASES`` at most in each; none without phrases.
+
+    Pairs of phrase and item are dealt by a hash of both, so a phrase that many items have lies in several blocks.
+    """
+    spark = items.sparkSession
+    # A word and the gap after it have two characters at least.
+    most = items.agg(F.sum(F.coalesce(F.char_length(F.col(text).cast("string")), F.lit(0)).cast("long") / 2 + 1)).first()[0]
+    n = max(1, -(-int(most or 0) // BLOCK_PHRASES))
+    folder = scratch_path(spark, "phrases")
+    block, writer = (F.pmod(F.xxhash64(*c), F.lit(k)).cast("int") for c, k in ((("words", "item"), n), (("item", "words"), _WRITERS)))
+    dealt = _phrases(items, item_id, text, window).distinct().withColumns({"block": block, "writer": writer})
+    dealt.repartition("block", "writer").drop("writer").write.partitionBy("block").parquet(folder)
+    written = spark.read.schema(T.StructType([*_PHRASE.fields, T.StructField("block", T.IntegerType())])).parquet(folder)
+    return [f"{folder}/block={r.block}" for r in written.select("block").distinct().orderBy("block").toLocalIterator()]
+
+
+@lru_cache(maxsize=1)
+def _block(folder: str, window: int) -> Phrases:
+    """A written block; a task holds the last one it has read."""
+    system, root = fs.FileSystem.from_uri(folder)
+    files = sorted(f.path for f in system.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(".parquet"))
+    parts = []
+    for path in files:
+        with system.open_input_file(path) as file:
+            parts.append(pq.ParquetFile(file).read(["item", "words"]))
+    table = pa.concat_tables(parts)
+    words = table["words"].to_pylist()
+    sizes = np.array([len(w) // 8 for w in words])
+    vocabulary, numbers = np.unique(np.frombuffer(b"".join(words), np.uint64), return_inverse=True)
+    rows = np.zeros((len(sizes), window), np.int64)
+    rows[np.arange(window) >= window - sizes[:, None]] = numbers + 2
+    names = table["item"].to_pylist()
+    number = {name: i for i, name in enumerate(dict.fromkeys(names))}
+    unique, which = np.unique(rows, axis=0, return_inverse=True)
+    pairs = np.unique(np.stack([which.ravel(), [number[name] for name in names]], 1), axis=0)
     first = np.searchsorted(pairs[:, 0], np.arange(len(unique) + 1))
-    return Phrases(vocabulary, unique, first, pairs[:, 1], names)
+    return Phrases(vocabulary, unique, first, pairs[:, 1], list(number))
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -128,21 +191,6 @@ def search_texts(texts: Texts, phrases: Phrases, shard_words: int = SHARD_WORDS)
     return Hits(words.counts, span_text, spans, *np.divmod(pairs, len(phrases.names)))
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """The benchmark's rows in blocks of about ``BLOCK_PHRASES`` phrases; none when there is no row."""
-    texts, names, size = [], [], 0
-    rows = items.select(F.col(item_id).cast("string"), F.coalesce(F.col(text).cast("string"), F.lit("")))
-    for name, value in rows.toLocalIterator():
-        texts.append(value)
-        names.append(name)
-        size += 1 + len(value) // 2
-        if size >= BLOCK_PHRASES:
-            yield pa.array(texts, pa.large_string()), names
-            texts, names, size = [], [], 0
-    if texts:
-        yield pa.array(texts, pa.large_string()), names
-
-
 _PARTS = ("start", "end", "first_word", "last_word")
 _SPANS = T.ArrayType(T.StructType([T.StructField(p, T.IntegerType()) for p in _PARTS]))
 _ITEMS = T.ArrayType(T.StringType())
@@ -163,44 +211,44 @@ def find_hits(
     out = docs.withColumns(
         {words: F.lit(0).cast("long"), spans: F.array().cast(_SPANS), found: F.array().cast(_ITEMS)}
     )
-    at = docs.columns.index(text)
-    blocks = list(_blocks(items, item_id, item_text)) or [(pa.array([], pa.large_string()), [])]
-    for block in blocks:
-        out = map_batches(out, _searcher(phrases_of(*block, window), at, len(docs.columns), shard_words), out.schema)
-    return out, words, spans, found
+    of_batch = _searcher(_blocks(items, item_id, item_text, window), docs.columns.index(text), len(docs.columns), window, shard_words)
+    return map_batches(out, of_batch, out.schema), words, spans, found
+
 
+def _searcher(blocks: Sequence[str], text_at: int, width: int, window: int, shard_words: int):
+    none = np.zeros(0, np.int64)
+    nothing = Phrases(np.zeros(0, np.uint64), np.zeros((0, window), np.int64), np.zeros(1, np.int64), none, [])
 
-def _searcher(phrases: Phrases, text_at: int, width: int, shard_words: int):
     def of_batch(batch: pa.RecordBatch) -> Iterator[list]:
-        texts = texts_of(batch.column(text_at))
         # A word and the gap after it have two bytes at least, more often about six.
-        for first, part in chunks(texts, shard_words * 6):
+        parts = list(chunks(texts_of(batch.column(text_at)), shard_words * 6))
+        counts = np.zeros(batch.num_rows, np.int64)
+        spans: dict[int, list[tuple]] = {}
+        items: dict[int, set[str]] = {}
+        for block in blocks or [None]:
+            phrases = _block(block, window) if block else nothing
+            for first, part in parts:
+                hits = search_texts(part, phrases, shard_words)
+                counts[first : first + len(hits.n_words)] = hits.n_words
+                for i, span in zip((hits.span_text + first).tolist(), hits.spans.T.tolist(), strict=True):
+                    spans.setdefault(i, []).append(tuple(span))
+                for i, item in zip((hits.pair_text + first).tolist(), hits.pair_item.tolist(), strict=True):
+                    if phrases.names[item] is not None:
+                        items.setdefault(i, set()).add(phrases.names[item])
+        for first, part in parts:
             n = len(part.offsets) - 1
-            hits = search_texts(part, phrases, shard_words)
             own = [c.slice(first, n) for c in batch.columns[:width]]
-            old_spans, old_items = (batch.column(width + k).slice(first, n) for k in (1, 2))
-            spans = _lists(hits.span_text, n, [tuple(s) for s in hits.spans.T.tolist()])
-            items = _lists(hits.pair_text, n, [phrases.names[i] for i in hits.pair_item])
-            if len(old_spans.flatten()):  # of the blocks before
-                old = [[tuple(s[p] for p in _PARTS) for s in some] for some in old_spans.to_pylist()]
-                spans = [_merged(a + b) for a, b in zip(old, spans, strict=True)]
-                items = [a + b for a, b in zip(old_items.to_pylist(), items, strict=True)]
-            items = [sorted({x for x in some if x is not None}) if some else some for some in items]
-            yield [*own, hits.n_words, [[dict(zip(_PARTS, s, strict=True)) for s in some] for some in spans], items]
+            merged = [[dict(zip(_PARTS, s, strict=True)) for s in _merged(spans.get(i, []))] for i in range(first, first + n)]
+            yield [*own, counts[first : first + n], merged, [sorted(items.get(i, ())) for i in range(first, first + n)]]
 
     return of_batch
 
 
-def _lists(text: np.ndarray, n: int, values: list) -> list[list]:
-    """The values of each of ``n`` texts; ``text`` is sorted."""
-    bounds = np.searchsorted(text, np.arange(n + 1))
-    return [values[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
 def _merged(spans: list[tuple]) -> list[tuple]:
+    """Spans of a text that share a word, or lie word by word, as one."""
     out: list[tuple] = []
     for span in sorted(spans):
-        if out and span[0] < out[-1][1]:
+        if out and span[2] <= out[-1][3] + 1:
             out[-1] = (*out[-1][:1], max(span[1], out[-1][1]), out[-1][2], max(span[3], out[-1][3]))
         else:
             out.append(span)

@@ -73,6 +73,36 @@ def test_spans_are_cut_out(docs, items):
     assert got[32] == " é" and got[33] == "small birds" and got[34] == "watch "
 
 
+@pytest.mark.parametrize("most", [1, 200_000])
+def test_more_blocks_are_no_more_stages_and_cut_the_same(spark, monkeypatch, most):
+    monkeypatch.setattr(D, "BLOCK_PHRASES", most)
+    texts = ["red green blue", "cyan pink grey", "grey black", "tan " * 40] + ["red green blue"] * 30
+    many = spark.createDataFrame([(f"i{k}", x) for k, x in enumerate(texts)], "item_id string, text string")
+    monkeypatch.setattr(type(many), "toLocalIterator", _small(type(many).toLocalIterator))
+    df = spark.createDataFrame([(1, "a red green blue, cyan pink grey black z"), (2, "pink grey")], "doc_id bigint, text string")
+    out = D.remove_hits(df, many)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "a  z", 2: "pink grey"}
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in D.contamination(df, many).collect()} == {1: (7, 33), 2: (0, 0)}
+
+
+def _small(fetch):
+    """Fails if a text comes to the driver."""
+
+    def checked(df, *more):
+        assert not {"text", "words"} & {c.lower() for c in df.columns} and len(df.columns) == 1
+        return fetch(df, *more)
+
+    return checked
+
+
+def test_a_long_item_is_made_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(D, "_MADE", 7)
+    text = " ".join(f"w{i}" for i in range(100))
+    got = D._phrases(spark.createDataFrame([(1, text), (2, "a b"), (3, None)], "i int, t string"), "i", "t", 10).collect()
+    assert len({bytes(r.words) for r in got}) == len(got) == 92 and sorted({len(r.words) for r in got}) == [16, 80]
+
+
 def test_nothing(docs, items):
     assert D.contamination(docs.limit(0), items).count() == 0
     rows = D.contamination(docs, items.limit(0)).collect()
