@@ -1,12 +1,14 @@
 """A linear-chain conditional random field with two labels per line (1 good, 0 bad), trained from labels of whole
 documents: each line of a labelled document is taken to have the document's label.
 
-With two labels all messages are log odds, one number per line. Training is done by the driver on a bounded sample.
+With two labels all messages are log odds, one number per line. Training is done by the driver on a bounded sample of lines;
+the scores of documents are put to scale on whole texts, each reduced to one number by the tasks.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -18,11 +20,14 @@ from pyspark.sql import types as T
 
 from kinweave.llm.arrow import map_batches
 from kinweave.llm.lines import Lines, find_lines
-from kinweave.llm.words import chunks, texts_of
+from kinweave.llm.words import chunks, mix, texts_of
+from kinweave.sources.shared import materialise
 
 #: Labelled documents to learn from, and lines of each; the bound of what the driver gets.
 SAMPLE_DOCS = 2000
 SAMPLE_LINES = 40
+#: Lines that stay together when a longer text is sampled.
+_RUN = 8
 _ROUNDS = 150
 _STEP = 0.15
 _PENALTY = 2e-3
@@ -93,12 +98,17 @@ def viterbi(crf: Crf, scores: np.ndarray, first: np.ndarray) -> np.ndarray:
 def document_score(crf: Crf, good: np.ndarray, lines: Lines) -> np.ndarray:
     """From marginals to the probability of label 1 of each text: their mean, weighted by the lines' lengths, with log
     odds put to scale. A text without words gets the prior."""
+    whole, odds = _mean_odds(good, lines)
+    odds = odds * crf.slope + crf.offset
+    return np.where(whole > 0, 1 / (1 + np.exp(-odds)), crf.prior)
+
+
+def _mean_odds(good: np.ndarray, lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text, its characters and the log odds of its mean marginal."""
     texts = np.repeat(np.arange(len(lines.first) - 1), np.diff(lines.first))
     n = len(lines.first) - 1
     whole = np.bincount(texts, lines.chars, n)
-    mean = np.bincount(texts, lines.chars * good, n) / np.maximum(whole, 1)
-    odds = _log_odds(mean) * crf.slope + crf.offset
-    return np.where(whole > 0, 1 / (1 + np.exp(-odds)), crf.prior)
+    return whole, _log_odds(np.bincount(texts, lines.chars * good, n) / np.maximum(whole, 1))
 
 
 def _log_odds(p: np.ndarray) -> np.ndarray:
@@ -130,8 +140,9 @@ def _gradient(x: np.ndarray, y: np.ndarray, mask: np.ndarray, w: np.ndarray, pul
     return of_w, seen - (pairs * both).sum((1, 2))
 
 
-def train(x: list[np.ndarray], chars: list[np.ndarray], y: np.ndarray, width: int) -> Crf:
-    """From the ``width`` features and lengths of the lines of some documents and the documents' labels.
+def train(x: list[np.ndarray], runs: list[np.ndarray], y: np.ndarray, width: int) -> Crf:
+    """From the ``width`` features of lines of some documents, the sizes of the runs that these lines are, and the
+    documents' labels. Scores of documents are not to scale yet, see ``scaled``.
 
     Without documents of both labels nothing can be learnt: every line then has even odds and every document the
     share of 1 among the labels (a half without any).
@@ -140,11 +151,12 @@ def train(x: list[np.ndarray], chars: list[np.ndarray], y: np.ndarray, width: in
     kept = [i for i in range(len(x)) if len(x[i])]
     if len({int(y[i]) for i in kept}) < 2:
         return Crf((0.0,) * width, (0.0,) * 4, 0.0, float(_log_odds(np.array(prior))), prior)
-    t = max(len(x[i]) for i in kept)
-    padded, mask = np.zeros((len(kept), t, x[kept[0]].shape[1])), np.zeros((len(kept), t), bool)
-    for row, i in enumerate(kept):
-        padded[row, : len(x[i])], mask[row, : len(x[i])] = x[i], True
-    labels = y[kept].astype(float)
+    chains = [(part, y[i]) for i in kept for part in np.split(x[i], np.cumsum(runs[i])[:-1])]
+    t = max(len(part) for part, _ in chains)
+    padded, mask = np.zeros((len(chains), t, width)), np.zeros((len(chains), t), bool)
+    for row, (part, _) in enumerate(chains):
+        padded[row, : len(part)], mask[row, : len(part)] = part, True
+    labels = np.array([label for _, label in chains], float)
     w, pull = np.zeros(padded.shape[2]), np.array([0.5, 0.0, 0.0, 0.5])
     both = np.concatenate([w, pull])
     mean, square = np.zeros_like(both), np.zeros_like(both)
@@ -154,11 +166,11 @@ def train(x: list[np.ndarray], chars: list[np.ndarray], y: np.ndarray, width: in
         mean, square = 0.9 * mean + 0.1 * g, 0.99 * square + 0.01 * g * g
         both = both + _STEP * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.99**k)) + 1e-8)
         both[-4:] = np.clip(both[-4:], -_MOST_PULL, _MOST_PULL)
-    crf = Crf(tuple(both[:-4].tolist()), tuple(both[-4:].tolist()), 1.0, 0.0, prior)
-    first = np.concatenate([[0], np.cumsum([len(x[i]) for i in kept])])
-    good = marginals(crf, np.concatenate([x[i] for i in kept]) @ both[:-4], first)
-    length = np.concatenate([chars[i] for i in kept])
-    odds = _log_odds(np.add.reduceat(good * length, first[:-1]) / np.maximum(np.add.reduceat(length, first[:-1]), 1))
+    return Crf(tuple(both[:-4].tolist()), tuple(both[-4:].tolist()), 1.0, 0.0, prior)
+
+
+def scaled(crf: Crf, odds: np.ndarray, labels: np.ndarray) -> Crf:
+    """With the slope and offset that fit the log odds of whole documents to their labels."""
     slope, offset = 1.0, 0.0
     for _ in range(50):  # Newton's steps for a logistic regression on one number
         p = 1 / (1 + np.exp(-(slope * odds + offset)))
@@ -180,24 +192,51 @@ def sample(docs: DataFrame, labels: DataFrame, n: int, *, doc_id: str, text: str
     return rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "x", "y")
 
 
+def runs_of(n: int, most: int, seed: int) -> list[tuple[int, int]]:
+    """Begin and end of ``most`` of a text's ``n`` lines at most: all, or runs from its whole length, drawn by a seeded hash."""
+    if n <= most:
+        return [(0, n)] if n else []
+    size = min(_RUN, most)
+    draw = mix(np.arange(-(-n // size), dtype=np.uint64) + np.uint64(seed << 32))
+    return [(k * size, min(n, (k + 1) * size)) for k in sorted(np.argsort(draw, kind="stable")[: most // size].tolist())]
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, features: Callable[[Lines], np.ndarray], *, doc_id: str = "doc_id",
     text: str = "text", label_id: str = "doc_id", label: str = "quality", n_docs: int = SAMPLE_DOCS, n_lines: int = SAMPLE_LINES,
 ) -> Crf:
-    """Learn from a bounded sample: ``n_docs`` documents, the first ``n_lines`` lines of each."""
+    """Learn from a bounded sample: ``n_docs`` documents, ``n_lines`` lines of each from anywhere in the text (in runs).
+    The scores of documents are put to scale by the same documents' whole texts."""
 
     def of_batch(batch: pa.RecordBatch) -> Iterator[list]:
         for at, part in chunks(texts_of(batch.column(1))):
             lines, _ = find_lines(part)
-            x = features(lines)
-            spans = [slice(a, min(b, a + n_lines)) for a, b in zip(lines.first[:-1], lines.first[1:], strict=True)]
-            rows = [c.slice(at, len(spans)) for c in (batch.column(0), batch.column(2))]
-            yield [*rows, [x[s].astype(np.float32).tobytes() for s in spans], [lines.chars[s].tobytes() for s in spans]]
-
-    few = sample(docs, labels, n_docs, doc_id=doc_id, text=text, label_id=label_id, label=label)
-    kinds = [few.schema["_id"], few.schema["y"], T.StructField("x", T.BinaryType()), T.StructField("chars", T.BinaryType())]
-    rows = map_batches(few, of_batch, T.StructType(kinds)).collect()
+            x, xs, sizes = features(lines).astype(np.float32), [], []
+            for i, (a, b) in enumerate(zip(lines.first[:-1].tolist(), lines.first[1:].tolist(), strict=True)):
+                seed = zlib.crc32(part.data[part.offsets[i] : part.offsets[i + 1]])
+                runs = runs_of(b - a, n_lines, seed)
+                xs.append(b"".join(x[a + p : a + q].tobytes() for p, q in runs))
+                sizes.append(np.array([q - p for p, q in runs], np.int64).tobytes())
+            yield [*(c.slice(at, len(xs)) for c in (batch.column(0), batch.column(2))), xs, sizes]
+
+    few = materialise(sample(docs, labels, n_docs, doc_id=doc_id, text=text, label_id=label_id, label=label), "labelled")
+    kinds = [few.df.schema["_id"], few.df.schema["y"], T.StructField("x", T.BinaryType()), T.StructField("runs", T.BinaryType())]
+    rows = map_batches(few.df, of_batch, T.StructType(kinds)).collect()
     rows.sort(key=lambda r: (str(r[0]), r[1], bytes(r[2])))
     width = features(find_lines(texts_of(pa.array(["a"])))[0]).shape[1]
     x = [np.frombuffer(bytes(r[2]), np.float32).reshape(-1, width) for r in rows]
-    return train(x, [np.frombuffer(bytes(r[3]), np.int64) for r in rows], np.array([r[1] for r in rows]), width)
+    crf = train(x, [np.frombuffer(bytes(r[3]), np.int64) for r in rows], np.array([r[1] for r in rows]), width)
+
+    def to_scale(batch: pa.RecordBatch) -> Iterator[list]:
+        for at, part in chunks(texts_of(batch.column(1))):
+            lines, _ = find_lines(part)
+            whole, odds = _mean_odds(marginals(crf, crf.emissions(features(lines)), lines.first), lines)
+            keep = np.flatnonzero(whole > 0)
+            yield [batch.column(2).slice(at, len(whole)).take(pa.array(keep)), odds[keep]]
+
+    if any(crf.weights):
+        pairs = map_batches(few.df, to_scale, T.StructType([few.df.schema["y"], T.StructField("odds", T.DoubleType())])).collect()
+        y, odds = np.array(sorted((r[0], r[1]) for r in pairs)).T
+        crf = scaled(crf, odds, y)
+    few.drop()
+    return crf

@@ -8,6 +8,7 @@ import pytest
 
 from kinweave.llm import line_crf as C
 from kinweave.llm import quality_classifier, quality_rules
+from kinweave.llm.lines import FEATURES as C_FEATURES
 from tests.llm.conftest import ODD, VISIBLE, table
 
 
@@ -143,3 +144,19 @@ def test_nothing_to_learn_from(spark, odd, nothing):
         scores = {r.score for r in quality_classifier.scored(odd, model).collect()}
         assert len(scores) <= 2 and all(s >= 0.5 for s in scores)
     assert quality_rules.judged(odd, quality_rules.fit_lines(nothing, labels)).count() == len(ODD)
+
+
+def test_lines_are_drawn_from_the_whole_text():
+    assert C.runs_of(0, 40, 7) == [] and C.runs_of(40, 40, 7) == [(0, 40)]
+    many = [C.runs_of(403, 40, seed) for seed in range(50)]
+    assert all(sum(b - a for a, b in runs) <= 40 and runs == sorted(runs) and runs[-1][1] <= 403 for runs in many)
+    assert {k for runs in many for a, b in runs for k in range(a, b)} == set(range(403))
+
+
+def test_junk_after_a_clean_opening_is_learnt(spark):
+    clean, junk = "The small birds watch the old wooden fence nearby.\n", "$$$ ### %%% &&& *** |||\n"
+    docs = [(i, "".join(clean.replace("old", f"old {i} {k}") for k in range(60)) + ("" if i % 2 else junk * 200)) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    crf = quality_rules.fit_lines(df, df.selectExpr("doc_id", "doc_id % 2 AS quality"))
+    names = dict(zip(C_FEATURES, crf.weights, strict=True))
+    assert names["symbols"] < -0.5
