@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from kinweave.llm.arrow import map_batches
 from kinweave.llm.lines import Lines, find_lines
 from kinweave.llm.words import chunks, mix, texts_of
-from kinweave.sources.shared import materialise
+from kinweave.sources.shared import SharedTable, materialise
 
 #: Labelled documents to learn from, and lines of each; the bound of what the driver gets.
 SAMPLE_DOCS = 2000
@@ -181,15 +181,24 @@ def scaled(crf: Crf, odds: np.ndarray, labels: np.ndarray) -> Crf:
     return crf._replace(slope=float(slope), offset=float(offset))
 
 
-def sample(docs: DataFrame, labels: DataFrame, n: int, *, doc_id: str, text: str, label_id: str, label: str) -> DataFrame:
-    """Texts and labels of ``n`` labelled documents at most, those whose ids hash lowest. Only rows of ``labels`` whose
-    crc32 of the id, as text, is not divisible by 5 are learnt from, the others are held out."""
+def sample(docs: DataFrame, labels: DataFrame, n: int, *, doc_id: str, text: str, label_id: str, label: str) -> SharedTable:
+    """``_id, x, y``: texts and labels of ``n`` labelled documents at most, those whose ids hash lowest. Rows equal in id
+    and text count once; where ids have several texts, one of each id comes before any second one. Only rows of
+    ``labels`` whose crc32 of the id, as text, is not divisible by 5 are learnt from, the others are held out."""
     usable = labels.select(F.col(label_id).alias("_id"), F.col(label).cast("int").alias("y")).filter(
         F.col("y").isin(0, 1) & (F.crc32(F.col("_id").cast("string")) % 5 != 0)
     )
-    chosen = usable.orderBy(F.xxhash64("_id"), "_id", "y").limit(n)
-    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("x"))
-    return rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "x", "y")
+    chosen = usable.distinct().orderBy(F.xxhash64("_id"), "_id", "y").limit(n)
+    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).cast("string").alias("x"), F.xxhash64(F.col(text).cast("string")).alias("key"))
+    # Narrow: a line of 64-bit hashes for each text of the chosen ids.
+    texts = materialise(rows.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "y", "key").distinct(), "texts")
+    lowest = texts.df.groupBy("_id", "y").agg(F.min("key").alias("low"))
+    order = [F.col("key") != F.col("low"), F.xxhash64("_id", "key"), F.col("_id"), F.col("key"), F.col("y")]
+    picked = texts.df.join(F.broadcast(lowest), ["_id", "y"]).orderBy(*order).limit(n).select("_id", "y", F.col("key").alias("_key"))
+    fetched = rows.join(F.broadcast(picked), (F.col("_doc") == F.col("_id")) & (F.col("key") == F.col("_key")))
+    few = materialise(fetched.dropDuplicates(["_id", "y", "key"]).select("_id", "x", "y"), "labelled")
+    texts.drop()
+    return few
 
 
 def runs_of(n: int, most: int, seed: int) -> list[tuple[int, int]]:
@@ -219,7 +228,7 @@ def fit(
                 sizes.append(np.array([q - p for p, q in runs], np.int64).tobytes())
             yield [*(c.slice(at, len(xs)) for c in (batch.column(0), batch.column(2))), xs, sizes]
 
-    few = materialise(sample(docs, labels, n_docs, doc_id=doc_id, text=text, label_id=label_id, label=label), "labelled")
+    few = sample(docs, labels, n_docs, doc_id=doc_id, text=text, label_id=label_id, label=label)
     kinds = [few.df.schema["_id"], few.df.schema["y"], T.StructField("x", T.BinaryType()), T.StructField("runs", T.BinaryType())]
     rows = map_batches(few.df, of_batch, T.StructType(kinds)).collect()
     rows.sort(key=lambda r: (str(r[0]), r[1], bytes(r[2])))

@@ -160,3 +160,17 @@ def test_junk_after_a_clean_opening_is_learnt(spark):
     crf = quality_rules.fit_lines(df, df.selectExpr("doc_id", "doc_id % 2 AS quality"))
     names = dict(zip(C_FEATURES, crf.weights, strict=True))
     assert names["symbols"] < -0.5
+
+
+def test_repeated_rows_of_a_labelled_id_are_learnt_once(spark, monkeypatch):
+    seen, train = [], C.train
+    monkeypatch.setattr(C, "train", lambda x, *more: seen.append(len(x)) or train(x, *more))
+    docs = [(1, "the same page again and again")] * 500 + [(2, f"page {i} of one id") for i in range(300)]
+    docs += [(i, f"a line of number {i}") for i in range(3, 13)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 13)] + [(1, 1)] * 9, "doc_id bigint, quality int")
+    usable = [i for i in range(1, 13) if zlib.crc32(str(i).encode()) % 5]
+    quality_rules.fit_lines(df, labels, n_docs=20)
+    assert {1, 2} <= set(usable) and seen == [20]
+    few = C.sample(df, labels, 20, doc_id="doc_id", text="text", label_id="doc_id", label="quality").df.collect()
+    assert {r["_id"] for r in few} == set(usable) and len({(r["_id"], r.x) for r in few}) == 20
