@@ -1,12 +1,11 @@
-"""Near-duplicate documents: a MinHash LSH forest finds candidates, exact Jaccard similarity of word shingles decides.
+"""Near-duplicate documents: banded MinHash finds candidates, exact Jaccard similarity of word shingles decides.
 
 1. Each text becomes a set of hashed shingles (five lower-cased words). Documents with equal sets are one *class*; from
    here on there is one line per class, whatever the number of copies.
-2. A forest of sorted prefix tries: every tree has ``DEPTH`` min-hashes per class, and a class is a path in it. Two
-   classes that share a prefix of some length in any tree are candidates. Prefixes are shortened from the full depth
-   until pairs at the threshold are met with probability ``recall``; longer ones would miss some, shorter ones only add
-   work.
-3. Classes that share a prefix hang together; connected components of that (a line per class and tree node, no pairs)
+2. Fixed bands in place of an LSH forest: each of ``TREES`` trees has as many min-hashes per class, ``DEPTH`` at most, as
+   let pairs at the threshold meet with probability ``recall`` (worked out from constants: 4), folded to one hash. Two
+   classes with an equal hash in any tree are candidates. There are no tries, and nothing is shortened by the data.
+3. Classes that share a band hang together; connected components of that (a line per class and band, no pairs)
    put all candidates of a class in one place.
 4. All sets of a component are compared exactly, by counting common shingles. A component too large for a task is cut
    into blocks by hash, and each two blocks meet in one task. A task returns one line per class: how many documents it
