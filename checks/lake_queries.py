@@ -411,8 +411,11 @@ _ROW_COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_c
 
 _TYPE_NAMES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "TIMESTAMP": "timestamp_ntz", "FLOAT[]": "array<float>"}
 _TYPE_NAME = f"CASE data_type {' '.join(f'WHEN {k!r} THEN {v!r}' for k, v in _TYPE_NAMES.items())} END"
+#: Other tables and schemas may be registered beside the given tables.
+_GIVEN_COLUMNS = f"""(SELECT DISTINCT table_name, column_name, data_type, column_index FROM duckdb_columns()
+  WHERE NOT internal AND schema_name = 'main' AND table_name IN {tuple(TABLES)})"""
 _GIVEN = f"""SELECT table_name, column_name, {_TYPE_NAME} AS data_type, CAST(column_index - 1 AS BIGINT) AS position
-  FROM duckdb_columns() WHERE NOT internal"""
+  FROM {_GIVEN_COLUMNS}"""
 
 ORACLES = {
     "sample_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10",
@@ -436,7 +439,7 @@ SELECT table_name, column_name, coalesce(semantic, kind) AS semantic FROM named
     "table_row_counts": _ROW_COUNTS,
     "table_inventory": f"SELECT r.table_name, CAST(c.n AS BIGINT) AS column_count, row_count, "
     f"CAST(row_count AS VARCHAR) AS row_count_text FROM ({_ROW_COUNTS}) r JOIN (SELECT table_name, count(*) AS n "
-    "FROM duckdb_columns() WHERE NOT internal GROUP BY 1) c ON r.table_name = c.table_name",
+    f"FROM {_GIVEN_COLUMNS} GROUP BY 1) c ON r.table_name = c.table_name",
     "result_page": f"SELECT * FROM lineitem ORDER BY {', '.join(_PAGE_KEY)} LIMIT 50 OFFSET 25000",
     "result_page_front": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100",
     "result_page_after": "SELECT * FROM orders WHERE o_orderkey > 7500 ORDER BY o_orderkey LIMIT 50",

@@ -42,7 +42,8 @@ def test_a_hot_key_is_split(spark, tmp_path, how):
         joined.collect()
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "skew=true" in plan
-        assert plan.split("Initial Plan")[0].count(f"{path}") == 1
+        # Paths are shortened in plans; only the rows' own scan reads these two columns.
+        assert plan.split("Initial Plan")[0].count("ReadSchema: struct<id:bigint,k:bigint>") == 1
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
