@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinweave.llm import chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, token_counts, url_filter, warc
+from kinweave.llm import (
+    centroids, chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, token_counts, token_files, url_filter, warc,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,6 +33,12 @@ def _chat(s: SparkSession, d: str) -> DataFrame:
     return chat_format.read_back(chat_format.windows(chat_format.with_extra(_table(s, d, "conversations"))))
 
 
+def _token_binary(s: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.written_and_read(_table(s, d, "documents"), path=public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": lambda s, d: license_scan.scan(_table(s, d, "documents")).drop("matches"),
     "op2_token_counts": lambda s, d: token_counts.section_tokens(_table(s, d, "documents")),
@@ -42,11 +50,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": lambda s, d: url_filter.judge(_table(s, d, "pages"), url_filter.train(s)),
     "op9_benchmark_decontamination": _decontamination,
     "op10_quality_classifier": _quality_classifier,
+    "op11_centroid_clustering": lambda s, d: centroids.clustered(_table(s, d, "embeddings")),
+    "op12_token_binary": _token_binary,
 }
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _rounds(n: int) -> str:
+    """Assignments and centroids of ``n`` rounds, as common table expressions."""
+    parts = []
+    for i in range(n + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (SELECT r, min_by(c, (d, c)) AS c, min(d) AS d FROM (SELECT r, c,
+    CAST(list_sum(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) AS BIGINT) AS d FROM v, c{i}) GROUP BY r)""")
+        parts.append(f"""c{i + 1} AS MATERIALIZED (SELECT c, coalesce(z, y) AS y FROM c{i} LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS z
+    FROM (SELECT c, i, CAST(sum(x[i]) AS BIGINT) AS s, count(*) AS n FROM a{i} JOIN v USING (r), range(1, 65) t(i) GROUP BY c, i) GROUP BY c) USING (c))""")
+    return ",\n".join(parts[:-1])
+
+
 ORACLES: dict[str, str] = {
     "op4_source_mix": r"""
 WITH l AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -87,4 +110,12 @@ t AS (SELECT r, count(DISTINCT item_id) AS n_items,
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)""",
+    "op11_centroid_clustering": f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 256) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('2:', vec_id)), x) - 1 AS c, x AS y FROM v QUALIFY c < 40),
+{_rounds(5)}
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(y, ',')) AS centroid_sha256
+FROM a5 JOIN v USING (r) JOIN c5 USING (c)""",
 }
