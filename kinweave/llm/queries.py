@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from kinweave.llm import (
-    centroids, chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, token_counts, token_files, url_filter, warc,
+    centroids, chat_format, decontaminate, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, repair, token_counts, token_files,
+    url_filter, warc,
 )
 
 
@@ -52,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": _quality_classifier,
     "op11_centroid_clustering": lambda s, d: centroids.clustered(_table(s, d, "embeddings")),
     "op12_token_binary": _token_binary,
+    "op13_conversation_repair": lambda s, d: repair.damaged_and_repaired(_table(s, d, "conversations")),
 }
 
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

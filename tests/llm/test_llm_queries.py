@@ -55,7 +55,7 @@ def near():
 
 def test_all_are_registered():
     registered = contract.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 13)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.QUERIES) | {"pipeline"} <= set(registered)
     assert set(queries.ORACLES) <= set(contract.oracle_sql())
 
