@@ -168,12 +168,12 @@ def _flagged(rows: DataFrame) -> DataFrame:
     digest = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")))
     noted = materialise(rows.withColumns({"digest": digest, "copy": F.monotonically_increasing_id()}), "turns").df
     group = noted.groupBy(F.struct(F.col("conv_id").alias("c")).alias("conv"), "digest")
-    # A null turn comes before the smallest long. Which of equal rows is the first does not matter.
-    least = F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")
-    place = F.coalesce(F.col("turn").cast("decimal(20,0)"), least)
-    firsts = group.agg(F.min_by("copy", place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Turn and copy as one number, which is reduced without sorting; a null turn comes before the smallest long.
+    wide = lambda n: F.lit(str(n)).cast("decimal(20,0)")
+    place = F.coalesce(F.col("turn").cast("decimal(20,0)"), wide(-(1 << 63) - 1)) * wide(1 << 63) + F.col("copy").cast("decimal(20,0)")
+    firsts = group.agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     both = join_by_key(noted.withColumn("conv", F.struct(F.col("conv_id").alias("c"))), firsts, ["conv", "digest"], "left")
-    return both.select("conv_id", "turn", "role", "text", "digest", "copy", F.coalesce(F.col("copy") != F.col("first"), F.lit(False)).alias("repeated"))
+    return both.select("conv_id", "turn", "role", "text", "digest", "copy", F.coalesce(place != F.col("first"), F.lit(False)).alias("repeated"))
 
 
 class _Open:
