@@ -22,7 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 from functools import cache
-from itertools import repeat
+from itertools import chain, groupby, repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -59,8 +59,8 @@ _SPLIT = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ\n]+")
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
 #: Bytes that have a printable Latin-1 character stand for themselves, the others follow from U+0100.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTES = {b: chr(b) for b in _SHOWN} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
@@ -93,7 +93,7 @@ class Encoder:
 
     def _clear(self) -> None:
         self._number: dict[bytes, int] = {}
-        self._of_part: dict[str, list[int]] = {}
+        self._of_part: dict[str, list[int]] = {"\n": []}
         self._flat, self._used = np.zeros(1 << 16, np.uint32), 0
         self._starts, self._sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self._words = 0
@@ -103,20 +103,40 @@ class Encoder:
         return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _word(self, word: str) -> list[int]:
-        if not _PLAIN.fullmatch(word) or ("<" in word and any(t in word for t in self._added)):
-            return self._tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in _PARTS.findall(word.lower()):
-            ids = self._of_part.get(part)
-            if ids is None:
+        """Ids of any word, by the whole tokenizer."""
+        return self._tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _plain(self, words: str) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of plain words, one in each line, and how many each has."""
+        parts = _PARTS.findall(words.lower())
+        known = self._of_part
+        for part in [p for p, ids in zip(parts, map(known.get, parts), strict=True) if ids is None]:
+            if part not in known:
                 shown = part if part.isascii() else "".join(map(_BYTES.__getitem__, part.encode()))
-                ids = [t.id for t in self._model.tokenize(shown)]
-                if len(part) <= CACHE_WORD:
-                    self._of_part[part] = ids
-            out += ids
-        return out
-
-    def _keep(self, ids: list[int], sizes: list[int]) -> None:
+                known[part] = [t.id for t in self._model.tokenize(shown)]
+        of_parts = list(map(known.__getitem__, parts))
+        sizes = np.fromiter(map(len, of_parts), np.int64, len(parts))
+        ids = np.fromiter(chain.from_iterable(of_parts), np.uint32, int(sizes.sum()))
+        ends = np.append(np.flatnonzero(np.fromiter(map("\n".__eq__, parts), bool, len(parts))), len(parts))
+        for part in [p for p in set(parts) if len(p) > CACHE_WORD]:
+            del known[part]
+        return ids, np.diff(np.concatenate([[0], np.cumsum(sizes)])[ends], prepend=0)
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Number new words, in order."""
+        lines = b"\n".join(words).decode()
+        if _PLAIN.fullmatch(lines) and not ("<" in lines and any(t in lines for t in self._added)):
+            self._keep(*self._plain(lines))
+        elif len(words) > 1:
+            plain = [_PLAIN.fullmatch(w) is not None and "<" not in w for w in lines.split("\n")]
+            for same, group in groupby(zip(words, plain, strict=True), lambda x: x[1]):
+                for some in [[w for w, _ in group]] if same else [[w] for w, _ in group]:
+                    self._learn(some)
+        else:
+            ids = self._word(lines)
+            self._keep(np.array(ids, np.uint32), np.array([len(ids)]))
+
+    def _keep(self, ids: np.ndarray, sizes: np.ndarray) -> None:
         """New words, by all their ids and how many each has."""
         while self._used + len(ids) > len(self._flat):
             self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
@@ -138,17 +158,11 @@ class Encoder:
         number = np.fromiter(map(self._number.get, parts, repeat(-1)), np.int64, len(parts))
         unknown = np.flatnonzero(number < 0).tolist()
         if unknown:
-            new = dict.fromkeys(map(parts.__getitem__, unknown))
-            ids: list[int] = []
-            counts = []
-            for at, word in enumerate(new, self._words):
-                own = self._word(word.decode())
-                ids += own
-                counts.append(len(own))
-                new[word] = at
-            self._keep(ids, counts)
-            number[unknown] = [new[parts[i]] for i in unknown]
-            self._number.update((w, at) for w, at in new.items() if len(w) <= CACHE_WORD)
+            words = list(dict.fromkeys(map(parts.__getitem__, unknown)))
+            new = dict(zip(words, range(self._words, self._words + len(words)), strict=True))
+            self._learn(words)
+            number[unknown] = np.fromiter(map(new.__getitem__, map(parts.__getitem__, unknown)), np.int64, len(unknown))
+            self._number.update(new if max(map(len, words)) <= CACHE_WORD else {w: at for w, at in new.items() if len(w) <= CACHE_WORD})
         sizes = self._sizes[number]
         before = np.cumsum(sizes) - sizes
         return self._flat[np.repeat(self._starts[number] - before, sizes) + np.arange(int(sizes.sum()))]
