@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks.rules import MATCH_RULES, MATCH_WEIGHTS
+from checks.rules import MATCH_RULES, MATCH_WEIGHTS, SIMILAR_LENGTH, SIMILAR_RULES, SIMILAR_WEIGHTS
 from checks.views import table
-from kinweave.operators import components, resolution, scores
+from kinweave.operators import components, resolution, scores, similar
 from kinweave.operators.report_overlap import pairwise_overlap
 from kinweave.sources.outputs import write_resolution
 from kinweave.sources.shared import scratch_path
@@ -86,7 +86,36 @@ def _stored_overlap(s: SparkSession, d: str) -> DataFrame:
     return pairwise_overlap(scores.profile(scores.unified_view(stored)))
 
 
+def _typed_records(s: SparkSession, d: str) -> DataFrame:
+    """Records of the two sources with names, and of forms that people filled in with one letter wrong."""
+    source = table(s, d, "customer").filter("c_custkey % 3 = 1").selectExpr(
+        "c_custkey AS f_id",
+        "CASE c_custkey % 5 WHEN 0 THEN replace(c_name, 'o', '') WHEN 1 THEN concat(c_name, 'x') WHEN 2 THEN replace(c_name, 'C', 'K') ELSE c_name END AS name",
+        "CASE WHEN c_custkey % 2 = 0 THEN substr(c_mktsegment, 2) ELSE c_mktsegment END AS family",
+        "CASE WHEN c_custkey % 4 < 2 THEN concat('u', CAST(c_custkey AS STRING), '@exmple.com') END AS mail",
+        "CASE WHEN c_custkey % 6 < 3 THEN concat('Strete ', CAST(c_nationkey AS STRING)) ELSE concat('Stret ', CAST(c_nationkey AS STRING)) END AS street",
+        "CASE WHEN c_custkey % 8 > 3 THEN concat('19', CAST(60 + c_custkey % 30 AS STRING), '-02-01') END AS born",
+    )
+    tags = {"name": "given-name", "family": "surname", "mail": "email", "street": "address", "born": "birthdate"}
+    forms = resolution.standardise({"forms": source}, {"forms": tags}, {"forms": "f_id"})
+    known = resolution.standardise({n: t for n, t in _tables(s, d).items() if n in ("crm", "members")}, SEMANTICS, KEYS)
+    return known.unionByName(forms)
+
+
+def _similar_edges(s: SparkSession, d: str) -> DataFrame:
+    return similar.similar_scores(similar.similar_pairs(_typed_records(s, d)))
+
+
+def _similar_unified(s: SparkSession, d: str) -> DataFrame:
+    records = _typed_records(s, d)
+    exact = resolution.pairs(records).select("id_a", "id_b")
+    edges = exact.unionByName(similar.similar_pairs(records).select("id_a", "id_b"))
+    return resolution.unified(records, components.connected_components(edges)).select("record_id", "entity_id")
+
+
 QUERIES = {
+    "er_similar_pairs": _similar_edges,
+    "er_similar_unified": _similar_unified,
     "er_standardise": _records,
     "er_rejected": lambda s, d: resolution.rejected(_tables(s, d), KEYS),
     "er_blocks": lambda s, d: resolution.blocks(_records(s, d)),
@@ -163,7 +192,65 @@ def _scores_sql() -> str:
     )
 
 
+_FORMS = """
+SELECT concat('forms:', c_custkey) AS record_id, 'forms' AS datasource, lower(CASE c_custkey % 5 WHEN 0 THEN replace(c_name, 'o', '')
+    WHEN 1 THEN concat(c_name, 'x') WHEN 2 THEN replace(c_name, 'C', 'K') ELSE c_name END) AS given_name,
+  lower(CASE WHEN c_custkey % 2 = 0 THEN substr(c_mktsegment, 2) ELSE c_mktsegment END) AS surname,
+  CASE WHEN c_custkey % 4 < 2 THEN concat('u', c_custkey, '@exmple.com') END AS email, CAST(NULL AS VARCHAR) AS phone,
+  CASE WHEN c_custkey % 6 < 3 THEN concat('strete ', c_nationkey) ELSE concat('stret ', c_nationkey) END AS address,
+  CASE WHEN c_custkey % 8 > 3 THEN concat('19', 60 + c_custkey % 30, '-02-01') END AS birthdate FROM customer WHERE c_custkey % 3 = 1"""
+
+
+def _alike(f: str) -> str:
+    return f"(a.{f} <> b.{f} AND least(length(a.{f}), length(b.{f})) >= {SIMILAR_LENGTH} AND levenshtein(a.{f}, b.{f}) = 1)"
+
+
+def _near(field: str, equal: tuple[str, ...]) -> str:
+    return f"CASE WHEN {' AND '.join([_alike(field), *(f'a.{f} = b.{f}' for f in equal)])} THEN '{'+'.join(['~' + field, *equal])}' END"
+
+
+def _similar_keys() -> str:
+    """A line per record, rule and key: the rest without the letter at a position, and the value as centre."""
+    parts = []
+    for field, equal in SIMILAR_RULES:
+        rule, key = "+".join(["~" + field, *equal]), " || chr(31) || ".join(equal)
+        present = " AND ".join(f"{f} IS NOT NULL" for f in equal)
+        rest = f"left({field}, pos - 1) || substr({field}, pos + 1)"
+        of = f"SELECT DISTINCT record_id, '{rule}' AS rule, {key} AS equal"
+        held = f"records WHERE {present} AND length({field}) >= {SIMILAR_LENGTH}"
+        cut = f"(SELECT *, unnest(range(1, length({field}) + 1)) AS pos FROM {held})"
+        parts += [f"{of}, pos, {rest} AS rest, false AS centre FROM {cut}", f"{of}, 0, {rest}, false FROM {cut}", f"{of}, 0, {field}, true FROM {held}"]
+    return " UNION ALL ".join(parts)
+
+
+_NEAR = ", ".join(_near(*rule) for rule in SIMILAR_RULES)
+_TYPED = f"""WITH RECURSIVE every AS ({_RECORDS} UNION ALL {_FORMS}),
+records AS (SELECT * FROM every WHERE datasource IN ('crm', 'members', 'forms'))"""
+_BOTH = ", ".join(f"CASE WHEN {_alike(f)} THEN CAST({w} AS DOUBLE) ELSE 0 END" for f, w in SIMILAR_WEIGHTS.items())
+_EQUAL_WORTH = " + ".join(f"CASE WHEN a.{f} = b.{f} THEN CAST({w} AS DOUBLE) ELSE 0 END" for f, w in MATCH_WEIGHTS.items())
+
+
+def _similar_pairs_sql() -> str:
+    scored = _scores_sql().replace(" AS score", f" + greatest({_BOTH}) AS score")
+    return f"""{_TYPED},
+keys AS ({_similar_keys()}),
+hubs AS (SELECT rule, equal, pos, rest, min(record_id) FILTER (pos > 0 OR centre) AS hub FROM keys GROUP BY ALL HAVING count(*) > 1),
+found AS (SELECT record_id AS id_a, hub AS id_b, rule FROM keys JOIN hubs USING (rule, equal, pos, rest) WHERE hub <> record_id),
+pairs AS (SELECT id_a, id_b, concat_ws(', ', {_NEAR}) AS rules FROM found JOIN records a ON a.record_id = id_a JOIN records b ON b.record_id = id_b
+  WHERE coalesce({_AGREE}) IS NULL AND rule = coalesce({_NEAR}))
+{scored}"""
+
+
 ORACLES = {
+    "er_similar_pairs": _similar_pairs_sql(),
+    # All pairs with one equal field, as every rule has one, compared by edit distance.
+    "er_similar_unified": f"""{_TYPED},
+links AS (SELECT DISTINCT a.record_id AS x, b.record_id AS y FROM records a JOIN records b ON a.record_id <> b.record_id
+    AND (a.surname = b.surname OR a.given_name = b.given_name OR a.address = b.address OR a.birthdate = b.birthdate OR a.email = b.email)
+  WHERE {_EQUAL_WORTH} + greatest({_BOTH}) >= 2),
+reach AS (SELECT DISTINCT x AS node, x AS seen FROM links UNION SELECT node, y FROM reach JOIN links ON seen = x),
+comps AS (SELECT node, min(seen) AS component FROM reach GROUP BY 1)
+SELECT record_id, coalesce(component, record_id) AS entity_id FROM records LEFT JOIN comps ON node = record_id""",
     "er_standardise": _RECORDS,
     "er_rejected": """
 SELECT 'crm' AS datasource, CAST(NULL AS VARCHAR) AS record_key, 'no key' AS reason, count(*) AS lines FROM customer

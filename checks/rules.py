@@ -43,3 +43,17 @@ MATCH_RULES = [
     ('birthdate', 'given_name', 'surname'),
 ]
 MATCH_WEIGHTS = {'email': 2.0, 'phone': 2.0, 'address': 1.0, 'birthdate': 1.0, 'given_name': 0.5, 'surname': 0.5}
+# One field that is alike, others that are equal.
+SIMILAR_RULES = [
+    ('email', ('address',)),
+    ('email', ('birthdate',)),
+    ('email', ('given_name', 'surname')),
+    ('address', ('birthdate', 'given_name')),
+    ('address', ('birthdate', 'surname')),
+    ('given_name', ('address', 'surname')),
+    ('given_name', ('birthdate', 'surname')),
+    ('surname', ('address', 'given_name')),
+    ('surname', ('birthdate', 'given_name')),
+]
+SIMILAR_WEIGHTS = {'email': 1.0, 'address': 0.5, 'given_name': 0.5, 'surname': 0.5}
+SIMILAR_LENGTH = 4

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.operators import resolution
+from kinweave.operators import resolution, similar
 from kinweave.operators.components import connected_components
 from kinweave.sources.manifests import manifest_fields
 from kinweave.sources.shared import SharedTable, materialise
@@ -55,11 +55,17 @@ def resolve(
     keys: Mapping[str, str | Sequence[str]],
     weights: Mapping[str, float] = resolution.MATCH_WEIGHTS,
     threshold: float = resolution.MATCH_THRESHOLD,
+    alike: Mapping[str, float] = similar.SIMILAR_WEIGHTS,
 ) -> tuple[DataFrame, DataFrame, list[SharedTable]]:
-    """``unified_coalesced``, ``unified_scores`` and the shared tables they read (drop them once both are stored)."""
+    """``unified_coalesced``, ``unified_scores`` and the shared tables they read (drop them once both are stored).
+
+    ``alike`` is what a value with one wrong letter is worth, by field; empty: only equal values agree.
+    """
     records = materialise(resolution.standardise(tables, semantics, keys), "records")
-    rules = resolution.match_rules(weights, threshold)
-    found = resolution.pairs(records.df, rules)
-    edges = materialise(resolution.pair_scores(found, weights), "edges")
+    found = resolution.pair_scores(resolution.pairs(records.df, resolution.match_rules(weights, threshold)), weights)
+    if alike:
+        near = similar.similar_pairs(records.df, weights, alike, threshold)
+        found = found.unionByName(similar.similar_scores(near, weights, alike))
+    edges = materialise(found, "edges")
     entities = connected_components(edges.df)
     return resolution.unified(records.df, entities), edges.df, [records, edges]
