@@ -33,7 +33,10 @@ BUCKETS = 1 << 14
 #: Shards hold at least so many bytes, and there are at most so many shards.
 SHARD_BYTES = 32 << 20
 SHARDS = 8192
-ROLL_BYTES = 256 << 20
+#: Compressed size at which a shard goes on to its next file; pages compress to about a fifth, so a shard has some files.
+ROLL_BYTES = 2 << 20
+#: Tasks that read archives back, at most.
+READERS = 1 << 14
 DATE = "2024-01-01T00:00:00Z"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the name space of URLs
 _END = b"\r\n\r\n"
@@ -252,7 +255,9 @@ def read_archives(manifest: DataFrame, folder: str, *, with_payload: bool = Fals
                 if found:
                     yield pa.RecordBatch.from_pylist(found, target)
 
-    return manifest.select("name", "records").repartition("name").mapInArrow(run, schema)
+    # An explicit number of partitions (adaptive execution joins small ones otherwise), a task per file up to READERS.
+    files = max(1, min(READERS, manifest.count()))
+    return manifest.select("name", "records").repartition(files, "name").mapInArrow(run, schema)
 
 
 def written_and_read(pages: DataFrame, **more) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinweave.llm import warc as W
 
@@ -82,3 +83,16 @@ def test_a_lost_task_leaves_no_half_file(tmp_path):
 
 def test_nothing(pages):
     assert W.written_and_read(pages.limit(0)).count() == 0
+
+
+def test_many_files_are_read_by_many_tasks(spark, tmp_path):
+    """Files roll at the size given, and a small manifest is not read by one task."""
+    pages = spark.range(2000, numPartitions=4).selectExpr("id AS page_id", "concat('http://a/', id) AS url", "sha2(cast(id AS string), 512) AS html")
+    folder = str(tmp_path / "archive")
+    manifest = W.write_archives(pages, folder, shard_bytes=100_000, roll_bytes=10_000).df
+    files = manifest.count()
+    assert files > 30 and manifest.filter("number > 0").count() > 0
+    back = W.read_archives(manifest, folder)
+    assert back.rdd.getNumPartitions() == files and back.count() == 2000
+    used = back.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert used > files // 3
