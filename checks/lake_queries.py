@@ -10,7 +10,7 @@ from checks.views import SCHEMAS, TABLES, table, view, with_views
 from kinweave.functions.types import normalise_type
 from kinweave.operators import content, edits, inventory, manifest, pii, tags
 from kinweave.plans import tagging
-from kinweave.sources import catalog, manifests, paging, readers
+from kinweave.sources import catalog, footers, manifests, paging, planned, readers
 from kinweave.sources.shared import materialise, scratch_path
 
 SKIP = "_resolved"
@@ -160,6 +160,35 @@ def _nested(s: SparkSession, d: str) -> DataFrame:
     return nested.select("catalog_name", "schema_name", "path", F.size("fields").alias("n_fields"), names.alias("names"))
 
 
+def _listed_chunks(s: SparkSession, d: str) -> DataFrame:
+    """Customers as ordered result chunks, read through the planned source: names, numbers and types of a result."""
+    path = scratch_path(s, "chunks")
+    ordered = table(s, d, "customer").select(*CHUNK_COLUMNS).repartitionByRange(5, "c_custkey").sortWithinPartitions("c_custkey")
+    ordered.write.option("escape", '"').csv(path)
+    counts = readers.csv_chunks(s, path, CHUNK_COLUMNS).groupBy(F.input_file_name().alias("path")).agg(F.count("*").alias("rows"))
+    # Files of a sorted result are named in order.
+    number = F.regexp_extract("path", "part-([0-9]+)", 1).cast("long").alias("chunk_index")
+    listing = scratch_path(s, "listing")
+    counts.select(number, "path", "rows").write.parquet(listing)
+    found = planned.read_chunks(s, listing, CHUNK_COLUMNS).drop("chunk_index")
+    return readers.cast_columns(found, {"c_custkey": "bigint", "c_nationkey": "int", "c_acctbal": "double"})
+
+
+def _ranged_orders(s: SparkSession, d: str) -> DataFrame:
+    """Orders of a range of keys, through row groups chosen by their footers."""
+    listing = scratch_path(s, "groups")
+    footers.row_groups(footers.list_files(s, f"{d}/orders.parquet"), "o_orderkey").write.parquet(listing)
+    return planned.read_ranges(s, listing, "o_orderkey", table(s, d, "orders").schema).filter("o_orderkey BETWEEN 2000 AND 9000")
+
+
+def _file_catalog(s: SparkSession, d: str) -> DataFrame:
+    """Columns of the given tables, by the footers of all their files."""
+    lines = footers.file_columns(footers.list_files(s, d))
+    named = lines.withColumn("table_name", F.regexp_extract("path", "([a-z]+)[.]parquet(/|$)", 1))
+    merged = footers.merged_columns(named.filter(F.col("table_name").isin(TABLES)))
+    return merged.filter("conflict IS NULL").select("table_name", "column_name", "data_type", "position")
+
+
 def _given_columns(s: SparkSession, d: str) -> DataFrame:
     for name in TABLES:
         table(s, d, name).createOrReplaceTempView(name)
@@ -182,6 +211,10 @@ QUERIES = {
     "sample_rows": lambda s, d: inventory.sample_rows(table(s, d, "orders"), ["o_orderkey"]),
     "csv_chunk_scan": _csv_chunks,
     "chunk_page": _chunk_page,
+    "chunk_source_scan": _listed_chunks,
+    "chunk_source_page": lambda s, d: _listed_chunks(s, d).filter("row_number >= 700 AND row_number < 750"),
+    "range_source_scan": _ranged_orders,
+    "file_catalog": _file_catalog,
     "run_sql": _run_sql,
     "column_catalog": lambda s, d: catalog.read_columns(_columns(s, d), "lake", ["s1", "s2"], view(s, d, "tags")),
     "catalog_columns": lambda s, d: _given_columns(s, d).select("table_name", "column_name", "data_type", "position"),
@@ -425,6 +458,11 @@ ORACLES = {
     "WHERE o_totalprice > 100000 GROUP BY 1",
     "column_catalog": f"{with_views(['columns', 'tags'])} SELECT * FROM columns WHERE catalog_name = 'lake' AND "
     "schema_name IN ('s1', 's2') AND (schema_name, table_name) IN (SELECT (schema_name, table_name) FROM tags)",
+    "chunk_source_scan": f"SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_number, {', '.join(CHUNK_COLUMNS)} FROM customer",
+    "chunk_source_page": f"""SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_number, {', '.join(CHUNK_COLUMNS)} FROM customer
+ORDER BY c_custkey LIMIT 50 OFFSET 700""",
+    "range_source_scan": "SELECT * FROM orders WHERE o_orderkey BETWEEN 2000 AND 9000",
+    "file_catalog": _GIVEN,
     "catalog_columns": _GIVEN,
     "pii_classify_with_evidence": f"""WITH given AS ({_GIVEN}), named AS (SELECT table_name, column_name,
   CASE WHEN {_NUMERIC} THEN NULL {_RULE_CASE} END AS semantic FROM given),
