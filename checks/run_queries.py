@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.views import SCHEMAS, view, with_views
 from kinweave.operators import runs
 from kinweave.sources.shared import scratch_path
+from kinweave.streaming import keyed
 from kinweave.streaming import latest as stream
 
 
@@ -32,19 +33,34 @@ def _nested_tasks(s: SparkSession, d: str) -> DataFrame:
     return view(s, d, "runs").select("run_id", F.expr(tasks).cast(runs.TASK_SCHEMA).alias("tasks"))
 
 
-def _stream(s: SparkSession, d: str) -> DataFrame:
-    """The latest runs kept by a stream over the events file."""
+def _observed(s: SparkSession, d: str) -> DataFrame:
+    """The events file as a stream of observations."""
     events = s.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
-    observed = events.select(
+    return events.select(
         F.concat(F.lit("job-"), F.col("user_id").cast("string")).alias("job_id"),
         F.col("event_id").alias("obs_id"),
         F.col("ts").alias("seen_at"),
         F.col("event_type").alias("state"),
     )
+
+
+_OBSERVED = "job_id string, obs_id bigint, seen_at timestamp_ntz, state string"
+
+
+def _stream(s: SparkSession, d: str) -> DataFrame:
+    """The latest runs kept by a stream over the events file."""
     target = scratch_path(s, "latest")
-    query = stream.start_latest_runs(observed, f"{target}/table", f"{target}/log", available_now=True)
+    query = stream.start_latest_runs(_observed(s, d), f"{target}/table", f"{target}/log", available_now=True)
+    query.awaitTermination()
+    return stream.read_latest_runs(s, f"{target}/table", _OBSERVED)
+
+
+def _keyed(s: SparkSession, d: str) -> DataFrame:
+    """The same, kept as keyed state."""
+    target = scratch_path(s, "keyed")
+    query = keyed.start_keyed_runs(_observed(s, d), f"{target}/table", f"{target}/log", available_now=True)
     query.awaitTermination()
-    return stream.read_latest_runs(s, f"{target}/table", "job_id string, obs_id bigint, seen_at timestamp_ntz, state string")
+    return keyed.read_keyed_runs(s, f"{target}/table", _OBSERVED)
 
 
 QUERIES = {
@@ -65,6 +81,7 @@ QUERIES = {
     "runs_lookup": lambda s, d: runs.lookup_runs(_latest(s, d), _wanted(s, d)),
     "runs_tasks": lambda s, d: runs.run_tasks(_nested_tasks(s, d)),
     "runs_latest_stream": _stream,
+    "runs_latest_keyed": _keyed,
 }
 
 _RUNS = with_views(["runs"])
@@ -115,3 +132,4 @@ SELECT run_id, CASE WHEN i > 0 THEN concat('task-', i) END AS task_key, CASE WHE
     "runs_latest_stream": """SELECT concat('job-', user_id) AS job_id, event_id AS obs_id, ts AS seen_at, event_type AS state
 FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""",
 }
+ORACLES["runs_latest_keyed"] = ORACLES["runs_latest_stream"]
