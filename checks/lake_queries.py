@@ -12,6 +12,7 @@ from kinweave.operators import content, edits, inventory, manifest, pii, tags
 from kinweave.plans import tagging
 from kinweave.sources import catalog, footers, manifests, paging, planned, readers
 from kinweave.sources.shared import materialise, scratch_path
+from kinweave.sources.tag_table import TagTable
 
 SKIP = "_resolved"
 AT = "2024-06-01 00:00:00"
@@ -207,6 +208,14 @@ def _schema_edits(s: SparkSession, d: str) -> DataFrame:
     return edits.exclude_columns(_scan(s, d), wanted)
 
 
+def _tag_table(s: SparkSession, d: str) -> TagTable:
+    """A tag table of two commits: the tags already stored, then the batch."""
+    stored = TagTable(s, scratch_path(s, "tag-table"))
+    stored.commit(view(s, d, "tags").drop("updated_at"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    stored.commit(view(s, d, "tag_batch"), F.lit(AT).cast("timestamp"))
+    return stored
+
+
 QUERIES = {
     "sample_rows": lambda s, d: inventory.sample_rows(table(s, d, "orders"), ["o_orderkey"]),
     "csv_chunk_scan": _csv_chunks,
@@ -257,6 +266,8 @@ QUERIES = {
     "tag_upsert": lambda s, d: tags.upsert_tags(
         view(s, d, "tags"), view(s, d, "tag_batch"), F.lit(AT).cast("timestamp")
     ),
+    "tag_table": lambda s, d: _tag_table(s, d).read(),
+    "tag_table_before": lambda s, d: _tag_table(s, d).read(1),
     "tag_upsert_errors": lambda s, d: tags.tag_errors(view(s, d, "tag_batch")),
     "tag_upsert_check": lambda s, d: tags.verify_upsert(
         tags.upsert_tags(view(s, d, "tags"), view(s, d, "tag_batch"), F.lit(AT).cast("timestamp")),
@@ -536,6 +547,8 @@ FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_ANY}')) AS value FROM do
   'pii_tags': coalesce(list({{'name': column_name, 'semantic': semantic}} ORDER BY position) FILTER (semantic IS NOT NULL), []),
   'profiling_timestamp': '{AT}'}}) AS VARCHAR) AS profile FROM scan GROUP BY {_K}""",
     "tag_upsert": f"{_TAG_BASE} SELECT * FROM stored",
+    "tag_table": f"{_TAG_BASE} SELECT * FROM stored",
+    "tag_table_before": f"{with_views(['tags'])} SELECT * FROM tags",
     "tag_upsert_errors": f"""{_TAG_BASE} SELECT *, CASE WHEN table_name <> '' AND column_name <> '' AND semantic_type <> ''
     THEN 'Missing database or schema' ELSE 'Missing table, column, or semantic_type' END AS error FROM tag_batch
   WHERE NOT coalesce(database_name <> '' AND schema_name <> '' AND table_name <> '' AND column_name <> '' AND semantic_type <> '', FALSE)

@@ -29,7 +29,7 @@ def _complete() -> Column:
     return reduce(lambda a, b: a & b, [_given(c) for c in [*TAG_KEYS, "semantic_type"]])
 
 
-def _retagged(batch: DataFrame) -> DataFrame:
+def retagged_tables(batch: DataFrame) -> DataFrame:
     """The tables a batch names in full."""
     return batch.filter(reduce(lambda a, b: a & b, [_given(c) for c in TABLE_KEYS])).select(*TABLE_KEYS).distinct()
 
@@ -54,7 +54,7 @@ def tag_errors(batch: DataFrame) -> DataFrame:
     inner = _given("table_name") & _given("column_name") & _given("semantic_type")
     reason = F.when(inner, F.lit("Missing database or schema")).otherwise(F.lit("Missing table, column, or semantic_type"))
     lacking = batch.filter(missing).select(*TAG_KEYS, "semantic_type", reason.alias("error"))
-    stored = _storable(batch).select(*TAG_KEYS, F.col("semantic_type").alias("stored_type"))
+    stored = storable_tags(batch).select(*TAG_KEYS, F.col("semantic_type").alias("stored_type"))
     clashes = (
         batch.filter(~missing)
         .join(stored, TAG_KEYS)
@@ -64,7 +64,8 @@ def tag_errors(batch: DataFrame) -> DataFrame:
     return lacking.unionByName(clashes)
 
 
-def _storable(batch: DataFrame) -> DataFrame:
+def storable_tags(batch: DataFrame) -> DataFrame:
+    """The tags of a batch that can be stored, one per column: those that lack no field, the first semantic in sort order."""
     return (
         batch.filter(_complete())
         .groupBy(*TAG_KEYS)
@@ -75,16 +76,16 @@ def _storable(batch: DataFrame) -> DataFrame:
 def upsert_tags(existing: DataFrame, batch: DataFrame, at: Column) -> DataFrame:
     """The tag table after storing ``batch``: tables named in the batch lose their old tags and get the new ones,
     stamped ``at``; all other tags stay. An empty batch changes nothing. See ``tag_errors`` for what is left out."""
-    retagged = _retagged(batch)
+    retagged = retagged_tables(batch)
     kept = join_by_key(existing, retagged, TABLE_KEYS, "left_anti")
-    fresh = _storable(batch).withColumn("updated_at", at)
+    fresh = storable_tags(batch).withColumn("updated_at", at)
     return kept.unionByName(fresh.select(*existing.columns))
 
 
 def verify_upsert(tags: DataFrame, batch: DataFrame) -> DataFrame:
     """``expected, actual, success``: tags to be stored against tags found for the tables of the batch."""
-    retagged = _retagged(batch)
-    expected = _storable(batch).agg(F.count("*").alias("n")).select(F.lit("expected").alias("side"), "n")
+    retagged = retagged_tables(batch)
+    expected = storable_tags(batch).agg(F.count("*").alias("n")).select(F.lit("expected").alias("side"), "n")
     actual = (
         join_by_key(tags, retagged, TABLE_KEYS, "left_semi")
         .agg(F.count("*").alias("n"))

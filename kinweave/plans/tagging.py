@@ -6,13 +6,13 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.skew import join_by_key
 from kinweave.operators import manifest, pii, tags
 from kinweave.sources.manifests import write_manifest
 from kinweave.sources.shared import SharedTable, materialise
+from kinweave.sources.tag_table import TagTable
 
 
 @dataclass(frozen=True)
@@ -42,33 +42,14 @@ def scan_columns(
     return Scan(table, summary, pii.schema_rollup(summary))
 
 
-_SCHEMA_KEYS = ["database_name", "schema_name"]
-
-
-def read_tag_table(spark: SparkSession, path: str) -> DataFrame:
-    """The tag table below ``path``, a folder per database and schema; empty before the first tags are stored."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], tags.TAG_SCHEMA)
-    columns = [c.split()[0] for c in tags.TAG_SCHEMA.split(", ")]
-    return spark.read.schema(tags.TAG_SCHEMA).parquet(path).select(*columns)
-
-
 def store_tags(scan: Scan, at: Column, path: str) -> tuple[DataFrame, DataFrame]:
-    """Store the scan's tags in the tag table below ``path`` and return it with the check of its counts.
+    """Commit the scan's tags to the tag table below ``path`` and return it with the check of its counts.
 
-    Only the schemas that the scan tags are read and written anew, each replaced as a whole; the new lines are written
-    aside first, so nothing is lost if that fails.
+    Another writer's tags of other tables stay; ``tag_table.Conflict`` is raised if it tags the same tables meanwhile.
     """
     batch = tags.tag_plan(scan.columns)
-    spark = batch.sparkSession
-    touched = batch.select(*_SCHEMA_KEYS).distinct()
-    of_touched = join_by_key(read_tag_table(spark, path), touched, _SCHEMA_KEYS, "left_semi")
-    new = materialise(tags.upsert_tags(of_touched, batch, at), "tags")
-    writer = new.df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(*_SCHEMA_KEYS).parquet(path)
-    new.drop()
-    stored = read_tag_table(spark, path)
+    table = TagTable(batch.sparkSession, path)
+    stored = table.read(table.commit(batch, at) or None)
     return stored, tags.verify_upsert(stored, batch)
 
 
