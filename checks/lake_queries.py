@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.rules import NAME_PATTERNS, NUMERIC_TYPES, SEMANTICS, UNSUPPORTED_TYPES, UUID_PATTERN, VALUE_PATTERNS
 from checks.views import SCHEMAS, TABLES, table, view, with_views
 from kinweave.functions.types import normalise_type
-from kinweave.operators import content, edits, inventory, manifest, pii, tags
+from kinweave.operators import content, edits, inventory, manifest, name_index, pii, tags
 from kinweave.plans import tagging
 from kinweave.sources import catalog, footers, manifests, paging, planned, readers
 from kinweave.sources.shared import materialise, scratch_path
@@ -216,6 +216,14 @@ def _tag_table(s: SparkSession, d: str) -> TagTable:
     return stored
 
 
+def _name_search(s: SparkSession, d: str) -> DataFrame:
+    """Suppliers' and parts' names with errors, looked up among all names."""
+    wrong = table(s, d, "supplier").selectExpr("replace(s_name, 'u', '') AS target").unionByName(
+        table(s, d, "part").filter("p_size < 10").selectExpr("concat(' ', replace(p_name, 'a', 'o'), 'X') AS target")
+    )
+    return name_index.build_index(_names(s, d)).search(wrong, 0.75)
+
+
 QUERIES = {
     "sample_rows": lambda s, d: inventory.sample_rows(table(s, d, "orders"), ["o_orderkey"]),
     "csv_chunk_scan": _csv_chunks,
@@ -237,6 +245,7 @@ QUERIES = {
     "result_page": lambda s, d: paging.store_pages(table(s, d, "lineitem"), _PAGE_KEY).page(25000),
     "result_page_front": lambda s, d: inventory.result_page(table(s, d, "orders"), ["o_orderkey"], 100),
     "result_page_after": lambda s, d: inventory.page_after(table(s, d, "orders"), "o_orderkey", 7500),
+    "name_search": _name_search,
     "fuzzy_name_match": lambda s, d: inventory.fuzzy_name_match(_names(s, d), TARGETS, None),
     "fuzzy_name_score": lambda s, d: inventory.fuzzy_name_match(_names(s, d), ["costumer 12", "gren widgit"]),
     "target_parse": _targets,
@@ -492,6 +501,12 @@ SELECT table_name, column_name, coalesce(semantic, kind) AS semantic FROM named
     "result_page": f"SELECT * FROM lineitem ORDER BY {', '.join(_PAGE_KEY)} LIMIT 50 OFFSET 25000",
     "result_page_front": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100",
     "result_page_after": "SELECT * FROM orders WHERE o_orderkey > 7500 ORDER BY o_orderkey LIMIT 50",
+    "name_search": f"""WITH {_NAMES}, wanted AS (SELECT replace(s_name, 'u', '') AS target FROM supplier
+  UNION SELECT concat(' ', replace(p_name, 'a', 'o'), 'X') FROM part WHERE p_size < 10),
+folded AS (SELECT lower(trim(name)) AS c, min(name) AS name FROM names GROUP BY 1),
+scored AS (SELECT target, name, 1 - CAST(levenshtein(lower(trim(target)), c) AS DOUBLE) / greatest(length(trim(target)), length(c)) AS score
+  FROM wanted JOIN folded ON abs(length(trim(target)) - length(c)) <= 0.25 * greatest(length(trim(target)), length(c)))
+SELECT * FROM scored WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY target ORDER BY score DESC, name) = 1""",
     "fuzzy_name_match": f"""WITH {_NAMES}, wanted AS (SELECT unnest({TARGETS!r}) AS target),
 ranked AS (SELECT target, name, CASE WHEN lower(trim(name)) = lower(trim(target)) THEN 'equal'
     WHEN contains(lower(name), lower(target)) THEN 'contains' END AS match FROM wanted, names)

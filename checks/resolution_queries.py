@@ -113,7 +113,20 @@ def _similar_unified(s: SparkSession, d: str) -> DataFrame:
     return resolution.unified(records, components.connected_components(edges)).select("record_id", "entity_id")
 
 
+def _survey_blocks(s: SparkSession, d: str) -> DataFrame:
+    """Customers with postal codes in two spellings."""
+    source = table(s, d, "customer").selectExpr(
+        "c_custkey", "c_mktsegment",
+        "CASE c_custkey % 3 WHEN 0 THEN concat('ab', CAST(c_nationkey AS STRING), ' 1x') WHEN 1 THEN concat('AB-', CAST(c_nationkey AS STRING), '1X') ELSE '--' END AS zip",
+        "CASE WHEN c_custkey % 4 <> 0 THEN concat('19', CAST(60 + c_custkey % 30 AS STRING), '-02-01') END AS born",
+    )
+    tags = {"c_mktsegment": "surname", "zip": "postal", "born": "birthdate"}
+    records = resolution.standardise({"crm": source}, {"crm": tags}, {"crm": "c_custkey"}, postal=True)
+    return resolution.blocks(records, resolution.SURVEY_BLOCKS)
+
+
 QUERIES = {
+    "er_survey_blocks": _survey_blocks,
     "er_similar_pairs": _similar_edges,
     "er_similar_unified": _similar_unified,
     "er_standardise": _records,
@@ -242,6 +255,11 @@ pairs AS (SELECT id_a, id_b, concat_ws(', ', {_NEAR}) AS rules FROM found JOIN r
 
 
 ORACLES = {
+    "er_survey_blocks": """WITH r AS (SELECT concat('crm:', c_custkey) AS record_id, lower(c_mktsegment) AS surname,
+  CASE WHEN c_custkey % 3 < 2 THEN concat('ab', c_nationkey, '1x') END AS postal,
+  CASE WHEN c_custkey % 4 <> 0 THEN concat('19', 60 + c_custkey % 30, '-02-01') END AS birthdate FROM customer)
+SELECT record_id, 'surname+birthdate' AS rule, surname || chr(31) || birthdate AS block_key FROM r WHERE birthdate IS NOT NULL
+UNION ALL SELECT record_id, 'postal+surname', postal || chr(31) || surname FROM r WHERE postal IS NOT NULL""",
     "er_similar_pairs": _similar_pairs_sql(),
     # All pairs with one equal field, as every rule has one, compared by edit distance.
     "er_similar_unified": f"""{_TYPED},

@@ -34,6 +34,9 @@ MATCH_THRESHOLD = 2.0
 
 KEY_SEPARATOR = "\u001f"
 
+#: Keys under which records are often put side by side; the postal code needs ``standardise(..., postal=True)``.
+SURVEY_BLOCKS = [("email",), ("phone",), ("surname", "birthdate"), ("postal", "surname")]
+
 
 def match_rules(
     weights: Mapping[str, float] = MATCH_WEIGHTS, threshold: float = MATCH_THRESHOLD
@@ -66,8 +69,9 @@ def _day(text: Column) -> Column:
 
 
 def standardise(
-    tables: Mapping[str, DataFrame], semantics: Mapping[str, Mapping[str, str]], keys: Mapping[str, str | Sequence[str]]
-) -> DataFrame:
+    tables: Mapping[str, DataFrame], semantics: Mapping[str, Mapping[str, str]], keys: Mapping[str, str | Sequence[str]],
+    postal: bool = False,
+) -> DataFrame:
     """Records of all tables in one form: ``record_id, datasource`` and the six identity columns.
 
     ``semantics`` gives, for each table (by its manifest path, which becomes ``datasource``), the columns and their
@@ -75,7 +79,7 @@ def standardise(
     ``rejected``); lines of one key are one record in resolution. Names, e-mail and address are trimmed and lower-cased, phones keep digits only,
     dates become ISO dates; what is empty or unreadable is null. A full name is split at its first blank where no
     given name or surname is tagged; address parts are joined in the order address, address2, city, state, postal,
-    country.
+    country. With ``postal`` the postal code is a column of its own as well, its letters and digits alone.
     """
     parts = []
     for path, df in tables.items():
@@ -102,6 +106,7 @@ def standardise(
                 _digits(text("phone")).alias("phone"),
                 address.alias("address"),
                 _day(text("birthdate")).alias("birthdate"),
+                *([F.nullif(F.regexp_replace(F.lower(text("postal")), "[^0-9a-z]", ""), F.lit("")).alias("postal")] if postal else []),
             )
         )
     return union_all(parts)
