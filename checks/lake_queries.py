@@ -242,6 +242,7 @@ QUERIES = {
     "table_column_counts": lambda s, d: inventory.table_column_counts(_columns(s, d)),
     "table_row_counts": lambda s, d: inventory.table_row_counts({n: table(s, d, n) for n in TABLES}),
     "table_inventory": _inventory,
+    "stored_page_after": lambda s, d: paging.store_pages(table(s, d, "orders"), ["o_custkey", "o_orderkey"]).page_after([300, 20000], 200),
     "result_page": lambda s, d: paging.store_pages(table(s, d, "lineitem"), _PAGE_KEY).page(25000),
     "result_page_front": lambda s, d: inventory.result_page(table(s, d, "orders"), ["o_orderkey"], 100),
     "result_page_after": lambda s, d: inventory.page_after(table(s, d, "orders"), "o_orderkey", 7500),
@@ -498,6 +499,7 @@ SELECT table_name, column_name, coalesce(semantic, kind) AS semantic FROM named
     "table_inventory": f"SELECT r.table_name, CAST(c.n AS BIGINT) AS column_count, row_count, "
     f"CAST(row_count AS VARCHAR) AS row_count_text FROM ({_ROW_COUNTS}) r JOIN (SELECT table_name, count(*) AS n "
     f"FROM {_GIVEN_COLUMNS} GROUP BY 1) c ON r.table_name = c.table_name",
+    "stored_page_after": "SELECT * FROM orders WHERE (o_custkey, o_orderkey) > (300, 20000) ORDER BY o_custkey, o_orderkey LIMIT 200",
     "result_page": f"SELECT * FROM lineitem ORDER BY {', '.join(_PAGE_KEY)} LIMIT 50 OFFSET 25000",
     "result_page_front": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 100",
     "result_page_after": "SELECT * FROM orders WHERE o_orderkey > 7500 ORDER BY o_orderkey LIMIT 50",

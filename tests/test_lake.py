@@ -499,13 +499,39 @@ def test_stored_pages(spark):
     df = spark.range(1000).selectExpr("(id * 37) % 1000 AS k", "id AS `odd name`", "array(id) AS a").repartition(7)
     assert paging.store_pages(df, ["k"]).total_rows == 1000
     stored = paging.store_pages(df, ["k"], chunks=6)
-    assert stored.total_rows == 1000 and len(stored.chunks) > 1
-    edge = stored.chunks[1].start
+    zones = [tuple(r) for r in stored.zones.select("start", "stop", "low.k", "high.k").collect()]
+    assert stored.total_rows == 1000 and len(zones) > 1
+    assert all((low, high) == (start, stop - 1) for start, stop, low, high in zones)
+    edge = zones[1][0]
+    inner = zones[1][1] - edge - 1
+    assert len(stored.page(edge, inner).inputFiles()) == 1 and len(stored.page(edge - 1, 2).inputFiles()) == 2
     for start, n in [(0, 50), (edge - 3, 6), (edge, 1), (120, 700), (990, 50), (1000, 50)]:
         assert [r.k for r in stored.page(start, n).collect()] == list(range(start, min(start + n, 1000)))
     seen = [(len(part), more) for part, more in stored.pages(300)]
     assert seen == [(300, True), (300, True), (300, True), (100, False)]
     assert stored.page(0).columns == df.columns
+    again = paging.open_pages(spark, stored.path)
+    for last in (-1, edge - 1, edge, edge + 5, 998, 999, 5000):
+        assert [r.k for r in again.page_after([last], 30).collect()] == list(range(last + 1, min(last + 31, 1000)))
+    assert len(again.page_after([edge], inner - 2).inputFiles()) <= 2
+
+
+def test_stored_pages_by_several_columns_with_nulls(spark, tmp_path):
+    df = spark.range(300).selectExpr("IF(id < 100, NULL, concat('g', id % 3)) AS `a b`", "id AS k", "-id AS v").repartition(5)
+    want = sorted(((r["a b"], r.k) for r in df.collect()), key=lambda t: (t[0] is not None, t[0] or "", t[1]))
+    stored = paging.store_pages(df, ["a b", "k"], f"{tmp_path}/with blank", chunks=7)
+    seen = [(r["a b"], r.k) for part, _ in stored.pages(41) for r in part]
+    assert seen == want
+    for at in (0, 99, 100, 250, 299):
+        assert [(r["a b"], r.k) for r in stored.page_after(want[at], 9).collect()] == want[at + 1 : at + 10]
+    with pytest.raises(ValueError):
+        stored.page_after(["g1"])
+
+
+def test_many_files_are_numbered_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(paging, "_RUN", 3)
+    stored = paging.store_pages(spark.range(500), ["id"], chunks=14)
+    assert [r.id for part, _ in stored.pages(77) for r in part] == list(range(500))
 
 
 def test_stored_pages_of_nothing(spark):
