@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from checks.rules import MATCH_RULES, MATCH_WEIGHTS, SIMILAR_LENGTH, SIMILAR_RULES, SIMILAR_WEIGHTS
 from checks.views import table
-from kinweave.operators import components, resolution, scores, similar
+from kinweave.operators import components, entity_store, resolution, scores, similar
 from kinweave.operators.report_overlap import pairwise_overlap
 from kinweave.sources.outputs import write_resolution
 from kinweave.sources.shared import scratch_path
@@ -125,7 +126,17 @@ def _survey_blocks(s: SparkSession, d: str) -> DataFrame:
     return resolution.blocks(records, resolution.SURVEY_BLOCKS)
 
 
+def _in_batches(s: SparkSession, d: str) -> entity_store.EntityStore:
+    """The records of ``er_unified``, stored in three batches; later ones join entities of earlier ones."""
+    records = _records(s, d)
+    store = entity_store.EntityStore(s, scratch_path(s, "entities"), buckets=16)
+    for sources in (("crm", "vendors", "web"), ("guests",), ("orders", "members")):
+        store.add(records.filter(F.col("datasource").isin(*sources)))
+    return store
+
+
 QUERIES = {
+    "er_incremental": lambda s, d: _in_batches(s, d).entities().select("record_id", F.min("record_id").over(Window.partitionBy("entity_id")).alias("entity_id")),
     "er_survey_blocks": _survey_blocks,
     "er_similar_pairs": _similar_edges,
     "er_similar_unified": _similar_unified,
@@ -279,6 +290,7 @@ UNION ALL SELECT 'vendors', CAST(s_suppkey - 1 AS VARCHAR), 'repeated key', 2 FR
     "er_scores": f"{_BASE} {_scores_sql()}",
     "er_components": f"{_BASE} SELECT * FROM comps",
     "er_unified": f"{_BASE} SELECT * FROM resolved",
+    "er_incremental": f"{_BASE} SELECT DISTINCT record_id, entity_id FROM resolved",
     "er_stored_overlap": f"""{_BASE}, m AS (SELECT DISTINCT entity_id, datasource FROM resolved)
 SELECT a.datasource AS source_1, b.datasource AS source_2, count(*) AS cnt FROM m a JOIN m b USING (entity_id)
 WHERE a.datasource <> b.datasource GROUP BY 1, 2""",

@@ -130,7 +130,7 @@ def rejected(tables: Mapping[str, DataFrame], keys: Mapping[str, str | Sequence[
     return union_all(parts).filter("reason IS NOT NULL")
 
 
-def _keys(rules: Sequence[Sequence[str]]) -> Column:
+def record_keys(rules: Sequence[Sequence[str]]) -> Column:
     """The keys of a record: one for each rule all of whose fields it has."""
 
     def key(fields: Sequence[str]) -> Column:
@@ -143,7 +143,7 @@ def _keys(rules: Sequence[Sequence[str]]) -> Column:
 
 def blocks(records: DataFrame, rules: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """``record_id, rule, block_key``: the keys under which each record is compared."""
-    return records.select("record_id", F.inline(_keys(rules or match_rules())))
+    return records.select("record_id", F.inline(record_keys(rules or match_rules())))
 
 
 def _agreeing(rules: Sequence[Sequence[str]]) -> Column:
@@ -168,7 +168,7 @@ def pairs(
     earlier rule and connected there, so the components are the same, and no shuffle is needed to find repeats.
     """
     rules = rules or match_rules()
-    keyed = records.filter("record_id IS NOT NULL").select("record_id", F.struct(*FIELDS).alias("a"), F.inline(_keys(rules)))
+    keyed = records.filter("record_id IS NOT NULL").select("record_id", F.struct(*FIELDS).alias("a"), F.inline(record_keys(rules)))
     hubs = (
         keyed.groupBy("rule", "block_key")
         .agg(F.min(F.struct("record_id", "a")).alias("hub"), F.count("*").alias("size"))

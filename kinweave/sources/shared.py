@@ -49,6 +49,27 @@ def drop_scratch(spark: SparkSession) -> None:
     _delete(spark, _own_folder(spark))
 
 
+def claim(spark: SparkSession, folder: str, name: str, body: str) -> bool:
+    """Write a small file that must not exist yet, by renaming a temporary one to it; false if it stands already."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    temporary, final = (jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}") for n in (f".{uuid.uuid4().hex}.tmp", name))
+    files = temporary.getFileSystem(conf)
+    out = files.create(temporary, True)
+    out.write(body.encode())
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(temporary).toUri(), conf)
+    try:
+        # Fails if the target stands.
+        context.rename(files.makeQualified(temporary), files.makeQualified(final), options)
+    except Exception as error:  # py4j wraps what Java throws.
+        files.delete(temporary, False)
+        if "FileAlreadyExistsException" in str(error):
+            return False
+        raise
+    return True
+
+
 @dataclass(frozen=True)
 class SharedTable:
     """A materialised DataFrame and where it lies."""

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from kinweave.functions.skew import join_by_key
 from kinweave.operators import tags
-from kinweave.sources.shared import materialise
+from kinweave.sources.shared import claim, materialise
 
 _VERSION = "_version"
 
@@ -139,24 +139,7 @@ class TagTable:
 
     def _claim(self, number: int, folder: str, whole: bool) -> bool:
         """Take a number of the log; false if another writer has it."""
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
-        temporary, final = self._hadoop(f"log/.{folder}.tmp"), self._hadoop(f"log/{number:012d}.json")
-        files = temporary.getFileSystem(conf)
-        out = files.create(temporary, True)
-        out.write(json.dumps({"folder": folder, "whole": whole}).encode())
-        out.close()
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(temporary).toUri(), conf)
-        try:
-            # Fails if the target stands.
-            context.rename(files.makeQualified(temporary), files.makeQualified(final), options)
-        except Exception as error:  # py4j wraps what Java throws.
-            files.delete(temporary, False)
-            if "FileAlreadyExistsException" in str(error):
-                return False
-            raise
-        return True
+        return claim(self.spark, f"{self.path}/log", f"{number:012d}.json", json.dumps({"folder": folder, "whole": whole}))
 
     def compact(self) -> int:
         """Store the newest version as one commit and return its number. Older versions can still be read. If others
