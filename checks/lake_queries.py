@@ -224,7 +224,27 @@ def _name_search(s: SparkSession, d: str) -> DataFrame:
     return name_index.build_index(_names(s, d)).search(wrong, 0.75)
 
 
+def _listed_tables(s: SparkSession, d: str) -> DataFrame:
+    """The given tables as views of the session, as its catalogue lists them, with their rows."""
+    for name in TABLES:
+        table(s, d, name).createOrReplaceTempView(f"given_{name}")
+    listed = catalog.list_tables(s, pattern="given_*").withColumn("table_name", F.substr("table_name", F.lit(7)))
+    counts = inventory.table_row_counts({n: table(s, d, n) for n in TABLES})
+    return listed.filter("table_type = 'TEMPORARY'").join(counts, "table_name").select("table_name", "table_type", "row_count")
+
+
+def _location_check(s: SparkSession, d: str) -> DataFrame:
+    """Locations that customers' lines name, most of them wrong, against the schemas of the column catalogue."""
+    asked = table(s, d, "customer").selectExpr(
+        "CASE c_custkey % 4 WHEN 0 THEN 'lake' WHEN 1 THEN 'LAKE' WHEN 2 THEN c_mktsegment ELSE '' END AS catalog",
+        "CASE c_custkey % 5 WHEN 0 THEN 's1' WHEN 1 THEN 'S2' WHEN 2 THEN concat('s', c_nationkey) WHEN 3 THEN c_name END AS schema",
+    )
+    return inventory.location_report(asked, _columns(s, d).select("catalog_name", "schema_name"))
+
+
 QUERIES = {
+    "listed_tables": _listed_tables,
+    "location_check": _location_check,
     "sample_rows": lambda s, d: inventory.sample_rows(table(s, d, "orders"), ["o_orderkey"]),
     "csv_chunk_scan": _csv_chunks,
     "chunk_page": _chunk_page,
@@ -472,6 +492,14 @@ _GIVEN = f"""SELECT table_name, column_name, {_TYPE_NAME} AS data_type, CAST(col
   FROM {_GIVEN_COLUMNS}"""
 
 ORACLES = {
+    "listed_tables": f"SELECT table_name, 'TEMPORARY' AS table_type, row_count FROM ({_ROW_COUNTS})",
+    "location_check": f"""{_COLUMNS}, asked AS (SELECT
+    CASE c_custkey % 4 WHEN 0 THEN 'lake' WHEN 1 THEN 'LAKE' WHEN 2 THEN c_mktsegment ELSE '' END AS catalog,
+    CASE c_custkey % 5 WHEN 0 THEN 's1' WHEN 1 THEN 'S2' WHEN 2 THEN concat('s', c_nationkey) WHEN 3 THEN c_name END AS schema FROM customer),
+judged AS (SELECT *, coalesce(catalog <> '' AND schema <> '', false) AS complete,
+    EXISTS (SELECT 1 FROM columns c WHERE lower(c.catalog_name) = lower(catalog) AND lower(c.schema_name) = lower(schema)) AS found FROM asked)
+SELECT catalog, schema, complete AND found AS accessible, CASE WHEN NOT complete THEN 'Missing catalog or schema'
+  WHEN NOT found THEN concat('Schema ', catalog, '.', schema, ' not found') END AS error FROM judged""",
     "sample_rows": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10",
     "csv_chunk_scan": f"SELECT {', '.join(CHUNK_COLUMNS)} FROM customer",
     "chunk_page": f"SELECT {', '.join(CHUNK_COLUMNS)} FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 700",

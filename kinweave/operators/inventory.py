@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from kinweave.functions.names import likeness
+from kinweave.functions.skew import join_by_key
 from kinweave.functions.unions import union_all
 from kinweave.sources.catalog import COLUMN_KEYS
 from kinweave.sources.shared import materialise
@@ -138,3 +139,20 @@ def check_locations(spark: SparkSession, locations: Sequence[tuple[str, str]]) -
         except AnalysisException as problem:
             rows.append((catalog, schema, False, str(problem)))
     return spark.createDataFrame(rows, "catalog string, schema string, accessible boolean, error string")
+
+
+def location_report(locations: DataFrame, schemas: DataFrame) -> DataFrame:
+    """``catalog, schema, accessible, error`` of any number of locations (columns ``catalog, schema``), against a listing of
+    schemas (``catalog_name, schema_name``, as ``catalog.list_schemas`` gives it) that is asked for once.
+
+    Names are compared without case, as Spark does. A missing part is an error; repeated lines are each reported.
+    """
+    folded = {"_catalog": F.lower("catalog"), "_schema": F.lower("schema")}
+    known = schemas.select(F.lower("catalog_name").alias("_catalog"), F.lower("schema_name").alias("_schema")).distinct()
+    asked = locations.select("catalog", "schema").withColumns(folded)
+    found = join_by_key(asked, known.withColumn("_found", F.lit(True)), ["_catalog", "_schema"], "left")
+    complete = F.coalesce((F.col("catalog") != "") & (F.col("schema") != ""), F.lit(False))
+    accessible = complete & F.coalesce("_found", F.lit(False))
+    missing = F.concat(F.lit("Schema "), "catalog", F.lit("."), "schema", F.lit(" not found"))
+    error = F.when(~complete, F.lit("Missing catalog or schema")).when(~accessible, missing)
+    return found.select("catalog", "schema", accessible.alias("accessible"), error.alias("error"))

@@ -472,6 +472,15 @@ def test_catalogue_scans(spark, rows):
     assert [r.accessible for r in checked.collect()] == [True, False, False]
 
 
+def test_locations_against_a_listing(spark, rows):
+    asked = spark.createDataFrame([("a", "x"), ("A", "X"), ("a", "y"), ("", "x"), ("a", None), ("a", "x")], "catalog string, schema string")
+    schemas = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "catalog_name string, schema_name string")
+    none = "Missing catalog or schema"
+    want = [("a", "x", True, None), ("A", "X", True, None), ("a", "y", False, "Schema a.y not found"), ("", "x", False, none), ("a", None, False, none), ("a", "x", True, None)]
+    assert rows(inventory.location_report(asked, schemas)) == sorted(want, key=repr)
+    assert rows(inventory.location_report(asked.limit(0), schemas)) == []
+
+
 def test_pages_fit_together(spark):
     df = spark.range(130).selectExpr("id AS k", "id % 7 AS v")
     by_offset = [r.k for start in range(0, 150, 50) for r in inventory.result_page(df, ["k"], start).collect()]
