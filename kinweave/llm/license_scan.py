@@ -30,6 +30,8 @@ class Template(NamedTuple):
     text: str
     #: Base phrases are counted place by place.
     base: bool = False
+    #: The beginning of a longer wording; it tells a label of its own and adds nothing to a score.
+    opening: bool = False
 
 
 #: Fixed values of the contract: phrases and their labels.
@@ -38,38 +40,80 @@ BASE = (
     Template("apache", "apache license", True),
     Template("gpl", "general public license", True),
 )
-#: Common notices and the openings of licence texts.
+# The public wording of licences and notices, with what their users may leave out or replace.
+_MIT = (
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+    "documentation files [[the <<alias:2>>]] to deal in the software without restriction",
+    "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of "
+    "the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+    "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies "
+    "or substantial portions of the software the software is provided as is without warranty of any kind express or "
+    "implied including but not limited to the warranties of merchantability fitness for a particular purpose and "
+    "noninfringement in no event shall <<holders:10>> be liable for any claim damages or other liability whether in an action "
+    "of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in "
+    "the software",
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+    "following conditions are met",
+    "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following "
+    "disclaimer [[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and "
+    "the following disclaimer in the documentation and or other materials provided with the distribution",
+    "[[3]] neither the name of <<holder:10>> nor the names of [[its]] [[their]] contributors may be used to endorse or "
+    "promote products derived from this software without specific prior written permission",
+    "this software is provided by <<holders:10>> as is and any express or implied warranties including but not limited to "
+    "the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+    "<<holders:10>> be liable for any direct indirect incidental special exemplary or consequential damages including but "
+    "not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or "
+    "otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+)
+_ISC = (
+    "permission to use copy modify [[and]] [[or]] distribute this software for any purpose with or without fee is hereby granted",
+    "provided that the above copyright notice and this permission notice appear in all copies the software is provided as "
+    "is and <<author:10>> disclaims all warranties with regard to this software including all implied warranties of "
+    "merchantability and fitness in no event shall <<author:10>> be liable for any special direct indirect or consequential "
+    "damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract "
+    "negligence or other tortious action arising out of or in connection with the use or performance of this software",
+)
+_APACHE_NOTICE = (
+    "licensed under the apache license version 2 0 [[the license]] you may not use this <<work:1>> except in compliance with "
+    "the license you may obtain a copy of the license at [[http]] [[https]] [[www]] apache org licenses license 2 0 [[txt]] "
+    "[[html]] unless required by applicable law or agreed to in writing software distributed under the license is "
+    "distributed on an as is basis without warranties or conditions of any kind either express or implied see the license "
+    "for the specific language governing permissions and limitations under the license"
+)
+_GPL = (
+    "this <<work:1>> is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+    "as published by the free software foundation either version {} of the license or at your option any later version "
+    "this <<work:1>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty "
+    "of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+)
+#: Whole wordings, their openings under labels of their own, and notices that name a licence.
 TEMPLATES = (
     *BASE,
+    Template("mit", " ".join(_MIT)),
+    Template("mit-opening", _MIT[0], opening=True),
     Template("mit", "[[this work is]] [[released]] [[licensed]] under [[the terms of]] the mit license"),
-    Template(
-        "mit",
-        "permission is hereby granted free of charge to any person obtaining a copy of this <<work:4>> and associated "
-        "documentation files [[the <<alias:2>>]] to deal in the <<work:4>> without restriction",
-    ),
+    Template("bsd-2-clause", " ".join([_BSD[0], _BSD[1], _BSD[3]])),
+    Template("bsd-3-clause", " ".join(_BSD)),
+    Template("bsd-opening", _BSD[0], opening=True),
+    Template("isc", " ".join(_ISC)),
+    Template("isc-opening", _ISC[0], opening=True),
     Template("apache-2.0", "licensed under the apache license version 2 0 [[the license]]"),
-    Template(
-        "apache-2.0",
-        "you may not use this <<work:3>> except in compliance with the license [[you may obtain a copy of the license at]]",
-    ),
+    Template("apache-2.0-notice", _APACHE_NOTICE),
     Template("gpl-3.0", "[[this work is]] licensed under the gnu general public license version 3 [[or [[at your option]] any later version]]"),
-    Template(
-        "gpl-2.0", "[[this work is]] licensed under the gnu general public license version 2 [[or [[at your option]] any later version]]"
-    ),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu [[<<kind:1>>]] general public license"),
+    Template("gpl-2.0", "[[this work is]] licensed under the gnu general public license version 2 [[or [[at your option]] any later version]]"),
+    Template("gpl-2.0-notice", " ".join(_GPL).format(2)),
+    Template("gpl-3.0-notice", " ".join(_GPL).format(3)),
+    Template("gpl-opening", _GPL[0], opening=True),
     Template("lgpl", "gnu lesser general public license"),
     Template("cc-by-nc-4.0", "licensed under [[a]] cc by nc 4 0 [[license]]"),
     Template("cc-by-nc-4.0", "licensed under [[a]] creative commons attribution noncommercial 4 0 [[international]] [[license]]"),
     Template("cc-by-4.0", "licensed under [[a]] cc by 4 0 [[license]]"),
     Template("cc-by-4.0", "licensed under [[a]] creative commons attribution 4 0 [[international]] [[license]]"),
-    Template(
-        "bsd",
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the "
-        "following conditions are met",
-    ),
-    Template("isc", "permission to use copy modify and or distribute this <<work:3>> for any purpose with or without fee is hereby granted"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain"),
-    Template("proprietary", "copyright <<year:4>> <<holder:6>> all rights reserved"),
+    Template("unlicense-opening", "this is free and unencumbered software released into the public domain", opening=True),
+    Template("all-rights-reserved", "copyright <<year:4>> <<holder:6>> all rights reserved", opening=True),
 )
 
 _MARKUP = re.compile(r"(\[\[)|(\]\])|<<[^:>]*:(\d+)>>|([a-z0-9\x80-\U0010FFFF]+)")
@@ -170,7 +214,7 @@ class Automaton:
             places = self.follow(places, words[at])
             if not places:
                 break
-            share = max(share, max(self.done[p] / self.whole[self.owner[p]] for p in places))
+            share = max(share, max((self.done[p] / self.whole[o] for p in places if not self.templates[o := self.owner[p]].opening), default=0.0))
             for p in places:
                 if p in self.end_of:
                     accepted.setdefault(self.end_of[p], at)
@@ -234,7 +278,8 @@ class _Scanner:
         places, labels, base_labels, matches, score = [], set(), set(), [], 0.0
         for start in (begins - first).tolist():
             accepted, share = self.automaton.run(text, start)
-            score = max(score, 1.0 if accepted else share)
+            whole = any(not self.own[number].opening for number in accepted)
+            score = max(score, 1.0 if whole else share)
             for number, end in accepted.items():
                 template = self.own[number]
                 labels.add(template.label)
@@ -265,8 +310,9 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, *, doc_id:
 
     ``n_base`` counts the places of base templates, ``first_word`` and ``last_word`` are their smallest and largest start
     (null without any), ``base_labels`` and ``labels`` the distinct labels of base and of all templates, sorted and
-    joined by commas (empty without any). ``score`` is 1 if a template is accepted, else the largest share of a
-    template's mandatory words met in a row from its beginning. A null text is empty; a text without words has none of
+    joined by commas (empty without any). ``score`` is 1 if a template that is no opening is accepted, else the largest
+    share of such a template's mandatory words met in a row from its beginning. Words after a whole wording are no part of
+    it and change nothing; ``matches`` tells where it ends. A null text is empty; a text without words has none of
     it. Repeated rows are scanned each. Matches may overlap; of one template and start the shortest is told.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
