@@ -3,7 +3,9 @@ window begins with the system turn and repeats a little history, and only target
 
 Windows come from prefix sums alone, so a conversation of any length is cut in parallel: turns are dealt out by ranges of
 (conversation, turn), sums are carried from range to range by a line per conversation and range, and a window, whose
-size the budget bounds, is all that ever meets in one place.
+size the budget bounds, is all that ever meets in one place. A grid over the prefix sums, as wide as the budget leaves room
+beside system turn and history, cuts: turns that lie within a cell are one window; the turn that crosses the cell's end joins
+them if the room allows, else it is a window of its own. So only a window of a single new turn can go over the budget.
 
 Control strings inside texts are escaped with a backslash after their first character (and backslashes doubled), so the
 output never holds one that the template did not write, and the text can be read back exactly.
@@ -24,7 +26,7 @@ from kinweave.llm.arrow import map_batches, to_array
 from kinweave.llm.tokens import TOKENIZER, tokenizer
 from kinweave.sources.shared import materialise
 
-#: Tokens of the new turns of a window (a window also holds the turn that goes over, whole), and of repeated history.
+#: Tokens of a window with all that it repeats, and of repeated history in it.
 BUDGET = 512
 HISTORY = 128
 #: Tokens a turn costs besides its text.
@@ -118,40 +120,52 @@ def windows(
     turns: DataFrame, *, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text",
     budget: int = BUDGET, history: int = HISTORY, path: str = TOKENIZER,
 ) -> DataFrame:
-    """``conv_id, window, formatted, n_repeated, loss`` of all conversations.
+    """``conv_id, window, formatted, n_repeated, loss, tokens, over_budget`` of all conversations.
 
     Turns are ordered by number (null last), then role and text; turns of one number all stay. A null role or text is
     empty; turns with a null id are one conversation. The first turn is the system turn if its role says so. A window
     holds, in order: the system turn, repeated unless it is new here; turns that begin in the last ``history`` tokens
-    before the window, repeated; new turns, those that begin in its own ``budget`` tokens. ``n_repeated`` turns at the
-    front are repeated. ``loss`` lists the spans of characters (of ``formatted``, end exclusive) to train on: texts of
-    assistant turns that are new, each turn being new in one window only.
+    before the window, repeated; new turns, as long as all of it fits ``budget``. ``n_repeated`` turns at the front are
+    repeated, ``tokens`` counts all turns. A turn that does not fit is the only new one of its window, whole, and
+    ``over_budget`` says so. ``loss`` lists the spans of characters (of ``formatted``, end exclusive) to train on: texts of
+    assistant turns that are new, each turn being new in one window only. ``window`` numbers rise with turns, with gaps.
     """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     plain = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text"))
-    dealt = _formatted(plain, path).repartitionByRange(F.col("conv_id"), *_order())
+    shaped = materialise(_formatted(plain, path), "formatted")
+    dealt = shaped.df.repartitionByRange(F.col("conv_id"), *_order())
     lines = materialise(dealt.withColumn("part", F.spark_partition_id()), "turns")
+    shaped.drop()
     placed = materialise(_carried(lines.df), "placed")
     lines.drop()
     first = (F.col("number") == 0) & (F.col("role") == SYSTEM)
-    own = F.floor(F.col("before") / budget).cast("long")
-    following = F.floor((F.col("before") + history) / budget).cast("long")
     kind = lambda k: F.lit(k).alias("kind")
-    kept = ["conv_id", "before", "number", "role", "formatted", "low", "high"]
-    new = placed.df.select(*kept, own.alias("window"), kind(2))
-    # History is for windows that have a turn of their own; a first system turn is repeated anyway.
-    again = placed.df.filter((following > own) & ~first).select(*kept, following.alias("window"), kind(1))
-    heads = placed.df.filter(first).select(F.col("conv_id").alias("of"), *kept[1:])
-    ids = new.groupBy("conv_id", "window").agg(F.count("*").alias("n")).drop("n")
-    system = ids.filter("window > 0").join(heads, F.col("conv_id").eqNullSafe(F.col("of"))).select(*kept, "window", kind(0))
+    kept = ["conv_id", "before", "number", "role", "formatted", "low", "high", "tokens"]
+    same = F.col("conv_id").eqNullSafe(F.col("of"))
+    heads = materialise(placed.df.filter(first).select(F.col("conv_id").alias("of"), *kept[1:]), "heads")
+    # What is left beside system turn and history; a cell holds no more turns than that.
+    costs = heads.df.select("of", F.col("tokens").alias("head"))
+    room = F.greatest(F.lit(budget - history) - F.coalesce("head", F.lit(0)), F.lit(1))
+    celled = placed.df.join(costs, same, "left").withColumn("room", room).select(*kept, "room", F.floor(F.col("before") / room).alias("cell"))
+    stop = F.col("before") + F.col("tokens")
+    begin = F.min("before").over(Window.partitionBy("conv_id", "cell"))
+    alone = (stop > (F.col("cell") + 1) * F.col("room")) & (stop - begin > F.col("room"))
+    cut = celled.withColumn("window", (2 * F.col("cell") + alone.cast("int")).cast("long"))
+    new = materialise(cut.select(*kept, "window", kind(2)), "new")
+    spans = materialise(new.df.groupBy("conv_id", "window").agg(F.min("before").alias("start"), F.min("number").alias("least")), "spans")
+    made = new.df
+    if history > 0:
+        # Windows that start up to ``history`` tokens after a turn began fall in two strips of that width. A first system
+        # turn is repeated anyway.
+        strips = spans.df.select(F.col("conv_id").alias("of"), "window", "start", F.floor(F.col("start") / history).alias("strip"))
+        near = F.explode(F.array_distinct(F.array(F.floor((F.col("before") + 1) / history), F.floor((F.col("before") + history) / history))))
+        said = placed.df.filter(~first).select(*kept, near.alias("at"))
+        inside = same & (F.col("at") == F.col("strip")) & (F.col("start") > F.col("before")) & (F.col("start") <= F.col("before") + history)
+        made = made.unionByName(said.join(strips, inside).select(*kept, "window", kind(1)))
+    repeated = spans.df.filter("least > 0").select("conv_id", "window").join(heads.df, same)
+    made = made.unionByName(repeated.select(*kept, "window", kind(0)))
     struct = F.struct("kind", "number", "role", "formatted", "low", "high").alias("turn")
-    gathered = (
-        new.unionByName(again)
-        .unionByName(system)
-        .groupBy("conv_id", "window")
-        .agg(F.sort_array(F.collect_list(struct)).alias("turns"))
-        .filter(F.exists("turns", lambda t: t["kind"] == 2))
-    )
+    gathered = made.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(struct)).alias("turns"), F.sum("tokens").alias("tokens"))
     size = lambda t: F.char_length(t["formatted"])
 
     def step(state, t):
@@ -167,6 +181,8 @@ def windows(
         F.concat_ws("", F.transform("turns", lambda t: t["formatted"])).alias("formatted"),
         F.size(F.filter("turns", lambda t: t["kind"] < 2)).alias("n_repeated"),
         F.aggregate("turns", start, step, lambda s: s["loss"]).alias("loss"),
+        "tokens",
+        (F.col("tokens") > budget).alias("over_budget"),
     )
 
 

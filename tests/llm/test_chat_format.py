@@ -51,16 +51,38 @@ def test_windows_hold_every_turn_once_within_the_budget(spark):
             assert own
             if n and turns[0][0] == "system":
                 assert line.n_repeated and found[0] == turns[0]
-            assert sum(count(x) for _, x in own[:-1]) < 200
+            assert line.tokens == sum(count(x) for _, x in found) and line.over_budget == (line.tokens > 200)
+            assert len(own) == 1 or not line.over_budget
             system = n > 0 and turns[0][0] == "system"
             history = found[system : line.n_repeated]
-            assert history == new[len(new) - len(history) :] and sum(count(x) for _, x in history[:-1]) <= 60
+            assert history == new[len(new) - len(history) :] and sum(count(x) for _, x in history) <= 60
             new += own
             trained += "".join(C.unescape(line.formatted[s.start : s.end]) for s in line.loss)
         assert new == turns
         assert trained == "".join(x for r, x in turns if r == "assistant")
 
 
+def test_long_turns_stand_alone_and_whole(spark):
+    rows = [(1, 0, "system", "s" + " word" * 40)] + [(1, t, ("user", "assistant")[t % 2], " word" * (400 if t % 9 else 5000)) for t in range(1, 40)]
+    rows += [(2, 0, "system", " word" * 2000)] + [(2, t, "assistant", "short one") for t in range(1, 12)]
+    for history in (0, 128):
+        made = C.windows(spark.createDataFrame(rows, SCHEMA), budget=512, history=history).collect()
+        for line in made:
+            assert line.over_budget == (line.tokens > 512)
+            own = [x for _, x, _, _ in C.read_turns(line.formatted)[line.n_repeated :]]
+            if line.conv_id == 1 and line.over_budget:
+                assert len(own) == 1 and len(own[0]) > 4000
+        said = [x for line in sorted(made, key=lambda y: (y.conv_id, y.window)) for _, x, _, _ in C.read_turns(line.formatted)[line.n_repeated :]]
+        assert said == [r[3] for r in rows]
+
+
+def test_windows_of_the_whole_table_fit_the_budget(spark, data):
+    made = C.windows(spark.read.parquet(f"{data}/conversations.parquet")).collect()
+    assert len(made) > 10
+    for line in made:
+        assert not line.over_budget or len(C.read_turns(line.formatted)) - line.n_repeated == 1
+
+
 def test_read_back_equals_the_conversations(spark):
     rows = [r for r in _rows() if r[0] is None or r[0] < 100]
     found = {r.conv_id: r for r in C.read_back(C.windows(spark.createDataFrame(rows, SCHEMA), budget=100, history=30)).collect()}
