@@ -140,28 +140,32 @@ def windows(
     lines.drop()
     first = (F.col("number") == 0) & (F.col("role") == SYSTEM)
     kind = lambda k: F.lit(k).alias("kind")
-    kept = ["conv_id", "before", "number", "role", "formatted", "low", "high", "tokens"]
+    kept = ["conv_id", "number", "role", "formatted", "low", "high", "tokens"]
     same = F.col("conv_id").eqNullSafe(F.col("of"))
     heads = materialise(placed.df.filter(first).select(F.col("conv_id").alias("of"), *kept[1:]), "heads")
+    # Windows are cut over narrow lines; texts join once it is known where they go.
+    narrow = placed.df.select("conv_id", "number", "before", "tokens", first.alias("is_head"))
     # What is left beside system turn and history; a cell holds no more turns than that.
     costs = heads.df.select("of", F.col("tokens").alias("head"))
     room = F.greatest(F.lit(budget - history) - F.coalesce("head", F.lit(0)), F.lit(1))
-    celled = placed.df.join(costs, same, "left").withColumn("room", room).select(*kept, "room", F.floor(F.col("before") / room).alias("cell"))
+    celled = narrow.join(costs, same, "left").withColumn("room", room).withColumn("cell", F.floor(F.col("before") / F.col("room")))
     stop = F.col("before") + F.col("tokens")
     begin = F.min("before").over(Window.partitionBy("conv_id", "cell"))
     alone = (stop > (F.col("cell") + 1) * F.col("room")) & (stop - begin > F.col("room"))
     cut = celled.withColumn("window", (2 * F.col("cell") + alone.cast("int")).cast("long"))
-    new = materialise(cut.select(*kept, "window", kind(2)), "new")
+    new = materialise(cut.select("conv_id", "number", "before", "window", kind(2)), "new")
     spans = materialise(new.df.groupBy("conv_id", "window").agg(F.min("before").alias("start"), F.min("number").alias("least")), "spans")
-    made = new.df
+    placing = new.df.drop("before")
     if history > 0:
         # Windows that start up to ``history`` tokens after a turn began fall in two strips of that width. A first system
         # turn is repeated anyway.
         strips = spans.df.select(F.col("conv_id").alias("of"), "window", "start", F.floor(F.col("start") / history).alias("strip"))
         near = F.explode(F.array_distinct(F.array(F.floor((F.col("before") + 1) / history), F.floor((F.col("before") + history) / history))))
-        said = placed.df.filter(~first).select(*kept, near.alias("at"))
+        said = narrow.filter("NOT is_head").select("conv_id", "number", "before", near.alias("at"))
         inside = same & (F.col("at") == F.col("strip")) & (F.col("start") > F.col("before")) & (F.col("start") <= F.col("before") + history)
-        made = made.unionByName(said.join(strips, inside).select(*kept, "window", kind(1)))
+        placing = placing.unionByName(said.join(strips, inside).select("conv_id", "number", "window", kind(1)))
+    where = materialise(placing.select(F.col("conv_id").alias("of"), F.col("number").alias("of_number"), "window", "kind"), "places")
+    made = placed.df.select(*kept).join(where.df, same & (F.col("number") == F.col("of_number"))).select(*kept, "window", "kind")
     repeated = spans.df.filter("least > 0").select("conv_id", "window").join(heads.df, same)
     made = made.unionByName(repeated.select(*kept, "window", kind(0)))
     struct = F.struct("kind", "number", "role", "formatted", "low", "high").alias("turn")
