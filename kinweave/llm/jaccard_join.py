@@ -1,13 +1,17 @@
-"""Near-duplicate documents: banded MinHash finds candidates, exact Jaccard similarity of word shingles decides.
+"""Near-duplicate documents: an LSH forest of MinHash finds candidates, exact Jaccard similarity of word shingles decides.
 
 1. Each text becomes a set of hashed shingles (five lower-cased words). Documents with equal sets are one *class*; from
    here on there is one line per class, whatever the number of copies.
-2. Fixed bands in place of an LSH forest: each of ``TREES`` trees has as many min-hashes per class, ``DEPTH`` at most, as
-   let pairs at the threshold meet with probability ``recall`` (worked out from constants: 4), folded to one hash. Two
-   classes with an equal hash in any tree are candidates. There are no tries, and nothing is shortened by the data.
-3. Classes that share a band hang together; connected components of that (a line per class and band, no pairs)
-   put all candidates of a class in one place.
-4. All sets of a component are compared exactly, by counting common shingles. A component too large for a task is cut
+2. An LSH forest: ``TREES`` trees of ``DEPTH`` min-hashes (symbols of 16 bits) per class. The paths of all trees are
+   sorted by range, so that the classes below a node, whatever its depth, are a run of neighbours.
+3. Matched prefixes are shortened from ``DEPTH`` until two recalls reach the target: the computed one of a pair right
+   at the threshold, and the measured one of a sample. ``SAMPLE_CLASSES`` classes are compared exactly with all texts, and
+   the longest prefixes that the pairs found share are counted. The sample settles the length alone.
+4. Inside the runs of that length whole signatures are compared. Pairs that agree in fewer symbols than a pair at the
+   threshold ever does (five standard deviations) are no candidates, so dissimilar texts do not hang together by
+   chains of runs. Runs with the same members, in whatever trees, are looked at once; a run too large for a task is cut into
+   blocks. Connected components of the candidates (a line per class and run) put what may be linked in one place.
+5. All sets of a component are compared exactly, by counting common shingles. A component too large for a task is cut
    into blocks by hash, and each two blocks meet in one task. A task returns one line per class: how many documents it
    is linked to, and the smallest class it hangs together with. No pair is ever written, nothing is capped.
 
@@ -19,12 +23,13 @@ shingles. A class is named by the smallest id in it (null if all are null).
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,20 +46,31 @@ RECALL = 0.9999
 #: Classes, and shingles, that a block holds about; two blocks are compared in one task.
 BLOCK_CLASSES = 1024
 BLOCK_SHINGLES = 1 << 20
+#: Classes that are compared with all texts to measure the recall, and shingles that each of them has at most.
+SAMPLE_CLASSES = 256
+SAMPLE_SHINGLES = 1024
 _SEED = 20240229
 #: Common shingles counted at once.
 _STEP = 1 << 20
 
 
-def prefix_length(similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix with which a pair as similar as the threshold shares a tree node with probability
-    ``recall``; 1 if even that falls short."""
+def prefix_length(
+    similarity: float = SIMILARITY, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, matched: Sequence[int] = (),
+) -> int:
+    """The longest prefix with which a pair as similar as the threshold shares a tree node with probability ``recall``,
+    and with which that share of measured pairs do; 1 if even that falls short. ``matched[k]`` counts measured pairs
+    whose longest common prefix has ``k`` symbols."""
     length = depth
-    while length > 1 and 1 - (1 - similarity**length) ** trees < recall:
+    while length > 1 and (1 - (1 - similarity**length) ** trees < recall or sum(matched[length:]) < recall * sum(matched)):
         length -= 1
     return length
 
 
+def least_agreement(similarity: float, symbols: int) -> int:
+    """Of ``symbols`` equal places, the fewest that let a pair pass as a candidate."""
+    return max(1, math.floor(symbols * similarity - 5 * math.sqrt(symbols * similarity * (1 - similarity))))
+
+
 def _sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of each text, and where they begin."""
     low = Texts(lowered(texts.data), texts.offsets)
@@ -69,24 +85,34 @@ def _sets(texts: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(text, np.arange(len(bounds)))
 
 
-def _signatures(values: np.ndarray, first: np.ndarray, rows: np.ndarray, trees: int, length: int) -> np.ndarray:
-    """For each text of ``rows`` (all have shingles), a hash of its path of ``length`` min-hashes in each tree."""
+def _signatures(values: np.ndarray, first: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """For each text that has shingles, ``trees * depth`` min-hashes of 16 bits; a tree's path are ``depth`` in a row."""
     rng = np.random.default_rng(_SEED)
-    factors = rng.integers(1, 1 << 63, trees * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
-    starts = first[rows]
-    out = np.empty((len(rows), trees), np.uint64)
-    held = np.empty_like(values)
-    for tree in range(trees):
-        path = np.full(len(rows), tree + 1, np.uint64)
-        for k in range(length):
-            np.multiply(values, factors[tree * DEPTH + k], out=held)
-            held ^= held >> np.uint64(32)
-            held *= np.uint64(0xD6E8FEB86659FD93)
-            path = mix(path * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(held, starts))
-        out[:, tree] = path
+    factors = rng.integers(1, 1 << 31, trees * depth, np.uint32) * np.uint32(2) + np.uint32(1)
+    starts = first[np.flatnonzero(np.diff(first))]
+    out = np.empty((len(starts), trees * depth), np.uint16)
+    if not len(starts):
+        return out
+    short = (values >> np.uint64(32)).astype(np.uint32)
+    held, high = np.empty_like(short), np.empty_like(short)
+    for k, factor in enumerate(factors):
+        np.multiply(short, factor, out=held)
+        np.right_shift(held, np.uint32(15), out=high)
+        held ^= high
+        held *= np.uint32(0x2C1B3C6D)
+        out[:, k] = (np.minimum.reduceat(held, starts) * np.uint32(0x9E3779B1)) >> np.uint32(16)
     return out
 
 
+def _symbols(column: pa.Array) -> np.ndarray:
+    """The symbols of signatures or paths, a row each."""
+    column = column.cast(pa.large_binary())
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    if not len(column) or ends[-1] == ends[0]:
+        return np.zeros((len(column), 0), np.uint16)
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.uint16).reshape(len(column), -1)
+
+
 def _digests(values: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     raw = values.tobytes()
     return [
@@ -95,21 +121,20 @@ def _digests(values: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     ]
 
 
-def _signed(docs: DataFrame, words: int, trees: int, length: int) -> DataFrame:
-    """``doc_id, row_key, digest, node, size, paths`` of each row of ``docs`` (columns ``doc_id, text, row_key``)."""
+def _signed(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
+    """``doc_id, row_key, digest, node, size, signature`` of each row of ``docs`` (columns ``doc_id, text, row_key``)."""
 
     def of_batch(batch: pa.RecordBatch) -> Iterator[list]:
         for begin, part in chunks(texts_of(batch.column(1))):
             values, first = _sets(part, words)
             n, sizes = len(first) - 1, np.diff(first)
-            rows = np.flatnonzero(sizes)
-            paths = _signatures(values, first, rows, trees, length) if len(rows) else np.zeros((0, trees), np.uint64)
             ends = np.zeros(n + 1, np.int32)
-            ends[1:] = np.cumsum(np.where(sizes > 0, trees, 0))
+            ends[1:] = np.cumsum(np.where(sizes > 0, 2 * trees * depth, 0))
+            raw = pa.py_buffer(_signatures(values, first, trees, depth).tobytes())
+            signatures = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), raw])
             digests = _digests(values, first)
             node = [_node(d) if d else None for d in digests]
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(paths.ravel().view(np.int64)))
-            yield [*(batch.column(k).slice(begin, n) for k in (0, 2)), digests, node, sizes, lists]
+            yield [*(batch.column(k).slice(begin, n) for k in (0, 2)), digests, node, sizes, signatures]
 
     schema = T.StructType(
         [
@@ -118,12 +143,182 @@ def _signed(docs: DataFrame, words: int, trees: int, length: int) -> DataFrame:
             T.StructField("digest", T.BinaryType()),
             T.StructField("node", T.LongType()),
             T.StructField("size", T.LongType()),
-            T.StructField("paths", T.ArrayType(T.LongType())),
+            T.StructField("signature", T.BinaryType()),
         ]
     )
     return map_batches(docs, of_batch, schema)
 
 
+class _Sample(NamedTuple):
+    """Sets of sampled classes: their distinct shingles in order, which classes have each (``who[starts[i] : starts[i + 1]]``),
+    sizes and signatures of the classes."""
+
+    shingles: np.ndarray
+    starts: np.ndarray
+    who: np.ndarray
+    sizes: np.ndarray
+    signatures: np.ndarray
+
+    def near(self, values: np.ndarray, first: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Texts and classes, by number, that are similar but not equal."""
+        seen = np.zeros(1 << 20, bool)
+        seen[self.shingles >> np.uint64(44)] = True
+        at = np.flatnonzero(seen[values >> np.uint64(44)])
+        place = np.minimum(np.searchsorted(self.shingles, values[at]), len(self.shingles) - 1)
+        hit = self.shingles[place] == values[at]
+        at, place = at[hit], place[hit]
+        texts, row = np.unique(np.searchsorted(first, at, "right") - 1, return_inverse=True)
+        common = np.zeros((len(texts), len(self.sizes)), np.int32)
+        often = np.diff(self.starts)[place]
+        run = np.cumsum(often) // _STEP
+        for some in np.split(np.arange(len(at)), np.flatnonzero(np.diff(run)) + 1) if len(at) else ():
+            size = often[some]
+            skipped = np.cumsum(size) - size
+            mine = self.who[np.arange(size.sum()) + np.repeat(self.starts[place[some]] - skipped, size)]
+            pair, times = np.unique(np.repeat(row[some], size) * len(self.sizes) + mine, return_counts=True)
+            common.ravel()[pair] += times.astype(np.int32)
+        own = np.diff(first)[texts][:, None]
+        all_in = own + self.sizes[None, :] - common
+        text, other = np.nonzero((common >= similarity * all_in - 1e-6) & (common < all_in))
+        return texts[text], other
+
+
+def _sample(keyed: DataFrame, reps: DataFrame, words: int, trees: int, depth: int) -> _Sample | None:
+    """The classes with the smallest hashes, at most ``SAMPLE_CLASSES`` of at most ``SAMPLE_SHINGLES`` shingles."""
+    some = reps.filter(F.col("size") <= SAMPLE_SHINGLES).orderBy(F.xxhash64("digest"), "digest").limit(SAMPLE_CLASSES)
+    keys = [r[0] for r in some.select("lead.row_key").collect()]
+    if not keys:
+        return None
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[list]:
+        for _, part in chunks(texts_of(batch.column(0))):
+            values, first = _sets(part, words)
+            yield [[values[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]]
+
+    texts = keyed.filter(F.col("row_key").isin(keys)).groupBy("row_key").agg(F.first("text").alias("text")).select("text")
+    found = map_batches(texts, of_batch, T.StructType([T.StructField("shingles", T.BinaryType())])).collect()
+    sets = [np.frombuffer(r[0], np.uint64) for r in found]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    values, who = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
+    order = np.argsort(values, kind="stable")
+    shingles, starts = np.unique(values[order], return_index=True)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    return _Sample(shingles, np.append(starts, len(values)), who[order], sizes, _signatures(values, first, trees, depth))
+
+
+def measured_prefixes(keyed: DataFrame, reps: DataFrame, words: int, similarity: float, trees: int, depth: int) -> list[int]:
+    """How many pairs of a sampled class and a similar, not equal text have a longest common prefix of 0, 1, ... symbols.
+    One pass over all texts; a task returns counts."""
+    sample = _sample(keyed, reps, words, trees, depth)
+    if sample is None:
+        return []
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[list]:
+        counts = np.zeros(depth + 1, np.int64)
+        for _, part in chunks(texts_of(batch.column(0))):
+            values, first = _sets(part, words)
+            texts, other = sample.near(values, first, similarity)
+            rows, row = np.unique(texts, return_inverse=True)
+            kept = np.zeros(len(first) - 1, bool)
+            kept[rows] = True
+            sizes = np.diff(first)
+            own = _signatures(values[np.repeat(kept, sizes)], np.concatenate([[0], np.cumsum(sizes[kept])]), trees, depth)
+            for k in range(0, len(row), 4096):
+                same = (own[row[k : k + 4096]] == sample.signatures[other[k : k + 4096]]).reshape(-1, trees, depth)
+                counts += np.bincount(np.logical_and.accumulate(same, 2).sum(2).max(1), minlength=depth + 1)
+        some = np.flatnonzero(counts)
+        yield [some, counts[some]]
+
+    schema = T.StructType([T.StructField("matched", T.LongType()), T.StructField("pairs", T.LongType())])
+    lines = map_batches(keyed.select("text"), of_batch, schema).groupBy("matched").agg(F.sum("pairs").alias("pairs")).collect()
+    by_length = {r.matched: r.pairs for r in lines}
+    return [by_length.get(k, 0) for k in range(depth + 1)]
+
+
+def _runs(trie: DataFrame, length: int) -> DataFrame:
+    """``run, node``: who is below each node of depth ``length``, from lines ``tree, path, node``. Paths are sorted by range, so
+    a run is seen where it lies; classes that are alone in theirs are left out, unless at the edge of a batch."""
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[list]:
+        if not batch.num_rows:
+            return
+        run = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64) + np.uint64(1)
+        symbols = _symbols(batch.column(1)).astype(np.uint64)
+        for k in range(length):
+            run = mix(run * np.uint64(0x9E3779B97F4A7C15) + symbols[:, k])
+        same = run[1:] == run[:-1]
+        kept = (run == run[0]) | (run == run[-1])
+        kept[1:] |= same
+        kept[:-1] |= same
+        yield [run[kept].view(np.int64), batch.column(2).filter(pa.array(kept))]
+
+    placed = trie.repartitionByRange("tree", "path", "node").sortWithinPartitions("tree", "path", "node")
+    schema = T.StructType([T.StructField("run", T.LongType()), T.StructField("node", T.LongType())])
+    return map_batches(placed, of_batch, schema)
+
+
+def _alike_pairs(pairs: DataFrame, least: int) -> DataFrame:
+    """``id_a, id_b`` of the pairs (with ``sign_a, sign_b``) that agree in ``least`` symbols."""
+
+    def of_batch(batch: pa.RecordBatch) -> Iterator[list]:
+        alike = pa.array((_symbols(batch.column(2)) == _symbols(batch.column(3))).sum(1) >= least)
+        yield [batch.column(k).filter(alike) for k in (0, 1)]
+
+    return map_batches(pairs, of_batch, T.StructType([T.StructField("id_a", T.LongType()), T.StructField("id_b", T.LongType())]))
+
+
+def _alike_in_runs(members: DataFrame, least: int) -> DataFrame:
+    """Lines ``id_a, id_b``: a member and the smallest it hangs together with, by pairs of two blocks ``a`` and ``b`` of a run that
+    agree in ``least`` symbols (``run, a, b, block, node, signature``)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node").combine_chunks()
+        nodes, block = (table.column(c).to_numpy() for c in ("node", "block"))
+        symbols = _symbols(table.column("signature").cast(pa.large_binary()).combine_chunks())
+        rows, others = np.flatnonzero(block == table.column("a")[0].as_py()), np.flatnonzero(block == table.column("b")[0].as_py())
+        agree = np.zeros((len(rows), len(others)), np.uint16)
+        for k in range(symbols.shape[1]):
+            agree += symbols[rows, k][:, None] == symbols[others, k][None, :]
+        near = np.zeros((len(rows), len(nodes)), bool)
+        near[:, others] = agree >= least
+        root = _roots(near, rows)
+        moved = root != np.arange(len(nodes))
+        return pa.table({"id_a": nodes[moved], "id_b": nodes[root[moved]]})
+
+    return members.groupBy("run", "a", "b").applyInArrow(compare, "id_a long, id_b long")
+
+
+def _candidates(reps: DataFrame, length: int, similarity: float, trees: int, depth: int) -> SharedTable:
+    """``node, component`` of every class that has a candidate."""
+    width = 2 * depth
+    trie = reps.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    trie = trie.select("tree", F.expr(f"substring(signature, tree * {width} + 1, {width})").alias("path"), "node")
+    members = materialise(_runs(trie, length), "members")
+    runs = members.df.groupBy("run").agg(
+        F.count("*").alias("n"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("mark")
+    )
+    runs = runs.filter("least < most").groupBy("n", "least", "most", "mark").agg(F.min("run").alias("run"))
+    runs = materialise(runs, "runs")
+    small, large = runs.df.filter("n = 2").select("least", "most"), runs.df.filter("n > 2").select("run", "n")
+    inside = materialise(members.df.join(large, "run"), "inside")
+    wanted = inside.df.select("node").unionByName(small.select(F.col("least").alias("node"))).unionByName(small.select(F.col("most").alias("node")))
+    signs = materialise(reps.select("node", "signature").join(wanted.distinct(), "node", "left_semi"), "signatures")
+    pairs = small.select(F.col("least").alias("id_a"), F.col("most").alias("id_b"))
+    for end in ("a", "b"):
+        pairs = pairs.join(signs.df.select(F.col("node").alias(f"id_{end}"), F.col("signature").alias(f"sign_{end}")), f"id_{end}")
+    parts = F.ceil(F.col("n") / BLOCK_CLASSES).cast("int")
+    placed = inside.df.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    placed = placed.select("run", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node")
+    least = least_agreement(similarity, trees * depth)
+    alike = _alike_pairs(pairs.select("id_a", "id_b", "sign_a", "sign_b"), least)
+    ties = materialise(alike.unionByName(_alike_in_runs(placed.join(signs.df, "node"), least)), "ties")
+    out = components_of_numbers(ties.df)
+    for table in (members, runs, inside, signs, ties):
+        table.drop()
+    return out
+
+
 def _common(values: np.ndarray, member: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Common shingles of the members ``rows`` with each of ``n`` members. values, member: shingles and who has them.
 
@@ -173,6 +368,12 @@ def _compare(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right
     links[rows] += near @ copies
     if not (left & right).any():  # between two blocks a link is seen from one side only
         links += near.T.astype(np.int64) @ copies[rows]
+    return links, _roots(near, rows)
+
+
+def _roots(near: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The first member that each hangs together with; ``near[i]`` tells which are near to ``rows[i]``."""
+    n = near.shape[1]
     root = np.arange(n)
     while True:  # smallest label of the neighbours, until nothing changes
         seen = np.where(near, root[None, :], n).min(1, initial=n)
@@ -182,7 +383,7 @@ def _compare(sets: list[np.ndarray], copies: np.ndarray, left: np.ndarray, right
         new = np.minimum(new, back)
         new = new[new]
         if (new == root).all():
-            return links, root
+            return root
         root = new
 
 
@@ -239,21 +440,16 @@ def find_classes(
     """Run the join. The two tables lie below the shared folder; drop them when their readers are done."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed = narrow.withColumn("row_key", _row_key("doc_id", "text"))
-    signed = materialise(_signed(keyed, words, trees, prefix_length(similarity, recall, trees, depth)), "signed")
+    signed = materialise(_signed(keyed, words, trees, depth), "signed")
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
     reps = materialise(
         signed.df.filter("digest IS NOT NULL")
         .groupBy("digest", "node", "size")
-        .agg(F.min(own).alias("lead"), F.count("*").alias("copies"), F.first("paths").alias("paths")),
+        .agg(F.min(own).alias("lead"), F.count("*").alias("copies"), F.first("signature").alias("signature")),
         "representatives",
     )
-    paths = reps.df.select("node", F.explode("paths").alias("path"))
-    hubs = materialise(
-        paths.groupBy("path").agg(F.min("node").alias("hub"), F.max("node").alias("most")).filter("hub < most").drop("most"),
-        "hubs",
-    )
-    shared = paths.join(hubs.df, "path").filter("node <> hub")
-    candidates = components_of_numbers(shared.select(F.col("node").alias("id_a"), F.col("hub").alias("id_b")))
+    length = prefix_length(similarity, recall, trees, depth, measured_prefixes(keyed, reps.df, words, similarity, trees, depth))
+    candidates = _candidates(reps.df, length, similarity, trees, depth)
     found = reps.df.join(candidates.df, "node")
     members = materialise(found.select("component", "digest", "size", "copies", F.col("lead.row_key").alias("row_key")), "members")
     parts = F.greatest(F.ceil(F.count("*") / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
@@ -263,7 +459,8 @@ def find_classes(
         "component", "parts", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "digest",
         "copies", "row_key",
     )
-    once = keyed.groupBy("row_key").agg(F.first("text").alias("text"))
+    wanted = keyed.join(members.df.select("row_key"), "row_key", "left_semi")
+    once = wanted.groupBy("row_key").agg(F.first("text").alias("text"))
     verified = materialise(_verified(placed.join(once, "row_key"), words, similarity), "verified")
     # A task that holds a whole component names its classes for good, by their smallest; others are tied together.
     ties = verified.df.filter("parts > 1").select(F.col("node").alias("id_a"), F.col("root").alias("id_b"))
@@ -278,7 +475,7 @@ def find_classes(
     classes = named.df.drop("lead").join(firsts.df, "class_key")
     classes = classes.select("*", F.col("first.doc_id").alias("class_id"), F.col("first.row_key").alias("first_key"))
     out = Classes(signed, materialise(classes.drop("first"), "classes"))
-    for table in (reps, hubs, candidates, members, blocks, verified, tied, named, firsts):
+    for table in (reps, candidates, members, blocks, verified, tied, named, firsts):
         table.drop()
     return out
 
@@ -297,14 +494,20 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **m
     """The rows of ``docs``, with their own columns, of which each class keeps its first (smallest id, nulls last); of
     rows equal in id and text, the one whose columns hash lowest. Texts without words all stay."""
     found = find_classes(docs, doc_id=doc_id, text=text, **more)
-    key, place, kept_key, all_stay = (added(docs, c) for c in ("row_key", "row_place", "kept_key", "all_stay"))
-    # A text without words is of no class; its row key is kept as often as it occurs.
-    alone = found.rows.df.filter("digest IS NULL").select("row_key", F.lit(True).alias("all_stay"))
-    chosen = found.classes.df.select(F.col("first_key").alias("row_key"), F.lit(False).alias("all_stay"))
-    kept = materialise(alone.unionByName(chosen).groupBy("row_key").agg(F.max("all_stay").alias("all_stay")), "kept")
+    key, kept_key, repeats = (added(docs, c) for c in ("row_key", "kept_key", "repeats"))
+    rows = found.rows.df.groupBy("row_key").agg(F.count("*").alias("n"), F.max(F.col("digest").isNull()).alias("all_stay"))
+    chosen = found.classes.df.select(F.col("first_key").alias("row_key"), F.lit(True).alias("chosen")).distinct()
+    # A text without words is of no class; its rows all stay.
+    rows = rows.join(chosen, "row_key", "left").filter("all_stay OR chosen")
+    kept = materialise(rows.select(F.col("row_key").alias(kept_key), (~F.col("all_stay") & (F.col("n") > 1)).alias(repeats)), "kept")
     found.drop()
-    keys = kept.df.select(F.col("row_key").alias(kept_key), F.col("all_stay").alias(all_stay))
-    mine = docs.withColumn(key, _row_key(doc_id, text)).join(keys, F.col(key) == F.col(kept_key))
-    first = Window.partitionBy(kept_key).orderBy(F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))
-    ranked = mine.withColumn(place, F.row_number().over(first))
-    return ranked.filter(F.col(all_stay) | (F.col(place) == 1)).select(*docs.columns)
+    named = docs.withColumn(key, _row_key(doc_id, text))
+
+    def of(keys: DataFrame) -> DataFrame:
+        return named.join(keys.drop(repeats), F.col(key) == F.col(kept_key))
+
+    once = of(kept.df.filter(~F.col(repeats))).select(*docs.columns)
+    # Equal rows are reduced before the shuffle, however many there are.
+    lowest = F.min_by(F.struct(*docs.columns), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))
+    many = of(kept.df.filter(repeats)).groupBy(kept_key).agg(lowest.alias(key)).select(f"{key}.*")
+    return once.unionByName(many)

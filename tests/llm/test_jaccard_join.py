@@ -89,6 +89,9 @@ def test_prefixes_are_shortened_until_the_recall_is_met():
     assert J.prefix_length(0.8, 0.9999, 20, 8) == 4
     assert J.prefix_length(0.8, 0.5, 20, 8) == 8
     assert J.prefix_length(0.1, 0.9999, 2, 8) == 1
+    assert J.prefix_length(0.8, 0.9999, 20, 8, [0] * 8 + [500]) == 4
+    assert J.prefix_length(0.8, 0.9999, 20, 8, [0, 0, 0, 1, 0, 20, 0, 0, 500]) == 3
+    assert J.prefix_length(0.8, 0.9, 20, 8, [0, 0, 10, 0, 0, 0, 0, 90, 0]) == 7
 
 
 def test_signatures_agree_as_often_as_sets_overlap():
@@ -96,7 +99,8 @@ def test_signatures_agree_as_often_as_sets_overlap():
     a = rng.integers(0, 1 << 63, 1000, np.uint64)
     b = np.concatenate([a[:800], rng.integers(0, 1 << 63, 200, np.uint64)])
     both, first = np.concatenate([a, b]), np.array([0, 1000, 2000])
-    same = [np.mean(np.equal(*J._signatures(both, first, np.array([0, 1]), 400, k))) for k in (1, 2, 4)]
+    signatures = J._signatures(both, first, 400, 4).reshape(2, 400, 4)
+    same = [np.mean((signatures[0, :, :k] == signatures[1, :, :k]).all(1)) for k in (1, 2, 4)]
     jaccard = 800 / 1200
     assert all(abs(s - jaccard**k) < 0.08 for s, k in zip(same, (1, 2, 4), strict=True))
 
@@ -111,3 +115,68 @@ def test_common_shingles(n):
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     others = ~np.eye(len(sets), dtype=bool)
     assert (got == np.array(want))[others].all()
+
+
+def _keyed(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    return df.withColumn("row_key", J._row_key("doc_id", "text"))
+
+
+def test_measured_prefixes_are_those_of_all_pairs(spark):
+    """All classes fit the sample, so every pair of a class and a similar text that is not equal is counted."""
+    rows = _copies()
+    keyed = _keyed(spark, rows)
+    reps = J._signed(keyed, 5, J.TREES, J.DEPTH).dropDuplicates(["digest"]).withColumn("lead", J.F.struct("row_key"))
+    matched = J.measured_prefixes(keyed, reps, 5, J.SIMILARITY, J.TREES, J.DEPTH)
+    sets = [shingle_set(t) for _, t in rows]
+    classes = {frozenset(s) for s in sets}
+    near = sum(a != b and len(a & b) >= J.SIMILARITY * len(a | b) for a in classes for b in sets)
+    assert sum(matched) == near > 0
+    assert len(matched) == J.DEPTH + 1
+
+
+def test_shorter_prefixes_lose_nothing(spark, monkeypatch):
+    rows = _copies()
+    monkeypatch.setattr(J, "measured_prefixes", lambda *a: [0, 0, 1, 0, 0, 0, 0, 0, 0])
+    assert _join(spark, rows) == brute_force(rows)
+
+
+def test_dissimilar_chains_do_not_hang_together(spark):
+    """400 texts, each like the next to 0.59: runs chain them, whole signatures take them apart."""
+    size, step = 100, 26
+    texts = [" ".join(f"w{k}" for k in range(i * step, i * step + size + 4)) for i in range(400)]
+    rows = list(enumerate(texts))
+    signed = J._signed(_keyed(spark, rows), 5, J.TREES, J.DEPTH)
+    found = J._candidates(signed, J.prefix_length(), J.SIMILARITY, J.TREES, J.DEPTH)
+    sizes = [r["count"] for r in found.df.groupBy("component").count().collect()]
+    found.drop()
+    assert max(sizes, default=0) <= 6
+    assert _join(spark, rows) == [(i, i, 0) for i in sorted(range(400), key=lambda i: repr((i, i, 0)))]
+
+
+def test_recall_of_the_forest_on_similar_texts(spark):
+    """Pairs close to the threshold, each in texts of their own."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for pair in range(300):
+        text = [f"p{pair}w{i}" for i in range(104)]
+        other = list(text)
+        at = int(rng.integers(0, 100))
+        other[at : at + 4] = [f"x{pair}"] * 4 if pair % 2 else other[at : at + 4]
+        other += [f"e{pair}y{i}" for i in range(int(rng.integers(1, 14)))]
+        rows += [(2 * pair, " ".join(text)), (2 * pair + 1, " ".join(other))]
+    assert _join(spark, rows) == brute_force(rows)
+
+
+def test_many_equal_rows_keep_one(spark):
+    """Rows equal in id and text are reduced without a window; rows without words all stay."""
+    df = spark.range(3000).selectExpr(
+        "IF(id % 3 = 0, 1, id) AS doc_id", "IF(id % 3 = 0, 'one two three four five six seven', IF(id % 3 = 1, '', CONCAT('w', id))) AS text",
+        "id AS n", "'x' AS row_key", "'y' AS kept_key",
+    )
+    kept = J.keep_one(df)
+    assert "Window" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    rows = kept.collect()
+    assert len(rows) == 1 + 1000 + 1000
+    assert sum(r.doc_id == 1 and r.text != "" for r in rows) == 1
+    assert set(rows[0].asDict()) == {"doc_id", "text", "n", "row_key", "kept_key"}
