@@ -49,6 +49,8 @@ BLOCK_SHINGLES = 1 << 20
 #: Classes that are compared with all texts to measure the recall, and shingles that each of them has at most.
 SAMPLE_CLASSES = 256
 SAMPLE_SHINGLES = 1024
+#: Bits of a map of keys: 8 MB, whatever the number of keys.
+KEY_BITS = 1 << 26
 _SEED = 20240229
 #: Common shingles counted at once.
 _STEP = 1 << 20
@@ -302,7 +304,9 @@ def _candidates(reps: DataFrame, length: int, similarity: float, trees: int, dep
     small, large = runs.df.filter("n = 2").select("least", "most"), runs.df.filter("n > 2").select("run", "n")
     inside = materialise(members.df.join(large, "run"), "inside")
     wanted = inside.df.select("node").unionByName(small.select(F.col("least").alias("node"))).unionByName(small.select(F.col("most").alias("node")))
-    signs = materialise(reps.select("node", "signature").join(wanted.distinct(), "node", "left_semi"), "signatures")
+    few, held = _narrowed(reps.select("node", "signature"), wanted, "node")
+    signs = materialise(few, "signatures")
+    held.drop()
     pairs = small.select(F.col("least").alias("id_a"), F.col("most").alias("id_b"))
     for end in ("a", "b"):
         pairs = pairs.join(signs.df.select(F.col("node").alias(f"id_{end}"), F.col("signature").alias(f"sign_{end}")), f"id_{end}")
@@ -420,6 +424,37 @@ def _row_key(doc_id: str, text: str):
     return F.md5(F.concat_ws("\0", F.coalesce(F.col(doc_id).cast("string"), F.lit("\1")), F.coalesce(F.col(text).cast("string"), F.lit(""))))
 
 
+def _key_map(keys: DataFrame, key: str) -> SharedTable:
+    """A bit per hashed key, ``key_bucket, key_bits``. Keys are dealt by bucket first, so no task holds more than its buckets."""
+    place = F.pmod(F.xxhash64(key), F.lit(KEY_BITS)) + 1
+    placed = keys.select(F.bitmap_bucket_number(place).alias("key_bucket"), F.bitmap_bit_position(place).alias("bit"))
+    bits = placed.repartition("key_bucket").groupBy("key_bucket").agg(F.bitmap_construct_agg("bit").alias("key_bits"))
+    return materialise(bits, "key_map")
+
+
+def _marked(df: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` and a column ``name``: false where the key is not in the map; true where it is, or rarely by chance. Spares the
+    shuffle of rows that a join would not meet."""
+    bucket, bits = added(df, "key_bucket"), added(df, "key_bits")
+    place = F.pmod(F.xxhash64(key), F.lit(KEY_BITS)) + 1
+    position = F.bitmap_bit_position(place)
+    # The map has KEY_BITS bits at most.
+    joined = df.join(
+        F.broadcast(keys.select(F.col("key_bucket").alias(bucket), F.col("key_bits").alias(bits))),
+        F.bitmap_bucket_number(place) == F.col(bucket), "left",
+    )
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1, F.lit(False))
+    return joined.withColumn(name, found).select(*df.columns, name)
+
+
+def _narrowed(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, SharedTable]:
+    """The lines of ``df`` whose key is in ``keys``, and the map of keys, to be dropped after use."""
+    held = _key_map(keys, key)
+    mark = added(df, "marked")
+    return _marked(df, key, held.df, mark).filter(mark).drop(mark).join(keys.select(key).distinct(), key, "left_semi"), held
+
+
 class Classes(NamedTuple):
     """``rows``: a line per document, ``doc_id, row_key, digest``. ``classes``: a line per digest, ``digest, copies, links,
     class_key, class_id, first_key``; ``class_key`` names the class of near-duplicates, ``first_key`` is the row key of
@@ -459,7 +494,7 @@ def find_classes(
         "component", "parts", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "digest",
         "copies", "row_key",
     )
-    wanted = keyed.join(members.df.select("row_key"), "row_key", "left_semi")
+    wanted, held = _narrowed(keyed, members.df, "row_key")
     once = wanted.groupBy("row_key").agg(F.first("text").alias("text"))
     verified = materialise(_verified(placed.join(once, "row_key"), words, similarity), "verified")
     # A task that holds a whole component names its classes for good, by their smallest; others are tied together.
@@ -475,7 +510,7 @@ def find_classes(
     classes = named.df.drop("lead").join(firsts.df, "class_key")
     classes = classes.select("*", F.col("first.doc_id").alias("class_id"), F.col("first.row_key").alias("first_key"))
     out = Classes(signed, materialise(classes.drop("first"), "classes"))
-    for table in (reps, candidates, members, blocks, verified, tied, named, firsts):
+    for table in (reps, candidates, held, members, blocks, verified, tied, named, firsts):
         table.drop()
     return out
 
@@ -494,20 +529,19 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **m
     """The rows of ``docs``, with their own columns, of which each class keeps its first (smallest id, nulls last); of
     rows equal in id and text, the one whose columns hash lowest. Texts without words all stay."""
     found = find_classes(docs, doc_id=doc_id, text=text, **more)
-    key, kept_key, repeats = (added(docs, c) for c in ("row_key", "kept_key", "repeats"))
-    rows = found.rows.df.groupBy("row_key").agg(F.count("*").alias("n"), F.max(F.col("digest").isNull()).alias("all_stay"))
+    key, met_key, lead, hit = (added(docs, c) for c in ("row_key", "met_key", "lead", "hit"))
+    rows = found.rows.df.filter("digest IS NOT NULL").groupBy("row_key").agg(F.count("*").alias("n"))
     chosen = found.classes.df.select(F.col("first_key").alias("row_key"), F.lit(True).alias("chosen")).distinct()
-    # A text without words is of no class; its rows all stay.
-    rows = rows.join(chosen, "row_key", "left").filter("all_stay OR chosen")
-    kept = materialise(rows.select(F.col("row_key").alias(kept_key), (~F.col("all_stay") & (F.col("n") > 1)).alias(repeats)), "kept")
+    # Keys of which not every row stays; a text without words is of no class, and its rows all stay.
+    met = rows.join(chosen, "row_key", "left").filter("n > 1 OR chosen IS NULL")
+    met = materialise(met.select("row_key", F.coalesce("chosen", F.lit(False)).alias("chosen")), "met")
     found.drop()
-    named = docs.withColumn(key, _row_key(doc_id, text))
-
-    def of(keys: DataFrame) -> DataFrame:
-        return named.join(keys.drop(repeats), F.col(key) == F.col(kept_key))
-
-    once = of(kept.df.filter(~F.col(repeats))).select(*docs.columns)
+    named = _marked(docs.withColumn(key, _row_key(doc_id, text)), key, _key_map(met.df, "row_key").df, hit)
+    keys = met.df.select(F.col("row_key").alias(met_key), F.col("chosen").alias(lead))
+    clear = named.filter(~F.col(hit)).select(*docs.columns)
+    checked = named.filter(F.col(hit)).join(keys, F.col(key) == F.col(met_key), "left")
+    others = checked.filter(F.col(met_key).isNull()).select(*docs.columns)
     # Equal rows are reduced before the shuffle, however many there are.
     lowest = F.min_by(F.struct(*docs.columns), F.xxhash64(*[F.col(c).cast("string") for c in docs.columns]))
-    many = of(kept.df.filter(repeats)).groupBy(kept_key).agg(lowest.alias(key)).select(f"{key}.*")
-    return once.unionByName(many)
+    leads = checked.filter(F.col(lead)).groupBy(met_key).agg(lowest.alias(key)).select(f"{key}.*")
+    return clear.unionByName(others).unionByName(leads)

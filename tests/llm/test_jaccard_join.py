@@ -180,3 +180,14 @@ def test_many_equal_rows_keep_one(spark):
     assert len(rows) == 1 + 1000 + 1000
     assert sum(r.doc_id == 1 and r.text != "" for r in rows) == 1
     assert set(rows[0].asDict()) == {"doc_id", "text", "n", "row_key", "kept_key"}
+
+
+def test_map_of_keys(spark):
+    """No key of the map is missed, few others are taken for one of them."""
+    held = J._key_map(spark.range(0, 200_000, 2).selectExpr("CAST(id AS STRING) AS k"), "k")
+    df = spark.range(200_000).selectExpr("CAST(id AS STRING) AS k", "id", "'x' AS key_bits")
+    out = J._marked(df, "k", held.df, "hit")
+    assert out.columns == ["k", "id", "key_bits", "hit"]
+    assert out.filter("id % 2 = 0 AND hit").count() == 100_000
+    assert out.filter("id % 2 = 1 AND hit").count() < 1000
+    held.drop()
