@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.rules import NAME_PATTERNS, NUMERIC_TYPES, SEMANTICS, UNSUPPORTED_TYPES, UUID_PATTERN, VALUE_PATTERNS
 from checks.views import SCHEMAS, TABLES, table, view, with_views
 from kinweave.functions.types import normalise_type
-from kinweave.operators import content, edits, inventory, manifest, name_index, pii, tags
+from kinweave.operators import content, edits, inventory, manifest, name_index, pii, sketches, tags
 from kinweave.plans import tagging
 from kinweave.sources import catalog, footers, manifests, paging, planned, readers
 from kinweave.sources.shared import materialise, scratch_path
@@ -23,6 +23,12 @@ TEXT_COLUMNS = {
     for name, schema in SCHEMAS.items()
     if (found := [c.split()[0] for c in schema.split(", ") if c.endswith(" string")])
 }
+# Their columns of integers and texts.
+PROFILED = {
+    name: found
+    for name, schema in SCHEMAS.items()
+    if (found := [c.split()[0] for c in schema.split(", ") if c.split()[1] in ("int", "bigint", "string")])
+}
 TARGETS = ["customer#000000012", "SUPPLIER#00000000", "nation_2", "nation", "zz top"]
 CHUNK_COLUMNS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
@@ -57,6 +63,28 @@ def _semantics_text(fields: DataFrame) -> DataFrame:
     return fields.withColumn("semantics", F.array_join("semantics", ","))
 
 
+def _profiles(s: SparkSession, d: str) -> DataFrame:
+    """Profiles of two batches of every table, each stored, then merged."""
+
+    def batch(k: int) -> DataFrame:
+        parts = {n: table(s, d, n) for n in PROFILED}
+        parts = {n: (df.filter(F.pmod(F.xxhash64(PROFILED[n][0]), F.lit(2)) == k), PROFILED[n]) for n, df in parts.items()}
+        return materialise(sketches.column_profiles(parts), "profiles").df
+
+    return sketches.read_profiles(sketches.merge_profiles(batch(0), batch(1))).drop("n_distinct", "median")
+
+
+def _profiles_sql() -> str:
+    """The same from all values. Sketches of distinct values are only asked whether a column may be a key."""
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, COUNT(*) AS n_rows, COUNT(*) - COUNT({c}) AS n_null, "
+        f"MIN(length(CAST({c} AS VARCHAR))) AS min_length, MAX(length(CAST({c} AS VARCHAR))) AS max_length, "
+        f"COUNT(*) > 0 AND COUNT(*) = COUNT({c}) AND COUNT(DISTINCT {c}) >= {sketches.NEAR_UNIQUE} * COUNT(*) AS may_be_key FROM {t}"
+        for t, columns in PROFILED.items()
+        for c in columns
+    )
+
+
 def _names(s: SparkSession, d: str) -> DataFrame:
     parts = [("customer", "c_name"), ("supplier", "s_name"), ("nation", "n_name"), ("part", "p_name")]
     found = [table(s, d, t).select(F.col(c).alias("name")) for t, c in parts]
@@ -288,6 +316,7 @@ QUERIES = {
     "pii_exclude_column": lambda s, d: edits.exclude_columns(_scan(s, d), _edits(s, d, "exclude_column")),
     "pii_change_semantic": lambda s, d: edits.change_semantics(_scan(s, d), _edits(s, d, "change_semantic")),
     "pii_unmatched_edits": lambda s, d: edits.unmatched_edits(_scan(s, d), view(s, d, "edits")),
+    "pii_column_profiles": _profiles,
     "pii_content_evidence": lambda s, d: content.content_evidence(
         {n: (df, found) for n in TABLES if (found := content.text_columns(df := table(s, d, n)))}
     ),
@@ -584,6 +613,7 @@ judged AS (SELECT *, CASE
     AND (lower(table_name), lower(column_name)) NOT IN (SELECT (t, c) FROM has)
     THEN concat('Column ''', column_name, ''' not found in PII results') END AS reason FROM edits)
 SELECT * FROM judged WHERE reason IS NOT NULL""",
+    "pii_column_profiles": _profiles_sql(),
     "pii_content_evidence": _evidence_sql(),
     "pii_text_findings": f"""SELECT doc_id, CASE {_KIND_CASE} END AS kind, value, count(*) AS hits
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_ANY}')) AS value FROM documents) GROUP BY ALL""",
