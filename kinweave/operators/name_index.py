@@ -5,6 +5,11 @@ after the last; an equal pair that comes again is numbered. A name that is alike
 pairs with it that it must hold one of the target's few rarest ones (as many as may be missing, and one more). Only these
 are looked up; what they find is compared exactly. Frequent pairs are hardly ever touched, and nothing is capped: a name
 that holds none of the rare pairs cannot be alike enough.
+
+Where names are dense (numbered ones differ in a few figures), even rare pairs are held by a share of all names. So a target
+is first looked up among the names at most one edit away, by whole texts with one letter out: such a key is held by no more
+names than there are letters, however many names there are. As no farther name can be as close, only targets without such a
+name are searched by their pairs.
 """
 
 from __future__ import annotations
@@ -40,13 +45,29 @@ def closeness(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.char_length(a), F.char_length(b))
 
 
+def _without(text: Column, at: Column) -> Column:
+    """The text without its letter at a position from 1 on."""
+    return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, F.char_length(text)))
+
+
+def _edit_keys(text: Column, wanted: bool) -> Column:
+    """Hashes of a name (or a wanted name), of which two texts share one if they are equal or one edit apart."""
+    places = F.sequence(F.lit(1), F.char_length(text))
+    key = lambda kind, at, rest: F.xxhash64(F.lit(kind), at, rest)
+    shorter = F.transform(places, lambda i: key("shorter" if wanted else "longer", F.lit(0), _without(text, i)))
+    replaced = F.transform(places, lambda i: key("replaced", i, _without(text, i)))
+    # A name with one letter less is a wanted one's text without a letter, and the other way round.
+    own = [key("shorter", F.lit(0), text), *([key("longer", F.lit(0), text)] if wanted else [])]
+    return F.array_distinct(F.concat(F.array(*own), shorter, replaced))
+
+
 @dataclass(frozen=True)
 class NameIndex:
     """A stored index; drop it when it is no longer searched."""
 
     #: ``c, name``: folded names, each with the first of the names that fold to it.
     names: SharedTable
-    #: ``gram, c, length``.
+    #: ``gram, name, length``; the length is that of the folded name.
     grams: SharedTable
     #: ``gram, n``: how many names hold it.
     counts: SharedTable
@@ -63,7 +84,21 @@ class NameIndex:
             raise ValueError(f"the least score is above {1 - 1 / Q} and at most 1")
         spark = self.names.df.sparkSession
         given = targets if isinstance(targets, DataFrame) else _as_rows(spark, targets)
-        wanted = given.select("target", folded(F.col("target")).alias("t")).filter("t <> ''").distinct()
+        wanted = materialise(given.select("target", folded(F.col("target")).alias("t")).filter("t <> ''").distinct(), "wanted").df
+        close = materialise(self._one_edit(wanted, min_score), "close").df
+        rest = materialise(wanted.join(close, "target", "left_anti"), "rest").df
+        return close.unionByName(self._by_grams(rest, min_score))
+
+    def _one_edit(self, wanted: DataFrame, min_score: float) -> DataFrame:
+        """The closest name of those targets that have one at most one edit away. With a least score above 1/2 no name
+        farther away scores as much."""
+        asked = wanted.select("target", "t", F.explode(_edit_keys(F.col("t"), True)).alias("key"))
+        held = self.names.df.select("name", F.explode(_edit_keys(F.col("c"), False)).alias("key"))
+        found = held.join(asked, "key").withColumn("c", folded(F.col("name"))).filter(F.levenshtein("t", "c", 1) >= 0)
+        return _closest(found, min_score)
+
+    def _by_grams(self, wanted: DataFrame, min_score: float) -> DataFrame:
+        """The closest name of each target, by the rarest grams that a name alike enough must share."""
         size = F.char_length("t")
         # Lengths within reach, and the edits that a name of the target's length allows.
         low, high = F.ceil(size * min_score).cast("int"), F.floor(size / min_score).cast("int")
@@ -76,10 +111,15 @@ class NameIndex:
         asked = known.withColumn("place", F.row_number().over(rarest)).filter("place <= needed AND n IS NOT NULL")
         asked = asked.select("target", "t", "low", "high", F.col("gram").alias("of"))
         held = self.grams.df.join(asked, (F.col("gram") == F.col("of")) & F.col("length").between(F.col("low"), F.col("high")))
-        near = held.select("target", "t", "c").distinct().withColumn("score", closeness(F.col("t"), F.col("c"))).filter(F.col("score") >= F.lit(float(min_score)))
-        named = join_by_key(near, self.names.df, ["c"], "inner")
-        best = named.groupBy("target").agg(F.min(F.struct((-F.col("score")).alias("score"), "name")).alias("best"))
-        return best.select("target", F.col("best.name").alias("name"), (-F.col("best.score")).alias("score"))
+        # What a gram finds is compared where it is found: a name found by several is compared again, but not shuffled.
+        return _closest(held.withColumn("c", folded(F.col("name"))), min_score)
+
+
+def _closest(found: DataFrame, min_score: float) -> DataFrame:
+    """``target, name, score`` of the best line of each target (``target, t, name, c``) that scores enough."""
+    scored = found.withColumn("score", closeness(F.col("t"), F.col("c"))).filter(F.col("score") >= F.lit(float(min_score)))
+    best = scored.groupBy("target").agg(F.min(F.struct((-F.col("score")).alias("score"), "name")).alias("best"))
+    return best.select("target", F.col("best.name").alias("name"), (-F.col("best.score")).alias("score"))
 
 
 def _as_rows(spark: SparkSession, targets: Sequence[str]) -> DataFrame:
@@ -90,7 +130,7 @@ def build_index(names: DataFrame, column: str = "name") -> NameIndex:
     """Index the distinct names of a column; null and blank ones are left out."""
     rows = names.select(F.col(column).alias("name"), folded(F.col(column)).alias("c")).filter("c <> ''")
     own = materialise(rows.groupBy("c").agg(F.min("name").alias("name")), "names")
-    cut = own.df.select(F.explode(grams(F.col("c"))).alias("gram"), "c", F.char_length("c").alias("length"))
+    cut = own.df.select(F.explode(grams(F.col("c"))).alias("gram"), "name", F.char_length("c").alias("length"))
     # Names of one gram lie together, so that a search reads few files' row groups.
-    stored = materialise(cut.repartitionByRange("gram", "length", "c").sortWithinPartitions("gram", "length"), "grams")
+    stored = materialise(cut.repartitionByRange("gram", "length", "name").sortWithinPartitions("gram", "length"), "grams")
     return NameIndex(own, stored, materialise(stored.df.groupBy("gram").agg(F.count("*").alias("n")), "gram-counts"))

@@ -57,3 +57,17 @@ def test_odd_input(spark):
     assert index.search(["a"]).collect() == []
     with pytest.raises(ValueError, match="least score"):
         index.search(["a"], 0.5)
+
+
+def test_dense_names_are_found_by_one_edit(spark, monkeypatch):
+    """Numbered names are all alike: targets one edit from a name ask no gram, however many names hold it."""
+    names = [f"Customer#{i:06d}" for i in range(300)]
+    targets = ["Cstomer#000123", "Customer#00000x", "Customer##000007", "cUstomer#000299", "Xustomer#000001", "Custmer#0000128"]
+    index = name_index.build_index(spark.createDataFrame([(n,) for n in names], "name string"))
+    asked = []
+    by_grams = name_index.NameIndex._by_grams
+    monkeypatch.setattr(name_index.NameIndex, "_by_grams", lambda self, rest, least: asked.extend(r.target for r in rest.collect()) or by_grams(self, rest, least))
+    found = index.search(targets, 0.75)
+    assert sorted((r.target, r.name, round(r.score, 9)) for r in found.collect()) == _best(targets, names, 0.75)
+    assert asked == ["Custmer#0000128"]
+    index.drop()
