@@ -16,6 +16,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.functions.skew import join_by_key
 from kinweave.functions.unions import union_all
 from kinweave.sources.shared import materialise
 
@@ -146,6 +147,21 @@ def blocks(records: DataFrame, rules: Sequence[Sequence[str]] | None = None) ->
     return records.select("record_id", F.inline(record_keys(rules or match_rules())))
 
 
+def numbered(records: DataFrame) -> DataFrame:
+    """``n, record_id`` and the fields, ``n`` in the order of the ids, then of the fields: so the smallest number of a group
+    is that of its smallest record. Write the result before it is used twice."""
+    return records.select("record_id", *FIELDS).orderBy("record_id", *FIELDS).withColumn("n", F.monotonically_increasing_id())
+
+
+def with_fields(linked: DataFrame, records: DataFrame) -> DataFrame:
+    """``linked`` (``n, n_b`` and others) with ``id_a, id_b, a, b``: ids and fields of the numbered records."""
+    parts = F.struct(*FIELDS)
+    first = records.select("n", F.col("record_id").alias("id_a"), parts.alias("a"))
+    second = records.select(F.col("n").alias("n_b"), F.col("record_id").alias("id_b"), parts.alias("b"))
+    # Any number of lines may be linked to one record; both tables lie in files, so adaptive execution can split those.
+    return linked.join(second, "n_b").join(first, "n")
+
+
 def _agreeing(rules: Sequence[Sequence[str]]) -> Column:
     """Names of the rules on all of whose fields the records ``a`` and ``b`` agree."""
 
@@ -161,29 +177,30 @@ def pairs(
 ) -> DataFrame:
     """``id_a, id_b, a, b, rules``: records with the smallest id of a group they belong to, each pair once.
 
-    ``a`` and ``b`` are the fields of the two records, ``rules`` the names of all rules they agree on. The smallest
-    records of groups with more than one are written to the shared folder first. Records without an id match nothing.
+    ``a`` and ``b`` are the fields of the two records, ``rules`` the names of all rules they agree on. Records with a key
+    are numbered and written to the shared folder first; groups are found over numbers and hashes. Records without an id
+    match nothing.
 
     A pair found by a rule is kept if it agrees on no earlier rule. Otherwise both records are in one group of that
     earlier rule and connected there, so the components are the same, and no shuffle is needed to find repeats.
     """
     rules = rules or match_rules()
-    keyed = records.filter("record_id IS NOT NULL").select("record_id", F.struct(*FIELDS).alias("a"), F.inline(record_keys(rules)))
-    hubs = (
-        keyed.groupBy("rule", "block_key")
-        .agg(F.min(F.struct("record_id", "a")).alias("hub"), F.count("*").alias("size"))
-        .filter("size > 1")
-        .select("rule", "block_key", F.col("hub.record_id").alias("id_b"), F.col("hub.a").alias("b"), "size")
+    held = records.filter("record_id IS NOT NULL").filter(F.size(record_keys(rules)) > 0)
+    narrow = materialise(numbered(held), "records").df
+    text = F.concat_ws("\0", "rule", "block_key")
+    names = F.array(*[F.lit("+".join(rule)) for rule in rules])
+    keyed = narrow.select("n", F.inline(record_keys(rules))).select(
+        "n", (F.array_position(names, F.col("rule")) - 1).cast("int").alias("rule"), F.xxhash64(F.lit(1), text).alias("high"), F.xxhash64(F.lit(2), text).alias("low")
     )
-    hubs = materialise(hubs, "hubs").df
+    key = ["high", "low"]
+    hubs = keyed.groupBy(*key).agg(F.min("n").alias("n_b"), F.count("*").alias("size")).filter("size > 1").select(*key, "n_b")
+    linked = join_by_key(keyed, hubs, key, "inner").filter("n <> n_b").select("n", "n_b", "rule")
     return (
-        keyed.join(hubs.drop("size"), ["rule", "block_key"])
-        .filter("record_id <> id_b")
+        with_fields(linked, narrow)
+        .filter("id_a <> id_b")
         .withColumn("agreeing", _agreeing(rules))
-        .filter(F.get("agreeing", F.lit(0)) == F.col("rule"))
-        .select(
-            F.col("record_id").alias("id_a"), "id_b", "a", "b", F.array_join("agreeing", ", ").alias("rules")
-        )
+        .filter(F.get("agreeing", F.lit(0)) == F.get(names, F.col("rule")))
+        .select("id_a", "id_b", "a", "b", F.array_join("agreeing", ", ").alias("rules"))
     )
 
 

@@ -9,8 +9,9 @@ So a value has a key for every letter: (position, rest). Values that share such
 one line per record, to the smallest id of the key, connects them. And (rest) is the key of the shorter value itself, the
 *centre*, to which all longer ones are alike. No pairs are listed, nothing is compared with everything, no key is capped.
 
-Keys are made of distinct values, not of records; only keys that at least two values share (*live* keys) go to the records.
-A match rule with a similar field adds the fields that must be equal to the key.
+Which keys at least two values share (*live* keys) is found on distinct values, not on records, and only the places of those
+keys go to the records. A match rule with a similar field adds the fields that must be equal to the key. Lines of records
+carry numbers and hashes; the fields of the two records of a pair are joined once pairs are known.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from functools import reduce
 from itertools import combinations
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.skew import join_by_key
-from kinweave.operators.resolution import FIELDS, KEY_SEPARATOR, MATCH_THRESHOLD, MATCH_WEIGHTS, match_rules, pair_scores
+from kinweave.operators.resolution import FIELDS, KEY_SEPARATOR, MATCH_THRESHOLD, MATCH_WEIGHTS, match_rules, numbered, pair_scores, with_fields
 from kinweave.sources.shared import materialise
 
 #: What a similar value is worth; a name with one wrong letter as much as an equal one, an e-mail half. Phones and dates
@@ -69,31 +70,28 @@ def alike(a: Column, b: Column) -> Column:
     return F.coalesce(long_enough & (F.levenshtein(a, b, 1) == 1), F.lit(False))
 
 
-def live_keys(records: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """``field, value, keys`` of the distinct values of some columns that are alike to others of their column: an array of
-    ``(position, high, low, centre)``, two hashes of the rest at position (0: any, for insertions). At most two keys per
-    letter and one more."""
+#: Places of the keys of ``value``: i for the rest without letter i at that position, -i for that rest at any position, 0 for
+#: the value itself (the centre). Letters that repeat leave the same rest, so only the first of a run has a negative place.
+_PLACES = """concat(array(0), sequence(1, length(value)), filter(transform(sequence(1, length(value)),
+  i -> IF(i = 1 OR substr(value, i, 1) <> substr(value, i - 1, 1), -i, 0)), i -> i < 0))"""
+_REST = "IF(place = 0, value, concat(left(value, abs(place) - 1), substr(value, abs(place) + 1)))"
+
+
+def live_places(records: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """``field, value, places`` of the distinct values of some columns that are alike to others of their column: the places
+    (see ``_PLACES``) of the keys that they share. At most two per letter and one more."""
     held = F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
     distinct = records.select(held).filter(F.length("value") >= MIN_LENGTH).distinct()
-    rests = distinct.select("field", "value", F.explode(F.sequence(F.lit(0), F.length("value"))).alias("at"))
-    rest = F.expr("IF(at = 0, value, concat(left(value, at - 1), substr(value, at + 1)))")
-    hashed = rests.select(
-        "field", "value", "at", F.xxhash64(F.lit(1), "field", rest).alias("high"), F.xxhash64(F.lit(2), "field", rest).alias("low")
-    )
-    # Letters that repeat leave the same rest; such a value counts once under an insertion key.
-    plain = ["field", "value", "high", "low"]
-    inserted = hashed.groupBy(*plain).agg(F.min("at").alias("at")).select(*plain, F.lit(0).alias("position"), (F.col("at") == 0).alias("centre"))
-    replaced = hashed.filter("at > 0").select(*plain, F.col("at").alias("position"), F.lit(False).alias("centre"))
-    keys = materialise(inserted.unionByName(replaced), "value-keys").df
-    shared = (
-        keys.groupBy("position", "high", "low")
-        .agg(F.count("*").alias("n"), F.max("centre").alias("has_centre"))
-        .filter("n > 1 AND (position > 0 OR has_centre)")
-        .drop("n", "has_centre")
-    )
-    live = join_by_key(keys, shared, ["position", "high", "low"], "left_semi")
-    # A value has no more than twice as many keys as letters, so the list of a value is bounded.
-    return live.groupBy("field", "value").agg(F.collect_list(F.struct("position", "high", "low", "centre")).alias("keys"))
+    values = materialise(distinct.withColumn("id", F.monotonically_increasing_id()), "values").df
+    placed = values.select("id", "field", "value", F.explode(F.expr(_PLACES)).alias("place"))
+    # A hash that two keys share by chance only makes them look live.
+    key = F.xxhash64("field", F.greatest("place", F.lit(0)), F.expr(_REST)).alias("key")
+    lines = placed.select("id", F.col("place").cast("int").alias("place"), key)
+    # A key is held by no more distinct values than there are letters, or letters and places, to put in.
+    of_key = Window.partitionBy("key")
+    counted = lines.withColumn("n", F.count("*").over(of_key)).withColumn("whole", F.max(F.col("place") >= 0).over(of_key))
+    live = counted.filter("n > 1 AND whole").groupBy("id").agg(F.collect_list("place").alias("places"))
+    return live.join(values, "id").select("field", "value", "places")
 
 
 def _equal(rule: Sequence[str]) -> Column:
@@ -116,36 +114,46 @@ def similar_pairs(
     """
     rules = similar_rules(weights, similar, threshold)
     exact = match_rules(weights, threshold)
-    held = records.filter("record_id IS NOT NULL").select("record_id", F.struct(*FIELDS).alias("a"), *FIELDS)
+    held = records.filter("record_id IS NOT NULL").select("record_id", *FIELDS)
     if not rules:
-        nothing = held.limit(0).select(F.col("record_id").alias("id_a"), F.col("record_id").alias("id_b"), "a")
+        nothing = held.limit(0).select(F.col("record_id").alias("id_a"), F.col("record_id").alias("id_b"), F.struct(*FIELDS).alias("a"))
         return nothing.select("id_a", "id_b", "a", F.col("a").alias("b"), F.lit("").alias("rules"))
     fields = list(dict.fromkeys(rule.field for rule in rules))
 
-    def keyed(rule: Rule) -> Column:
-        present = reduce(lambda x, y: x & y, [F.col(f"a.{f}").isNotNull() for f in rule.equal], F.lit(rule.field) == F.col("field"))
-        equal = F.concat_ws(KEY_SEPARATOR, *[F.col(f"a.{f}") for f in rule.equal])
-        return F.when(present, F.struct(F.lit(rule.name).alias("rule"), equal.alias("equal")))
-
-    narrow = materialise(held, "records").df
-    # A line for each field that has a value; live keys of a value serve all rules with its field.
-    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
-    by_value = narrow.select("record_id", "a", F.inline(values)).filter(F.length("value") >= MIN_LENGTH)
-    found = join_by_key(by_value, live_keys(narrow, fields), ["field", "value"], "inner")
-    ruled = found.select("record_id", "a", "keys", F.inline(F.array_compact(F.array(*map(keyed, rules)))))
-    lines = ruled.select("record_id", "a", "rule", "equal", F.inline("keys"))
-    key = ["rule", "equal", "position", "high", "low"]
-    eligible = F.when((F.col("position") > 0) | F.col("centre"), F.struct("record_id", "a"))
-    hubs = lines.groupBy(*key).agg(F.min(eligible).alias("hub"), F.count("*").alias("size")).filter("size > 1 AND hub IS NOT NULL")
-    hubs = hubs.select(*key, F.col("hub.record_id").alias("id_b"), F.col("hub.a").alias("b"))
+    def ruled(field: str) -> Column:
+        """The rules of a similar field whose equal fields the record has, with two hashes of those."""
+        made = []
+        for at, rule in enumerate(rules):
+            if rule.field == field:
+                present = reduce(lambda x, y: x & y, [F.col(f).isNotNull() for f in rule.equal], F.lit(True))
+                equal = F.concat_ws(KEY_SEPARATOR, F.lit(rule.name), *rule.equal)
+                hashes = [F.xxhash64(F.lit(i), equal).alias(name) for i, name in ((1, "high"), (2, "low"))]
+                made.append(F.when(present, F.struct(F.lit(at).alias("rule"), *hashes)))
+        return F.array_compact(F.array(*made))
+
+    narrow = materialise(numbered(held), "records").df
+    # A line for each field that has a value and a rule; live places of a value serve all rules with its field.
+    values = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value"), ruled(f).alias("ruled")) for f in fields])
+    by_value = narrow.select("n", F.inline(values)).filter((F.length("value") >= MIN_LENGTH) & (F.size("ruled") > 0))
+    found = materialise(join_by_key(by_value, live_places(narrow, fields), ["field", "value"], "inner").drop("field"), "live").df
+    placed = found.select("n", "value", "places", F.inline("ruled")).select("n", "value", "rule", "high", "low", F.explode("places").alias("place"))
+    rest = [F.greatest("place", F.lit(0)), F.expr(_REST)]
+    lines = placed.select(
+        "n", "rule", "place", F.xxhash64(F.lit(1), "high", *rest).alias("high"), F.xxhash64(F.lit(2), "low", *rest).alias("low")
+    )
+    key = ["high", "low"]
+    hubs = lines.groupBy(*key).agg(F.min(F.when(F.col("place") >= 0, F.col("n"))).alias("n_b"), F.count("*").alias("size"))
+    hubs = hubs.filter("size > 1 AND n_b IS NOT NULL").select(*key, "n_b")
+    linked = join_by_key(lines.select("n", "rule", *key), hubs, key, "inner").filter("n <> n_b").select("n", "n_b", "rule")
     named = [F.when(_equal(rule.equal).isNotNull() & alike(F.col(f"a.{rule.field}"), F.col(f"b.{rule.field}")), F.lit(rule.name)) for rule in rules]
+    names = F.array(*[F.lit(rule.name) for rule in rules])
     return (
-        join_by_key(lines, hubs, key, "inner")
-        .filter("record_id <> id_b")
+        with_fields(linked, narrow)
+        .filter("id_a <> id_b")
         .filter(F.coalesce(*[_equal(rule) for rule in exact]).isNull())
         .withColumn("agreeing", F.array_compact(F.array(*named)))
-        .filter(F.get("agreeing", F.lit(0)) == F.col("rule"))
-        .select(F.col("record_id").alias("id_a"), "id_b", "a", "b", F.array_join("agreeing", ", ").alias("rules"))
+        .filter(F.get("agreeing", F.lit(0)) == F.get(names, F.col("rule")))
+        .select("id_a", "id_b", "a", "b", F.array_join("agreeing", ", ").alias("rules"))
     )
 
 

@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from kinweave.functions import skew
 from kinweave.operators import components, resolution, similar
 from kinweave.plans.resolve import resolve
+from kinweave.sources import shared
 from tests.test_resolution import SCHEMA, groups_of
 
 
@@ -114,3 +116,31 @@ def test_resolve_links_one_wrong_letter(spark):
         assert edges.count() == 3 - expected
         for t in shared:
             t.drop()
+
+
+def test_lines_of_keys_carry_no_fields(spark, monkeypatch):
+    """Whatever a record's fields hold, the tables of keys and of their smallest records hold numbers and hashes."""
+    written = []
+
+    def kept(df, name):
+        written.append((name, df.schema))
+        return shared.materialise(df, name)
+
+    for module in (skew, similar, resolution):
+        monkeypatch.setattr(module, "materialise", kept)
+    records = _records(200, 1)
+    near = similar.similar_pairs(spark.createDataFrame([tuple(r.values()) for r in records], SCHEMA))
+    exact = resolution.pairs(spark.createDataFrame([tuple(r.values()) for r in records], SCHEMA))
+    assert near.count() > 0 and exact.count() > 0
+    assert len(written) >= 6
+    for _, schema in written:
+        assert not any(f.name in ("a", "b") or f.dataType.typeName() == "struct" for f in schema)
+    hubs = [schema for name, schema in written if name == "right" and "n_b" in schema.names]
+    assert len(hubs) == 2 and all({f.dataType.typeName() for f in schema} == {"long"} for schema in hubs)
+
+
+def test_live_places(spark):
+    """Places of shared keys: of a letter put in, of one replaced, and of a run of equal letters only the first."""
+    df = spark.createDataFrame([("anna",), ("annna",), ("anne",), ("zzzzzz",), ("ann",), (None,)], "given_name string")
+    found = {r.value: sorted(r.places) for r in similar.live_places(df, ["given_name"]).collect()}
+    assert found == {"anna": [0, 4], "annna": [-2], "anne": [4]}
