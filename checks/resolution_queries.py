@@ -10,7 +10,7 @@ from checks.views import table
 from kinweave.operators import components, entity_store, resolution, scores, similar
 from kinweave.operators.report_overlap import pairwise_overlap
 from kinweave.sources.outputs import write_resolution
-from kinweave.sources.shared import scratch_path
+from kinweave.sources.shared import materialise, scratch_path
 
 # Every match rule has records that it links, and some that it alone links.
 SEMANTICS = {
@@ -108,7 +108,7 @@ def _similar_edges(s: SparkSession, d: str) -> DataFrame:
 
 
 def _similar_unified(s: SparkSession, d: str) -> DataFrame:
-    records = _typed_records(s, d)
+    records = materialise(_typed_records(s, d), "records").df
     exact = resolution.pairs(records).select("id_a", "id_b")
     edges = exact.unionByName(similar.similar_pairs(records).select("id_a", "id_b"))
     return resolution.unified(records, components.connected_components(edges)).select("record_id", "entity_id")
