@@ -80,9 +80,12 @@ def _unified(s: SparkSession, d: str) -> DataFrame:
 def _stored_overlap(s: SparkSession, d: str) -> DataFrame:
     """Resolve, store both output tables, and report source overlap from the stored records."""
     path = scratch_path(s, "resolution")
-    edges = _edges(s, d)
-    resolved = resolution.unified(_records(s, d), components.connected_components(edges))
-    write_resolution(resolved, edges, path, as_tables=False)
+    records = materialise(_records(s, d), "records")
+    edges = materialise(resolution.pair_scores(resolution.pairs(records.df)), "edges")
+    resolved = resolution.unified(records.df, components.connected_components(edges.df))
+    write_resolution(resolved, edges.df, path, as_tables=False)
+    for part in (records, edges):
+        part.drop()
     stored = s.read.parquet(f"{path}/unified_coalesced")
     return pairwise_overlap(scores.profile(scores.unified_view(stored)))
 

@@ -2,10 +2,11 @@ import random
 
 import pytest
 
+from checks import resolution_queries
 from kinweave.operators import components, resolution
 from kinweave.plans import tagging
 from kinweave.plans.resolve import resolve, resolve_manifest
-from kinweave.sources import catalog, manifests
+from kinweave.sources import catalog, manifests, outputs
 from kinweave.sources.outputs import write_resolution
 
 SCHEMA = "record_id string, datasource string, " + ", ".join(f"{f} string" for f in resolution.FIELDS)
@@ -180,3 +181,21 @@ def test_outputs_as_tables(spark):
     df = spark.range(3)
     write_resolution(df, df, "resolved_here")
     assert spark.table("resolved_here.unified_scores").count() == 3
+
+
+def test_stored_overlap_finds_edges_once(spark, tmp_path, monkeypatch):
+    """What is stored reads written edges and records: neither is made again for each of its readers."""
+    plans = []
+
+    def kept(unified, scores, path, as_tables):
+        plans.extend(df._jdf.queryExecution().optimizedPlan().toString().lower() for df in (unified, scores))
+        outputs.write_resolution(unified, scores, path, as_tables)
+
+    monkeypatch.setattr(resolution_queries, "write_resolution", kept)
+    spark.range(40).selectExpr("id AS k", "concat('u', id % 20, '@x.org') AS mail").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    records = resolution.standardise({"one": table.filter("k < 20"), "two": table.filter("k >= 20")}, {n: {"mail": "email"} for n in ("one", "two")}, {"one": "k", "two": "k"})
+    monkeypatch.setattr(resolution_queries, "_records", lambda s, d: records)
+    found = resolution_queries._stored_overlap(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [("one", "two", 20), ("two", "one", 20)]
+    assert len(plans) == 2 and not any("levenshtein" in p or "regexp_replace" in p for p in plans)
