@@ -128,14 +128,18 @@ class EntityStore:
         commits = self._commits(since)
         rules = self.rules or match_rules()
         fields = sorted({f for rule in rules for f in rule})
-        given = records.filter("record_id IS NOT NULL").select("record_id", *fields)
+        # Written once: both the numbers and the keys read it, and what made the records may be dear.
+        batch = materialise(records.filter("record_id IS NOT NULL").select("record_id", *fields), "batch")
+        given = batch.df
         # Records get numbers from 0 on, entities of the store that they meet numbers below 0.
         numbers = materialise(given.select("record_id").distinct().withColumn("node", F.monotonically_increasing_id()), "numbers")
         if numbers.df.isEmpty():
-            numbers.drop()
+            for table in (batch, numbers):
+                table.drop()
             return since
         own = F.array(F.struct(F.lit("").alias("rule"), F.col("record_id").alias("block_key")))
-        keyed = join_by_key(given, numbers.df, ["record_id"], "inner").select("node", F.inline(F.concat(own, record_keys(rules))))
+        # Tables that lie in files already, with a line per key, are joined as they are (see ``join_by_key``).
+        keyed = given.join(numbers.df, "record_id").select("node", F.inline(F.concat(own, record_keys(rules))))
         text = F.concat_ws("\0", "rule", "block_key")
         lines = keyed.select("node", (F.col("rule") == "").alias("is_id"), F.xxhash64(text).alias("high"), F.xxhash64(F.lit(1), text).alias("low"))
         lines = materialise(lines, "lines")
@@ -146,7 +150,7 @@ class EntityStore:
         found = self._keys_in(commits, met).join(keys.df.select("high", "low"), ["high", "low"])
         known = materialise(_standing(found, merges), "known")
         touched = materialise(known.df.select("entity_id").distinct().withColumn("number", -1 - F.monotonically_increasing_id()), "touched")
-        meets = join_by_key(known.df, touched.df, ["entity_id"], "inner").select("high", "low", "number")
+        meets = known.df.join(touched.df, "entity_id").select("high", "low", "number")
         hubs = keys.df.join(meets, ["high", "low"], "left").select("high", "low", F.coalesce("number", "first").alias("id_b"))
         edges = join_by_key(lines.df.select(F.col("node").alias("id_a"), "high", "low"), hubs, ["high", "low"], "inner")
         parts = components_of_numbers(edges.select("id_a", "id_b"))
@@ -160,14 +164,14 @@ class EntityStore:
         again = lines.df.filter("is_id").join(known.df, ["high", "low"]).select("node").distinct()
         members = placed.df.join(again, "node", "left_anti").select("record_id", "entity_id")
         unseen = keys.df.join(known.df, ["high", "low"], "left_anti")
-        held = join_by_key(unseen.withColumnRenamed("first", "node"), placed.df, ["node"], "inner")
+        held = unseen.withColumnRenamed("first", "node").join(placed.df, "node")
         moved = of_store.join(names.df, "component").filter("entity_id <> name").select(F.col("entity_id").alias("retired"), "name")
         moved = materialise(moved, "moved")
         # Entities that stood for others and are retired now hand those on.
         later = moved.df.withColumnRenamed("retired", "entity_id")
-        handed = join_by_key(merges, later, ["entity_id"], "left").select("retired", F.coalesce("name", "entity_id").alias("entity_id"))
+        handed = merges.join(later, "entity_id", "left").select("retired", F.coalesce("name", "entity_id").alias("entity_id"))
         self._store(held, members, handed.unionByName(moved.df.withColumnRenamed("name", "entity_id")), since, whole=False)
-        for table in (numbers, lines, keys, known, touched, parts, names, placed, moved):
+        for table in (batch, numbers, lines, keys, known, touched, parts, names, placed, moved):
             table.drop()
         return since + 1
 
@@ -186,8 +190,8 @@ class EntityStore:
     def _store(self, keys: DataFrame, members: DataFrame, merges: DataFrame, since: int, whole: bool) -> None:
         folder = uuid.uuid4().hex
         base = f"{self.path}/data/{folder}"
-        # Hashes are even, so a bucket is no larger than others.
-        keys.select("high", "low", "entity_id", "bucket").repartition("bucket").write.partitionBy("bucket").parquet(f"{base}/keys")
+        # Hashes are even, so a bucket is no larger than others; a large one is written by several tasks.
+        keys.select("high", "low", "entity_id", "bucket").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{base}/keys")
         members.select("record_id", "entity_id").write.parquet(f"{base}/members")
         merges.select("retired", "entity_id").write.parquet(f"{base}/merges")
         written = self.spark._jvm.org.apache.hadoop.fs.Path(f"{base}/keys")
@@ -201,5 +205,5 @@ class EntityStore:
 def _standing(lines: DataFrame, merges: DataFrame) -> DataFrame:
     """``lines`` with ``entity_id`` replaced by the entity that stands for it now."""
     now = merges.select(F.col("retired").alias("entity_id"), F.col("entity_id").alias("now"))
-    joined = join_by_key(lines, now, ["entity_id"], "left")
+    joined = lines.join(now, "entity_id", "left")  # both lie in files, merges with a line per retired entity
     return joined.withColumn("entity_id", F.coalesce("now", "entity_id")).select(*lines.columns)

@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kinweave.functions import skew
+from kinweave.operators import entity_store
 from kinweave.operators.entity_store import Conflict, EntityStore
+from kinweave.sources.shared import materialise
 from test_resolution import SCHEMA, brute_force_entities, random_records
 
 
@@ -97,3 +100,17 @@ def test_two_writers_of_one_version(spark, tmp_path):
     with pytest.raises(Conflict):
         store.add(spark.createDataFrame([person("b", email="x")], SCHEMA), since=0)
     assert sorted(stored(store)) == before and store.version() == 1
+
+
+def test_a_batch_is_read_once_and_stored_tables_are_not_written_again(spark, tmp_path, monkeypatch):
+    written = []
+    for module in (entity_store, skew):
+        monkeypatch.setattr(module, "materialise", lambda df, name: written.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or materialise(df, name))
+    (tmp_path / "given").mkdir()
+    frame(spark, random_records(60, 2)).write.parquet(str(tmp_path / "given/one"))
+    store = EntityStore(spark, str(tmp_path / "store"), buckets=3)
+    for _ in range(2):
+        store.add(spark.read.parquet(str(tmp_path / "given/one")).withColumn("email", F.expr("regexp_replace(email, 'x+', 'x')")))
+    assert store.version() == 2 and store.entities().count() == 60
+    assert sum("regexp_replace" in plan for _, plan in written) == 2
+    assert sum(name == "right" for name, _ in written) == 2  # the smallest record of each key, once a batch
